@@ -1,0 +1 @@
+"""Empty on purpose: the capabilities rebuilt here have no streaming operators."""

@@ -74,3 +74,9 @@ def label(column: Column, dtype: T.DataType) -> Column:
 def percent_of(part: Column, whole: Column) -> Column:
     """100 * part / whole to two digits; 0 for an empty whole."""
     return F.when(whole == 0, 0.0).otherwise(F.round(F.try_divide(part * 100.0, whole), 2))
+
+
+def safe_corr(a: Column, b: Column) -> Column:
+    """Pearson correlation over complete pairs, missing when either side is constant."""
+    x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))

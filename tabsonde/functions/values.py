@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,62 +23,76 @@ TIME_TYPES = (T.DateType, T.TimestampType, T.TimestampNTZType)
 COMPLEX_TYPES = (T.ArrayType, T.MapType, T.StructType, T.BinaryType)
 
 
-def col(name: str) -> Column:
+def quoted(name: str) -> str:
     """A top-level column by its exact name, dots and spaces included."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    return "`" + name.replace("`", "``") + "`"
+
+
+def col(name: str) -> Column:
+    return F.col(quoted(name))
+
+
+def literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def literals(texts: Iterable[str]) -> str:
+    return ", ".join(literal(t) for t in texts)
 
 
-def known(column: Column, dtype: T.DataType) -> Column:
+# The readers below take and return SQL text: a wide table needs hundreds of them, and one
+# parsed expression is far cheaper to build than a tree of Column calls.
+
+
+def known(sql: str, dtype: T.DataType) -> str:
     """The value with NaN treated as missing."""
     if isinstance(dtype, FLOAT_TYPES):
-        return F.when(~F.isnan(column), column)
-    return column
+        return f"nullif({sql}, CAST('NaN' AS {dtype.simpleString()}))"
+    return sql
 
 
-def number(column: Column, dtype: T.DataType) -> Column:
+def number(sql: str, dtype: T.DataType) -> str:
     """Numeric reading of a column; text that does not parse is missing."""
-    if isinstance(dtype, T.BooleanType):
-        return column.cast("double")
-    if isinstance(dtype, NUMERIC_TYPES):
-        return known(column.cast("double"), T.DoubleType())
+    if isinstance(dtype, (T.BooleanType, *NUMERIC_TYPES)):
+        return known(f"CAST({sql} AS DOUBLE)", T.DoubleType())
     if isinstance(dtype, T.StringType):
-        return known(column.try_cast("double"), T.DoubleType())
-    return F.lit(None).cast("double")
+        return known(f"TRY_CAST({sql} AS DOUBLE)", T.DoubleType())
+    return "CAST(NULL AS DOUBLE)"
 
 
-def finite(column: Column) -> Column:
+def finite(sql: str) -> str:
     """A double with infinities masked."""
-    return F.when(F.abs(column) < float("inf"), column)
+    return f"CASE WHEN abs({sql}) < CAST('Infinity' AS DOUBLE) THEN {sql} END"
 
 
-def yes_no(column: Column, dtype: T.DataType) -> Column:
+def yes_no(sql: str, dtype: T.DataType) -> str:
     """1.0 / 0.0 for the accepted spellings, missing for anything else."""
     if isinstance(dtype, T.BooleanType):
-        return column.cast("double")
-    word = F.lower(F.trim(column.cast("string")))
-    return F.when(word.isin(*YES), 1.0).when(word.isin(*NO), 0.0)
+        return f"CAST({sql} AS DOUBLE)"
+    word = f"lower(trim(CAST({sql} AS STRING)))"
+    return f"CASE WHEN {word} IN ({literals(YES)}) THEN 1D WHEN {word} IN ({literals(NO)}) THEN 0D END"
 
 
-def text(column: Column, dtype: T.DataType) -> Column:
+def text(sql: str, dtype: T.DataType) -> str:
     """Display text of a value; yes/no columns read True / False."""
     if isinstance(dtype, T.BooleanType):
-        return F.when(column, "True").when(~column, "False")
+        return f"CASE WHEN {sql} THEN 'True' WHEN NOT {sql} THEN 'False' END"
     if isinstance(dtype, COMPLEX_TYPES):
-        return F.to_json(F.struct(column.alias("v")))
-    return known(column, dtype).cast("string")
+        return f"to_json(named_struct('v', {sql}))"
+    return f"CAST({known(sql, dtype)} AS STRING)"
 
 
-def label(column: Column, dtype: T.DataType) -> Column:
+def label(sql: str, dtype: T.DataType) -> str:
     """Group label of a value, with missing values as their own group."""
-    return F.coalesce(text(column, dtype), F.lit(MISSING))
+    return f"coalesce({text(sql, dtype)}, {literal(MISSING)})"
+
+
+def correlation(a: str, b: str) -> str:
+    """Pearson correlation over complete pairs, missing when either side is constant."""
+    x, y = f"if({b} IS NOT NULL, {a}, NULL)", f"if({a} IS NOT NULL, {b}, NULL)"
+    return f"try_divide(covar_pop({x}, {y}), stddev_pop({x}) * stddev_pop({y}))"
 
 
 def percent_of(part: Column, whole: Column) -> Column:
     """100 * part / whole to two digits; 0 for an empty whole."""
     return F.when(whole == 0, 0.0).otherwise(F.round(F.try_divide(part * 100.0, whole), 2))
-
-
-def safe_corr(a: Column, b: Column) -> Column:
-    """Pearson correlation over complete pairs, missing when either side is constant."""
-    x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
-    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))

@@ -27,8 +27,8 @@ SHARES = (0.1, 0.2, 0.5)
 
 def entity_totals(frame: Frame, metric: str, entity: str) -> DataFrame:
     """(entity, total, low) per entity with a value."""
-    e, y = values.known(values.col(entity), frame.dtype(entity)), frame.measure(metric)
-    rows = frame.df.select(e.alias("entity"), y.alias("y"))
+    e = values.known(values.quoted(entity), frame.dtype(entity))
+    rows = frame.df.selectExpr(f"{e} AS entity", f"{frame.measure_sql(metric)} AS y")
     rows = rows.where("entity IS NOT NULL AND y IS NOT NULL")
     return rows.groupBy("entity").agg(
         F.sum("y").alias("total"), F.min("y").alias("low"), F.count("*").alias("rows")

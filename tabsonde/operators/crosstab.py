@@ -16,8 +16,8 @@ def crosstab_lift(frame: Frame, a: str, b: str, folds=None) -> DataFrame:
     """(a, b, n, share, overall, lift) in long form: share of b within a, against its share
     overall, in percent."""
     folds = folds or fold_plans(frame, [a, b])
-    rows = frame.df.select(
-        folds[a].apply(frame.label(a)).alias("a"), folds[b].apply(frame.label(b)).alias("b")
+    rows = frame.df.selectExpr(
+        f"{folds[a].apply(frame.label_sql(a))} AS a", f"{folds[b].apply(frame.label_sql(b))} AS b"
     ).where("a IS NOT NULL AND b IS NOT NULL")
     # At most 13 x 13 cells remain after this aggregation.
     cells = rows.groupBy("a", "b").agg(F.count("*").alias("n")).withColumn("one", F.lit(1))

@@ -11,11 +11,14 @@ from ..functions import effects, text
 SIGNIFICANCE = 0.05
 SAMPLED_CAVEAT = "Computed on a sample of the rows."
 
-EVIDENCE_COLUMNS = (
-    "key", "kind", "title", "summary", "headline", "target", "dimension", "agg", "effect_name",
-    "effect", "practical_ratio", "p_value", "n", "chart_kind", "points", "value_format",
-    "reference", "reference_label", "caveats", "filter", "facts",
-)
+FINDING_SCHEMA = (
+    "id string, kind string, title string, summary string, headline string, target string, "
+    "dimension string, agg string, effect struct<name:string,value:double,strength:string>, "
+    "p_value double, q_value double, n bigint, significant boolean, "
+    "chart struct<kind:string,points:array<struct<category:string,value:double,count:bigint>>,"
+    "value_format:string,reference:double,reference_label:string>, caveats array<string>, "
+    "filter string, source string, score double, facts map<string,string>"
+)
 
 
 def points(order: Column, category: Column, value: Column, count: Column) -> Column:

@@ -73,16 +73,25 @@ class Frame:
 
     def measure(self, name: str) -> Column:
         """Numeric reading of a column; 1.0 for the record-count pseudo-metric."""
+        return F.expr(self.measure_sql(name))
+
+    def measure_sql(self, name: str) -> str:
         if name == ROWS:
-            return F.lit(1.0)
+            return "1D"
         reader = values.yes_no if self.is_binary(name) else values.number
-        return reader(values.col(name), self.dtype(name))
+        return reader(values.quoted(name), self.dtype(name))
 
     def raw_label(self, name: str) -> Column:
-        return values.text(values.col(name), self.dtype(name))
+        return F.expr(self.raw_label_sql(name))
+
+    def raw_label_sql(self, name: str) -> str:
+        return values.text(values.quoted(name), self.dtype(name))
 
     def label(self, name: str) -> Column:
-        return values.label(values.col(name), self.dtype(name))
+        return F.expr(self.label_sql(name))
+
+    def label_sql(self, name: str) -> str:
+        return values.label(values.quoted(name), self.dtype(name))
 
     def when(self) -> Column:
         if self.time is None:
@@ -137,26 +146,29 @@ class Fold:
         extra = (values.OTHER,) if self.other and values.OTHER not in self.keep else ()
         return (*self.keep, *extra)
 
-    def apply(self, label: Column) -> Column:
-        rest = F.lit(values.OTHER) if self.other else F.lit(None).cast("string")
-        return F.when(label.isin(*self.keep), label).otherwise(rest) if self.keep else rest
+    def apply(self, label: str) -> str:
+        """SQL text of the folded label."""
+        rest = values.literal(values.OTHER) if self.other else "CAST(NULL AS STRING)"
+        if not self.keep:
+            return rest
+        return f"CASE WHEN {label} IN ({values.literals(self.keep)}) THEN {label} ELSE {rest} END"
 
-    def code(self, label: Column) -> Column:
+    def code(self, label: str) -> str:
         """Small integer of the folded label, missing for rows that are left out."""
         return code_of(self.apply(label), self.groups)
 
 
-def code_of(label: Column, levels: tuple[str, ...]) -> Column:
+def code_of(label: str, levels: tuple[str, ...]) -> str:
     if not levels:
-        return F.lit(None).cast("short")
-    position = F.array_position(F.array(*[F.lit(x) for x in levels]), label)
-    return F.when(position > 0, position).cast("short")
+        return "CAST(NULL AS SMALLINT)"
+    position = f"array_position(array({values.literals(levels)}), {label})"
+    return f"CAST(nullif({position}, 0) AS SMALLINT)"
 
 
 def label_counts(frame: Frame, columns: list[str], drop_missing: bool = False) -> DataFrame:
     """(column, label, n) for several columns in one pass with map-side partial counts."""
-    reader = frame.raw_label if drop_missing else frame.label
-    wide = frame.df.select(*[reader(c).alias(f"l{i}") for i, c in enumerate(columns)])
+    reader = frame.raw_label_sql if drop_missing else frame.label_sql
+    wide = frame.df.selectExpr(*[f"{reader(c)} AS l{i}" for i, c in enumerate(columns)])
     long = wide.unpivot([], wide.columns, "slot", "label")
     names = F.create_map(*[F.lit(x) for i, c in enumerate(columns) for x in (f"l{i}", c)])
     counts = long.where("label IS NOT NULL").groupBy("slot", "label").agg(F.count("*").alias("n"))
@@ -193,4 +205,4 @@ def lump_levels(frame: Frame, column: str, output: str = "level") -> DataFrame:
     """The table with a folded copy of one dimension."""
     column = frame.resolve(column, "dimension")
     plan = fold_plans(frame, [column])[column]
-    return frame.df.withColumn(output, plan.apply(frame.label(column)))
+    return frame.df.withColumn(output, F.expr(plan.apply(frame.label_sql(column))))

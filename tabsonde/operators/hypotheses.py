@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import effects, pvalues, values
+from ..functions import effects, pvalues
 from .ranks import (
     Cuts,
     attach_by_value,
@@ -23,7 +23,6 @@ from .ranks import (
     bucket_name,
     cut_points,
     cuts_from,
-    find_cuts,
     maybe_broadcast,
     with_buckets,
     with_ranks,
@@ -59,8 +58,14 @@ def _chunks(items: Sequence, size: int) -> Iterable[Sequence]:
         yield items[start : start + size]
 
 
-def _melt(base: DataFrame, structs: Sequence[Column]) -> DataFrame:
-    parts = [base.select(F.inline(F.array(*c))) for c in _chunks(structs, TESTS_PER_SCAN)]
+def melt(base: DataFrame, entries: Sequence[Mapping[str, str]]) -> DataFrame:
+    """One row per input row and entry; an entry maps output names to SQL text."""
+    structs = [
+        "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in e.items()) + ")" for e in entries
+    ]
+    parts = [
+        base.selectExpr(f"inline(array({', '.join(c)}))") for c in _chunks(structs, TESTS_PER_SCAN)
+    ]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -298,48 +303,38 @@ def chi2_uniform(counts: DataFrame, categories: int) -> DataFrame:
 
 
 def _rank_rows(base: DataFrame, specs: Sequence[Spec], value_of, group_of) -> DataFrame:
-    return _melt(
+    return melt(
         base,
         [
-            F.struct(
-                F.lit(s.test).alias("test"),
-                values.col(bucket_name(value_of(s))).alias("bucket"),
-                values.col(value_of(s)).alias("value"),
-                values.col(group_of(s)).cast("short").alias("g"),
-            )
+            {
+                "test": str(s.test),
+                "bucket": bucket_name(value_of(s)),
+                "value": value_of(s),
+                "g": group_of(s),
+            }
             for s in specs
         ],
     )
 
 
 def _pair_rows(base: DataFrame, specs: Sequence[Spec]) -> DataFrame:
-    return _melt(
+    return melt(
         base,
         [
-            F.struct(
-                F.lit(s.test).alias("test"),
-                values.col(bucket_name(s.x)).alias("xb"),
-                values.col(s.x).alias("x"),
-                values.col(bucket_name(s.y)).alias("yb"),
-                values.col(s.y).alias("y"),
-            )
+            {
+                "test": str(s.test),
+                "xb": bucket_name(s.x),
+                "x": s.x,
+                "yb": bucket_name(s.y),
+                "y": s.y,
+            }
             for s in specs
         ],
     )
 
 
 def _cell_rows(base: DataFrame, specs: Sequence[Spec]) -> DataFrame:
-    return _melt(
-        base,
-        [
-            F.struct(
-                F.lit(s.test).alias("test"),
-                values.col(s.x).cast("short").alias("a"),
-                values.col(s.y).cast("short").alias("b"),
-            )
-            for s in specs
-        ],
-    )
+    return melt(base, [{"test": str(s.test), "a": s.x, "b": s.y} for s in specs])
 
 
 def run_specs(base: DataFrame, specs: Sequence[Spec], cuts: Mapping[str, Cuts]) -> DataFrame:
@@ -380,17 +375,7 @@ def run_specs(base: DataFrame, specs: Sequence[Spec], cuts: Mapping[str, Cuts])
     )
 
 
-# ---------------------------------------------------------------- single tests
-
-
-def prepared(df: DataFrame, numbers: Mapping[str, Column], codes: Mapping[str, Column], n_rows: int):
-    """Select named doubles and group codes, and add buckets for the doubles."""
-    base = df.select(
-        *[c.cast("double").alias(k) for k, c in numbers.items()],
-        *[c.alias(k) for k, c in codes.items()],
-    )
-    cuts = find_cuts(base, list(numbers), n_rows)
-    return with_buckets(base, cuts), cuts
+# ---------------------------------------------------------------- false discoveries
 
 
 def benjamini_hochberg(df: DataFrame, p: str, n_tests: int, output: str = "q_value") -> DataFrame:

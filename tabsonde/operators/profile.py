@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from ..errors import InputError
 from ..functions import dates, values
 from ..functions.values import col
-from .hypotheses import _chunks
+from .hypotheses import _chunks, melt
 from .ranks import (
     bucket_count,
     bucket_name,
@@ -84,95 +84,97 @@ def _kind(dtype: T.DataType) -> str:
     return "complex" if isinstance(dtype, values.COMPLEX_TYPES) else "string"
 
 
-def _masked(name: str, dtype: T.DataType) -> Column:
-    return values.finite(values.number(col(name), dtype))
+def _masked(name: str, dtype: T.DataType) -> str:
+    return values.finite(values.number(values.quoted(name), dtype))
 
 
-def _iso(when: Column) -> Column:
-    text = F.date_format(when, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-    return F.regexp_replace(text, r"\.000000$", "")
+def _iso(when: str) -> str:
+    shown = f"date_format({when}, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS\")"
+    return f"regexp_replace({shown}, '[.]000000$', '')"
 
 
-def _first_look(field: T.StructField, rows: int) -> Column:
-    """Everything one scan can tell about a column."""
-    kind, c = _kind(field.dataType), col(field.name)
-    present = F.count(values.known(c, field.dataType))
+def _inputs(field: T.StructField, slot: str) -> list[Column]:
+    """Per-row inputs of a column's statistics, computed once."""
+    kind, name = _kind(field.dataType), values.quoted(field.name)
+    parts = {"present": f"({values.known(name, field.dataType)}) IS NOT NULL"}
     if kind == "numeric":
-        raw, v = values.number(c, field.dataType), _masked(field.name, field.dataType)
-        n = F.count(v)
-        std = F.stddev_samp(v)
-        spread = F.min(v) < F.max(v)
-        skew = F.skewness(F.when(v.isNotNull(), v)) * F.sqrt(n * (n - 1)) / F.nullif(
-            n - 2, F.lit(0)
-        )
-        if rows <= IN_MEMORY_ROWS:
-            quartiles = F.percentile(v, F.array(*[F.lit(q) for q in QUARTILES]))
-        else:
-            (quartiles,) = cut_points([v], bucket_count(rows))
-        return F.struct(
-            present.alias("present"),
-            F.avg(v).alias("mean"),
-            std.alias("std"),
-            F.min(v).alias("min"),
-            F.max(v).alias("max"),
-            F.when(n < 3, F.lit(None)).when(spread, skew).otherwise(0.0).alias("skew"),
-            F.count_if(F.abs(raw) == float("inf")).alias("infinite"),
-            F.min(raw.isin(0.0, 1.0)).alias("zero_one"),
-            quartiles.alias("points"),
-        )
-    if kind == "datetime":
-        when = dates.as_time(c, field.dataType)
-        return F.struct(
-            present.alias("present"),
-            _iso(F.min(when)).alias("min_date"),
-            _iso(F.max(when)).alias("max_date"),
-        )
+        raw = values.number(name, field.dataType)
+        parts["v"] = values.finite(raw)
+        parts["inf"] = f"abs({raw}) = CAST('Infinity' AS DOUBLE)"
+        parts["01"] = f"({raw}) IN (0D, 1D)"
+    elif kind == "string":
+        parts["len"] = f"length({name})"
+        parts["digit"] = f"CAST({name} RLIKE '[0-9]' AS DOUBLE)"
+        parts["yn"] = f"lower(trim({name})) IN ({values.literals(values.YES_NO_WORDS)})"
+    columns = [F.expr(f"{sql} AS {slot}_{part}") for part, sql in parts.items()]
+    if kind in ("string", "datetime"):
+        columns.append(dates.as_time(col(field.name), field.dataType).alias(f"{slot}_t"))
+    return columns
+
+
+def _first_look(field: T.StructField, slot: str) -> str:
+    """Everything one scan can tell about a column, quartiles aside."""
+    kind = _kind(field.dataType)
+    parts = {"present": f"count_if({slot}_present)"}
+    if kind == "numeric":
+        v = f"{slot}_v"
+        n = f"count({v})"
+        skew = f"skewness({v}) * sqrt({n} * ({n} - 1D)) / nullif({n} - 2, 0)"
+        parts |= {
+            "mean": f"avg({v})",
+            "std": f"stddev_samp({v})",
+            "min": f"min({v})",
+            "max": f"max({v})",
+            "skew": f"CASE WHEN {n} < 3 THEN NULL WHEN min({v}) < max({v}) THEN {skew} ELSE 0D END",
+            "infinite": f"count_if({slot}_inf)",
+            "zero_one": f"min({slot}_01)",
+        }
     if kind == "string":
-        text = c.cast("string")
-        when = dates.as_time(c, field.dataType)
-        return F.struct(
-            present.alias("present"),
-            F.avg(F.length(text)).alias("length"),
-            F.avg(text.rlike(r"\d").cast("double")).alias("digits"),
-            F.min(F.lower(F.trim(text)).isin(*values.YES_NO_WORDS)).alias("yes_no"),
-            (F.count(when) / F.nullif(F.count(text), F.lit(0))).alias("dates"),
-            _iso(F.min(when)).alias("min_date"),
-            _iso(F.max(when)).alias("max_date"),
-        )
-    return F.struct(present.alias("present"))
-
-
-def first_looks(df: DataFrame, rows: int) -> dict[str, Row]:
+        parts |= {
+            "length": f"avg({slot}_len)",
+            "digits": f"avg({slot}_digit)",
+            "yes_no": f"min({slot}_yn)",
+            "dates": f"count({slot}_t) / nullif(count({slot}_len), 0)",
+        }
+    if kind in ("string", "datetime"):
+        parts |= {"min_date": _iso(f"min({slot}_t)"), "max_date": _iso(f"max({slot}_t)")}
+    return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in parts.items()) + f") AS {slot}"
+
+
+def first_looks(df: DataFrame) -> dict[str, Row]:
     out: dict[str, Row] = {}
     for chunk in _chunks(df.schema.fields, COLUMNS_PER_SCAN):
-        row = df.agg(*[_first_look(f, rows).alias(f"c{i}") for i, f in enumerate(chunk)]).first()
+        inputs = [c for i, f in enumerate(chunk) for c in _inputs(f, f"c{i}")]
+        looks = [_first_look(f, f"c{i}") for i, f in enumerate(chunk)]
+        row = df.select(*inputs).selectExpr(*looks).first()
         out.update({f.name: row[i] for i, f in enumerate(chunk)})
     return out
 
 
-def _distributed_quartiles(df: DataFrame, looks: dict[str, Row]) -> dict[str, list[float]]:
-    fields = [f for f in df.schema.fields if _kind(f.dataType) == "numeric"]
-    if not fields:
-        return {}
+def quartiles_of(df: DataFrame, names: Sequence[str], rows: int) -> dict[str, list[float]]:
+    """Exact quartiles of numeric columns, kept apart from the other statistics because the
+    sketch-like aggregates would take those out of generated code."""
+    fields = [df.schema[n] for n in names]
     slots = {f"v{i}": f for i, f in enumerate(fields)}
-    cuts = {s: cuts_from(looks[f.name]["points"]) for s, f in slots.items()}
-    wide = df.select(*[_masked(f.name, f.dataType).alias(s) for s, f in slots.items()])
-    rows = with_buckets(wide, cuts).select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(s).alias("slot"),
-                        F.col(bucket_name(s)).alias("bucket"),
-                        F.col(s).alias("v"),
-                    )
-                    for s in slots
-                ]
-            )
-        )
+    if not slots:
+        return {}
+    wide = df.selectExpr(*[f"{_masked(f.name, f.dataType)} AS {s}" for s, f in slots.items()])
+    if rows <= IN_MEMORY_ROWS:
+        probs = F.array(*[F.lit(q) for q in QUARTILES])
+        found = {}
+        for chunk in _chunks(list(slots), COLUMNS_PER_SCAN):
+            row = wide.agg(*[F.percentile(F.col(s), probs).alias(s) for s in chunk]).first()
+            found.update({slots[s].name: list(row[s]) for s in chunk})
+        return found
+    points = cut_points([F.col(s) for s in slots], bucket_count(rows))
+    row = wide.agg(*[p.alias(s) for s, p in zip(slots, points, strict=True)]).first()
+    cuts = {s: cuts_from(row[s]) for s in slots}
+    melted = melt(
+        with_buckets(wide, cuts),
+        [{"slot": f"'{s}'", "bucket": bucket_name(s), "v": s} for s in slots],
     )
     bound = sum(c.buckets for c in cuts.values())
-    table = exact_quantiles(rows, ["slot"], "v", "bucket", QUARTILES, bound)
+    table = exact_quantiles(melted, ["slot"], "v", "bucket", QUARTILES, bound)
     return {slots[r["slot"]].name: [r["q0"], r["q1"], r["q2"]] for r in table.collect()}
 
 
@@ -181,22 +183,22 @@ def _value_rows(df: DataFrame, texts: Sequence[str]) -> list[DataFrame]:
 
     Long texts only need a distinct count, so their digests are counted.
     """
-    groups: dict[str, list[Column]] = {"bigint": [], "double": [], "string": [], "digest": []}
+    groups: dict[str, list[str]] = {"bigint": [], "double": [], "string": [], "digest": []}
     for i, f in enumerate(df.schema.fields):
-        c, kind = values.known(col(f.name), f.dataType), _kind(f.dataType)
+        name, kind = values.quoted(f.name), _kind(f.dataType)
         if isinstance(f.dataType, values.INTEGER_TYPES):
-            groups["bigint"].append(c.cast("bigint").alias(f"s{i}"))
+            groups["bigint"].append(f"CAST({name} AS BIGINT) AS s{i}")
         elif isinstance(f.dataType, values.FLOAT_TYPES):
-            groups["double"].append(c.cast("double").alias(f"s{i}"))
+            groups["double"].append(f"{values.number(name, f.dataType)} AS s{i}")
         elif kind == "complex" or f.name in texts:
-            digest = F.md5(values.text(c, f.dataType))
-            groups["digest"].append(F.when(c.isNotNull(), digest).alias(f"s{i}"))
+            digest = f"md5({values.text(name, f.dataType)})"
+            groups["digest"].append(f"if({name} IS NOT NULL, {digest}, NULL) AS s{i}")
         else:
-            groups["string"].append(values.text(c, f.dataType).alias(f"s{i}"))
+            groups["string"].append(f"{values.text(name, f.dataType)} AS s{i}")
     out = []
     for name in ("string", "bigint", "double", "digest"):
         if groups[name]:
-            wide = df.select(*groups[name])
+            wide = df.selectExpr(*groups[name])
             melted = wide.unpivot([], wide.columns, "slot", "value").where("value IS NOT NULL")
             out.append(melted.groupBy("slot", "value").agg(F.count("*").alias("n")))
     return out
@@ -275,21 +277,19 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(a, b, r, n): Pearson correlation of every pair over its complete rows."""
     types = {f.name: f.dataType for f in df.schema.fields}
     slots = {c: f"v{i}" for i, c in enumerate(columns)}
-    wide = df.select(*[_masked(c, types[c]).alias(s) for c, s in slots.items()])
-    aggs = []
-    for i, (a, b) in enumerate(combinations(columns, 2)):
-        x, y = F.col(slots[a]), F.col(slots[b])
-        n = F.count_if(x.isNotNull() & y.isNotNull())
-        r = F.when(n >= MIN_CORRELATION_ROWS, F.round(values.safe_corr(x, y), 4))
-        aggs.append(
-            F.struct(
-                F.lit(a).alias("a"), F.lit(b).alias("b"), r.alias("r"), n.alias("n")
-            ).alias(f"p{i}")
+    wide = df.selectExpr(*[f"{_masked(c, types[c])} AS {s}" for c, s in slots.items()])
+    pairs = []
+    for a, b in combinations(columns, 2):
+        x, y = slots[a], slots[b]
+        n = f"count({x} + {y})"
+        r = f"if({n} >= {MIN_CORRELATION_ROWS}, round({values.correlation(x, y)}, 4), NULL)"
+        pairs.append(
+            f"named_struct('a', {values.literal(a)}, 'b', {values.literal(b)}, 'r', {r}, 'n', {n})"
         )
-    if not aggs:
+    if not pairs:
         return df.sparkSession.createDataFrame([], PAIR_SCHEMA)
-    row = wide.agg(*aggs)
-    return row.select(F.inline(F.array(*row.columns)))
+    row = wide.selectExpr(*[f"{p} AS p{i}" for i, p in enumerate(pairs)])
+    return row.selectExpr(f"inline(array({', '.join(row.columns)}))")
 
 
 def top_correlations(pairs: DataFrame) -> DataFrame:
@@ -312,9 +312,9 @@ def _outliers(df: DataFrame, quartiles: dict[str, list[float]]) -> dict[str, int
         aggs = []
         for i, (name, (q1, _, q3)) in enumerate(chunk):
             v, reach = _masked(name, types[name]), OUTLIER_REACH * (q3 - q1)
-            outside = (v < q1 - reach) | (v > q3 + reach)
-            aggs.append(F.count_if(F.coalesce(outside, F.lit(False))).alias(f"o{i}"))
-        row = df.agg(*aggs).first()
+            low, high = q1 - reach, q3 + reach
+            aggs.append(f"count_if(({v}) NOT BETWEEN {low!r}D AND {high!r}D) AS o{i}")
+        row = df.selectExpr(*aggs).first()
         out.update({name: row[i] for i, (name, _) in enumerate(chunk)})
     return out
 
@@ -340,7 +340,7 @@ def profile(
     spark, total_columns = df.sparkSession, len(df.columns)
     df = df.select(*[col(c) for c in df.columns[:MAX_PROFILE_COLUMNS]])
     n = df.count() if n_rows is None else n_rows
-    looks = first_looks(df, n)
+    looks = first_looks(df)
     texts = [
         f.name
         for f in df.schema.fields
@@ -351,11 +351,7 @@ def profile(
         f.name: infer_type(f, looks[f.name], distinct.get(f.name, 0)) for f in df.schema.fields
     }
     numeric = [c for c, k in kinds.items() if k == "numeric" and looks[c]["min"] is not None]
-    if n <= IN_MEMORY_ROWS:
-        quartiles = {c: looks[c]["points"] for c in numeric}
-    else:
-        found = _distributed_quartiles(df, looks)
-        quartiles = {c: found[c] for c in numeric}
+    quartiles = quartiles_of(df, numeric, n)
     outliers = _outliers(df, quartiles) if quartiles else {}
 
     rows = []

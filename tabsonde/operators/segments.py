@@ -12,7 +12,7 @@ from ..errors import AnalysisError
 from ..functions import text
 from .findings import evidence, points
 from .frame import Fold, Frame, Where, fold_plans
-from .hypotheses import _melt
+from .hypotheses import melt
 from .ranks import bucket_name, exact_quantiles, find_cuts, with_buckets
 from .testbed import TestBed
 
@@ -41,18 +41,18 @@ def group_means(frame: Frame, segments: Sequence[Segment], folds: Mapping[str, F
     """(key, category, value, n, overall, total): means or rates of every segment in one pass."""
     metrics = list(dict.fromkeys(s.metric for s in segments))
     dims = list(dict.fromkeys(s.dimension for s in segments))
-    wide = frame.df.select(
-        *[frame.measure(m).alias(f"m{i}") for i, m in enumerate(metrics)],
-        *[folds[d].apply(frame.label(d)).alias(f"d{i}") for i, d in enumerate(dims)],
+    wide = frame.df.selectExpr(
+        *[f"{frame.measure_sql(m)} AS m{i}" for i, m in enumerate(metrics)],
+        *[f"{folds[d].apply(frame.label_sql(d))} AS d{i}" for i, d in enumerate(dims)],
     )
-    rows = _melt(
+    rows = melt(
         wide,
         [
-            F.struct(
-                F.lit(s.key).alias("key"),
-                F.col(f"d{dims.index(s.dimension)}").alias("category"),
-                F.col(f"m{metrics.index(s.metric)}").alias("y"),
-            )
+            {
+                "key": str(s.key),
+                "category": f"d{dims.index(s.dimension)}",
+                "y": f"m{metrics.index(s.metric)}",
+            }
             for s in segments
         ],
     )
@@ -77,7 +77,8 @@ def group_means(frame: Frame, segments: Sequence[Segment], folds: Mapping[str, F
 def group_medians(frame: Frame, s: Segment, fold: Fold) -> DataFrame:
     """As group_means for one segment, with exact medians by distributed selection."""
     y = frame.measure(s.metric).alias("y")
-    rows = frame.df.select(y, fold.apply(frame.label(s.dimension)).alias("category"))
+    category = F.expr(fold.apply(frame.label_sql(s.dimension))).alias("category")
+    rows = frame.df.select(y, category)
     rows = rows.where("category IS NOT NULL AND y IS NOT NULL")
     cuts = find_cuts(rows, ["y"], frame.n_rows)
     both = with_buckets(rows, cuts).select(

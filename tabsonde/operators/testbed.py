@@ -43,11 +43,11 @@ class TestBed:
         codes = {d: f"g{i}" for i, d in enumerate(dimensions)}
         outcomes = {m: f"b{i}" for i, m in enumerate(measures) if frame.is_binary(m)}
         levels = {d: f"s{i}" for i, d in enumerate(raw_levels or {})}
-        base = frame.df.select(
-            *[frame.measure(m).alias(c) for m, c in numbers.items()],
-            *[frame.measure(m).cast("short").alias(c) for m, c in outcomes.items()],
-            *[folds[d].code(frame.label(d)).alias(c) for d, c in codes.items()],
-            *[code_of(frame.raw_label(d), raw_levels[d]).alias(c) for d, c in levels.items()],
+        base = frame.df.selectExpr(
+            *[f"{frame.measure_sql(m)} AS {c}" for m, c in numbers.items()],
+            *[f"CAST({frame.measure_sql(m)} AS SMALLINT) AS {c}" for m, c in outcomes.items()],
+            *[f"{folds[d].code(frame.label_sql(d))} AS {c}" for d, c in codes.items()],
+            *[f"{code_of(frame.raw_label_sql(d), raw_levels[d])} AS {c}" for d, c in levels.items()],
         )
         cuts = find_cuts(base, list(numbers.values()), frame.n_rows)
         return cls(

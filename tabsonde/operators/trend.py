@@ -12,7 +12,7 @@ from ..errors import AnalysisError
 from ..functions import dates, effects, pvalues, text
 from .findings import evidence, points
 from .frame import ROWS, Frame, Where
-from .hypotheses import _melt, chi2_uniform, kruskal, rank_sums
+from .hypotheses import chi2_uniform, kruskal, melt, rank_sums
 from .ranks import bucket_name, find_cuts, with_buckets
 from .segments import _by_key
 
@@ -106,14 +106,18 @@ def period_values(
     sized (one row per period)."""
     trends = [t for t in trends if t.key in plans]
     wide, slots = _dated(frame, trends)
-    rows = _melt(
-        wide,
+    used = {plans[t.key].freq for t in trends}
+    by_period = wide.withColumns(
+        {f"period_{f}": dates.period_label_date(F.col("t"), f) for f in used}
+    )
+    rows = melt(
+        by_period,
         [
-            F.struct(
-                F.lit(t.key).alias("key"),
-                dates.period_label_date(F.col("t"), plans[t.key].freq).alias("period"),
-                F.col(slots[t.metric]).alias("y"),
-            )
+            {
+                "key": str(t.key),
+                "period": f"period_{plans[t.key].freq}",
+                "y": slots[t.metric],
+            }
             for t in trends
         ],
     ).where("y IS NOT NULL")
@@ -210,16 +214,9 @@ def season_p(
     parts = []
     counted = [t for t in trends if plans[t.key].agg in ("count", "sum")]
     if counted:
-        rows = _melt(
+        rows = melt(
             wide.withColumn("month", month),
-            [
-                F.struct(
-                    F.lit(t.key).alias("test"),
-                    F.col("month").alias("month"),
-                    F.col(slots[t.metric]).alias("y"),
-                )
-                for t in counted
-            ],
+            [{"test": str(t.key), "month": "month", "y": slots[t.metric]} for t in counted],
         )
         counts = rows.where("y IS NOT NULL").groupBy("test", "month").agg(F.count("*").alias("n"))
         uniform = chi2_uniform(counts, 12)
@@ -231,15 +228,15 @@ def season_p(
         )
         cuts = find_cuts(base, [f"y{t.key}" for t in averaged], frame.n_rows)
         cut = with_buckets(base, cuts)
-        rows = _melt(
+        rows = melt(
             cut,
             [
-                F.struct(
-                    F.lit(t.key).alias("test"),
-                    F.col(bucket_name(f"y{t.key}")).alias("bucket"),
-                    F.col(f"y{t.key}").alias("value"),
-                    F.col("month").alias("g"),
-                )
+                {
+                    "test": str(t.key),
+                    "bucket": bucket_name(f"y{t.key}"),
+                    "value": f"y{t.key}",
+                    "g": "month",
+                }
                 for t in averaged
             ],
         )

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Executors need not have this package installed: its functions travel with the tasks.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -118,27 +119,27 @@ def _mapped(function, *series: pd.Series) -> pd.Series:
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _chi2_udf(x: pd.Series, df: pd.Series) -> pd.Series:
     return _mapped(chi2_tail, x, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _normal_udf(z: pd.Series) -> pd.Series:
     return _mapped(normal_two_sided, z)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _student_udf(t: pd.Series, df: pd.Series) -> pd.Series:
     return _mapped(student_two_sided, t, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _exact_u_udf(u: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
     return _mapped(exact_mann_whitney, u, n1, n2)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _tail_udf(law: pd.Series, stat: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
     def one(name: str | None, x: float, p: float, q: float) -> float | None:
         if name is None or math.isnan(x):

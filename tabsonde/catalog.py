@@ -363,20 +363,20 @@ avg(length({c})) <= 50 THEN 'id' WHEN avg(length({c})) > 50 THEN 'text' ELSE 'ca
 
     rows = [
         ("events", "event_id", whole("events", "event_id", True)),
-        ("events", "ts", "'datetime'"),
+        ("events", "ts", "max('datetime')"),
         ("events", "user_id", whole("events", "user_id", True)),
         ("events", "event_type", words("events", "event_type")),
-        ("events", "value", "'numeric'"),
+        ("events", "value", "max('numeric')"),
         ("events", "props", words("events", "props")),
         ("documents", "doc_id", whole("documents", "doc_id", True)),
         ("documents", "text", words("documents", "text")),
         ("documents", "lang", words("documents", "lang")),
         ("documents", "source", words("documents", "source")),
-        ("documents", "n_chars", "'numeric'"),
+        ("documents", "n_chars", "max('numeric')"),
         ("supplier", "s_suppkey", whole("supplier", "s_suppkey", False)),
         ("supplier", "s_name", words("supplier", "s_name")),
-        ("supplier", "s_nationkey", "'numeric'"),
-        ("supplier", "s_acctbal", "'numeric'"),
+        ("supplier", "s_nationkey", "max('numeric')"),
+        ("supplier", "s_acctbal", "max('numeric')"),
     ]
     return " UNION ALL ".join(
         f"SELECT '{t}' AS tab, '{c}' AS name, {rule} AS inferred_type FROM {t}" for t, c, rule in rows
@@ -724,7 +724,7 @@ WHERE epoch(m) - epoch(CAST({start} AS TIMESTAMP)) >= 0.6 * 86400 * {length}"""
 
 TRENDS = {
     "trend_month": (orders, "orders", "o_orderdate", "o_totalprice", "month", "sum"),
-    "trend_quarter": (lineitem, "lineitem", "l_shipdate", "l_discount", "quarter", "mean"),
+    "trend_quarter": (lineitem, "lineitem", "l_shipdate", "l_tax", "quarter", "mean"),
     "trend_week": (events, "events", "ts", "1", "week", "count"),
     "trend_rate": (events, EVENTS, "ts", "is_error", "week", "rate"),
 }
@@ -1191,10 +1191,19 @@ def _(spark, folder):
 
 @query("battery_ranked")
 def _(spark, folder):
-    df = lineitem(spark, folder).df.select(
-        "l_quantity", "l_returnflag", "discount_points", "net_price", "l_shipdate", "open_status"
+    """Findings of a table with real effects: margins differ by return flag and fall with the
+    discount, and large discounted lines are cancelled more often."""
+    df = table(spark, folder, "lineitem").selectExpr(
+        "l_quantity AS line_size",
+        "l_returnflag AS flag",
+        "l_linestatus AS status",
+        "round(l_discount * 100) AS discount_pct",
+        "l_tax AS tax",
+        "l_shipdate AS shipped",
+        "l_extendedprice * (if(l_returnflag = 'R', 0.1, 0.3) - l_discount) AS margin",
+        "l_quantity > 40 AND l_discount > 0.04 OR l_tax > 0.07 AS cancelled",
     )
-    return battery.run_battery(df, target="net_price").findings
+    return battery.run_battery(df).findings
 
 
 @query("run_requests")
@@ -1231,7 +1240,8 @@ def _roles_sql() -> str:
         f"count(*) AS rows FROM orders"
         for i, (n, (e, k)) in enumerate(ROLE_COLUMNS.items())
     )
-    return f"""WITH c AS ({rows}) SELECT CAST(position AS INTEGER) AS position, name,
+    return f"""WITH k AS ({rows}), c AS (SELECT * REPLACE (CASE WHEN name = 'order_key' AND u = rows
+AND rows >= 20 THEN 'id' ELSE kind END AS kind) FROM k) SELECT CAST(position AS INTEGER) AS position, name,
 kind = 'datetime' AS is_time, kind = 'numeric' AND u > 1 AND name <> 'returned' AS is_measure,
 name = 'returned' AS is_binary, kind = 'categorical' AND u BETWEEN 2 AND 30 AS is_dimension,
 kind = 'categorical' AND name = 'customer_id' AND u > 10 AND u < 0.9 * rows AS is_entity,
@@ -1370,7 +1380,7 @@ count(*) AS n FROM v WHERE v >= 1 GROUP BY 1""",
 )
 def _(spark, folder):
     df = table(spark, folder, "lineitem").selectExpr("l_extendedprice * l_quantity * 0.0137D AS v")
-    shown = df.where("v >= 1").select(text.format_number(F.col("v")).alias("shown"))
+    shown = df.where("v >= 1").selectExpr(f"{text.number_sql('v')} AS shown")
     return shown.groupBy("shown").agg(F.count("*").alias("n"))
 
 
@@ -1430,38 +1440,117 @@ def _(spark, folder):
 # ---------------------------------------------------------------- grounding
 
 
-@query("extract_numbers")
+_WORD = r"\p{L}\p{N}_"
+_NUMBER = (
+    rf"(^|[^{_WORD}.])([-+−]?[0-9]{{1,3}}(?:,[0-9]{{3}})+|[-+−]?[0-9]+(?:\.[0-9]+)?)"
+    r"(?:\s*(?:(%|×)\B|(x|[KMB]|pp|points?)\b)|\b)"
+)
+
+
+def numbers_sql(source: str, text_column: str, keep: str) -> str:
+    """SQL of the numbers of a text column; the regex engine there has no lookaround, so the
+    character before a number is matched along and the end is a word boundary."""
+    blank = rf"regexp_replace({text_column}, '[0-9]+(?:\.[0-9]+)?\s*(?:[eE]|×\s*10\^?)[-+−]?[0-9]+', ' ', 'g')"
+
+    def every(group: int) -> str:
+        return f"unnest(regexp_extract_all(t, '{_NUMBER}', {group}))"
+
+    return f"""(
+WITH src AS (SELECT {keep}, {blank} AS t FROM {source}),
+ex AS (SELECT {keep}, t, {every(2)} AS raw, {every(3)} AS u1, {every(4)} AS u2,
+       unnest(range(len(regexp_extract_all(t, '{_NUMBER}', 2)))) AS seq FROM src),
+un AS (SELECT {keep}, CAST(seq AS INTEGER) AS seq, raw, nullif(coalesce(nullif(u1, ''), u2), '') AS unit,
+       replace(replace(raw, ',', ''), '−', '-') AS c FROM ex)
+SELECT {keep}, seq, raw, unit, CAST(c AS DOUBLE) * CASE unit WHEN 'K' THEN 1e3 WHEN 'M' THEN 1e6
+WHEN 'B' THEN 1e9 ELSE 1.0 END AS value, CAST(CASE WHEN contains(c, '.') THEN len(split_part(c, '.', 2))
+ELSE 0 END AS INTEGER) AS decimals FROM un)"""
+
+
+@query("extract_numbers", f"SELECT * FROM {numbers_sql('documents', 'text', 'doc_id')}")
 def _(spark, folder):
     claims = table(spark, folder, "documents").select("doc_id", "text")
-    return grounding.extract_numbers(claims).select("doc_id", "seq", "raw", "unit", "value", "decimals")
+    return grounding.extract_numbers(claims).select(
+        "doc_id", "seq", "raw", "unit", "value", "decimals"
+    )
 
 
-@query("ground_claims")
+def grounded_sql() -> str:
+    """SQL of every checkable number of the documents and whether evidence supports it."""
+    return f"""(
+WITH ev AS (SELECT doc_id, 'numbers' AS pool, CAST(n_chars AS DOUBLE) AS known FROM documents
+  UNION ALL SELECT o_orderkey, 'numbers', o_totalprice / 1000 FROM orders
+  UNION ALL SELECT l_orderkey, 'percents', CAST(l_quantity AS DOUBLE) FROM lineitem),
+nu AS (SELECT *, abs(value) AS target, CASE WHEN unit IN ('K', 'M', 'B') THEN abs(value) * 0.05 ELSE
+  pow(10.0, -decimals) / 2 + 1e-9 END AS tol FROM {numbers_sql("documents", "text", "doc_id, source")}
+  WHERE NOT (unit IS NULL AND decimals = 0 AND (abs(value) <= 12 OR value BETWEEN 1900 AND 2100)))
+SELECT doc_id, source AS location, seq, raw, value, EXISTS (SELECT 1 FROM ev WHERE ev.doc_id =
+  nu.doc_id AND abs(nu.target - known) <= tol AND CASE WHEN unit IN ('%', 'pp', 'point', 'points') THEN
+  pool = 'percents' WHEN unit IN ('×', 'x') THEN pool = 'ratios' ELSE pool <> 'ratios' END)
+  AS supported FROM nu)"""
+
+
+@query("ground_claims", f"SELECT doc_id, location, seq, value, supported FROM {grounded_sql()}")
 def _(spark, folder):
-    return _grounded(spark, folder).select(
-        "doc_id", "location", "seq", "token", "value", "supported", "context"
-    )
+    return _grounded(spark, folder).select("doc_id", "location", "seq", "value", "supported")
 
 
-@query("grounding_report")
+@query(
+    "grounding_report",
+    f"""SELECT doc_id, count(*) AS checked, count(*) FILTER (WHERE NOT supported) AS
+unverified_count FROM {grounded_sql()} GROUP BY doc_id""",
+)
 def _(spark, folder):
     return grounding.grounding_report(_grounded(spark, folder))
 
 
+@query("unverified_numbers")
+def _(spark, folder):
+    return grounding.unverified_numbers(_grounded(spark, folder))
+
+
+@query(
+    "report_texts",
+    """WITH c AS (SELECT conv_id AS doc_id, list({'t': turn, 'role': role, 'text': text} ORDER BY turn,
+role, text) AS ts FROM conversations GROUP BY 1), u AS (SELECT doc_id, unnest(ts) AS x,
+unnest(range(len(ts))) AS i FROM c)
+SELECT doc_id, 'turns[' || i || '].role' AS location, x.role AS text FROM u
+UNION ALL SELECT doc_id, 'turns[' || i || '].text', x.text FROM u
+UNION ALL SELECT doc_id, 'title', 'conversation' FROM c""",
+)
+def _(spark, folder):
+    turns = table(spark, folder, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(
+        F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns")
+    )
+    reports = turns.select(
+        "doc_id",
+        F.to_json(
+            F.struct(
+                F.lit("conversation").alias("title"),
+                F.lit("kpi").alias("layout"),
+                F.transform(
+                    "turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))
+                ).alias("turns"),
+            )
+        ).alias("report"),
+    )
+    return grounding.report_texts(reports)
+
+
 def _grounded(spark, folder):
-    claims = table(spark, folder, "conversations").select(
-        F.col("conv_id").alias("doc_id"),
-        F.concat(F.lit("turn["), F.col("turn").cast("string"), F.lit("]")).alias("location"),
-        "text",
+    documents = table(spark, folder, "documents")
+    claims = documents.select("doc_id", F.col("source").alias("location"), "text")
+    # Evidence of a document: its length, and the prices and shares of the order of that number.
+    n = documents.select(
+        "doc_id", F.lit(grounding.NUMBERS).alias("pool"), F.col("n_chars").cast("double").alias("value")
     )
-    # Evidence of a conversation: sizes of its turns, their number and share of the whole.
-    sizes = table(spark, folder, "conversations").select(
-        F.col("conv_id").alias("doc_id"), F.length("text").cast("double").alias("size")
+    o = table(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("doc_id"),
+        F.lit(grounding.NUMBERS).alias("pool"),
+        (F.col("o_totalprice") / 1000).alias("value"),
     )
-    numbers = sizes.select("doc_id", F.lit(grounding.NUMBERS).alias("pool"), F.col("size").alias("value"))
-    turns = sizes.groupBy("doc_id").agg(F.count("*").cast("double").alias("value"))
-    counts = turns.select("doc_id", F.lit(grounding.NUMBERS).alias("pool"), "value")
-    shares = turns.select(
-        "doc_id", F.lit(grounding.PERCENTS).alias("pool"), (100 / F.col("value")).alias("value")
+    li = table(spark, folder, "lineitem").select(
+        F.col("l_orderkey").alias("doc_id"),
+        F.lit(grounding.PERCENTS).alias("pool"),
+        (F.col("l_quantity")).cast("double").alias("value"),
     )
-    return grounding.ground_claims(claims, numbers.unionByName(counts).unionByName(shares))
+    return grounding.ground_claims(claims, n.unionByName(o).unionByName(li))

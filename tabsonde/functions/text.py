@@ -2,66 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _strip_zeros(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
-
-
 def three_digits(value: Column) -> Column:
     """A number rounded to three significant digits (the built-in round needs a fixed scale)."""
     return F.when(value.isNotNull(), F.format_string("%.2e", value.cast("double")).cast("double"))
 
 
-def _small(value: Column) -> Column:
-    """Text of a magnitude below one with three significant digits."""
-    size = F.abs(three_digits(value))
-    plain = (
-        F.when(size >= 1, F.format_string("%.2f", value))
-        .when(size >= 0.1, F.format_string("%.3f", value))
-        .when(size >= 0.01, F.format_string("%.4f", value))
-        .when(size >= 0.001, F.format_string("%.5f", value))
-        .otherwise(F.format_string("%.6f", value))
-    )
-    power = F.regexp_extract(F.format_string("%.2e", value), r"^([^e]*)(e.*)$", 1)
-    exponent = F.regexp_extract(F.format_string("%.2e", value), r"^([^e]*)(e.*)$", 2)
-    return F.when(size >= 1e-4, _strip_zeros(plain)).otherwise(
-        F.concat(_strip_zeros(power), exponent)
+def number_sql(v: str) -> str:
+    """SQL text of a compact number: B / M / K from 10,000, at most two decimals, three digits
+    below one."""
+    digits = f"CAST(format_string('%.2e', {v}) AS DOUBLE)"
+    trimmed = r"regexp_replace({}, '[.]?0+$', '')"
+    plain = trimmed.format(f"CAST(CAST({digits} AS DECIMAL(12, 7)) AS STRING)")
+    tiny = f"regexp_replace(format_string('%.2e', {v}), '[.]?0*e', 'e')"
+    return (
+        f"CASE WHEN {v} IS NULL THEN NULL "
+        f"WHEN abs({v}) >= 1e9 THEN format_string('%.1fB', {v} / 1e9D) "
+        f"WHEN abs({v}) >= 1e6 THEN format_string('%.1fM', {v} / 1e6D) "
+        f"WHEN abs({v}) >= 1e4 THEN format_string('%.1fK', {v} / 1e3D) "
+        f"WHEN {v} = floor({v}) THEN format_string('%,d', CAST({v} AS BIGINT)) "
+        f"WHEN abs({v}) >= 100 THEN format_string('%,.0f', {v}) "
+        f"WHEN abs({v}) >= 1 THEN {trimmed.format(f"format_string('%,.2f', {v})")} "
+        f"WHEN abs({digits}) >= 1e-4 THEN {plain} ELSE {tiny} END"
     )
 
 
-def format_number(value: Column) -> Column:
-    """Compact number: B / M / K from 10,000, at most two decimals, three digits below one."""
-    v = value.cast("double")
-    size = F.abs(v)
-    return (
-        F.when(v.isNull(), F.lit(None).cast("string"))
-        .when(size >= 1e9, F.format_string("%.1fB", v / 1e9))
-        .when(size >= 1e6, F.format_string("%.1fM", v / 1e6))
-        .when(size >= 1e4, F.format_string("%.1fK", v / 1e3))
-        .when(v == F.floor(v), F.format_string("%,d", v.cast("bigint")))
-        .when(size >= 100, F.format_string("%,.0f", v))
-        .when(size >= 1, _strip_zeros(F.format_string("%,.2f", v)))
-        .otherwise(_small(v))
-    )
+def percent_sql(v: str) -> str:
+    return f"replace(format_string('%.1f%%', {v}), '.0%', '%')"
 
 
-def format_percent(value: Column) -> Column:
-    return F.replace(F.format_string("%.1f%%", value.cast("double")), F.lit(".0%"), F.lit("%"))
+def value_sql(v: str, kind: str) -> str:
+    """SQL text of a value shown as kind (a column of percent | correlation | number)."""
+    return (
+        f"CASE WHEN {kind} = 'percent' THEN {percent_sql(v)} "
+        f"WHEN {kind} = 'correlation' THEN format_string('%.2f', {v}) ELSE {number_sql(v)} END"
+    )
 
 
-def format_correlation(value: Column) -> Column:
-    return F.format_string("%.2f", value.cast("double"))
+def with_text(df: DataFrame, shown: dict[str, str], kind: str) -> DataFrame:
+    """Adds display text columns (output name -> double column) for values of one kind column."""
+    return df.withColumns({k: F.expr(value_sql(v, kind)) for k, v in shown.items()})
 
 
-def format_value(value: Column, kind: Column) -> Column:
-    return (
-        F.when(kind == "percent", format_percent(value))
-        .when(kind == "correlation", format_correlation(value))
-        .otherwise(format_number(value))
-    )
+def format_percent(value: Column) -> Column:
+    return F.replace(F.format_string("%.1f%%", value.cast("double")), F.lit(".0%"), F.lit("%"))
 
 
 def ratio_text(ratio: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,57 +19,45 @@ DATASET_METRICS = ("rows", "columns", "missing_cells_pct", "duplicate_rows")
 
 def metric_table(columns: DataFrame, dataset: DataFrame) -> DataFrame:
     """(metric, column, number, value, caption): everything a reference can resolve to."""
-    whole = dataset.select(
-        F.inline(
-            F.array(
-                _entry("rows", F.col("n_rows"), text.format_number, "rows in the dataset"),
-                _entry("columns", F.col("n_cols"), lambda v: v.cast("int").cast("string"),
-                       "columns profiled"),
-                _entry("missing_cells_pct", F.col("missing_pct_total"), text.format_percent,
-                       "of all cells are missing"),
-                _entry("duplicate_rows", F.col("duplicate_rows"), text.format_number,
-                       "fully duplicated rows"),
-            )
-        )
-    )
-    base = dataset.select(F.coalesce("sample_rows", "n_rows").alias("rows")).first()["rows"]
-    name = F.col("name")
-    first = F.element_at("top_values", 1)
-    present = F.lit(base) - F.col("missing_count")
-    share = F.when(
-        (present > 0) & (F.size("top_values") > 0), 100.0 * first["count"] / present
+    whole = _entries(
+        dataset.selectExpr("CAST(NULL AS STRING) AS column", "*"),
+        [
+            ("rows", "n_rows", "number", "'rows in the dataset'"),
+            ("columns", "n_cols", "count", "'columns profiled'"),
+            ("missing_cells_pct", "missing_pct_total", "percent", "'of all cells are missing'"),
+            ("duplicate_rows", "duplicate_rows", "number", "'fully duplicated rows'"),
+        ],
     )
-    numeric = F.col("inferred_type") == "numeric"
-    per_column = columns.select(
-        F.col("name").alias("column"),
-        F.inline(
-            F.array(
-                *[
-                    _entry(s, F.when(numeric, F.col(s)), text.format_number,
-                           F.concat(F.lit(f"{s} of "), name))
-                    for s in NUMERIC_STATS
-                ],
-                _entry("unique_count", F.col("unique_count"), text.format_number,
-                       F.concat(F.lit("distinct values of "), name)),
-                _entry("missing_pct", F.col("missing_pct"), text.format_percent,
-                       F.concat(F.lit("of "), name, F.lit(" is missing"))),
-                _entry("top_value_share", share, text.format_percent,
-                       F.concat(F.lit("of "), name, F.lit(" is "), first["value"])),
-            )
-        ),
-    )
-    out = whole.withColumn("column", F.lit(None).cast("string")).unionByName(per_column)
-    return out.where("number IS NOT NULL").select("metric", "column", "number", "value", "caption")
-
-
-def _entry(metric: str, number: Column, shown, caption: Column | str) -> Column:
-    v = number.cast("double")
-    return F.struct(
-        F.lit(metric).alias("metric"),
-        v.alias("number"),
-        shown(v).alias("value"),
-        (F.lit(caption) if isinstance(caption, str) else caption).alias("caption"),
+    base = dataset.select(F.coalesce("sample_rows", "n_rows").alias("rows")).first()["rows"]
+    present = f"({base} - missing_count)"
+    top = "element_at(top_values, 1)"
+    share = f"if({present} > 0 AND size(top_values) > 0, 100D * {top}.count / {present}, NULL)"
+    per_column = _entries(
+        columns.withColumn("column", F.col("name")),
+        [
+            *[
+                (s, f"if(inferred_type = 'numeric', {s}, NULL)", "number", f"concat('{s} of ', name)")
+                for s in NUMERIC_STATS
+            ],
+            ("unique_count", "unique_count", "number", "concat('distinct values of ', name)"),
+            ("missing_pct", "missing_pct", "percent", "concat('of ', name, ' is missing')"),
+            ("top_value_share", share, "percent", f"concat('of ', name, ' is ', {top}.value)"),
+        ],
     )
+    out = whole.unionByName(per_column).where("number IS NOT NULL")
+    plain = "CAST(CAST(number AS BIGINT) AS STRING)"
+    value = f"if(kind = 'count', {plain}, {text.value_sql('number', 'kind')})"
+    return out.selectExpr("metric", "column", "number", f"{value} AS value", "caption")
+
+
+def _entries(df: DataFrame, entries: Sequence[tuple[str, str, str, str]]) -> DataFrame:
+    """(column, metric, number, kind, caption) rows of SQL text entries."""
+    structs = [
+        f"named_struct('metric', '{metric}', 'number', CAST({number} AS DOUBLE), 'kind', '{kind}', "
+        f"'caption', {caption})"
+        for metric, number, kind, caption in entries
+    ]
+    return df.selectExpr("column", f"inline(array({', '.join(structs)}))")
 
 
 def kpi_values(

@@ -109,7 +109,7 @@ def extract_numbers(claims: DataFrame, text: str = "text", scientific: bool = Tr
         raw.alias("raw"),
         F.nullif(F.regexp_extract("token", _pattern(NUMBER), 2), F.lit("")).alias("unit"),
         "before",
-        F.trim(_restored(context)).alias("context"),
+        F.btrim(_restored(context), F.lit(" \n\r\t")).alias("context"),
     )
     cleaned = F.regexp_replace(F.regexp_replace("raw", ",", ""), "−", "-")
     scale = F.when(F.col("unit") == "K", SCALES["K"]).when(F.col("unit") == "M", SCALES["M"])

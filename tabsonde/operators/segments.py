@@ -159,30 +159,34 @@ def segment_evidence(
     ).join(F.broadcast(tests.withColumnRenamed("test", "key").drop("n")), "key")
 
     rate = F.col("agg") == "rate"
-    kind = F.when(rate, "percent").otherwise("number")
+    kind = F.col("value_kind")
     top, bottom = F.col("top_value"), F.col("bottom_value")
+    per = text.with_text(
+        per.withColumn("value_kind", F.when(rate, "percent").otherwise("number")),
+        {"top_text": "top_value", "bottom_text": "bottom_value", "overall_text": "overall"},
+        "value_kind",
+    )
+    top_text, bottom_text, overall_text = (
+        F.col(c) for c in ("top_text", "bottom_text", "overall_text")
+    )
     standout = F.when(rate, F.col("top")).otherwise(F.col("far"))
     standout_value = F.element_at(
         F.filter("points", lambda p: p["category"] == standout), 1
     )["value"]
-
-    def shown(v: Column) -> Column:
-        return text.format_value(v, kind)
-
     gap = F.when(
         bottom > 0, F.concat(F.lit(" ("), text.ratio_text(top / bottom), F.lit(" gap)."))
     ).otherwise(F.lit("."))
     # The wording of titles, summaries and headlines.
     rate_summary = F.concat(
         F.col("target"), F.lit(" rate is highest for "), F.col("dimension"), F.lit(" = "),
-        F.col("top"), F.lit(" at "), shown(top), F.lit(" and lowest for "), F.col("bottom"),
-        F.lit(" at "), shown(bottom), F.lit(", versus "), shown(overall), F.lit(" overall"), gap,
+        F.col("top"), F.lit(" at "), top_text, F.lit(" and lowest for "), F.col("bottom"),
+        F.lit(" at "), bottom_text, F.lit(", versus "), overall_text, F.lit(" overall"), gap,
     )
     mean_summary = F.concat(
         F.when(F.col("agg") == "median", "Median ").otherwise("Average "), F.col("target"),
         F.lit(" is highest for "), F.col("dimension"), F.lit(" = "), F.col("top"), F.lit(" ("),
-        shown(top), F.lit(") and lowest for "), F.col("bottom"), F.lit(" ("), shown(bottom),
-        F.lit("), versus "), shown(overall), F.lit(" overall."),
+        top_text, F.lit(") and lowest for "), F.col("bottom"), F.lit(" ("), bottom_text,
+        F.lit("), versus "), overall_text, F.lit(" overall."),
     )
     small = F.when(
         F.size("small") > 0,
@@ -200,7 +204,7 @@ def segment_evidence(
             F.lit(" stands out"),
         ),
         summary=F.when(rate, rate_summary).otherwise(mean_summary),
-        headline=F.when(rate, F.concat(shown(top), F.lit(" vs "), shown(bottom))).otherwise(
+        headline=F.when(rate, F.concat(top_text, F.lit(" vs "), bottom_text)).otherwise(
             text.pct_change(standout_value, overall)
         ),
         chart_kind=F.lit("bars"),

@@ -313,7 +313,12 @@ def trend_evidence(
         }
     )
     rate = F.col("agg") == "rate"
-    kind = F.when(rate, "percent").otherwise("number")
+    kind = F.col("value_kind")
+    per = text.with_text(
+        per.withColumn("value_kind", F.when(rate, "percent").otherwise("number")),
+        {"average_text": "average"},
+        "value_kind",
+    )
     label, change, seasonal_row = F.col("target"), F.col("change"), F.col("seasonal")
     clear = (
         effects.strength_of(F.lit(effects.SPEARMAN), rho) != "negligible"
@@ -334,7 +339,7 @@ def trend_evidence(
         F.lit(" the average month. "), trend_text, F.lit("."),
     )
     plain_summary = F.concat(
-        trend_text, F.lit(", averaging "), text.format_value(F.col("average"), kind),
+        trend_text, F.lit(", averaging "), F.col("average_text"),
         F.lit(" per "), F.col("freq"), F.lit("."),
     )
     low, high = F.least("peak_1", "peak_2"), F.greatest("peak_1", "peak_2")

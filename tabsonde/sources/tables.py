@@ -13,39 +13,40 @@ from ..operators.findings import finding_json
 from ..operators.shaping import tidy
 
 # Accepted encodings (as Spark names them) in order, and delimiters.
-ENCODINGS = (("utf-8-sig", "UTF-8"), ("cp1252", "windows-1252"), ("latin-1", "ISO-8859-1"))
+ENCODINGS = (("utf-8", "UTF-8"), ("cp1252", "windows-1252"), ("latin-1", "ISO-8859-1"))
 DELIMITERS = ",;\t|"
-HEAD_BYTES = 64 * 1024
+HEAD_LINES = 500
+NOT_IN_CP1252 = (0x81, 0x8D, 0x8F, 0x90, 0x9D)
+_NO_SEPARATOR = "\u0001"
 FORMATS = {".csv": "csv", ".tsv": "csv", ".txt": "csv", ".parquet": "parquet", ".json": "json",
            ".orc": "orc"}
 
 
-def _heads(spark: SparkSession, path: str) -> bytes:
-    """First bytes of the first file of a path."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    row = files.select("path", F.substring("content", 1, HEAD_BYTES).alias("head")).orderBy("path")
-    first = row.first()
-    if first is None or not first["head"]:
-        raise InputError("EMPTY_DATASET", "The uploaded file is empty.")
-    return bytes(first["head"])
+def _single_column(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+    """Lines of text files in a given encoding."""
+    lines = spark.read.options(encoding=encoding, sep=_NO_SEPARATOR, quote="").schema("value string")
+    return lines.csv(path)
 
 
-def detect_encoding(spark: SparkSession, path: str, head: bytes | None = None) -> str:
+def _head(spark: SparkSession, path: str, encoding: str) -> str:
+    """First lines of the input, at most HEAD_LINES of them."""
+    rows = _single_column(spark, path, encoding).limit(HEAD_LINES).collect()
+    return "\n".join(r["value"] for r in rows if r["value"] is not None)
+
+
+def detect_encoding(spark: SparkSession, path: str) -> str:
     """First accepted encoding that fits every line of the files.
 
     A line read as UTF-8 shows U+FFFD where its bytes were not; that check runs distributed
     over the whole input, so a stray byte far into the data is seen too.
     """
-    head = _heads(spark, path) if head is None else head
-    if b"\x00" in head:
-        raise InputError("INVALID_FILE", "The file looks binary, not a CSV.")
     lines = spark.read.text(path)
-    if lines.where(F.col("value").contains("�")).isEmpty():
+    odd = lines.where(F.col("value").contains("\ufffd"))
+    if odd.isEmpty():
         return ENCODINGS[0][1]
-    undefined = bytes((0x81, 0x8D, 0x8F, 0x90, 0x9D))  # fixed values: not in windows-1252
-    single = spark.read.option("encoding", "ISO-8859-1").option("sep", "\u0001").csv(path)
-    pattern = "[" + "".join(chr(b) for b in undefined) + "]"
-    if single.where(F.col(single.columns[0]).rlike(pattern)).isEmpty():
+    pattern = "[" + "".join(chr(b) for b in NOT_IN_CP1252) + "]"
+    raw = _single_column(spark, path, ENCODINGS[2][1])
+    if raw.where(F.col("value").rlike(pattern)).isEmpty():
         return ENCODINGS[1][1]
     return ENCODINGS[2][1]
 
@@ -94,10 +95,13 @@ def read_table(spark: SparkSession, path: str, schema: str | None = None) -> Dat
         reader = spark.read.schema(schema) if schema else spark.read
         df = reader.format(kind).load(path)
     else:
-        head = _heads(spark, path)
-        encoding = detect_encoding(spark, path, head)
-        codec = next(c for c, name in ENCODINGS if name == encoding)
-        sep = detect_delimiter(head.decode(codec, errors="ignore"))
+        encoding = detect_encoding(spark, path)
+        head = _head(spark, path, encoding)
+        if not head:
+            raise InputError("EMPTY_DATASET", "The file is empty.")
+        if "\x00" in head:
+            raise InputError("INVALID_FILE", "The file looks binary, not a CSV.")
+        sep = detect_delimiter(head)
         reader = spark.read.option("header", True).option("sep", sep).option("encoding", encoding)
         reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
         df = reader.csv(path)

@@ -45,7 +45,7 @@ def bucket_count(n_rows: int) -> int:
 
 
 def cuts_from(points: Iterable[float] | None) -> Cuts:
-    points = [p for p in points or () if p is not None and not math.isinf(p)]
+    points = [p + 0.0 for p in points or () if p is not None and not math.isinf(p)]
     repeated = {a for a, b in zip(points, points[1:], strict=False) if a == b}
     inner = set(points) | {math.nextafter(v, math.inf) for v in repeated}
     edges = (-math.inf, *sorted(inner), math.inf)
@@ -75,7 +75,11 @@ def bucket_name(column: str) -> str:
 
 
 def with_buckets(df: DataFrame, cuts: Mapping[str, Cuts]) -> DataFrame:
-    """Adds ``<column>__bucket``; buckets of a single value are numbered below zero."""
+    """Adds ``<column>__bucket``; buckets of a single value are numbered below zero.
+
+    Negative zero becomes zero first: the two are one value, but a search tells them apart.
+    """
+    df = df.withColumns({c: values.col(c) + F.lit(0.0) for c in cuts})
     cut = {c: k for c, k in cuts.items() if k.buckets > 1}
     if cut:
         df = Bucketizer(

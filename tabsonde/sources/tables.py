@@ -9,46 +9,56 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import InputError
+from ..functions import values
 from ..operators.findings import finding_json
 from ..operators.shaping import tidy
 
 # Accepted encodings (as Spark names them) in order, and delimiters.
-ENCODINGS = (("utf-8", "UTF-8"), ("cp1252", "windows-1252"), ("latin-1", "ISO-8859-1"))
+ENCODINGS = ("UTF-8", "windows-1252", "ISO-8859-1")
 DELIMITERS = ",;\t|"
 HEAD_LINES = 500
 NOT_IN_CP1252 = (0x81, 0x8D, 0x8F, 0x90, 0x9D)
-_NO_SEPARATOR = "\u0001"
 FORMATS = {".csv": "csv", ".tsv": "csv", ".txt": "csv", ".parquet": "parquet", ".json": "json",
            ".orc": "orc"}
 
 
-def _single_column(spark: SparkSession, path: str, encoding: str) -> DataFrame:
-    """Lines of text files in a given encoding."""
-    lines = spark.read.options(encoding=encoding, sep=_NO_SEPARATOR, quote="").schema("value string")
-    return lines.csv(path)
-
-
-def _head(spark: SparkSession, path: str, encoding: str) -> str:
-    """First lines of the input, at most HEAD_LINES of them."""
-    rows = _single_column(spark, path, encoding).limit(HEAD_LINES).collect()
-    return "\n".join(r["value"] for r in rows if r["value"] is not None)
+def _decoded(lines: DataFrame, encoding: str) -> DataFrame:
+    """Text lines, whose bytes Spark keeps as they are, read in another encoding."""
+    return lines.select(F.decode(F.col("value").cast("binary"), encoding).alias("value"))
 
 
 def detect_encoding(spark: SparkSession, path: str) -> str:
     """First accepted encoding that fits every line of the files.
 
-    A line read as UTF-8 shows U+FFFD where its bytes were not; that check runs distributed
-    over the whole input, so a stray byte far into the data is seen too.
+    The checks run distributed over the whole input, so a stray byte far into the data is
+    seen too.
     """
     lines = spark.read.text(path)
-    odd = lines.where(F.col("value").contains("\ufffd"))
-    if odd.isEmpty():
-        return ENCODINGS[0][1]
+    if lines.where(~F.is_valid_utf8("value")).isEmpty():
+        return ENCODINGS[0]
     pattern = "[" + "".join(chr(b) for b in NOT_IN_CP1252) + "]"
-    raw = _single_column(spark, path, ENCODINGS[2][1])
-    if raw.where(F.col("value").rlike(pattern)).isEmpty():
-        return ENCODINGS[1][1]
-    return ENCODINGS[2][1]
+    raw = _decoded(lines, ENCODINGS[2])
+    return ENCODINGS[1] if raw.where(F.col("value").rlike(pattern)).isEmpty() else ENCODINGS[2]
+
+
+def _head(spark: SparkSession, path: str, encoding: str) -> str:
+    """First lines of the input, at most HEAD_LINES of them."""
+    lines = spark.read.text(path).limit(HEAD_LINES)
+    if not lines.where(F.col("value").contains("\x00")).isEmpty():
+        raise InputError("INVALID_FILE", "The file looks binary, not a CSV.")
+    shown = lines if encoding == ENCODINGS[0] else _decoded(lines, ENCODINGS[2])
+    return "\n".join(r["value"] for r in shown.collect())
+
+
+def _from_cp1252(df: DataFrame) -> DataFrame:
+    """Spark reads no windows-1252: text read as ISO-8859-1 differs in 0x80-0x9F only."""
+    codes = [b for b in range(0x80, 0xA0) if b not in NOT_IN_CP1252]
+    read = "".join(map(chr, codes))
+    meant = bytes(codes).decode("cp1252")
+    table = str.maketrans(read, meant)
+    renamed = df.toDF(*[c.translate(table) for c in df.columns])
+    texts = [f.name for f in renamed.schema.fields if f.dataType.simpleString() == "string"]
+    return renamed.withColumns({c: F.translate(values.col(c), read, meant) for c in texts})
 
 
 def detect_delimiter(head: str) -> str:
@@ -99,12 +109,12 @@ def read_table(spark: SparkSession, path: str, schema: str | None = None) -> Dat
         head = _head(spark, path, encoding)
         if not head:
             raise InputError("EMPTY_DATASET", "The file is empty.")
-        if "\x00" in head:
-            raise InputError("INVALID_FILE", "The file looks binary, not a CSV.")
         sep = detect_delimiter(head)
-        reader = spark.read.option("header", True).option("sep", sep).option("encoding", encoding)
+        charset = encoding if encoding == ENCODINGS[0] else ENCODINGS[2]
+        reader = spark.read.option("header", True).option("sep", sep).option("encoding", charset)
         reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
         df = reader.csv(path)
+        df = _from_cp1252(df) if encoding == ENCODINGS[1] else df
     if df.isEmpty():
         raise InputError("EMPTY_DATASET", "The dataset has no rows or no columns.")
     return tidy(df)

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from ..errors import InputError
 from ..functions import dates, values
 from ..functions.values import col
+from ..staging import together
 from .hypotheses import _chunks, melt
 from .ranks import (
     bucket_count,
@@ -93,61 +94,70 @@ def _iso(when: str) -> str:
     return f"regexp_replace({shown}, '[.]000000$', '')"
 
 
-def _inputs(field: T.StructField, slot: str) -> list[Column]:
-    """Per-row inputs of a column's statistics, computed once."""
-    kind, name = _kind(field.dataType), values.quoted(field.name)
-    parts = {"present": f"({values.known(name, field.dataType)}) IS NOT NULL"}
+# Statistics of one long column per kind. Long form keeps the generated aggregation code small
+# enough to be compiled to machine code, however many columns the table has.
+_N = "count(v)"
+NUMERIC_LOOK = {
+    "present": "count(raw)",
+    "mean": "avg(v)",
+    "std": "stddev_samp(v)",
+    "min": "min(v)",
+    "max": "max(v)",
+    "skew": f"CASE WHEN {_N} < 3 THEN NULL WHEN min(v) < max(v) THEN "
+    f"skewness(v) * sqrt({_N} * ({_N} - 1D)) / nullif({_N} - 2, 0) ELSE 0D END",
+    "infinite": "count_if(abs(raw) = CAST('Infinity' AS DOUBLE))",
+    "zero_one": "min(raw IN (0D, 1D))",
+}
+TEXT_LOOK = {
+    "present": "count(raw)",
+    "length": "avg(length(raw))",
+    "digits": "avg(CAST(raw RLIKE '[0-9]' AS DOUBLE))",
+    "yes_no": f"min(lower(trim(raw)) IN ({values.literals(values.YES_NO_WORDS)}))",
+    "dates": "count(t) / nullif(count(raw), 0)",
+    "min_date": _iso("min(t)"),
+    "max_date": _iso("max(t)"),
+}
+TIME_LOOK = {
+    "present": "count(raw)", "min_date": _iso("min(raw)"), "max_date": _iso("max(raw)"),
+}
+OTHER_LOOK = {"present": "count(raw)"}
+
+
+def _look_input(field: T.StructField, slot: str) -> str:
+    name, kind = values.quoted(field.name), _kind(field.dataType)
     if kind == "numeric":
-        raw = values.number(name, field.dataType)
-        parts["v"] = values.finite(raw)
-        parts["inf"] = f"abs({raw}) = CAST('Infinity' AS DOUBLE)"
-        parts["01"] = f"({raw}) IN (0D, 1D)"
-    elif kind == "string":
-        parts["len"] = f"length({name})"
-        parts["digit"] = f"CAST({name} RLIKE '[0-9]' AS DOUBLE)"
-        parts["yn"] = f"lower(trim({name})) IN ({values.literals(values.YES_NO_WORDS)})"
-    columns = [F.expr(f"{sql} AS {slot}_{part}") for part, sql in parts.items()]
-    if kind in ("string", "datetime"):
-        columns.append(dates.as_time(col(field.name), field.dataType).alias(f"{slot}_t"))
-    return columns
-
-
-def _first_look(field: T.StructField, slot: str) -> str:
-    """Everything one scan can tell about a column, quartiles aside."""
-    kind = _kind(field.dataType)
-    parts = {"present": f"count_if({slot}_present)"}
-    if kind == "numeric":
-        v = f"{slot}_v"
-        n = f"count({v})"
-        skew = f"skewness({v}) * sqrt({n} * ({n} - 1D)) / nullif({n} - 2, 0)"
-        parts |= {
-            "mean": f"avg({v})",
-            "std": f"stddev_samp({v})",
-            "min": f"min({v})",
-            "max": f"max({v})",
-            "skew": f"CASE WHEN {n} < 3 THEN NULL WHEN min({v}) < max({v}) THEN {skew} ELSE 0D END",
-            "infinite": f"count_if({slot}_inf)",
-            "zero_one": f"min({slot}_01)",
-        }
+        return f"{values.number(name, field.dataType)} AS {slot}"
     if kind == "string":
-        parts |= {
-            "length": f"avg({slot}_len)",
-            "digits": f"avg({slot}_digit)",
-            "yes_no": f"min({slot}_yn)",
-            "dates": f"count({slot}_t) / nullif(count({slot}_len), 0)",
-        }
-    if kind in ("string", "datetime"):
-        parts |= {"min_date": _iso(f"min({slot}_t)"), "max_date": _iso(f"max({slot}_t)")}
-    return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in parts.items()) + f") AS {slot}"
+        return f"CAST({name} AS STRING) AS {slot}"
+    if kind == "datetime":
+        return f"CAST({name} AS TIMESTAMP_NTZ) AS {slot}"
+    return f"nullif({name} IS NOT NULL, false) AS {slot}"
 
 
 def first_looks(df: DataFrame) -> dict[str, Row]:
+    """Everything one scan can tell about each column, quartiles aside."""
+    by_kind: dict[str, list[tuple[str, T.StructField]]] = {}
+    for i, f in enumerate(df.schema.fields):
+        kind = _kind(f.dataType)
+        group = kind if kind in ("numeric", "string", "datetime") else "other"
+        by_kind.setdefault(group, []).append((f"s{i}", f))
     out: dict[str, Row] = {}
-    for chunk in _chunks(df.schema.fields, COLUMNS_PER_SCAN):
-        inputs = [c for i, f in enumerate(chunk) for c in _inputs(f, f"c{i}")]
-        looks = [_first_look(f, f"c{i}") for i, f in enumerate(chunk)]
-        row = df.select(*inputs).selectExpr(*looks).first()
-        out.update({f.name: row[i] for i, f in enumerate(chunk)})
+    for kind, fields in by_kind.items():
+        wide = df.selectExpr(*[_look_input(f, s) for s, f in fields])
+        long = wide.unpivot([], wide.columns, "slot", "raw")
+        look = OTHER_LOOK
+        if kind == "numeric":
+            look, long = NUMERIC_LOOK, long.selectExpr("slot", "raw", f"{values.finite('raw')} AS v")
+        elif kind == "string":
+            look = TEXT_LOOK
+            long = long.withColumn("t", dates.as_time(F.col("raw"), T.StringType()))
+        elif kind == "datetime":
+            look = TIME_LOOK
+        table = long.groupBy("slot").agg(*[F.expr(f"{sql} AS {k}") for k, sql in look.items()])
+        named = dict(fields)
+        out.update({named[r["slot"]].name: r for r in table.collect()})
+        empty = Row(**(dict.fromkeys(look) | {"present": 0}))
+        out.update({f.name: empty for _, f in fields if f.name not in out})
     return out
 
 
@@ -277,19 +287,22 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(a, b, r, n): Pearson correlation of every pair over its complete rows."""
     types = {f.name: f.dataType for f in df.schema.fields}
     slots = {c: f"v{i}" for i, c in enumerate(columns)}
-    wide = df.selectExpr(*[f"{_masked(c, types[c])} AS {s}" for c, s in slots.items()])
-    pairs = []
-    for a, b in combinations(columns, 2):
-        x, y = slots[a], slots[b]
-        n = f"count({x} + {y})"
-        r = f"if({n} >= {MIN_CORRELATION_ROWS}, round({values.correlation(x, y)}, 4), NULL)"
-        pairs.append(
-            f"named_struct('a', {values.literal(a)}, 'b', {values.literal(b)}, 'r', {r}, 'n', {n})"
-        )
+    pairs = list(combinations(columns, 2))
     if not pairs:
         return df.sparkSession.createDataFrame([], PAIR_SCHEMA)
-    row = wide.selectExpr(*[f"{p} AS p{i}" for i, p in enumerate(pairs)])
-    return row.selectExpr(f"inline(array({', '.join(row.columns)}))")
+    wide = df.selectExpr(*[f"{_masked(c, types[c])} AS {s}" for c, s in slots.items()])
+    rows = melt(wide, [{"pair": str(i), "x": slots[a], "y": slots[b]} for i, (a, b) in enumerate(pairs)])
+    table = rows.where("x IS NOT NULL AND y IS NOT NULL").groupBy("pair").agg(
+        F.expr("round(try_divide(covar_pop(x, y), stddev_pop(x) * stddev_pop(y)), 4) AS r"),
+        F.count("*").alias("n"),
+    )
+    names = df.sparkSession.createDataFrame(
+        [(i, a, b) for i, (a, b) in enumerate(pairs)], "pair int, a string, b string"
+    )
+    found = F.broadcast(names).join(table, "pair", "left")
+    n = F.coalesce("n", F.lit(0).cast("bigint"))
+    r = F.when(n >= MIN_CORRELATION_ROWS, F.col("r"))
+    return found.select("a", "b", r.alias("r"), n.alias("n"))
 
 
 def top_correlations(pairs: DataFrame) -> DataFrame:
@@ -340,19 +353,32 @@ def profile(
     spark, total_columns = df.sparkSession, len(df.columns)
     df = df.select(*[col(c) for c in df.columns[:MAX_PROFILE_COLUMNS]])
     n = df.count() if n_rows is None else n_rows
-    looks = first_looks(df)
-    texts = [
-        f.name
-        for f in df.schema.fields
-        if _kind(f.dataType) == "string" and (looks[f.name]["length"] or 0) > TEXT_LENGTH
-    ]
-    distinct, tops = value_summaries(df, texts)
+    numbers = [f.name for f in df.schema.fields if _kind(f.dataType) == "numeric"]
+
+    def look_and_count():
+        looks = first_looks(df)
+        texts = [
+            f.name
+            for f in df.schema.fields
+            if _kind(f.dataType) == "string" and (looks[f.name]["length"] or 0) > TEXT_LENGTH
+        ]
+        return looks, *value_summaries(df, texts)
+
+    def spread():
+        found = quartiles_of(df, numbers, n)
+        usable = {c: q for c, q in found.items() if q and q[0] is not None}
+        return usable, _outliers(df, usable) if usable else {}
+
+    def repeats_of():
+        return duplicate_count(df).first()["duplicate_rows"] if duplicates else None
+
+    # Independent passes are submitted together, so that one fills the cores another leaves.
+    (looks, distinct, tops), (quartiles, outliers), repeats = together(
+        look_and_count, spread, repeats_of
+    )
     kinds = {
         f.name: infer_type(f, looks[f.name], distinct.get(f.name, 0)) for f in df.schema.fields
     }
-    numeric = [c for c, k in kinds.items() if k == "numeric" and looks[c]["min"] is not None]
-    quartiles = quartiles_of(df, numeric, n)
-    outliers = _outliers(df, quartiles) if quartiles else {}
 
     rows = []
     for i, f in enumerate(df.schema.fields):
@@ -388,7 +414,6 @@ def profile(
         rows.append(Row(**row))
     columns = spark.createDataFrame(rows, COLUMN_SCHEMA)
     missing_total = sum(r["missing_count"] for r in rows)
-    repeats = duplicate_count(df).first()["duplicate_rows"] if duplicates else None
     sampled = total_rows is not None and total_rows > n
     dataset = spark.createDataFrame(
         [

@@ -1,4 +1,4 @@
-"""Keeping an intermediate table that several jobs read.
+"""Keeping an intermediate table that several jobs read, and running jobs side by side.
 
 On a cluster the table is written to the shared folder named in ``spark.checkpoint.dir`` and
 read back: lineage is cut, executor loss costs nothing, and later scans prune columns. Where
@@ -8,9 +8,12 @@ no such folder is set the table is persisted instead, which Spark rebuilds after
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from typing import Any
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel, inheritable_thread_target
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(df: DataFrame) -> str | None:
@@ -24,3 +27,11 @@ def stage(df: DataFrame) -> DataFrame:
     path = f"{folder.rstrip('/')}/staged-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def together(*jobs: Callable[[], Any]) -> list[Any]:
+    """Submit independent Spark jobs at the same time and wait for all results."""
+    carry = inheritable_thread_target(SparkSession.active())
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        waiting = [pool.submit(carry(job)) for job in jobs]
+        return [w.result() for w in waiting]

@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import dates, effects, pvalues, text
 from .operators import bands, concentration, crosstab, drivers, feeds, findings, grounding
 from .operators import hypotheses, profile, ranks, segments, shaping, testbed, trend
-from .operators.frame import ROWS, Frame, fold_plans, lump_levels
+from .operators.frame import ROWS, Frame, lump_levels
 from .plans import battery, requests, roles
 from .sources.tables import header_delimiter
 
@@ -1397,8 +1397,6 @@ def _(spark, folder):
         F.trunc("o_orderdate", "month").alias("m")
     ).agg(F.sum("o_totalprice").alias("s"))
     # One row per month: the window is calendar-sized.
-    from pyspark.sql import Window
-
     first = F.first("s").over(Window.partitionBy(F.lit(0)).orderBy("m"))
     rows = months.withColumn("f", first)
     return rows.select(

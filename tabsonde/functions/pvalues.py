@@ -134,11 +134,6 @@ def _student_udf(t: pd.Series, df: pd.Series) -> pd.Series:
     return _mapped(student_two_sided, t, df)
 
 
-@F.pandas_udf(T.DoubleType())
-def _exact_u_udf(u: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
-    return _mapped(exact_mann_whitney, u, n1, n2)
-
-
 @F.pandas_udf(T.DoubleType())
 def _tail_udf(law: pd.Series, stat: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
     def one(name: str | None, x: float, p: float, q: float) -> float | None:
@@ -168,10 +163,6 @@ def student_p(t: Column, df: Column) -> Column:
     return _student_udf(t.cast("double"), df.cast("double"))
 
 
-def exact_u_p(u: Column, n1: Column, n2: Column) -> Column:
-    return _exact_u_udf(u.cast("double"), n1.cast("double"), n2.cast("double"))
-
-
 def tail_p(law: Column, stat: Column, a: Column, b: Column) -> Column:
     """One UDF for a mixed tests table: law is chi2 | normal | student | exact_u (or null)."""
     return _tail_udf(law, stat.cast("double"), a.cast("double"), b.cast("double"))

@@ -8,7 +8,8 @@ from pathlib import Path
 import duckdb
 import pytest
 
-FOLDER = "/root/testdata/sf0.001"
+# At the smallest scale some groups have too few rows to be compared at all.
+FOLDER = "/root/testdata/sf0.01"
 ROOT = Path(__file__).resolve().parents[1]
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from tabsonde import InputError
 from tabsonde.functions import dates, text
 from tabsonde.operators.shaping import sample_rows, tidy
-from tabsonde.sources.tables import detect_encoding, read_table, write_findings_json, write_result
+from tabsonde.sources.tables import detect_encoding, read_table, write_result
 
 
 def write(path, data):

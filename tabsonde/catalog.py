@@ -1506,6 +1506,43 @@ def _(spark, folder):
     return grounding.unverified_numbers(_grounded(spark, folder))
 
 
+@query(
+    "claim_comparisons",
+    f"""WITH s AS ({_segment_sql("orders", "o_orderpriority", "o_totalprice")}), p AS (SELECT value AS a,
+overall AS b FROM s UNION ALL SELECT max(value), min(value) FROM s)
+SELECT DISTINCT pool, value FROM (SELECT 'numbers' AS pool, {r("abs(a - b)", 3)} AS value FROM p
+UNION ALL SELECT 'ratios', {r("abs(a / b)", 6)} FROM p UNION ALL SELECT 'ratios', {r("abs(b / a)", 6)}
+FROM p UNION ALL SELECT 'percents', {r("abs(a / b - 1) * 100", 5)} FROM p
+UNION ALL SELECT 'percents', {r("abs(b / a - 1) * 100", 5)} FROM p)""",
+)
+def _(spark, folder):
+    frame = orders(spark, folder)
+    found = findings.finding(segments.compare_segments(frame, "o_totalprice", "o_orderpriority"))
+    pairs = grounding.comparisons(found, F.lit(1))
+    digits = F.when(F.col("pool") == grounding.NUMBERS, F.round("value", 3))
+    digits = digits.when(F.col("pool") == grounding.RATIOS, F.round("value", 6))
+    return pairs.select("pool", digits.otherwise(F.round("value", 5)).alias("value")).distinct()
+
+
+@query("claim_evidence")
+def _(spark, folder):
+    """Everything a profile and a finding of the orders back, by pool."""
+    frame = orders(spark, folder)
+    p = profile.profile(frame.df, duplicates=False)
+    found = findings.finding(segments.compare_segments(frame, "o_totalprice", "o_orderpriority"))
+    one = F.lit(1)
+    pairs = profile.top_correlations(p.correlations)
+    backed = grounding.evidence_from_profile(p.columns, p.dataset, pairs, one)
+    return backed.unionByName(grounding.evidence_from_findings(found, one)).distinct()
+
+
+@query("finding_json")
+def _(spark, folder):
+    frame = orders(spark, folder)
+    found = findings.finding(segments.compare_segments(frame, "o_totalprice", "o_orderpriority"))
+    return findings.finding_json(found)
+
+
 @query(
     "report_texts",
     """WITH c AS (SELECT conv_id AS doc_id, list({'t': turn, 'role': role, 'text': text} ORDER BY turn,

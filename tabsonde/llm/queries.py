@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, packing, quality, simhash, toxicity
+from . import exact_dedup, lm_score, mixing, packing, quality, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -76,3 +76,8 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_simhash")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op8_lm_score")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return lm_score.language_scores(table(spark, folder, "documents"))

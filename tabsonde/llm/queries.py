@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, lm_score, mixing, packing, quality, simhash, toxicity
+from . import exact_dedup, html_text, lm_score, mixing, packing
+from . import quality, simhash, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -73,6 +74,32 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(
+    "op6_top_k",
+    """
+    WITH v AS (
+      SELECT vec_id, list_transform(embedding,
+                                    lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+      FROM embeddings
+      WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (
+      SELECT q.vec_id AS query_id, d.vec_id,
+             CAST(list_sum(list_transform(list_zip(q.v, d.v), lambda p: p[1] * p[2])) AS BIGINT)
+               AS score
+      FROM v q JOIN v d ON q.vec_id % 50 = 0 AND d.vec_id <> q.vec_id),
+    r AS (
+      SELECT query_id, CAST(row_number() OVER
+               (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+             vec_id, score
+      FROM s)
+    SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+    """,
+)
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.top_k(table(spark, folder, "embeddings"))
+
+
 @query("op7_simhash")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
@@ -81,3 +108,8 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_lm_score")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return lm_score.language_scores(table(spark, folder, "documents"))
+
+
+@query("op9_html_text")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract_text(table(spark, folder, "pages"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_text, lm_score, mixing, packing
+from . import exact_dedup, html_text, licenses, lm_score, mixing, packing
 from . import quality, simhash, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -113,3 +113,8 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_html_text")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.extract_text(table(spark, folder, "pages"))
+
+
+@query("op10_licenses", licenses.oracle_sql())
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, folder, "documents"))

@@ -1,18 +1,17 @@
 """Exact top-k by inner product, as a Voronoi join of queries and data.
 
-Components are whole numbers, floor(256 x). One more coordinate turns the largest inner product
-into the least Euclidean distance, where the triangle inequality holds. Pivots from a bounded
-sample cut the space into cells. Of each cell only a summary is gathered: rows, radius and the
-k + 1 least distances to its pivot. From these follows, per group of queries, how far its
-neighbours can be, and so which ring of each cell it needs; a row of data goes to the groups
-that need its ring. Groups are solved in slices of bounded size, and the best of the slices are
+Components are whole numbers, floor(256 x). Pivots from a bounded sample cut the space into
+cells. Of each cell only a summary is gathered: rows and the least distances to its pivot. A
+row at distance d from pivot p scores between q.p - |q| d and q.p + |q| d with query q. The
+summaries therefore bound the k-th best score of every query from below, and so tell from which
+distance on a row of a cell can be among the best; a row of data goes to the groups of queries
+that need it. Groups are solved in slices of bounded size, and the best of the slices are
 merged by a window.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +31,8 @@ SLICE_ROWS = 16_384
 #: Numbers of a block of scores.
 BLOCK_SCORES = 1 << 22
 SLACK = 1e-9
+#: Rows of one query's own id that the bounds allow for; with more, all data is needed.
+OWN_ROWS = 64
 
 
 def whole_vectors(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -64,70 +65,33 @@ def matrix(vectors: pa.Array, width: int, kind: type) -> np.ndarray:
     return out
 
 
-@dataclass
-class Space:
-    """The space in which the largest inner product is the least distance."""
+def nearest_pivot(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cell and distance to its pivot."""
+    square = (pivots * pivots).sum(axis=1)[None, :] - 2 * x @ pivots.T
+    cell = square.argmin(axis=1)
+    gap = x - pivots[cell]
+    return cell, np.sqrt((gap * gap).sum(axis=1))
 
-    width: int
-    limit: float  # the largest squared length of a row of data
-    pivots: np.ndarray  # with the added coordinate
 
-    def lift(self, x: np.ndarray, queries: bool) -> np.ndarray:
-        more = np.zeros(len(x))
-        if not queries:
-            more = np.sqrt(np.maximum(self.limit - (x * x).sum(axis=1), 0))
-        return np.column_stack([x, more])
+def needed_from(
+    x: np.ndarray, pivots: np.ndarray, near_cell: np.ndarray, near: np.ndarray, rank: int
+) -> np.ndarray:
+    """For each query and cell: the distance to the pivot from which on a row can be needed.
 
-    def nearest(self, lifted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Cell and distance to its pivot."""
-        square = (
-            (lifted * lifted).sum(axis=1)[:, None]
-            + (self.pivots * self.pivots).sum(axis=1)[None, :]
-            - 2 * lifted @ self.pivots.T
-        )
-        cell = square.argmin(axis=1)
-        gap = lifted - self.pivots[cell]
-        return cell, np.sqrt((gap * gap).sum(axis=1))
-
-
-def _in_cells(rows: DataFrame, space: Space, queries: bool) -> DataFrame:
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                lifted = space.lift(matrix(batch["v"], space.width, float), queries)
-                cell, distance = space.nearest(lifted)
-                yield pa.RecordBatch.from_arrays(
-                    [batch["vec_id"], batch["v"], pa.array(cell.astype(np.int32)), pa.array(distance)],
-                    ["vec_id", "v", "cell", "distance"],
-                )
-
-    return rows.mapInArrow(place, "vec_id long, v array<long>, cell int, distance double")
-
-
-def _rings(
-    space: Space, data: dict, least: dict, queries: dict, k: int
-) -> tuple[dict[int, np.ndarray], dict[int, np.ndarray]]:
-    """Per query cell: for each data cell the least and the largest distance to its pivot that
-    a neighbour can have."""
-    between = np.sqrt(
-        np.maximum(((space.pivots[:, None, :] - space.pivots[None, :, :]) ** 2).sum(axis=2), 0)
-    )
-    low, high = {}, {}
-    for cell, (_, radius) in queries.items():
-        reach = [
-            radius + between[cell, other] + d for other, near in least.items() for d in near
-        ]
-        reach.sort()
-        # One more than k: a query may itself be among the data.
-        bound = reach[k] if len(reach) > k else np.inf
-        bound += SLACK * (1 + bound) if np.isfinite(bound) else 0
-        at = between[cell]
-        low[cell] = np.maximum(at - radius - bound, 0) - SLACK * (1 + at)
-        high[cell] = at + radius + bound + SLACK * (1 + at)
-        for other in range(len(at)):
-            if other not in data:
-                low[cell][other], high[cell][other] = np.inf, -np.inf
-    return low, high
+    ``near`` holds distances of rows to the pivots of ``near_cell``; the query's ``rank``-th
+    best row scores no less than the ``rank``-th best of what these rows score at least.
+    """
+    length = np.sqrt((x * x).sum(axis=1))
+    at_pivot = x @ pivots.T
+    least = at_pivot[:, near_cell] - length[:, None] * near[None, :]
+    if least.shape[1] < rank:
+        return np.full(at_pivot.shape, -np.inf)
+    bound = np.partition(least, -rank, axis=1)[:, -rank]
+    bound -= SLACK * (1 + np.abs(bound))
+    lacking = bound[:, None] - at_pivot - SLACK * (1 + np.abs(at_pivot))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        from_here = lacking / length[:, None]
+    return np.where(length[:, None] > 0, from_here, -np.inf)
 
 
 def best_of(
@@ -187,55 +151,92 @@ def top_k(
     # Inner products are exact as doubles up to 2**53; beyond, whole numbers are multiplied.
     kind = float if sums["limit"] < 1 << 52 else np.int64
     drawn = hashed_sample(rows, "vec_id", pivots).toArrow()
-    space = Space(width, float(sums["limit"]), np.zeros((0, width + 1)))
-    space.pivots = space.lift(matrix(drawn["v"], width, float), queries=False)
+    centres = matrix(drawn["v"], width, float)
 
-    data = stage(_in_cells(rows, space, queries=False), "data-cells")
-    asked = rows.where(F.col("vec_id") % query_step == 0).groupBy("vec_id").agg(
-        F.min("v").alias("v")
-    )
-    asked = stage(_in_cells(asked, space, queries=True), "query-cells")
-
-    # Summaries: a few numbers per cell.
-    def summary(cells: DataFrame) -> dict[int, tuple[int, float]]:
-        made = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("r"))
-        return {r["cell"]: (r["n"], r["r"]) for r in made.collect()}
-
-    nearest = F.row_number().over(Window.partitionBy("cell").orderBy("distance"))
-    least: dict[int, list[float]] = {}
-    for r in data.select("cell", "distance", nearest.alias("p")).where(F.col("p") <= k + 1).collect():
-        least.setdefault(r["cell"], []).append(r["distance"])
-    query_cells = summary(asked)
-    if not query_cells:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                cell, distance = nearest_pivot(matrix(batch["v"], width, float), centres)
+                yield pa.RecordBatch.from_arrays(
+                    [batch["vec_id"], batch["v"], pa.array(cell.astype(np.int32)), pa.array(distance)],
+                    ["vec_id", "v", "cell", "distance"],
+                )
+
+    placed = "vec_id long, v array<long>, cell int, distance double"
+    data = stage(rows.mapInArrow(place, placed), "data-cells")
+    named = rows.where(F.col("vec_id") % query_step == 0)
+    asked = named.groupBy("vec_id").agg(F.min("v").alias("v"), F.count(F.lit(1)).alias("own"))
+    own = asked.agg(F.max("own").alias("own")).first()["own"]
+    if own is None:
         return spark.createDataFrame([], empty)
-    low, high = _rings(space, summary(data), least, query_cells, k)
+    asked = stage(asked.select("vec_id", "v").mapInArrow(place, placed), "query-cells")
+
+    # Summaries: as many distances per cell as can be asked for, rows with the query's own id
+    # besides the k best.
+    rank = k + min(own, OWN_ROWS)
+    closest = F.row_number().over(Window.partitionBy("cell").orderBy("distance"))
+    near = data.select("cell", "distance", closest.alias("p")).where(F.col("p") <= rank).toArrow()
+    near_cell, near_distance = near["cell"].to_numpy(), near["distance"].to_numpy()
 
-    # Neighbouring query cells share a group; a large cell is split over several.
-    groups: list[tuple[np.ndarray, np.ndarray]] = []
+    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = matrix(batch["v"], width, float)
+                least = np.full((len(x), len(centres)), -np.inf)
+                if own <= OWN_ROWS:
+                    least = needed_from(x, centres, near_cell, near_distance, rank)
+                cell = batch["cell"].to_numpy()
+                for c in np.unique(cell):
+                    mine = least[cell == c]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(np.full(len(centres), c, np.int32)),
+                            pa.array(np.arange(len(centres), dtype=np.int32)),
+                            pa.array(mine.min(axis=0)),
+                            pa.array(np.full(len(centres), len(mine), np.int64)),
+                        ],
+                        ["cell", "other", "least", "n"],
+                    )
+
+    # At most pivots * pivots rows.
+    bounds = (
+        asked.mapInArrow(reach, "cell int, other int, least double, n long")
+        .groupBy("cell", "other")
+        .agg(F.min("least").alias("least"), F.sum("n").alias("n"))
+        .collect()
+    )
+    low: dict[int, np.ndarray] = {}
+    queries_of: dict[int, int] = {}
+    for r in bounds:
+        low.setdefault(r["cell"], np.full(len(centres), np.inf))[r["other"]] = r["least"]
+        queries_of[r["cell"]] = r["n"]
+
+    # Query cells of near pivots share a group; a large cell is split over several.
+    groups: list[np.ndarray] = []
     of_cell: dict[int, tuple[int, int]] = {}  # first group, groups
     filled = group_queries
-    for cell in sorted(query_cells, key=lambda c: (space.pivots[c] @ space.pivots[0], c)):
-        n = query_cells[cell][0]
+    for cell in sorted(queries_of, key=lambda c: (centres[c] @ centres[0], c)):
+        n = queries_of[cell]
         if n > group_queries:
             parts = -(-n // group_queries)
             of_cell[cell] = (len(groups), parts)
-            groups += [(low[cell], high[cell])] * parts
+            groups += [low[cell]] * parts
             filled = group_queries
             continue
         if filled + n > group_queries:
-            groups.append((low[cell], high[cell]))
+            groups.append(low[cell])
             filled = 0
         else:
-            groups[-1] = np.minimum(groups[-1][0], low[cell]), np.maximum(groups[-1][1], high[cell])
+            groups[-1] = np.minimum(groups[-1], low[cell])
         of_cell[cell] = (len(groups) - 1, 1)
         filled += n
-    lows, highs = (np.array([g[i] for g in groups]) for i in (0, 1))
+    lows = np.array(groups)
     slices = max(1, -(-sums["n"] // slice_rows))
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cell, distance = batch["cell"].to_numpy(), batch["distance"].to_numpy()
-            needed = (lows[:, cell] <= distance) & (distance <= highs[:, cell])
+            needed = lows[:, cell] <= distance
             group, row = np.nonzero(needed)
             yield pa.RecordBatch.from_arrays(
                 [

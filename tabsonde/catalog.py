@@ -16,7 +16,7 @@ from .operators import bands, concentration, crosstab, drivers, feeds, findings,
 from .operators import hypotheses, profile, ranks, segments, shaping, testbed, trend
 from .operators.frame import ROWS, Frame, lump_levels
 from .plans import battery, requests, roles
-from .sources.tables import header_delimiter
+from .sources.tables import delimiter_fit, header_delimiter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -538,6 +538,22 @@ def _(spark, folder):
     return out
 
 
+@query(
+    "delimiter_fit",
+    """WITH l AS (SELECT unnest(string_split(text, chr(10))) AS v FROM documents),
+b AS (SELECT regexp_replace(v, '"[^"]*"', '', 'g') AS v FROM l),
+d AS (SELECT unnest([',', ';', chr(9), '|']) AS candidate),
+c AS (SELECT candidate, length(v) - length(replace(v, candidate, '')) AS k, count(*) AS c
+FROM b, d GROUP BY ALL)
+SELECT candidate, CAST(arg_max(k, struct_pack(c := c, k := k)) FILTER (k > 0) AS INTEGER) AS
+per_line, coalesce(max(c) FILTER (k > 0), 0) AS n, CAST(sum(c) AS BIGINT) AS lines
+FROM c GROUP BY candidate""",
+)
+def _(spark, folder):
+    lines = F.explode(F.split("text", "\n")).alias("value")
+    return delimiter_fit(table(spark, folder, "documents").select(lines))
+
+
 @query(
     "header_delimiter",
     """SELECT d AS candidate, CAST(sum(length(line) - length(replace(line, d, ''))) AS BIGINT) AS n
@@ -1372,15 +1388,19 @@ def _(spark, folder):
 
 @query(
     "number_text",
-    """WITH v AS (SELECT l_extendedprice * l_quantity * 0.0137 AS v FROM lineitem)
-SELECT CASE WHEN v >= 1e6 THEN printf('%.1fM', v / 1e6) WHEN v >= 1e4 THEN printf('%.1fK', v / 1e3)
-WHEN v >= 100 THEN format('{:,}', CAST(round(v) AS BIGINT)) WHEN v >= 1 THEN
-regexp_replace(regexp_replace(printf('%.2f', v), '0+$', ''), '[.]$', '') END AS shown,
-count(*) AS n FROM v WHERE v >= 1 GROUP BY 1""",
+    """WITH v AS (SELECT CAST(l_extendedprice AS DOUBLE) * CAST(l_quantity AS DOUBLE) * 0.0137 AS v
+FROM lineitem UNION ALL SELECT (CAST(l_extendedprice AS DOUBLE) - 30000) * CAST(l_tax AS DOUBLE)
+* CAST(l_discount AS DOUBLE) * 0.0137 + 0.0 AS v FROM lineitem), a AS (SELECT v, abs(v) AS a FROM v)
+SELECT CASE WHEN v < 0 THEN '-' ELSE '' END || CASE WHEN a >= 1e6 THEN printf('%.1fM', a / 1e6)
+WHEN a >= 1e4 THEN printf('%.1fK', a / 1e3) WHEN a >= 100 THEN format('{:,}', CAST(round(a) AS
+BIGINT)) WHEN a >= 1 THEN regexp_replace(regexp_replace(printf('%.2f', a), '0+$', ''), '[.]$', '')
+ELSE printf('%.3g', a) END AS shown, count(*) AS n FROM a GROUP BY 1""",
 )
 def _(spark, folder):
-    df = table(spark, folder, "lineitem").selectExpr("l_extendedprice * l_quantity * 0.0137D AS v")
-    shown = df.where("v >= 1").selectExpr(f"{text.number_sql('v')} AS shown")
+    items = table(spark, folder, "lineitem")
+    large = items.selectExpr("l_extendedprice * l_quantity * 0.0137D AS v")
+    small = items.selectExpr("(l_extendedprice - 30000) * l_tax * l_discount * 0.0137D + 0.0D AS v")
+    shown = large.union(small).selectExpr(f"{text.number_sql('v')} AS shown")
     return shown.groupBy("shown").agg(F.count("*").alias("n"))
 
 

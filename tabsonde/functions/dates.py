@@ -22,7 +22,6 @@ DATE_FORMATS = (
     "yyyyMMdd",
 )
 ISO_START = r"^\s*\d{4}-\d{1,2}(-\d{1,2})?([T ].*)?\s*$"
-MAX_DATE_LENGTH = 40
 # Month names and the period length limits in days.
 MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
 QUARTER_SPAN_DAYS = 1095
@@ -34,8 +33,7 @@ def parse_date(column: Column) -> Column:
     value = F.trim(column)
     iso = F.when(value.rlike(ISO_START), F.try_to_timestamp(value))
     others = [F.try_to_timestamp(value, F.lit(f)) for f in DATE_FORMATS]
-    plausible = (F.length(value) <= MAX_DATE_LENGTH) & value.rlike(r"\d")
-    return F.when(plausible, F.coalesce(iso, *others))
+    return F.when(value.rlike(r"\d"), F.coalesce(iso, *others))
 
 
 def as_time(column: Column, dtype: T.DataType) -> Column:

@@ -48,9 +48,9 @@ def _ranked(totals: DataFrame, points) -> DataFrame:
 
 def entity_ranks(frame: Frame, metric: str, entity: str) -> DataFrame:
     """Distinct entity totals with their average rank, largest first."""
-    totals = entity_totals(frame, metric, entity)
-    (points,) = cut_points([F.col("total")], bucket_count(frame.n_rows))
-    ranked = _ranked(totals, totals.agg(points.alias("p")).first()["p"])
+    totals = stage(entity_totals(frame, metric, entity))
+    points = cut_points(totals, {"total": F.col("total")}, bucket_count(frame.n_rows))
+    ranked = _ranked(totals, points["total"])
     rank = F.col("before") + (F.col("ties") + 1) / 2
     return ranked.select("value", "n", rank.alias("avg_rank"))
 
@@ -62,13 +62,12 @@ def pareto(frame: Frame, metric: str, entity: str) -> DataFrame:
     counts is exact and needs no order among entities.
     """
     totals = stage(entity_totals(frame, metric, entity))
-    (points,) = cut_points([F.col("total")], bucket_count(frame.n_rows))
+    points = cut_points(totals, {"total": F.col("total")}, bucket_count(frame.n_rows))
     head = totals.agg(
         F.count("*").alias("entities"),
         F.sum("total").alias("grand"),
         F.min("low").alias("low"),
         F.sum("rows").alias("rows"),
-        points.alias("points"),
     ).first()
     if head["entities"] and head["low"] < 0:
         raise AnalysisError(
@@ -89,7 +88,7 @@ def pareto(frame: Frame, metric: str, entity: str) -> DataFrame:
     # Ascending cumulative sums add each total once per entity at or above it; within ties of
     # n entities the count runs down by one, which averages to (n + 1) / 2.
     cumulative = F.sum(value * n * (before + (n + 1) / 2))
-    shares = _ranked(totals, head["points"]).agg(
+    shares = _ranked(totals, points["total"]).agg(
         grand.alias("grand"),
         *[(top(s) / grand).alias(f"top{int(s * 100)}_share") for s in SHARES],
         (1 - 2 * cumulative / (grand * size) + 1 / F.lit(float(size))).alias("gini"),

@@ -42,7 +42,7 @@ def crosstab(
     tests = bed.run([bed.pair_spec(key, a, b)]).withColumnRenamed("test", "key").drop("n")
     cells = crosstab_lift(sub, a, b, folds).withColumn("key", F.lit(key))
     whole = Window.partitionBy("key")
-    best = F.max_by("b", F.struct(F.col("lift"), F.lit(0) - F.ascii("b"))).over(whole)
+    best = F.min_by("b", F.struct(-F.col("lift"), F.col("b"))).over(whole)
     level = cells.withColumns({"level": best, "total": F.sum("n").over(whole)})
     per_group = level.groupBy("key", "a", "level", "total").agg(
         F.coalesce(F.max(F.when(F.col("b") == F.col("level"), F.col("share"))), F.lit(0.0)).alias(

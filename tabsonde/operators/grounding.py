@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import literal
+from ..staging import stage
 from .skew import salted_join
 
 # What counts as a number, and what is left out of the check. The hyphen, plus
@@ -210,28 +211,30 @@ def unverified_numbers(grounded: DataFrame) -> DataFrame:
     )
 
 
-# Report fields that hold references, not prose; deepest nesting read.
+# Report fields that hold references, not prose.
 SKIPPED_FIELDS = (
     "finding_ids", "finding_id", "layout", "metric", "chart", "column", "confidence",
 )
-MAX_DEPTH = 8
 
 
 def report_texts(documents: DataFrame, json: str = "report") -> DataFrame:
     """Flatten nested JSON reports to (doc_id, location, text), skipping reference fields.
 
-    Each round opens one nesting level of all documents at once.
+    Each round opens one nesting level of all documents at once, however deep they go.
     """
     skipped = ", ".join(literal(s) for s in SKIPPED_FIELDS)
     level = documents.selectExpr("doc_id", "'' AS path", f"parse_json({json}) AS node")
     out = None
-    for _ in range(MAX_DEPTH):
+    while True:
         kinds = level.withColumn("kind", F.expr("schema_of_variant(node)"))
+        kinds = stage(kinds)
         texts = kinds.where("kind = 'STRING'").selectExpr(
             "doc_id", "path AS location", "CAST(node AS STRING) AS text"
         )
         out = texts if out is None else out.unionByName(texts)
         nested = kinds.where("kind LIKE 'OBJECT%' OR kind LIKE 'ARRAY%'")
+        if nested.isEmpty():
+            return out
         opened = nested.lateralJoin(
             documents.sparkSession.tvf.variant_explode(F.col("node").outer())
         )
@@ -241,7 +244,6 @@ def report_texts(documents: DataFrame, json: str = "report") -> DataFrame:
             "WHEN path = '' THEN key ELSE concat(path, '.', key) END AS path",
             "value AS node",
         )
-    return out
 
 
 # ---------------------------------------------------------------- evidence pools

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import effects, pvalues
+from ..staging import stage
 from .ranks import (
     Cuts,
     attach_by_value,
@@ -88,6 +89,7 @@ def rank_sums(rows: DataFrame, rows_bound: int) -> DataFrame:
         F.sum("n").alias("n"),
         F.sum(n * average_rank()).alias("rank_sum"),
         F.sum(n * (ties * ties - 1)).alias("ties"),
+        F.max("ties").alias("most_ties"),
         F.max("total").alias("total"),
     )
 
@@ -101,6 +103,7 @@ def _per_test(sums: DataFrame) -> DataFrame:
         F.max("total").cast("double").alias("total"),
         F.count("*").alias("groups"),
         F.sum("ties").alias("ties"),
+        F.max("most_ties").alias("most_ties"),
         F.sum(spread).alias("spread"),
         F.sum(F.when(positive, size)).alias("n1"),
         F.sum(F.when(~positive, size)).alias("n0"),
@@ -112,7 +115,7 @@ def kruskal(sums: DataFrame) -> DataFrame:
     """H with tie correction, chi-square tail, epsilon squared."""
     n = F.col("total")
     per = _per_test(sums).withColumn("correction", 1 - F.col("ties") / (n * n * n - n))
-    valid = (F.col("groups") >= 2) & (n >= MIN_KRUSKAL_ROWS) & (F.col("correction") > 0)
+    valid = (F.col("groups") >= 2) & (n >= MIN_KRUSKAL_ROWS) & (F.col("most_ties") < n)
     h = F.when(valid, F.try_divide(F.col("spread") * 12, n * (n + 1)) / F.col("correction"))
     return per.select(
         "test",
@@ -385,10 +388,10 @@ def benjamini_hochberg(df: DataFrame, p: str, n_tests: int, output: str = "q_val
     cumulative counts, and the running minimum from the top is taken per bucket and then
     across buckets. Works the same for forty tests and for a table of billions.
     """
+    df = stage(df)
     source = df.where(F.col(p).isNotNull()).select(F.col(p).alias("p"))
-    (points,) = cut_points([F.col("p")], bucket_count(n_tests))
-    head = source.agg(F.count("*").alias("m"), points.alias("cuts")).first()
-    m, cuts = head["m"], cuts_from(head["cuts"])
+    m = source.count()
+    cuts = cuts_from(cut_points(source, {"p": F.col("p")}, bucket_count(n_tests))["p"])
     counts = (
         with_buckets(source, {"p": cuts})
         .select(F.lit(0).alias("test"), F.col(bucket_name("p")).alias("bucket"), F.col("p"))

@@ -30,8 +30,6 @@ from .ranks import (
 )
 
 # Limits of the profile.
-MAX_PROFILE_COLUMNS = 200
-MAX_CORRELATION_COLUMNS = 15
 MAX_TOP_CORRELATIONS = 20
 TOP_CORRELATION = 0.5
 MIN_CORRELATION_ROWS = 3
@@ -46,9 +44,6 @@ QUARTILES = (0.25, 0.5, 0.75)
 ID_NAME = re.compile(r"(^|[_\s-])id$|^id[_\s-]|_key$", re.IGNORECASE)
 
 COLUMNS_PER_SCAN = 40
-# Up to this many rows quartiles come from the in-memory exact aggregate (a bounded group);
-# beyond it from the distributed selection, with the same result.
-IN_MEMORY_ROWS = 1_000_000
 
 COLUMN_SCHEMA = (
     "position int, name string, inferred_type string, dtype string, missing_count bigint, "
@@ -169,16 +164,10 @@ def quartiles_of(df: DataFrame, names: Sequence[str], rows: int) -> dict[str, li
     if not slots:
         return {}
     wide = df.selectExpr(*[f"{_masked(f.name, f.dataType)} AS {s}" for s, f in slots.items()])
-    if rows <= IN_MEMORY_ROWS:
-        probs = F.array(*[F.lit(q) for q in QUARTILES])
-        found = {}
-        for chunk in _chunks(list(slots), COLUMNS_PER_SCAN):
-            row = wide.agg(*[F.percentile(F.col(s), probs).alias(s) for s in chunk]).first()
-            found.update({slots[s].name: list(row[s]) for s in chunk})
-        return found
-    points = cut_points([F.col(s) for s in slots], bucket_count(rows))
-    row = wide.agg(*[p.alias(s) for s, p in zip(slots, points, strict=True)]).first()
-    cuts = {s: cuts_from(row[s]) for s in slots}
+    cuts = {}
+    for chunk in _chunks(list(slots), COLUMNS_PER_SCAN):
+        points = cut_points(wide, {s: F.col(s) for s in chunk}, bucket_count(rows))
+        cuts.update({s: cuts_from(points[s]) for s in chunk})
     melted = melt(
         with_buckets(wide, cuts),
         [{"slot": f"'{s}'", "bucket": bucket_name(s), "v": s} for s in slots],
@@ -271,8 +260,10 @@ def duplicate_count(df: DataFrame) -> DataFrame:
     parts = []
     for f in df.schema.fields:
         c = col(f.name)
-        v = F.to_json(F.struct(c.alias("v"))) if isinstance(f.dataType, T.MapType) else c
-        parts += [c.isNull(), v]
+        nested = isinstance(f.dataType, (T.MapType, T.ArrayType, T.StructType))
+        # Hashes pass over nulls and borders inside a value; its text shows them.
+        text = F.to_json(F.struct(c.alias("v")), {"ignoreNullFields": "false"})
+        parts += [c.isNull(), text if nested else c]
     prints = df.select(
         F.xxhash64(F.lit(1), *parts).alias("h1"), F.xxhash64(F.lit(2), *parts).alias("h2")
     )
@@ -310,12 +301,10 @@ def top_correlations(pairs: DataFrame) -> DataFrame:
     return strong.orderBy(F.desc(F.abs("r")), "a", "b").limit(MAX_TOP_CORRELATIONS)
 
 
-def correlation_columns(rows: Sequence[Row]) -> list[str]:
-    """At most 15 varying numeric columns, those with the fewest gaps first."""
+def correlation_columns(rows: Sequence[Row], limit: int | None = None) -> list[str]:
+    """Varying numeric columns, those with the fewest gaps first; ``limit`` of them if given."""
     usable = [r for r in rows if r["inferred_type"] == "numeric" and r["unique_count"] > 1]
-    return [r["name"] for r in sorted(usable, key=lambda r: r["missing_count"])][
-        :MAX_CORRELATION_COLUMNS
-    ]
+    return [r["name"] for r in sorted(usable, key=lambda r: r["missing_count"])][:limit]
 
 
 def _outliers(df: DataFrame, quartiles: dict[str, list[float]]) -> dict[str, int]:
@@ -346,12 +335,17 @@ def profile(
     total_rows: int | None = None,
     correlate: bool = True,
     duplicates: bool = True,
+    max_columns: int | None = None,
+    max_correlated: int | None = None,
 ) -> Profile:
-    """Profile a table. ``total_rows`` is the size of the full table when ``df`` is a sample."""
+    """Profile a table. ``total_rows`` is the size of the full table when ``df`` is a sample.
+
+    All columns are profiled, and all numeric ones correlated, unless limits are given.
+    """
     if not df.columns:
         raise InputError("EMPTY_DATASET", "The dataset has no rows or no columns.")
     spark, total_columns = df.sparkSession, len(df.columns)
-    df = df.select(*[col(c) for c in df.columns[:MAX_PROFILE_COLUMNS]])
+    df = df.select(*[col(c) for c in df.columns[:max_columns]])
     n = df.count() if n_rows is None else n_rows
     numbers = [f.name for f in df.schema.fields if _kind(f.dataType) == "numeric"]
 
@@ -425,7 +419,7 @@ def profile(
         ],
         DATASET_SCHEMA,
     )
-    candidates = correlation_columns(rows) if correlate else []
+    candidates = correlation_columns(rows, max_correlated) if correlate else []
     return Profile(columns, dataset, correlation_pairs(df, candidates), tuple(rows), n)
 
 

@@ -22,7 +22,9 @@ from ..functions import values
 
 ROWS_PER_BUCKET = 1_000_000
 MIN_BUCKETS = 16
-MAX_BUCKETS = 10_000
+# Sketches of the map tasks are merged in so many groups first, then the groups.
+SKETCH_GROUPS = 256
+MIN_SKETCH, MAX_SKETCH = 2_048, 65_535
 SALTS = 256
 # Small side of a join that may be broadcast: rows are known from bucket and test counts.
 BROADCAST_ROWS = 200_000
@@ -41,7 +43,7 @@ class Cuts:
 
 
 def bucket_count(n_rows: int) -> int:
-    return max(MIN_BUCKETS, min(MAX_BUCKETS, n_rows // ROWS_PER_BUCKET))
+    return max(MIN_BUCKETS, n_rows // ROWS_PER_BUCKET)
 
 
 def cuts_from(points: Iterable[float] | None) -> Cuts:
@@ -53,11 +55,36 @@ def cuts_from(points: Iterable[float] | None) -> Cuts:
     return Cuts(edges, solo)
 
 
-def cut_points(columns: Sequence[Column], buckets: int) -> list[Column]:
-    """Aggregates that yield the approximate quantiles used as bucket edges."""
-    probs = [i / buckets for i in range(1, buckets)]
-    accuracy = max(10_000, 20 * buckets)
-    return [F.percentile_approx(c, probs, accuracy) for c in columns]
+def cut_points(
+    df: DataFrame, columns: Mapping[str, Column], buckets: int
+) -> dict[str, list[float] | None]:
+    """Approximate quantiles of several columns, used as bucket edges; None without values.
+
+    Sketches are merged in two levels, so no task merges more than a share of the map tasks'
+    sketches. How good the edges are only decides how even the buckets are.
+    """
+    size = F.lit(min(MAX_SKETCH, max(MIN_SKETCH, 4 * buckets)))
+    names = {name: f"p{i}" for i, name in enumerate(columns)}
+    group = F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)).alias("sketch_group")
+    wide = df.select(*[c.cast("double").alias(names[n]) for n, c in columns.items()], group)
+    sketches = wide.groupBy("sketch_group").agg(
+        *[F.call_function("kll_sketch_agg_double", F.col(p), size).alias(p) for p in names.values()]
+    )
+    merged = sketches.agg(
+        *[F.call_function("kll_merge_agg_double", F.col(p)).alias(p) for p in names.values()]
+    )
+    probs = ", ".join(f"{i / buckets!r}D" for i in range(1, buckets))
+    at = F.expr(f"array({probs})")
+    found = merged.select(
+        *[
+            F.when(
+                F.call_function("kll_sketch_get_n_double", F.col(p)) > 0,
+                F.call_function("kll_sketch_get_quantile_double", F.col(p), at),
+            ).alias(p)
+            for p in names.values()
+        ]
+    ).first()
+    return {name: found[p] for name, p in names.items()}
 
 
 def find_cuts(df: DataFrame, columns: Sequence[str], n_rows: int) -> dict[str, Cuts]:
@@ -65,9 +92,8 @@ def find_cuts(df: DataFrame, columns: Sequence[str], n_rows: int) -> dict[str, C
     columns = list(columns)
     if not columns:
         return {}
-    wanted = cut_points([values.col(c) for c in columns], bucket_count(n_rows))
-    row = df.agg(*[w.alias(f"p{i}") for i, w in enumerate(wanted)]).first()
-    return {c: cuts_from(row[i]) for i, c in enumerate(columns)}
+    points = cut_points(df, {c: values.col(c) for c in columns}, bucket_count(n_rows))
+    return {c: cuts_from(points[c]) for c in columns}
 
 
 def bucket_name(column: str) -> str:
@@ -185,7 +211,8 @@ def attach_by_value(
     row is repeated per salt; rows without a value get keys that match nothing.
     """
     hot = [cuts.edges[i] for i in cuts.solo]
-    spread = F.floor(F.rand(0) * SALTS).cast("int")
+    # A hash of the row, so that a task that runs again places its rows alike.
+    spread = F.pmod(F.xxhash64(*[values.col(c) for c in df.columns]), F.lit(SALTS)).cast("int")
     is_hot = F.col(key).isin(*hot) if hot else F.lit(False)
     left = df.withColumn(
         "join_salt",

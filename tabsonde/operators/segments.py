@@ -94,7 +94,7 @@ def group_medians(frame: Frame, s: Segment, fold: Fold) -> DataFrame:
     total = F.max(F.when(F.col("slot") == "all", F.col("n"))).over(whole)
     out = medians.select(
         F.lit(s.key).alias("key"),
-        F.when(F.col("slot") != "all", F.substring("slot", 3, 1_000_000)).alias("category"),
+        F.when(F.col("slot") != "all", F.expr("substring(slot, 3)")).alias("category"),
         F.col("q0").alias("value"),
         "n",
         overall.alias("overall"),

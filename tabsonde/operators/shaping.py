@@ -36,17 +36,23 @@ def trim_names(df: DataFrame) -> DataFrame:
 
 
 def tidy(df: DataFrame) -> DataFrame:
-    """Drop blank rows and columns, trim names; fails when nothing is left."""
-    if not df.columns:
+    """Drop blank rows and columns, trim names; fails when nothing is left.
+
+    One aggregate counts the blank rows and the values of each column. Rows are filtered only
+    if there are blank ones: the filter reads every column, whatever is selected later.
+    """
+    present = {f.name: values.known(values.quoted(f.name), f.dataType) for f in df.schema.fields}
+    if not present:
         raise InputError("EMPTY_DATASET", "The dataset has no rows or no columns.")
-    kept = drop_blank_columns(drop_blank_rows(df))
-    if not kept.columns:
+    blank = " AND ".join(f"({v}) IS NULL" for v in present.values())
+    counts = df.selectExpr(
+        f"count_if({blank}) AS blank", *[f"count({v}) AS c{i}" for i, v in enumerate(present.values())]
+    ).first()
+    filled = [values.col(c) for c, n in zip(present, counts[1:], strict=True) if n]
+    if not filled:
         raise InputError("EMPTY_DATASET", "The dataset has no rows or no columns.")
-    return trim_names(kept)
-
-
-def cap_columns(df: DataFrame, limit: int = 200) -> DataFrame:
-    return df.select(*[values.col(c) for c in df.columns[:limit]])
+    kept = drop_blank_rows(df) if counts["blank"] else df
+    return trim_names(kept.select(*filled))
 
 
 def sample_rows(df: DataFrame, n: int, keys: Sequence[str], seed: int = 0) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import csv
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.errors import AnalysisException
 
 from ..errors import InputError
 from ..functions import values
@@ -16,10 +16,18 @@ from ..operators.shaping import tidy
 # Accepted encodings (as Spark names them) in order, and delimiters.
 ENCODINGS = ("UTF-8", "windows-1252", "ISO-8859-1")
 DELIMITERS = ",;\t|"
-HEAD_LINES = 500
 NOT_IN_CP1252 = (0x81, 0x8D, 0x8F, 0x90, 0x9D)
 FORMATS = {".csv": "csv", ".tsv": "csv", ".txt": "csv", ".parquet": "parquet", ".json": "json",
            ".orc": "orc"}
+COMPRESSED = (".gz", ".bz2", ".zst", ".lz4", ".snappy", ".deflate")
+# Words that stand for a missing value.
+MISSING_WORDS = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+)
+INTEGER = "^ *[+-]?[0-9]+ *$"
+NUMBER = "^ *[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)? *$|^ *[+-]?(inf|Infinity) *$"
+ISO_DATE = "^ *[0-9]{4}-[0-9]{2}-[0-9]{2}"
 
 
 def _decoded(lines: DataFrame, encoding: str) -> DataFrame:
@@ -41,15 +49,6 @@ def detect_encoding(spark: SparkSession, path: str) -> str:
     return ENCODINGS[1] if raw.where(F.col("value").rlike(pattern)).isEmpty() else ENCODINGS[2]
 
 
-def _head(spark: SparkSession, path: str, encoding: str) -> str:
-    """First lines of the input, at most HEAD_LINES of them."""
-    lines = spark.read.text(path).limit(HEAD_LINES)
-    if not lines.where(F.col("value").contains("\x00")).isEmpty():
-        raise InputError("INVALID_FILE", "The file looks binary, not a CSV.")
-    shown = lines if encoding == ENCODINGS[0] else _decoded(lines, ENCODINGS[2])
-    return "\n".join(r["value"] for r in shown.collect())
-
-
 def _from_cp1252(df: DataFrame) -> DataFrame:
     """Spark reads no windows-1252: text read as ISO-8859-1 differs in 0x80-0x9F only."""
     codes = [b for b in range(0x80, 0xA0) if b not in NOT_IN_CP1252]
@@ -61,12 +60,52 @@ def _from_cp1252(df: DataFrame) -> DataFrame:
     return renamed.withColumns({c: F.translate(values.col(c), read, meant) for c in texts})
 
 
-def detect_delimiter(head: str) -> str:
-    """Delimiter of the head of a text file; comma when none stands out."""
-    try:
-        return csv.Sniffer().sniff(head, delimiters=DELIMITERS).delimiter
-    except csv.Error:
-        return ","
+def delimiter_fit(lines: DataFrame, column: str = "value") -> DataFrame:
+    """(candidate, per_line, n, lines): how many lines have the most usual count of each
+    delimiter outside quotes, of the lines that have it at all, and of all lines."""
+    bare = F.regexp_replace(F.col(column), '"[^"]*"', "")
+    found = lines.select(
+        F.inline(
+            F.array(
+                *[
+                    F.struct(
+                        F.lit(d).alias("candidate"),
+                        (F.length(bare) - F.length(F.replace(bare, F.lit(d), F.lit("")))).alias("k"),
+                    )
+                    for d in DELIMITERS
+                ]
+            )
+        )
+    )
+    counts = found.groupBy("candidate", "k").agg(F.count(F.lit(1)).alias("c"))
+    usual = F.when(F.col("k") > 0, F.struct("c", "k"))
+    return counts.groupBy("candidate").agg(
+        F.max(usual)["k"].alias("per_line"),
+        F.coalesce(F.max(usual)["c"], F.lit(0)).alias("n"),
+        F.sum("c").alias("lines"),
+    )
+
+
+def _look(lines: DataFrame) -> tuple[str, bool]:
+    """Delimiter of the lines (comma if none stands out) and whether quotes span lines."""
+    head = lines.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.coalesce(F.bool_or(F.col("value").contains("\x00")), F.lit(False)).alias("binary"),
+        F.coalesce(F.bool_or(F.regexp_count("value", F.lit('"')) % 2 == 1), F.lit(False)).alias(
+            "open_quotes"
+        ),
+    ).first()
+    if not head["n"]:
+        raise InputError("EMPTY_DATASET", "The file is empty.")
+    if head["binary"]:
+        raise InputError("INVALID_FILE", "The file looks binary, not a CSV.")
+    fits = [r for r in delimiter_fit(lines).collect() if r["n"]]
+    best = max(
+        fits,
+        key=lambda r: (r["n"], r["per_line"], -DELIMITERS.index(r["candidate"])),
+        default=None,
+    )
+    return (best["candidate"] if best else ","), head["open_quotes"]
 
 
 def header_delimiter(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -89,32 +128,104 @@ def header_delimiter(lines: DataFrame, column: str = "value") -> DataFrame:
     return found.groupBy("candidate").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "candidate")
 
 
-def read_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """Read CSV, Parquet, JSON or ORC; CSV encoding and delimiter are detected.
+def _format_of(spark: SparkSession, path: str) -> str | None:
+    """Format by the suffix of the path, or of a file in the folder; compression is passed over."""
+
+    def by_name(name: str) -> str | None:
+        name = PurePosixPath(name)
+        if name.suffix.lower() in COMPRESSED:
+            name = name.with_suffix("")
+        return FORMATS.get(name.suffix.lower())
+
+    found = by_name(path)
+    if found or PurePosixPath(path).suffix:
+        return found
+    try:
+        files = spark.read.format("binaryFile").load(path).select("path").limit(1).collect()
+    except AnalysisException:
+        return None
+    return by_name(files[0]["path"]) if files else None
+
+
+def with_types(texts: DataFrame) -> DataFrame:
+    """Text columns with missing-value words as nulls and the narrowest type all values fit.
+
+    Types are found in one aggregate: int, bigint, double, boolean, timestamp, else string.
+    """
+    words = ", ".join(f"'{w}'" for w in MISSING_WORDS)
+    names = texts.columns
+    known = texts.select(
+        *[
+            F.expr(f"if(trim({values.quoted(c)}) IN ({words}), NULL, {values.quoted(c)})").alias(c)
+            for c in names
+        ]
+    )
+    tests = {
+        "int": "try_cast({c} AS INT) IS NOT NULL AND {c} RLIKE '" + INTEGER + "'",
+        "bigint": "try_cast({c} AS BIGINT) IS NOT NULL AND {c} RLIKE '" + INTEGER + "'",
+        "double": "{c} RLIKE '" + NUMBER + "'",
+        "boolean": "lower(trim({c})) IN ('true', 'false')",
+        "timestamp": "{c} RLIKE '" + ISO_DATE + "' AND try_cast({c} AS TIMESTAMP) IS NOT NULL",
+    }
+    asked = []
+    for i, c in enumerate(names):
+        q = values.quoted(c)
+        asked.append(f"count({q}) AS n{i}")
+        asked += [f"count_if({t.replace('{c}', q)}) AS {k}{i}" for k, t in tests.items()]
+    row = known.selectExpr(*asked).first()
+    kinds = [
+        next((k for k in tests if row[f"n{i}"] and row[f"{k}{i}"] == row[f"n{i}"]), "string")
+        for i in range(len(names))
+    ]
+    return known.select(
+        *[
+            F.col(values.quoted(c)).cast(k).alias(c) if k != "string" else values.col(c)
+            for c, k in zip(names, kinds, strict=True)
+        ]
+    )
+
 
-    Give a schema for large CSV inputs: inferring types costs a pass over the data.
+def read_table(
+    spark: SparkSession,
+    path: str,
+    schema: str | None = None,
+    format: str | None = None,
+    sep: str | None = None,
+    encoding: str | None = None,
+    multi_line: bool | None = None,
+) -> DataFrame:
+    """Read CSV, Parquet, JSON or ORC files or folders, or a table of the catalogue.
+
+    CSV encoding, delimiter and quotes that span lines are detected; what is given is not
+    looked for. Give a schema for large CSV inputs: finding types costs a pass over the data.
+    Files with quotes that span lines are read whole, one task each.
     """
-    suffix = PurePosixPath(path).suffix.lower()
-    if suffix not in FORMATS:
+    kind = format or _format_of(spark, path)
+    if kind is None:
+        if "/" not in path and spark.catalog.tableExists(path):
+            return tidy(spark.table(path))
         accepted = ", ".join(FORMATS)
+        suffix = PurePosixPath(path).suffix.lower()
         raise InputError(
             "INVALID_FILE", f"Unsupported file type '{suffix or path}'. Use one of {accepted}."
         )
-    kind = FORMATS[suffix]
     if kind != "csv":
         reader = spark.read.schema(schema) if schema else spark.read
         df = reader.format(kind).load(path)
     else:
-        encoding = detect_encoding(spark, path)
-        head = _head(spark, path, encoding)
-        if not head:
-            raise InputError("EMPTY_DATASET", "The file is empty.")
-        sep = detect_delimiter(head)
+        encoding = encoding or detect_encoding(spark, path)
+        if sep is None or multi_line is None:
+            lines = spark.read.text(path)
+            found = _look(lines if encoding == ENCODINGS[0] else _decoded(lines, ENCODINGS[2]))
+            sep = found[0] if sep is None else sep
+            multi_line = found[1] if multi_line is None else multi_line
         charset = encoding if encoding == ENCODINGS[0] else ENCODINGS[2]
-        reader = spark.read.option("header", True).option("sep", sep).option("encoding", charset)
-        reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
-        df = reader.csv(path)
+        reader = spark.read.options(
+            header=True, sep=sep, encoding=charset, quote='"', escape='"', multiLine=multi_line
+        )
+        df = (reader.schema(schema) if schema else reader).csv(path)
         df = _from_cp1252(df) if encoding == ENCODINGS[1] else df
+        df = df if schema else with_types(df)
     if df.isEmpty():
         raise InputError("EMPTY_DATASET", "The dataset has no rows or no columns.")
     return tidy(df)

@@ -3,7 +3,6 @@ import pandas as pd
 import pytest
 
 from tabsonde import ROWS, AnalysisError, Frame, Where
-from tabsonde.operators import bands as bands_module
 from tabsonde.operators.bands import metric_bands, metric_by_bins
 from tabsonde.operators.concentration import concentration, pareto
 from tabsonde.operators.crosstab import crosstab
@@ -13,20 +12,20 @@ from tabsonde.operators.frame import lump_levels
 from tabsonde.operators.segments import compare_segments
 from tabsonde.operators.trend import trend, trend_series
 
-from planted import subscriptions, web_orders
+from planted import courses, harvest
 
 
 @pytest.fixture(scope="module")
 def shop(spark):
     return Frame.of(
-        spark.createDataFrame(web_orders()).cache(), ["returned", "gift_wrap"], "order_date"
+        harvest(spark).cache(), ["failed", "labelled"], "picked_on"
     )
 
 
 @pytest.fixture(scope="module")
 def saas(spark):
     return Frame.of(
-        spark.createDataFrame(subscriptions()).cache(), ["churned", "discount_applied"]
+        courses(spark).cache(), ["cancelled", "voucher"]
     )
 
 
@@ -39,63 +38,61 @@ def labels(f):
 
 
 def test_segments_of_a_yes_no_outcome(shop):
-    f = one(compare_segments(shop, "returned", "channel"))
-    assert f["facts"]["top"] == labels(f)[0] == "Social"
+    f = one(compare_segments(shop, "failed", "bench"))
+    assert f["facts"]["top"] == labels(f)[0] == "C"
     assert f["agg"] == "rate" and f["significant"] and f["effect"]["name"] == "rate ratio"
-    assert "Social" in f["summary"] and "%" in f["headline"]
+    assert "C" in f["summary"] and "%" in f["headline"]
 
 
 def test_segments_ignore_the_case_of_column_names(shop):
-    f = one(compare_segments(shop, "Shipping_Days", "REGION"))
-    assert (f["target"], f["dimension"], f["facts"]["top"]) == ("shipping_days", "region", "West")
-    assert f["title"] == "shipping_days by region: West stands out"
+    f = one(compare_segments(shop, "Stored_H", "COVER"))
+    assert (f["target"], f["dimension"], f["facts"]["top"]) == ("stored_h", "cover", "film")
+    assert f["title"] == "stored_h by cover: film stands out"
 
 
 def test_filter_is_applied_and_reported(saas):
-    f = one(compare_segments(saas, "churned", "billing_cycle", where=Where("plan", " basic ")))
-    assert f["filter"] == "plan = Basic"
-    assert "Computed on the subset where plan = Basic." in f["caveats"]
+    f = one(compare_segments(saas, "cancelled", "fee_plan", where=Where("level", " starter ")))
+    assert f["filter"] == "level = Starter"
+    assert "Computed on the subset where level = Starter." in f["caveats"]
     assert f["n"] < saas.n_rows
 
 
 def test_bad_requests(shop, saas):
     with pytest.raises(AnalysisError, match="Unknown metric"):
-        compare_segments(shop, "nope", "region")
-    with pytest.raises(AnalysisError, match="No rows where region = 'Mars'. Values include"):
-        compare_segments(shop, "returned", "region", where=Where("region", "Mars"))
+        compare_segments(shop, "nope", "cover")
+    with pytest.raises(AnalysisError, match="No rows where cover = 'Mars'. Values include"):
+        compare_segments(shop, "failed", "cover", where=Where("cover", "Mars"))
     with pytest.raises(AnalysisError, match="yes/no"):
-        metric_by_bins(shop, "margin", "returned")
+        metric_by_bins(shop, "profit_eur", "failed")
     with pytest.raises(AnalysisError, match="no date column"):
-        trend(saas, "churned")
+        trend(saas, "cancelled")
     with pytest.raises(AnalysisError, match="negative"):
-        concentration(shop, "margin", "customer_id")
+        concentration(shop, "profit_eur", "supplier")
 
 
 def test_bands(shop, saas):
-    tickets = one(metric_by_bins(saas, "churned", "support_tickets_90d"))
+    tickets = one(metric_by_bins(saas, "cancelled", "complaints_filed"))
     assert labels(tickets)[-1].endswith("+")
     assert float(tickets["facts"]["last_value"]) > float(tickets["facts"]["first_value"])
-    margin = one(metric_by_bins(shop, "margin", "discount_pct"))
+    margin = one(metric_by_bins(shop, "profit_eur", "stored_h"))
     assert margin["facts"]["shape"] == "decreasing"
-    assert not one(metric_by_bins(shop, "units", "discount_pct"))["significant"]
+    assert not one(metric_by_bins(shop, "crates", "stored_h"))["significant"]
 
 
-def test_quantile_bands_equal_pandas(spark, monkeypatch):
+def test_quantile_bands_equal_pandas(spark):
     rng = np.random.default_rng(2)
     x = np.where(rng.random(900) < 0.4, 3.5, rng.gamma(2, 3, 900))
     data = pd.DataFrame({"x": x, "y": rng.normal(size=900)})
     want = data.groupby(pd.qcut(data.x, 6, labels=False, duplicates="drop")).y.agg(["mean", "size"])
-    for limit in (1_000_000, 0):
-        monkeypatch.setattr(bands_module, "IN_MEMORY_ROWS", limit)
-        frame = Frame.of(spark.createDataFrame(data))
-        got = metric_bands(frame, "y", "x", 6).orderBy("band").collect()
-        assert [r["n"] for r in got] == want["size"].tolist()
-        assert [r["value"] for r in got] == pytest.approx(want["mean"].tolist())
+    frame = Frame.of(spark.createDataFrame(data))
+    got = metric_bands(frame, "y", "x", 6).orderBy("band").collect()
+    assert [r["n"] for r in got] == want["size"].tolist()
+    assert [r["value"] for r in got] == pytest.approx(want["mean"].tolist())
 
 
 def test_seasonal_volume(shop):
     f = one(trend(shop, ROWS))
-    assert f["facts"]["peak_months"] == "Nov,Dec" and "Nov–Dec" in f["headline"]
+    assert f["facts"]["peak_months"] == "Jun,Jul" and "Jun–Jul" in f["headline"]
     assert f["chart"]["kind"] == "line" and len(f["chart"]["points"]) == 24
 
 
@@ -111,12 +108,12 @@ def test_series_fill_gaps_and_drop_partial_periods(spark):
 
 
 def test_concentration(shop):
-    f = one(concentration(shop, "revenue", "customer_id"))
+    f = one(concentration(shop, "sales_eur", "supplier"))
     assert labels(f) == ["Top 10%", "Top 20%", "Top 50%"]
     assert float(f["facts"]["top10_share"]) > 0.35 and f["significant"]
-    data = web_orders()
-    totals = data.groupby("customer_id").revenue.sum().sort_values()
-    row = pareto(shop, "revenue", "customer_id").first()
+    data = shop.df.toPandas()
+    totals = data.groupby("supplier").sales_eur.sum().sort_values()
+    row = pareto(shop, "sales_eur", "supplier").first()
     k = int(np.ceil(len(totals) * 0.1))
     assert row["top10_share"] == pytest.approx(totals[-k:].sum() / totals.sum())
     cum = totals.cumsum() / totals.sum()
@@ -124,16 +121,16 @@ def test_concentration(shop):
 
 
 def test_crosstab(shop):
-    f = one(crosstab(shop, "region", "channel"))
+    f = one(crosstab(shop, "tool", "bench"))
     assert f["kind"] == "crosstab" and f["effect"]["name"] == "Cramer's V"
     assert not f["significant"]
 
 
 def test_components_are_not_drivers(shop):
-    measures = ["revenue", "cost", "units", "discount_pct"]
-    assert components_of(shop, "margin", measures) == ["cost", "revenue"]
-    f = one(driver_ranking(shop, "margin", ["region", "channel"], measures))
-    assert not {"revenue", "cost"} & set(labels(f))
+    measures = ["sales_eur", "packing_eur", "crates", "stored_h"]
+    assert components_of(shop, "profit_eur", measures) == ["packing_eur", "sales_eur"]
+    f = one(driver_ranking(shop, "profit_eur", ["cover", "bench"], measures))
+    assert not {"sales_eur", "packing_eur"} & set(labels(f))
     assert any("components" in c for c in f["caveats"])
 
 

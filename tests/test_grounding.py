@@ -15,18 +15,18 @@ from tabsonde.operators.profile import profile, top_correlations
 from tabsonde.operators.segments import compare_segments
 from pyspark.sql import functions as F
 
-from planted import web_orders
+from planted import harvest
 
 
 @pytest.fixture(scope="module")
 def social(spark):
-    frame = Frame.of(spark.createDataFrame(web_orders()).cache(), ["returned"])
-    return finding(compare_segments(frame, "returned", "channel")).cache()
+    frame = Frame.of(harvest(spark).cache(), ["failed"])
+    return finding(compare_segments(frame, "failed", "bench")).cache()
 
 
 @pytest.fixture(scope="module")
 def evidence(spark, social):
-    p = profile(spark.createDataFrame(web_orders()), duplicates=False)
+    p = profile(harvest(spark), duplicates=False)
     one = F.lit(1).cast("long")
     rows = evidence_from_profile(p.columns, p.dataset, top_correlations(p.correlations), one)
     return rows.unionByName(evidence_from_findings(social, one)).cache()
@@ -40,7 +40,7 @@ def check(spark, evidence, text):
 def test_backed_numbers(spark, evidence, social):
     facts = social.first()["facts"]
     top, bottom = float(facts["top_value"]), float(facts["bottom_value"])
-    text = f"Returned {top:.1f}% of the time vs {bottom:.0f}%, about {top / bottom:.1f}× as often."
+    text = f"Failed {top:.1f}% of the time vs {bottom:.0f}%, about {top / bottom:.1f}× as often."
     report = grounding_report(check(spark, evidence, text)).first()
     assert (report["checked"], report["unverified_count"]) == (3, 0)
 
@@ -64,7 +64,7 @@ def test_ignored_numbers(spark, evidence):
 
 def test_complements_and_percent_columns(spark, evidence, social):
     top = float(social.first()["facts"]["top_value"])
-    text = f"{100 - top:.1f}% of Social orders are kept; the 30% discount; 35% have no rating."
+    text = f"{100 - top:.1f}% of the lots on C pass; 7% an hour is lost; 30% have no taste score."
     report = grounding_report(check(spark, evidence, text)).first()
     assert report["checked"] == 3 and report["unverified_count"] <= 1
 
@@ -99,6 +99,14 @@ def test_report_is_flattened(spark):
     assert got == {("title", "A 5"), ("slides[0].bullets[0]", "b1"), ("slides[0].bullets[1]", "b2")}
 
 
+def test_deep_reports_are_read_to_the_end(spark):
+    report = '"the end"'
+    for k in range(12):
+        report = f'{{"level{k}": {report}}}' if k % 2 else f"[{report}]"
+    df = spark.createDataFrame([(1, report)], "doc_id long, report string")
+    assert [r["text"] for r in report_texts(df).collect()] == ["the end"]
+
+
 def test_compact_json(social):
     text = finding_json(social).first()["json"]
     assert '"score"' not in text and '"source"' not in text and '"q_value"' not in text

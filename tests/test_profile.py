@@ -1,8 +1,12 @@
 import pandas as pd
 import pytest
 
-from tabsonde.operators import profile as module
-from tabsonde.operators.profile import profile, profile_warnings, top_correlations
+from tabsonde.operators.profile import (
+    duplicate_count,
+    profile,
+    profile_warnings,
+    top_correlations,
+)
 
 
 def rows_of(p):
@@ -17,13 +21,27 @@ def test_exact_numeric_statistics(spark):
     assert x["skew"] == pytest.approx(pd.Series([1, 2, 3, 4, 100]).skew(), abs=1e-6)
 
 
-def test_distributed_quartiles_give_the_same_profile(spark, monkeypatch):
-    data = pd.DataFrame({"x": [float(i % 17) ** 2 for i in range(500)], "k": range(500)})
-    df = spark.createDataFrame(data)
-    near = rows_of(profile(df))
-    monkeypatch.setattr(module, "IN_MEMORY_ROWS", 0)
-    far = rows_of(profile(df))
-    assert near == far
+def test_quartiles_with_one_common_value(spark):
+    data = pd.DataFrame({"x": [7.0] * 450 + [float(i) for i in range(50)], "k": range(500)})
+    x = rows_of(profile(spark.createDataFrame(data).repartition(9)))["x"]
+    expected = data["x"].quantile([0.25, 0.5, 0.75]).tolist()
+    assert [x["p25"], x["median"], x["p75"]] == expected
+
+
+def test_all_columns_are_profiled(spark):
+    df = spark.range(30).selectExpr("id", *[f"id * {i} % 7 AS c{i}" for i in range(210)])
+    p = profile(df, correlate=False, duplicates=False)
+    assert p.columns.count() == 211
+    assert profile(df, correlate=False, duplicates=False, max_columns=5).columns.count() == 5
+
+
+def test_duplicates_of_nested_values(spark):
+    rows = [([1, None], (1, None), [[1], [2, 3]]), ([1], (None, 1), [[1, 2], [3]])]
+    kinds = {"a": "array<int>", "s": "struct<x:int,y:int>", "n": "array<array<int>>"}
+    for k, (name, kind) in enumerate(kinds.items()):
+        df = spark.createDataFrame([(r[k],) for r in rows], f"{name} {kind}")
+        assert duplicate_count(df).first()["duplicate_rows"] == 0
+        assert duplicate_count(df.union(df)).first()["duplicate_rows"] == 2
 
 
 def test_infinite_and_constant(spark):

@@ -31,6 +31,43 @@ def test_byte_order_mark_and_tabs(spark, tmp_path):
     assert df.columns == ["a", "b"] and df.first()["b"] == "é"
 
 
+def test_quotes_and_missing_words(spark, tmp_path):
+    data = (
+        b'id,note,amount,day\n1,"He said ""hi, there""",3,2024-01-05\n'
+        b'2,"two\nlines",NA,2024-02-01\n3,N/A,4.5,\n'
+    )
+    rows = read_table(spark, write(tmp_path / "q.csv", data)).orderBy("id").collect()
+    assert [r["note"] for r in rows] == ['He said "hi, there"', "two\nlines", None]
+    assert [r["amount"] for r in rows] == [3.0, None, 4.5]
+    assert [str(r["day"])[:10] for r in rows] == ["2024-01-05", "2024-02-01", "None"]
+
+
+def test_delimiters_inside_quotes(spark, tmp_path):
+    data = b'a;b\n"x,y,z";1\n"p,q,r";2\n"u,v,w";3\n'
+    df = read_table(spark, write(tmp_path / "d.csv", data))
+    assert df.columns == ["a", "b"] and df.count() == 3
+
+
+def test_folders_compressed_files_and_tables(spark, tmp_path):
+    df = spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string")
+    df.write.parquet(str(tmp_path / "folder"))
+    assert read_table(spark, str(tmp_path / "folder")).count() == 2
+    df.coalesce(1).write.option("header", True).option("compression", "gzip").csv(str(tmp_path / "zipped"))
+    assert sorted(r["k"] for r in read_table(spark, str(tmp_path / "zipped")).collect()) == [1, 2]
+    file = next((tmp_path / "zipped").glob("*.csv.gz"))
+    assert read_table(spark, str(file)).columns == ["k", "v"]
+    df.createOrReplaceTempView("some_table")
+    assert read_table(spark, "some_table").count() == 2
+    assert read_table(spark, str(tmp_path / "folder"), format="parquet").count() == 2
+
+
+def test_columns_are_pruned_after_reading(spark, tmp_path):
+    rows = ",".join(f"c{i}" for i in range(6)) + "\n" + "1,2,3,4,5,6\n" * 3
+    df = read_table(spark, write(tmp_path / "w.csv", rows.encode()), schema=", ".join(f"c{i} int" for i in range(6)))
+    plan = df.select("c3")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<c3:int>" in plan
+
+
 def test_rejections(spark, tmp_path):
     cases = {"a.pdf": b"x", "b.csv": b"", "c.csv": b"a,b\n", "d.csv": b"\x00\x01,2\n1,2\n"}
     codes = {}

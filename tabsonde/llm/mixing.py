@@ -24,8 +24,8 @@ BLOCKS = 64
 MAX_REPEATS = 2.0
 SEED = 7
 #: Exponents tried in one job of the bisection, and such jobs.
-GRID = 32
-GRID_ROUNDS = 6
+GRID = 16
+GRID_ROUNDS = 8
 
 
 def exponent(

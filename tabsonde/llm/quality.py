@@ -24,7 +24,7 @@ from .learning import Logistic, logit, sigmoid
 
 #: Bounds of the samples that the classifiers are fitted on.
 LABELLED_ROWS = 20_000
-POOL_ROWS = 20_000
+POOL_ROWS = 10_000
 ROUNDS = 4
 #: What a view must be sure of to hand a row to the other, and how many rows of a class a round.
 CONFIDENT = 0.97
@@ -84,11 +84,17 @@ def metadata_features(lang: str | None, source: str | None, n_chars: int | None)
     return [*row, size, size * size, float(n_chars is None)]
 
 
+def _metadata(table: pa.RecordBatch | pa.Table) -> np.ndarray:
+    columns = (table[c].to_pylist() for c in ("lang", "source", "n_chars"))
+    out = np.zeros((table.num_rows, SOURCE_BUCKETS + LANG_BUCKETS + 3))
+    for k, row in enumerate(zip(*columns, strict=True)):
+        out[k] = metadata_features(*row)
+    return out
+
+
 def _views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     text = [text_features(t.as_py() or "") for t in batch["text"]]
-    columns = (batch[c].to_pylist() for c in ("lang", "source", "n_chars"))
-    meta = [metadata_features(*row) for row in zip(*columns, strict=True)]
-    return np.array(text, float), np.array(meta, float)
+    return np.array(text, float), _metadata(batch)
 
 
 @dataclass
@@ -194,28 +200,31 @@ def fit_quality(
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text, meta = _views(batch)
+            made = [text_features(t.as_py()) for t in batch["text"]]
+            columns = [batch[c] for c in ("doc_id", "label", "lang", "source", "n_chars")]
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch["doc_id"],
-                    batch["label"],
-                    pa.array(list(text), pa.list_(pa.float64())),
-                    pa.array(list(meta), pa.list_(pa.float64())),
-                ],
-                ["doc_id", "label", "text", "meta"],
+                [*columns, pa.array(made, pa.list_(pa.float64()))],
+                ["doc_id", "label", "lang", "source", "n_chars", "text"],
             )
 
     chosen = labelled.union(pool)  # at most LABELLED_ROWS + POOL_ROWS ids
     made = (
         rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
         .select("doc_id", "text", "lang", "source", "n_chars", "label")
-        .mapInArrow(features, "doc_id long, label double, text array<double>, meta array<double>")
+        .mapInArrow(
+            features,
+            "doc_id long, label double, lang string, source string, n_chars long, "
+            "text array<double>",
+        )
         .orderBy("doc_id")
         .limit(2 * (LABELLED_ROWS + POOL_ROWS))
         .toArrow()
     )
+    if not made.num_rows:
+        return None
     label = made["label"].to_numpy(zero_copy_only=False).astype(float)
-    text, meta = (np.array(made[c].to_pylist(), float) for c in ("text", "meta"))
+    text = made["text"].combine_chunks().flatten().to_numpy().reshape(len(label), -1)
+    meta = _metadata(made)
     has = ~np.isnan(label)
     part = np.array([zlib.crc32(b"%d" % d) % 1000 for d in made["doc_id"].to_pylist()])
     calibrates = (part < 1000 * CALIBRATION_SHARE)[has]

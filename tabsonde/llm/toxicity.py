@@ -232,7 +232,7 @@ def fit_toxicity(
     enough = [(y[part] == v).sum() >= 2 for part in (fits, ~fits) for v in (0, 1)]
     if not len(y) or not all(enough):
         return None
-    x = np.array(made["x"].to_pylist(), float)
+    x = made["x"].combine_chunks().flatten().to_numpy().reshape(len(y), -1)
     trees = BoostedTrees().fit(x[fits], y[fits])
     steps = Isotonic().fit(trees.margin(x[~fits]), y[~fits])
     return Scorer(_entries(units), trees, steps)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import small_batches, stage
 
 #: A subtree is template if so many pages of its host have it, and that share of them.
 TEMPLATE_PAGES = 5
@@ -264,6 +264,7 @@ def extract_text(
     host. Repeated rows are returned each; they count as pages of their own. Other columns are
     ignored, whatever their names.
     """
+    small_batches(pages.sparkSession)
     rows = pages.select(
         F.col(id_col).alias("page_id"),
         F.col(url_col).cast("string").alias("url"),

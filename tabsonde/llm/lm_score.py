@@ -22,23 +22,25 @@ from math import log, log10
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, text_of
+from .common import small_batches, stage, text_of
 
 DEPTH = 6
-#: Depth from which on a subtree is weighted in one task, and strings of a task, about.
+#: Depth from which on a subtree is weighted in one task, and bytes of text to a task's subtrees.
 TOP = 3
-SUBTREE_STRINGS = 200_000
+SUBTREE_BYTES = 1 << 23
 HELD_OUT_PARTS, HELD_OUT = 7, 2
 END = b"\n"
 #: Most strings and words that every task holds; all others are joined.
-HELD_STRINGS = 1 << 22
+HELD_STRINGS = 2_500_000
 HELD_WORDS = 250_000
 #: Bytes and distinct words that a task works on at a time.
-CHUNK_BYTES = 1 << 22
-FLUSH_WORDS = 500_000
+PORTION_BYTES = 1 << 20
+FLUSH_WORDS = 200_000
+PORTION_KEYS = 1 << 17
 
 LN_PI = log(np.pi)
 LN_HALF = log(0.5)
@@ -55,96 +57,139 @@ def is_held_out(doc_id: int | None) -> bool:
     return zlib.crc32(str(doc_id).encode()) % HELD_OUT_PARTS == HELD_OUT
 
 
-def chunks(texts: list[list[bytes]]) -> Iterator[tuple[int, list[bytes]]]:
-    """(first text, texts as bytes) of about CHUNK_BYTES each."""
-    first, held, size = 0, [], 0
-    for k, words in enumerate(texts):
-        held.append(b" ".join(words) + END)
-        size += len(held[-1])
-        if size >= CHUNK_BYTES:
-            yield first, held
-            first, held, size = k + 1, [], 0
-    if held:
-        yield first, held
+def portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with about PORTION_BYTES of text each, one row at least."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy().astype(np.int64)
+        upto = np.cumsum(sizes) // PORTION_BYTES
+        edges = np.flatnonzero(np.append(True, upto[1:] != upto[:-1])) if len(upto) else []
+        for low, high in zip(edges, [*edges[1:], len(upto)], strict=True):
+            yield batch.slice(low, high - low)
 
 
-def strings_of(text: list[bytes], depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(text number, string) for the bytes of the texts, CHUNK_BYTES at a time.
+def strings_of(texts: list[list[bytes]], depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text number, string) for the bytes of the texts, PORTION_BYTES at a time.
 
     A string is the byte (lowest) under its context, the nearest byte highest. Before a text
     stand ends.
     """
     pad = END * depth
-    data = np.frombuffer(b"".join(pad + t for t in text), np.uint8)
-    sizes = np.array([len(t) for t in text], np.int64)
+    written = [b" ".join(words) + END for words in texts]
+    data = np.frombuffer(b"".join(pad + t for t in written), np.uint8)
+    sizes = np.array([len(t) for t in written], np.int64)
     starts = np.cumsum(sizes + depth) - sizes
-    owner = np.repeat(np.arange(len(text)), sizes)
+    owner = np.repeat(np.arange(len(written)), sizes)
     at = np.arange(len(owner)) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
-    for low in range(0, len(at), CHUNK_BYTES):
-        here = at[low : low + CHUNK_BYTES]
+    for low in range(0, len(at), PORTION_BYTES):
+        here = at[low : low + PORTION_BYTES]
         made = np.zeros(len(here), np.uint64)
         for back in [*range(1, depth + 1), 0]:
             made = (made << np.uint64(8)) | data[here - back]
-        yield owner[low : low + CHUNK_BYTES], made.view(np.int64)
+        yield owner[low : low + PORTION_BYTES], made
 
 
 def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, where = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-    counts = np.concatenate([n for _, n in parts])
-    return keys, np.bincount(where, counts, len(keys)).astype(np.int64)
+    keys = np.concatenate([k for k, _ in parts])
+    order = np.argsort(keys)
+    keys, counts = keys[order], np.concatenate([n for _, n in parts])[order]
+    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    return keys[starts], np.add.reduceat(counts, starts) if len(starts) else counts
 
 
-def gathered(texts: DataFrame, depth: int) -> DataFrame:
-    """(string, null, n) and (null, word, n): counts over the training texts of ``texts``.
+def word_counts(texts: DataFrame) -> DataFrame:
+    """(word, n) over the training texts of ``texts`` (doc_id, text), the end among the words."""
 
-    Strings that only held-out texts have come with 0. ``texts`` has doc_id and text.
+    def made(words: Counter) -> pa.RecordBatch:
+        values = pa.array(list(words.values()), pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(list(words), pa.binary()), values], ["word", "n"]
+        )
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Counter()
+        for batch in batches:
+            for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
+                if not is_held_out(doc):
+                    words.update(words_of(text.as_py()))
+                    words[END] += 1
+                if len(words) >= FLUSH_WORDS:
+                    yield made(words)
+                    words = Counter()
+        yield made(words)
+
+    counted = texts.mapInArrow(count, "word binary, n long")
+    return counted.groupBy("word").agg(F.sum("n").alias("n"))
+
+
+#: Spread contexts of TOP bytes over parts, within what a long holds.
+SPREAD, SPREAD_END = 2_654_435_761, 1 << 32
+
+
+def part_of(context: np.ndarray, parts: int) -> np.ndarray:
+    spread = context.astype(np.uint64) * np.uint64(SPREAD) % np.uint64(SPREAD_END)
+    return (spread >> np.uint64(8)) % np.uint64(parts)
+
+
+def part_column(context: str, parts: int) -> Column:
+    spread = F.shiftright(F.col(context) * F.lit(SPREAD) % F.lit(SPREAD_END), 8)
+    return (spread % F.lit(parts)).cast("int")
+
+
+def string_counts(texts: DataFrame, depth: int, parts: int) -> DataFrame:
+    """(part, strings, counts): a row per part, its strings sorted, as packed numbers.
+
+    Counted are the training texts of ``texts`` (doc_id, text); strings that only held-out
+    texts have come with 0. All strings whose contexts agree in TOP bytes are in one part.
     """
 
-    def words_batch(words: Counter) -> pa.RecordBatch:
-        n = len(words)
+    def packed(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        strings, n = _summed(found)
+        part = part_of(strings >> np.uint64(8 * (depth - TOP + 1)), parts)
+        order = np.argsort(part, kind="stable")
+        part, strings, n = part[order], strings[order], n[order]
+        edges = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+        ends = np.append(edges[1:], len(part))
+        cut = list(zip(edges, ends, strict=True)) if len(part) else []
         return pa.RecordBatch.from_arrays(
             [
-                pa.nulls(n, pa.int64()),
-                pa.array(list(words), pa.binary()),
-                pa.array(list(words.values()), pa.int64()),
+                pa.array(part[edges].astype(np.int32) if cut else [], pa.int32()),
+                pa.array([strings[a:b].tobytes() for a, b in cut], pa.binary()),
+                pa.array([n[a:b].tobytes() for a, b in cut], pa.binary()),
             ],
-            ["string", "word", "n"],
+            ["part", "strings", "counts"],
         )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, strings = Counter(), []
-        for batch in batches:
+        found = []
+        for batch in portions(batches):
             split = [words_of(t.as_py()) for t in batch["text"]]
             trains = np.array([not is_held_out(d) for d in batch["doc_id"].to_pylist()], bool)
-            for text, train in zip(split, trains, strict=True):
-                if train:
-                    words.update(text)
-                    words[END] += 1
-                if len(words) >= FLUSH_WORDS:
-                    yield words_batch(words)
-                    words = Counter()
-            for first, texts_here in chunks(split):
-                for owner, made in strings_of(texts_here, depth):
-                    learns = trains[first + owner]
-                    keys, n = np.unique(made[learns], return_counts=True)
-                    unseen = np.unique(made[~learns])
-                    strings += [(keys, n), (unseen, np.zeros(len(unseen), np.int64))]
-                if len(strings) > 16:
-                    strings = [_summed(strings)]
-        if words:
-            yield words_batch(words)
-        if strings:
-            keys, n = _summed(strings)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys), pa.nulls(len(keys), pa.binary()), pa.array(n)],
-                ["string", "word", "n"],
-            )
+            for owner, made in strings_of(split, depth):
+                learns = trains[owner]
+                found.append(np.unique(made[learns], return_counts=True))
+                unseen = np.unique(made[~learns])
+                found.append((unseen, np.zeros(len(unseen), np.int64)))
+            if len(found) > 8:
+                found = [_summed(found)]
+        if found:
+            yield packed(found)
+
+    def merge(table: pa.Table) -> pa.Table:
+        found = [
+            (np.frombuffer(s.as_py(), np.uint64), np.frombuffer(n.as_py(), np.int64))
+            for s, n in zip(table["strings"], table["counts"], strict=True)
+        ]
+        strings, n = _summed(found)
+        return pa.table(
+            {
+                "part": pa.array([table["part"][0].as_py()], pa.int32()),
+                "strings": pa.array([strings.tobytes()], pa.binary()),
+                "counts": pa.array([n.tobytes()], pa.binary()),
+            }
+        )
 
-    return (
-        texts.mapInArrow(count, "string long, word binary, n long")
-        .groupBy("string", "word")
-        .agg(F.sum("n").alias("n"))
-    )
+    kinds = "part int, strings binary, counts binary"
+    return texts.mapInArrow(count, kinds).groupBy("part").applyInArrow(merge, kinds)
 
 
 def ln_gamma(x: Column) -> Column:
@@ -198,8 +243,9 @@ class Subtree:
         node = keys >> np.uint64(8 - k)
         starts = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
         bit = (keys >> np.uint64(7 - k)) & np.uint64(1)
-        self.starts[at] = starts
-        self.runs[at] = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(keys))))
+        self.starts[at] = starts.astype(np.int32)
+        sizes = np.diff(np.append(starts, len(keys)))
+        self.runs[at] = np.repeat(np.arange(len(starts), dtype=np.int32), sizes)
         b = np.add.reduceat(n * (bit == 1), starts)
         a = np.add.reduceat(n, starts) - b
         kt = ln_gamma_array(a + 0.5) + ln_gamma_array(b + 0.5) - ln_gamma_array(a + b + 1) - LN_PI
@@ -207,7 +253,8 @@ class Subtree:
         if d == self.depth:
             self.ln_p[at], self.own[at] = kt, np.ones(len(kt))
         else:
-            children = np.bincount(self.parents(d + 1, k), self.ln_p[d + 1, k], len(starts))
+            below = self.ln_p.pop((d + 1, k))
+            children = np.bincount(self.parents(d + 1, k), below, len(starts))
             self.ln_p[at] = LN_HALF + np.logaddexp(kt, children)
             self.own[at] = np.exp(LN_HALF + kt - self.ln_p[at])
 
@@ -248,29 +295,29 @@ class Subtree:
         return total
 
 
-def _sorted_strings(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    strings = table["string"].to_numpy().view(np.uint64)
-    order = np.argsort(strings)
-    return strings[order], table["n"].to_numpy()[order].astype(float)
+def _unpacked(strings: pa.Scalar, counts: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+    n = np.frombuffer(counts.as_py(), np.int64)
+    return np.frombuffer(strings.as_py(), np.uint64), n.astype(float)
 
 
-def tree_logs(counts: DataFrame, depth: int) -> DataFrame:
+def tree_logs(counted: DataFrame, depth: int, parts: int) -> DataFrame:
     """(string, log10p, n): the weighted tree's probability of the last byte after its context.
 
-    ``counts`` has string and n. A task holds the strings of a few contexts of TOP bytes; the
-    nodes of the levels above are rows.
+    ``counted`` is what ``string_counts`` returns, staged. A task weights the subtrees of one
+    part; the nodes of the levels above are rows.
     """
-    parts = max(16, counts.count() // SUBTREE_STRINGS)
-    near = F.shiftrightunsigned("string", 8 * (depth - TOP + 1))
-    counts = counts.withColumn("part", F.pmod(F.xxhash64(near), F.lit(parts)).cast("int"))
-
-    def weigh(table: pa.Table) -> pa.Table:
-        tree = Subtree(*_sorted_strings(table), TOP, depth)
-        context, node, a, b, ln_p = tree.top_nodes()
-        columns = [context.view(np.int64), node.astype(np.int32), a, b, ln_p]
-        return pa.table(dict(zip(("context", "node", "a", "b", "ln_p"), columns, strict=True)))
 
-    level = counts.groupBy("part").applyInArrow(
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for packed in zip(batch["strings"], batch["counts"], strict=True):
+                tree = Subtree(*_unpacked(*packed), TOP, depth)
+                context, node, a, b, ln_p = tree.top_nodes()
+                columns = [context.view(np.int64), node.astype(np.int32), a, b, ln_p]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c) for c in columns], ["context", "node", "a", "b", "ln_p"]
+                )
+
+    level = counted.select("strings", "counts").mapInArrow(
         weigh, "context long, node int, a double, b double, ln_p double"
     )
     levels = [stage(level, f"level-{TOP}")]
@@ -304,15 +351,11 @@ def tree_logs(counts: DataFrame, depth: int) -> DataFrame:
         )
         above = level.join(passed, is_parent).drop("parent", "parent_node")
     reaching = above.select(
-        "context",
-        "node",
-        "fixed",
-        "factor",
-        F.pmod(F.xxhash64("context"), F.lit(parts)).cast("int").alias("part"),
+        "context", "node", "fixed", "factor", part_column("context", parts).alias("part")
     )
 
     def descend(strings: pa.Table, nodes: pa.Table) -> pa.Table:
-        keys, n = _sorted_strings(strings)
+        keys, n = _unpacked(strings["strings"][0], strings["counts"][0])
         tree = Subtree(keys, n, TOP, depth)
         context, node, *_ = tree.top_nodes()
         reached = (nodes["context"].to_numpy().view(np.uint64) << np.uint64(8)) | nodes[
@@ -324,7 +367,7 @@ def tree_logs(counts: DataFrame, depth: int) -> DataFrame:
         return pa.table({"string": keys.view(np.int64), "log10p": logs, "n": n.astype(np.int64)})
 
     return (
-        counts.groupBy("part")
+        counted.groupBy("part")
         .cogroup(reaching.groupBy("part"))
         .applyInArrow(descend, "string long, log10p double, n long")
     )
@@ -354,6 +397,10 @@ class Held:
         self.mask = (1 << bits) - 1
         self.keys = np.full(1 << bits, -1, np.int64)
         self.values = np.zeros(1 << bits, np.float32)
+        for low in range(0, len(keys), PORTION_KEYS):
+            self._put(keys[low : low + PORTION_KEYS], values[low : low + PORTION_KEYS])
+
+    def _put(self, keys: np.ndarray, values: np.ndarray) -> None:
         todo = np.arange(len(keys))
         place = self._first(keys)
         for _ in range(self.TRIES):
@@ -398,17 +445,20 @@ def language_scores(
     scored as often as they come. An empty table gives no rows.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    counts = stage(gathered(texts, depth), "lm-counts")
-    words = counts.where("word IS NOT NULL").select("word", "n")
-    strings = counts.where("string IS NOT NULL").select("string", "n")
-    logs = stage(tree_logs(strings, depth), "lm-logs")
+    small_batches(docs.sparkSession)
+    words = stage(word_counts(texts), "lm-words")
+    size = texts.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    parts = max(16, size // SUBTREE_BYTES)
+    counted = stage(string_counts(texts, depth, parts), "lm-strings")
+    logs = stage(tree_logs(counted, depth, parts), "lm-logs")
 
     sums = words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     train_tokens, vocabulary = sums["n"] or 0, sums["v"]
     log_total = log10(train_tokens + vocabulary + 1)
 
-    held = frequent(logs, HELD_STRINGS).select("string", "log10p").toArrow()
-    held_strings = held["string"].to_numpy(), held["log10p"].to_numpy().astype(np.float32)
+    held = frequent(logs, HELD_STRINGS)
+    held = held.select("string", F.col("log10p").cast("float").alias("log10p")).toArrow()
+    held_strings = held["string"].to_numpy(), held["log10p"].to_numpy()
     held = frequent(words, HELD_WORDS).toArrow()
     held_words, held_counts = held["word"].combine_chunks(), held["n"].to_numpy()
 
@@ -417,7 +467,7 @@ def language_scores(
         known = dict(
             zip(held_words.to_pylist(), np.log10(held_counts + 1.0).tolist(), strict=True)
         )
-        for batch in batches:
+        for batch in portions(batches):
             split = [words_of(t.as_py()) for t in batch["text"]]
             n = len(split)
             base, n_known = np.zeros(n), np.zeros(n, np.int64)
@@ -428,19 +478,16 @@ def language_scores(
                 n_known[k] = len(found) - len(rare)
                 base[k] = sum(v for v in found if v is not None)
                 rare_words.append(rare)
-            sizes, sums_here = np.zeros(n, np.int64), np.zeros(n)
-            rare_strings, rare_owners = [], []
-            for first, texts_here in chunks(split):
-                for owner, made in strings_of(texts_here, depth):
-                    values, missing = table.look_up(made)
-                    m = len(texts_here)
-                    sizes[first : first + m] += np.bincount(owner, minlength=m)
-                    sums_here[first : first + m] += np.bincount(owner, values, m)
-                    rare_strings.append(made[missing])
-                    rare_owners.append(first + owner[missing])
-            strings_flat = np.concatenate([np.empty(0, np.int64), *rare_strings])
-            owners = np.concatenate([np.empty(0, np.int64), *rare_owners])
-            edges = np.searchsorted(owners, np.arange(n + 1)).astype(np.int32)
+            sizes, total = np.zeros(n, np.int64), np.zeros(n)
+            rare_strings, owners = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for owner, made in strings_of(split, depth):
+                keys = made.view(np.int64)
+                values, missing = table.look_up(keys)
+                sizes += np.bincount(owner, minlength=n)
+                total += np.bincount(owner, values, n)
+                rare_strings.append(keys[missing])
+                owners.append(owner[missing])
+            edges = np.searchsorted(np.concatenate(owners), np.arange(n + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch["doc_id"],
@@ -448,9 +495,11 @@ def language_scores(
                     pa.array(n_known),
                     pa.array(base),
                     pa.array(sizes),
-                    pa.array(sums_here),
+                    pa.array(total),
                     pa.array(rare_words, pa.list_(pa.binary())),
-                    pa.ListArray.from_arrays(pa.array(edges), pa.array(strings_flat)),
+                    pa.ListArray.from_arrays(
+                        pa.array(edges), pa.array(np.concatenate(rare_strings))
+                    ),
                 ],
                 ["doc_id", "n_tokens", "known", "base", "n_bytes", "sum", "words", "strings"],
             )

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stage, text_of
+from .common import small_batches, stage, text_of
 
 SEQUENCE_TOKENS = 2048
 #: Steps that the search of one filling may take before its incumbent is used.
@@ -73,6 +73,8 @@ def tokenised_pieces(
     document longer than a sequence is cut, and then only its first piece may be shorter.
     """
 
+    small_batches(docs.sparkSession)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 

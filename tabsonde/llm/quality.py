@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashed_sample, text_of
+from .common import hashed_sample, small_batches, text_of
 from .learning import Logistic, logit, sigmoid
 
 #: Bounds of the samples that the classifiers are fitted on.
@@ -77,6 +77,7 @@ def text_features(text: str) -> list[float]:
 
 def metadata_features(lang: str | None, source: str | None, n_chars: int | None) -> list[float]:
     """Hashed indicators of language and source (null is a value of its own) and the length."""
+    source, lang = (c if c is None else str(c) for c in (source, lang))
     row = [0.0] * (SOURCE_BUCKETS + LANG_BUCKETS)
     row[zlib.crc32(repr(source).encode()) % SOURCE_BUCKETS] = 1.0
     row[SOURCE_BUCKETS + zlib.crc32(repr(lang).encode()) % LANG_BUCKETS] = 1.0
@@ -183,6 +184,7 @@ def fit_quality(
     ``labels`` has doc_id and quality (0 or 1); other values and nulls are passed over, and a
     document labelled both ways counts as bad. None if a class has too few rows to fit.
     """
+    small_batches(docs.sparkSession)
     known = (
         labels.where("quality IN (0, 1) AND doc_id IS NOT NULL")
         .groupBy(F.col("doc_id").cast("long").alias("label_id"))
@@ -278,15 +280,17 @@ def keep_good_documents(
     model = fit_quality(docs, labels, id_col, text_col)
     if model is None:
         return docs
-    wide = docs.select("*", F.struct(*_inputs(docs, id_col, text_col)).alias("__inputs"))
+    names = [c for c in ("lang", "source", "n_chars") if c in docs.columns]
+    columns = {c: k for k, c in enumerate(docs.columns)}
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                inputs = batch.column(batch.num_columns - 1)
-                views = pa.RecordBatch.from_struct_array(inputs)
-                made = model.scores(*_views(views))
-                kept = batch.filter(pa.array(made[2] >= threshold))
-                yield pa.RecordBatch.from_arrays(kept.columns[:-1], kept.schema.names[:-1])
-
-    return wide.mapInArrow(pick, docs.schema)
+                made = {c: batch.column(columns[c]) for c in names}
+                for c in ("lang", "source", "n_chars"):
+                    made.setdefault(c, pa.nulls(batch.num_rows))
+                views = pa.RecordBatch.from_pydict({"text": batch.column(columns[text_col]), **made})
+                score = model.scores(*_views(views))[2]
+                yield batch.filter(pa.array(score >= threshold))
+
+    return docs.mapInArrow(pick, docs.schema)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_rows, stage, text_of
+from .common import keep_rows, small_batches, stage, text_of
 from .components import components
 
 SHINGLE_WORDS = 3
@@ -57,6 +57,7 @@ def fingerprints(
     words: int = SHINGLE_WORDS,
 ) -> DataFrame:
     """doc_id and its fingerprint as a (signed) long, one row per row of ``docs``."""
+    small_batches(docs.sparkSession)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,6 +112,7 @@ def links_within(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     Not every pair is a row: what two tiles connect comes back as links that span it.
     """
+    small_batches(prints.sparkSession)
     masks = [((1 << QUARTER_BITS) - 1) << (QUARTER_BITS * q) for q in range(QUARTERS)]
     signed = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
     base = QUARTER_BITS + 1

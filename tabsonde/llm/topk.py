@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hashed_sample, stage
+from .common import hashed_sample, small_batches, stage
 
 K = 5
 SCALE = 256
@@ -137,6 +137,7 @@ def top_k(
     ``k`` give fewer ranks; an empty table gives no rows.
     """
     spark = table.sparkSession
+    small_batches(spark)
     rows = stage(whole_vectors(table, id_col, vector_col), "vectors")
     length = F.aggregate("v", F.lit(0).cast("double"), lambda s, x: s + x.cast("double") * x)
     sums = rows.agg(

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from .common import hashed_sample, stage, text_of
+from .common import hashed_sample, small_batches, stage, text_of
 from .learning import BoostedTrees, Isotonic
 
 #: Bound of the sample of labelled rows that everything is fitted on.
@@ -201,6 +201,7 @@ def fit_toxicity(
     ``labels`` has doc_id and toxic (0 or 1); other values and nulls are passed over, a
     document labelled both ways counts as toxic. None if a class has too few rows.
     """
+    small_batches(docs.sparkSession)
     known = (
         labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL")
         .where(~held_out(F.col("doc_id")))

@@ -7,6 +7,8 @@ no such folder is set the table is persisted instead, which Spark rebuilds after
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
@@ -16,6 +18,24 @@ from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Remove a staged table when the program ends, if its session still runs then."""
+    _WRITTEN.append((spark, path))
+
+
+@atexit.register
+def _remove_written() -> None:
+    for spark, path in _WRITTEN:
+        # At the end of a program the session may be gone already.
+        with contextlib.suppress(Exception):
+            if spark.sparkContext._jsc is not None:
+                place = spark._jvm.org.apache.hadoop.fs.Path(path)
+                place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def shared_folder(df: DataFrame) -> str | None:
     return df.sparkSession.conf.get("spark.checkpoint.dir", None)
 
@@ -26,6 +46,7 @@ def stage(df: DataFrame) -> DataFrame:
         return df.persist(StorageLevel.MEMORY_AND_DISK)
     path = f"{folder.rstrip('/')}/staged-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    remove_at_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -175,3 +175,12 @@ def test_effect_scale(spark):
     assert [r[0] for r in out] == ["moderate", "negligible", "strong"]
     assert [r[1] for r in out] == pytest.approx([0.8, 0.1, 1.5])
     assert [r[2] for r in out] == pytest.approx([0.4, 1.0, 0.5])
+
+
+def test_student_tail_has_no_jump():
+    for t in (0.3, 2.0, 9.0, 30.0):
+        below, above = (pvalues.student_two_sided(t, df) for df in (99_999.0, 100_001.0))
+        # The tail itself changes by about t**4 / (4 * df**2) per degree of freedom.
+        assert above == pytest.approx(below, rel=1e-9 + t**4 / 1e10)
+    assert pvalues.student_two_sided(30.0, 10_000_001.0) == pytest.approx(1.001e-197, rel=1e-3)
+    assert pvalues.student_two_sided(2.0, 1e15) == pytest.approx(pvalues.normal_two_sided(2.0))

@@ -48,12 +48,12 @@ ENDED_BY = {
 }
 #: Words in class, id or role that name what is not the article.
 NAMES = frozenset(
-    "ad ads advert advertisement advertising adverts banner breadcrumb breadcrumbs comment "
-    "comments commentlist consent cookie cookies disclaimer disqus footer gdpr login masthead "
-    "menu modal nav navbar navigation newsletter notice notices pager pagination popup promo "
-    "promoted promotion related reply replies respond search share sharing sidebar signup "
-    "skip social sponsor sponsored subscribe subscription tags toolbar widget widgets "
-    "complementary contentinfo".split()
+    "ad adbox ads adsense adslot adunit advert advertisement advertising adverts alert banner "
+    "breadcrumb breadcrumbs comment comments commentlist consent cookie cookiebar cookies "
+    "disclaimer disqus footer gdpr login masthead menu modal nav navbar navigation newsletter "
+    "notice notices pager pagination popup promo promoted promotion related reply replies "
+    "respond search share sharing sidebar signup skip social sponsor sponsored subscribe "
+    "subscription tags toolbar widget widgets complementary contentinfo".split()
 )
 #: Elements of an article that may be template; its paragraphs and headings never are.
 CONTAINERS = frozenset("div section aside ul ol dl table header figure details".split())

@@ -27,6 +27,8 @@ QUARTERS = 4
 QUARTER_BITS = 16
 #: Fingerprints of a tile: two tiles meet in one array of its square.
 TILE = 1024
+#: Shingles of a text that are hashed at a time.
+BLOCK = 1 << 16
 
 
 def fingerprint(text: str, words: int = SHINGLE_WORDS) -> int:
@@ -37,17 +39,16 @@ def fingerprint(text: str, words: int = SHINGLE_WORDS) -> int:
     if not tokens:
         return 0
     joined = b" ".join(tokens)
-    if len(tokens) <= words:
-        hashes = [xxhash.xxh64_intdigest(joined, SEED)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1)
-        starts = [0, *ends[:-words].tolist()]
-        stops = (ends[words - 1 :] - 1).tolist()
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)]
-    bits = np.unpackbits(np.array(hashes, ">u8").view(np.uint8).reshape(-1, 8), axis=1)
-    set_bits = bits.sum(axis=0, dtype=np.int64) * 2 > len(hashes)
-    return int.from_bytes(np.packbits(set_bits).tobytes(), "big")
+    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1)
+    shingles = max(len(tokens) - words + 1, 1)
+    starts = np.append(0, ends)[:shingles]
+    stops = ends[-shingles:] - 1
+    digest, ones = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
+    for low in range(0, shingles, BLOCK):
+        spans = zip(starts[low : low + BLOCK].tolist(), stops[low : low + BLOCK].tolist(), strict=True)
+        hashes = np.array([digest(joined[a:b], SEED) for a, b in spans], ">u8")
+        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(ones * 2 > shingles).tobytes(), "big")
 
 
 def fingerprints(

@@ -58,8 +58,3 @@ def ratio_text(ratio: Column) -> Column:
 def pct_change(new: Column, old: Column) -> Column:
     change = (F.try_divide(new.cast("double"), old.cast("double")) - 1) * 100
     return F.when(old == 0, F.lit("n/a")).otherwise(F.format_string("%+.0f%%", change))
-
-
-def whole(value: Column) -> Column:
-    """Integer with thousands separators."""
-    return F.format_string("%,d", value.cast("bigint"))

@@ -91,8 +91,3 @@ def correlation(a: str, b: str) -> str:
     """Pearson correlation over complete pairs, missing when either side is constant."""
     x, y = f"if({b} IS NOT NULL, {a}, NULL)", f"if({a} IS NOT NULL, {b}, NULL)"
     return f"try_divide(covar_pop({x}, {y}), stddev_pop({x}) * stddev_pop({y}))"
-
-
-def percent_of(part: Column, whole: Column) -> Column:
-    """100 * part / whole to two digits; 0 for an empty whole."""
-    return F.when(whole == 0, 0.0).otherwise(F.round(F.try_divide(part * 100.0, whole), 2))

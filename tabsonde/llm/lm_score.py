@@ -35,12 +35,14 @@ SUBTREE_BYTES = 1 << 23
 HELD_OUT_PARTS, HELD_OUT = 7, 2
 END = b"\n"
 #: Most strings and words that every task holds; all others are joined.
-HELD_STRINGS = 2_500_000
-HELD_WORDS = 250_000
+HELD_STRINGS = 1_300_000
+HELD_WORDS = 150_000
 #: Bytes and distinct words that a task works on at a time.
 PORTION_BYTES = 1 << 20
 FLUSH_WORDS = 200_000
 PORTION_KEYS = 1 << 17
+#: Rows of a batch of packed strings.
+PACKED_ROWS = 8
 
 LN_PI = log(np.pi)
 LN_HALF = log(0.5)
@@ -76,16 +78,19 @@ def strings_of(texts: list[list[bytes]], depth: int) -> Iterator[tuple[np.ndarra
     pad = END * depth
     written = [b" ".join(words) + END for words in texts]
     data = np.frombuffer(b"".join(pad + t for t in written), np.uint8)
-    sizes = np.array([len(t) for t in written], np.int64)
-    starts = np.cumsum(sizes + depth) - sizes
+    sizes = np.array([len(t) + depth for t in written], np.int64)
     owner = np.repeat(np.arange(len(written)), sizes)
-    at = np.arange(len(owner)) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
-    for low in range(0, len(at), PORTION_BYTES):
-        here = at[low : low + PORTION_BYTES]
-        made = np.zeros(len(here), np.uint64)
+    real = np.ones(len(data), bool)
+    starts = np.cumsum(sizes) - sizes
+    real[(starts[:, None] + np.arange(depth)[None, :]).ravel()] = False
+    for low in range(depth, len(data), PORTION_BYTES):
+        high = min(low + PORTION_BYTES, len(data))
+        made = np.zeros(high - low, np.uint64)
         for back in [*range(1, depth + 1), 0]:
-            made = (made << np.uint64(8)) | data[here - back]
-        yield owner[low : low + PORTION_BYTES], made
+            made <<= np.uint64(8)
+            made |= data[low - back : high - back]
+        kept = real[low:high]
+        yield owner[low:high][kept], made[kept]
 
 
 def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -142,22 +147,26 @@ def string_counts(texts: DataFrame, depth: int, parts: int) -> DataFrame:
     texts have come with 0. All strings whose contexts agree in TOP bytes are in one part.
     """
 
-    def packed(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        strings, n = _summed(found)
-        part = part_of(strings >> np.uint64(8 * (depth - TOP + 1)), parts)
+    kinds = "part int, strings binary, counts binary"
+
+    def packed(
+        strings: np.ndarray, n: np.ndarray, part: np.ndarray
+    ) -> Iterator[pa.RecordBatch]:
+        """A row per part, its strings in order; few rows to a batch, for they are long."""
         order = np.argsort(part, kind="stable")
         part, strings, n = part[order], strings[order], n[order]
-        edges = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-        ends = np.append(edges[1:], len(part))
-        cut = list(zip(edges, ends, strict=True)) if len(part) else []
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(part[edges].astype(np.int32) if cut else [], pa.int32()),
-                pa.array([strings[a:b].tobytes() for a, b in cut], pa.binary()),
-                pa.array([n[a:b].tobytes() for a, b in cut], pa.binary()),
-            ],
-            ["part", "strings", "counts"],
-        )
+        edges = np.flatnonzero(np.append(True, part[1:] != part[:-1])[: len(part)])
+        cut = list(zip(edges, np.append(edges[1:], len(part)), strict=True)) if len(part) else []
+        for low in range(0, len(cut), PACKED_ROWS):
+            here = cut[low : low + PACKED_ROWS]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([int(part[a]) for a, _ in here], pa.int32()),
+                    pa.array([strings[a:b].tobytes() for a, b in here], pa.binary()),
+                    pa.array([n[a:b].tobytes() for a, b in here], pa.binary()),
+                ],
+                ["part", "strings", "counts"],
+            )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = []
@@ -169,17 +178,26 @@ def string_counts(texts: DataFrame, depth: int, parts: int) -> DataFrame:
                 found.append(np.unique(made[learns], return_counts=True))
                 unseen = np.unique(made[~learns])
                 found.append((unseen, np.zeros(len(unseen), np.int64)))
-            if len(found) > 8:
+            if len(found) > 6:
                 found = [_summed(found)]
         if found:
-            yield packed(found)
+            strings, n = _summed(found)
+            del found
+            yield from packed(strings, n, part_of(strings ^ (strings >> np.uint64(29)), parts))
 
-    def merge(table: pa.Table) -> pa.Table:
-        found = [
+    def unpacked(table: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
+        return [
             (np.frombuffer(s.as_py(), np.uint64), np.frombuffer(n.as_py(), np.int64))
             for s, n in zip(table["strings"], table["counts"], strict=True)
         ]
-        strings, n = _summed(found)
+
+    def add_up(table: pa.Table) -> pa.Table:
+        strings, n = _summed(unpacked(table))
+        near = part_of(strings >> np.uint64(8 * (depth - TOP + 1)), parts)
+        return pa.Table.from_batches(packed(strings, n, near))
+
+    def gather(table: pa.Table) -> pa.Table:
+        strings, n = _summed(unpacked(table))
         return pa.table(
             {
                 "part": pa.array([table["part"][0].as_py()], pa.int32()),
@@ -188,8 +206,10 @@ def string_counts(texts: DataFrame, depth: int, parts: int) -> DataFrame:
             }
         )
 
-    kinds = "part int, strings binary, counts binary"
-    return texts.mapInArrow(count, kinds).groupBy("part").applyInArrow(merge, kinds)
+    # What the tasks found is added up evenly by string first, so that no task gets a frequent
+    # context as often as there are tasks; then each string goes to its context once.
+    even = texts.mapInArrow(count, kinds).groupBy("part").applyInArrow(add_up, kinds)
+    return even.groupBy("part").applyInArrow(gather, kinds)
 
 
 def ln_gamma(x: Column) -> Column:

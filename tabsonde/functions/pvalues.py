@@ -22,8 +22,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # From here on the t tail is expanded in 1/df, where log-gamma differences lose digits; both
 # agree to about ten digits here.
 EXPANSION_DF = 1e5
-# Largest n1*n2 for which the exact Mann-Whitney distribution is enumerated.
-EXACT_CELLS = 20_000
+# Largest small side for which Mann-Whitney's exact distribution is used, if there are no ties.
 EXACT_SIDE = 8
 
 
@@ -99,26 +98,47 @@ def student_two_sided(t: float, df: float) -> float:
     return max(1.0 - math.exp(front) * _beta_fraction(b, a, 1.0 - x) / b, 0.0)
 
 
+def _partitions_up_to(most: list[int], parts: int) -> list[int]:
+    """For each number, how many partitions into parts of 1 to ``parts`` do not exceed it.
+
+    The generating function 1 / ((1 - q)(1 - q)(1 - q^2)...(1 - q^parts)) is brought to the
+    denominator (1 - q^period)^(parts + 1), so that a number takes parts + 1 terms, whatever
+    its size.
+    """
+    period = math.lcm(*range(1, parts + 1))
+    top = np.zeros(period * (parts + 1), dtype=object)
+    top[0] = 1
+    for i in (1, *range(1, parts + 1)):
+        grown = top.copy()
+        grown[period:] -= top[:-period]
+        for offset in range(i):
+            grown[offset::i] = np.cumsum(grown[offset::i])
+        top = grown
+    return [
+        sum(
+            int(top[j]) * math.comb((x - j) // period + parts, parts)
+            for j in range(x % period, min(x + 1, len(top)), period)
+        )
+        for x in most
+    ]
+
+
 def exact_mann_whitney(u: float, n1: int, n2: int) -> float:
-    """Two-sided exact p of U without ties.
+    """Two-sided exact p of U without ties, for a small side and another of any size.
 
-    The counts of arrangements per U are the coefficients of a Gaussian binomial,
-    multiplied out factor by factor with exact integers.
+    The counts of arrangements per U are the coefficients of a Gaussian binomial. Its numerator
+    is multiplied out (2^small terms), the denominator counts partitions; all exact integers.
     """
     small, large = sorted((int(n1), int(n2)))
-    size = small * large + 1
-    counts = np.zeros(size, dtype=object)
-    counts[0] = 1
+    nearer = small * large - math.ceil(max(u, n1 * n2 - u) - 1e-9)
+    signs = {0: 1}
     for i in range(1, small + 1):
-        grown = counts.copy()
-        if large + i < size:
-            grown[large + i :] -= counts[: size - large - i]
-        for offset in range(min(i, size)):
-            grown[offset::i] = np.cumsum(grown[offset::i])
-        counts = grown
-    top = max(u, n1 * n2 - u)
-    tail = int(sum(counts[int(math.ceil(top - 1e-9)) :]))
-    return min(2.0 * tail / int(sum(counts)), 1.0)
+        for shift, sign in list(signs.items()):
+            signs[shift + large + i] = signs.get(shift + large + i, 0) - sign
+    signs = {nearer - shift: sign for shift, sign in signs.items() if shift <= nearer}
+    counts = _partitions_up_to(list(signs), small)
+    tail = sum(sign * n for sign, n in zip(signs.values(), counts, strict=True))
+    return min(2 * tail / math.comb(small + large, small), 1.0)
 
 
 def _mapped(function, *series: pd.Series) -> pd.Series:

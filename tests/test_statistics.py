@@ -184,3 +184,35 @@ def test_student_tail_has_no_jump():
         assert above == pytest.approx(below, rel=1e-9 + t**4 / 1e10)
     assert pvalues.student_two_sided(30.0, 10_000_001.0) == pytest.approx(1.001e-197, rel=1e-3)
     assert pvalues.student_two_sided(2.0, 1e15) == pytest.approx(pvalues.normal_two_sided(2.0))
+
+
+def counted_mann_whitney(u, n1, n2):
+    """The same p from the number of arrangements for each U, counted row by row."""
+    ways = {(0, 0): 1}
+    for rank in range(n1 + n2):
+        grown = {}
+        for (chosen, total), n in ways.items():
+            grown[chosen, total] = grown.get((chosen, total), 0) + n
+            if chosen < n1:
+                at = chosen + 1, total + rank - chosen
+                grown[at] = grown.get(at, 0) + n
+        ways = grown
+    tail = sum(n for (k, total), n in ways.items() if k == n1 and total >= max(u, n1 * n2 - u))
+    return min(2 * tail / math.comb(n1 + n2, n1), 1.0)
+
+
+def test_exact_tail_against_counting():
+    for n1, n2 in ((1, 30), (2, 9), (3, 40), (5, 5), (7, 12), (8, 8), (8, 20)):
+        for u in range(0, n1 * n2 + 1, 1 + n1 * n2 // 12):
+            expected = counted_mann_whitney(u, n1, n2)
+            assert pvalues.exact_mann_whitney(u, n1, n2) == pytest.approx(expected, rel=1e-12)
+            assert pvalues.exact_mann_whitney(u, n2, n1) == pytest.approx(expected, rel=1e-12)
+
+
+@pytest.mark.parametrize("n", [6_666, 6_667, 50_000])
+def test_exact_small_side_of_a_large_table(spark, n):
+    x = [float(k) for k in range(n + 3)]
+    f = frame(spark, {"won": [False] * n + [True] * 3, "x": x}, ["won"])
+    p = single_test(f, "number", "won", "x").first()["p_value"]
+    assert p == pytest.approx(2 / math.comb(n + 3, 3), rel=1e-9)
+    assert pvalues.exact_mann_whitney(0, 8, 10**12) == pytest.approx(2 / math.comb(10**12 + 8, 8))

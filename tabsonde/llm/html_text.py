@@ -27,7 +27,7 @@ VOID = frozenset(
 )
 UNREAD = frozenset(
     "head title script style noscript template iframe object svg math canvas audio video "
-    "select option datalist button textarea label input form fieldset dialog".split()
+    "select option datalist button textarea label input fieldset dialog".split()
 )
 AROUND = frozenset("nav footer aside menu search".split())
 BLOCKS = frozenset(
@@ -55,17 +55,26 @@ NAMES = frozenset(
     "respond search share sharing sidebar signup skip social sponsor sponsored subscribe "
     "subscription tags toolbar widget widgets complementary contentinfo".split()
 )
+#: What a name or a form never removes.
+KEPT = frozenset("html body main article".split())
 #: Elements of an article that may be template; its paragraphs and headings never are.
 CONTAINERS = frozenset("div section aside ul ol dl table header figure details".split())
 
 
+def _is_name(token: str) -> bool:
+    """Whether a whole class, id or role is made of NAMES: 'cookie-notice', not 'has-sidebar'."""
+    words = "".join(c if c.isalpha() else " " for c in token).split()
+    return bool(words) and all(w in NAMES for w in words)
+
+
 class Element:
     """An element with its children (elements and texts) and, when it is closed, its hash."""
 
-    __slots__ = ("tag", "named", "children", "hash", "marks")
+    __slots__ = ("tag", "named", "children", "hash", "marks", "size", "holds")
 
     def __init__(self, tag: str, attributes: list[tuple[str, str | None]]):
         self.tag, self.children, self.hash = tag, [], 0
+        self.size, self.holds = 0, False
         self.marks = ""
         names = ""
         for key, value in attributes:
@@ -74,23 +83,40 @@ class Element:
                 self.marks += f" {key}={value}"
             elif key == "hidden" or (key == "aria-hidden" and value == "true"):
                 names += " ad"
-        words = "".join(c if c.isalpha() else " " for c in names).split() if names else ()
-        self.named = any(w in NAMES for w in words)
+        self.named = any(map(_is_name, names.split()))
 
     def close(self) -> None:
         import xxhash
 
         parts = [self.tag, self.marks]
         for child in self.children:
-            parts.append(" ".join(child.split()) if isinstance(child, str) else str(child.hash))
+            if isinstance(child, str):
+                parts.append(" ".join(child.split()))
+                self.size += len(parts[-1])
+                continue
+            parts.append(str(child.hash))
+            if child.tag not in UNREAD and child.tag not in AROUND:
+                self.size += child.size
+                self.holds |= child.holds or child.tag in ("article", "main")
         self.hash = xxhash.xxh64_intdigest("\x00".join(parts).encode("utf-8", "surrogatepass"))
         self.hash -= (self.hash >> 63) << 64
 
-    def is_around(self, in_article: bool) -> bool:
+    def is_aside(self, page_size: int) -> bool:
+        """Whether its tag or name says that it is no article text.
+
+        A name or a form says nothing of an element that holds most of the page's text.
+        """
+        if self.tag in UNREAD or self.tag in AROUND:
+            return True
+        by_name = (self.named or self.tag == "form") and self.tag not in KEPT
+        return by_name and 2 * self.size <= page_size
+
+    def is_around(self, in_article: bool, page_size: int) -> bool:
         """Whether the element is known not to be article text."""
-        if self.tag in UNREAD or self.tag in AROUND or self.named:
+        if self.tag == "header" and not in_article:
             return True
-        return self.tag == "header" and not in_article
+        holds = self.holds and not in_article and self.tag not in UNREAD and self.tag not in AROUND
+        return self.is_aside(page_size) and not holds
 
 
 class Tree(HTMLParser):
@@ -149,9 +175,9 @@ def _articles(root: Element) -> list[Element]:
         found, stack = [], [root]
         while stack:
             e = stack.pop()
-            if e.tag == tag and not e.named:
+            if e.tag == tag:
                 found.append(e)
-            elif e is root or not (e.tag in UNREAD or e.tag in AROUND or e.named):
+            elif e is root or not e.is_aside(root.size):
                 stack += [c for c in reversed(e.children) if not isinstance(c, str)]
         if found:
             return found
@@ -201,7 +227,7 @@ def main_text(root: Element, template: frozenset[int] = frozenset()) -> str:
                 parts.append(item)
             else:
                 exempt = declared and not (item.marks and item.tag in CONTAINERS)
-                around = item is not article and item.is_around(declared)
+                around = item is not article and item.is_around(declared, root.size)
                 if around or (item is not article and not exempt and item.hash in template):
                     if item.tag in BLOCKS or item.tag in AROUND:
                         flush()

@@ -103,3 +103,23 @@ def test_odd_rows(spark):
     assert by_id[4][1] == 50_000 * 10 - 1
     empty = spark.createDataFrame([], SCHEMA)
     assert extract_text(empty).collect() == []
+
+
+@pytest.mark.parametrize(
+    ("html", "expected"),
+    [
+        ("<body class='has-sidebar'><article><p>a</p></article></body>", "a"),
+        ("<body class='sidebar'><p>a</p></body>", "a"),
+        ("<div class='content with-sidebar'><article><p>a</p></article></div>", "a"),
+        ("<article class='post comments-open'><p>a</p></article>", "a"),
+        ("<article class='related'><p>a</p></article>", "a"),
+        ("<main class='widget'><p>a</p></main><p>no</p>", "a"),
+        ("<form><nav>menu</nav><article><p>a</p></article></form>", "a"),
+        ("<form><div><p>a long text</p></div></form><p>end</p>", "a long text\nend"),
+        ("<div class='widget'><article><p>a</p></article></div><p>more text here</p>", "a\nmore text here"),
+        ("<div class='sidebar'>side</div><p>a long text</p>", "a long text"),
+        ("<form>name</form><p>a long text</p>", "a long text"),
+    ],
+)
+def test_names_and_forms_around_the_text(html, expected):
+    assert text(html) == expected

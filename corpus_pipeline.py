@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabsonde.llm import exact_dedup, mixing, near_text, packing, quality
+from tabsonde.llm import exact_dedup, mixing, packing, quality, simhash
 from tabsonde.llm.common import stage
 
 #: No SQL counterpart: classifier, fingerprints and tokenizer cannot be written in SQL.
@@ -23,8 +23,9 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that links at a five-word Jaccard of 0.8 connect."""
-    return near_text.drop_similar(docs)
+    """One document of each group whose SimHash fingerprints, of three-word shingles, lie within
+    three bits of each other."""
+    return simhash.drop_near_duplicates(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,11 +39,11 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 STAGES = [
-    ("quality", quality_stage),
+    ("quality classifier", quality_stage),
     ("exact dedup", exact_stage),
-    ("near dedup", near_stage),
-    ("mixing", mixing_stage),
-    ("packing", packing_stage),
+    ("SimHash near-dedup", near_stage),
+    ("mixing sources", mixing_stage),
+    ("best-fit packing", packing_stage),
 ]
 
 

@@ -87,3 +87,24 @@ def hashed_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     steps = 1 << 20
     near = F.pmod(F.xxhash64(key, F.lit("near")), F.lit(steps)) < int(share * steps) + 1
     return df.where(near).orderBy(F.xxhash64(key), key).limit(rows)
+
+
+#: A key with more than this share of all rows is joined by broadcast: there are at most as many
+#: such keys as its reciprocal.
+HOT_SHARE = 0.001
+
+
+def join_spread(rows: DataFrame, groups: DataFrame, on: list[str], size: str = "size") -> DataFrame:
+    """Inner join of ``rows`` with ``groups``, which has one row per key and counts its rows.
+
+    Rows of the most frequent keys stay where they lie, all others are shuffled; so no task gets
+    a key with more than HOT_SHARE of the rows. ``groups`` keeps its count out of the result.
+    """
+    groups = stage(groups, "joined-groups")
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    hot = F.col(size) > HOT_SHARE * total
+    frequent = F.broadcast(groups.where(hot).drop(size))
+    rare = groups.where(~hot).drop(size)
+    lying = rows.join(frequent, on)
+    moved = rows.join(frequent.select(*on), on, "left_anti").join(rare, on)
+    return lying.unionByName(moved)

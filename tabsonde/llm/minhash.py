@@ -38,7 +38,9 @@ BATCH_BYTES = 8 << 20
 KEPT_WORDS = 1 << 20
 #: Shingles of a tile, and classes of one, about.
 TILE_SHINGLES = 1 << 19
-TILE_CLASSES = 1024
+TILE_CLASSES = 512
+#: Up to so many ids of classes go to the sets, beyond it the sets are shuffled to the ids.
+BROADCAST_IDS = 1 << 22
 #: What a row does in a group: it is held there, it visits those held.
 HELD, VISITS = 1, 2
 #: Odd numbers that the permutations multiply and shift by.
@@ -388,8 +390,9 @@ def minhash_components(
         ),
         "classes",
     )
-    firsts = rows.join(classes.select("class"), rows["row"] == F.col("class")).select(
-        "class", "n", "keys", F.posexplode("keys").alias("band", "key")
+    firsts = rows.join(classes.select("class"), rows["row"] == F.col("class"))
+    firsts = stage(firsts.select("class", "n", "keys"), "class-keys").select(
+        "class", "n", F.posexplode("keys").alias("band", "key")
     )
     buckets = (
         firsts.groupBy("key")
@@ -403,10 +406,11 @@ def minhash_components(
         firsts.select("key", "band", "class", "n"), buckets.select("key", "size"), ["key"]
     )
     members = stage(members.select("key", "band", "class", "n"), "band-members")
-    sets = rows.join(
-        members.select("class").distinct(), rows["row"] == F.col("class")
-    ).select("class", "n", "keys", "shingles")
-    sets = stage(sets, "band-sets")
+    wanted = stage(members.select("class").distinct(), "wanted-sets")
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
+    sets = rows.join(wanted, rows["row"] == F.col("class"))
+    sets = stage(sets.select("class", "n", "keys", "shingles"), "band-sets")
     near = stage(_to_pivots(members, buckets, sets, percent), "pivot-links")
     roots = stage(components(near), "pivot-roots")
     rooted = members.join(

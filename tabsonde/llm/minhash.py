@@ -33,9 +33,9 @@ BANDS = 25
 BAND_ROWS = 5
 #: Shingles that are ranked at a time, and bytes of sets in a batch of rows.
 BLOCK = 512
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: Words whose hashes a task keeps.
-KEPT_WORDS = 1 << 20
+KEPT_WORDS = 1 << 18
 #: Shingles of a tile, and classes of one, about.
 TILE_SHINGLES = 1 << 19
 TILE_CLASSES = 512

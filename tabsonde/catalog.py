@@ -1459,8 +1459,9 @@ def _(spark, folder):
 
 
 _WORD = r"\p{L}\p{N}_"
+_THRESHOLD = rf"(?:^|[^{_WORD}])p\s*(?:<=|<|≤)\s*"
 _NUMBER = (
-    rf"(^|[^{_WORD}.])([-+−]?[0-9]{{1,3}}(?:,[0-9]{{3}})+|[-+−]?[0-9]+(?:\.[0-9]+)?)"
+    rf"(?:{_THRESHOLD}|^|[^{_WORD}.])([-+−]?[0-9]{{1,3}}(?:,[0-9]{{3}})+|[-+−]?[0-9]+(?:\.[0-9]+)?)"
     r"(?:\s*(?:(%|×)\B|(x|[KMB]|pp|points?)\b)|\b)"
 )
 
@@ -1475,11 +1476,12 @@ def numbers_sql(source: str, text_column: str, keep: str) -> str:
 
     return f"""(
 WITH src AS (SELECT {keep}, {blank} AS t FROM {source}),
-ex AS (SELECT {keep}, t, {every(2)} AS raw, {every(3)} AS u1, {every(4)} AS u2,
-       unnest(range(len(regexp_extract_all(t, '{_NUMBER}', 2)))) AS seq FROM src),
+ex AS (SELECT {keep}, t, {every(0)} AS seen, {every(1)} AS raw, {every(2)} AS u1, {every(3)} AS u2,
+       unnest(range(len(regexp_extract_all(t, '{_NUMBER}', 1)))) AS seq FROM src),
 un AS (SELECT {keep}, CAST(seq AS INTEGER) AS seq, raw, nullif(coalesce(nullif(u1, ''), u2), '') AS unit,
-       replace(replace(raw, ',', ''), '−', '-') AS c FROM ex)
-SELECT {keep}, seq, raw, unit, CAST(c AS DOUBLE) * CASE unit WHEN 'K' THEN 1e3 WHEN 'M' THEN 1e6
+       regexp_matches(seen, '{_THRESHOLD}') AS threshold, replace(replace(raw, ',', ''), '−', '-') AS c
+  FROM ex)
+SELECT {keep}, seq, raw, unit, threshold, CAST(c AS DOUBLE) * CASE unit WHEN 'K' THEN 1e3 WHEN 'M' THEN 1e6
 WHEN 'B' THEN 1e9 ELSE 1.0 END AS value, CAST(CASE WHEN contains(c, '.') THEN len(split_part(c, '.', 2))
 ELSE 0 END AS INTEGER) AS decimals FROM un)"""
 
@@ -1488,10 +1490,30 @@ ELSE 0 END AS INTEGER) AS decimals FROM un)"""
 def _(spark, folder):
     claims = table(spark, folder, "documents").select("doc_id", "text")
     return grounding.extract_numbers(claims).select(
-        "doc_id", "seq", "raw", "unit", "value", "decimals"
+        "doc_id", "seq", "raw", "unit", "threshold", "value", "decimals"
     )
 
 
+# Figures of order lines in a sentence; the space after "p <" is up to 90 characters long.
+_SENTENCES = """(SELECT l_orderkey AS line, CASE l_linenumber % 4 WHEN 0 THEN 'p <' WHEN 1 THEN 'sharp <='
+WHEN 2 THEN 'is p ≤' ELSE 'p' END || repeat(' ', CAST(l_orderkey % 91 AS INTEGER)) || ' ' ||
+CAST(CAST(l_quantity AS INTEGER) AS VARCHAR(9)) || ' of ' || CAST(l_suppkey AS VARCHAR(9)) || '%' AS text
+FROM lineitem)"""
+
+
+@query(
+    "checkable_numbers",
+    f"""SELECT line, seq, raw, unit, value FROM {numbers_sql(_SENTENCES, "text", "line")} WHERE NOT
+threshold AND NOT (unit IS NULL AND decimals = 0 AND (abs(value) <= 12 OR value BETWEEN 1900 AND 2100))""",
+)
+def _(spark, folder):
+    """What is left of numbers after small ones, years and limits of significance are put aside."""
+    table(spark, folder, "lineitem").createOrReplaceTempView("sentence_lines")
+    claims = spark.sql(f"SELECT * FROM {_SENTENCES.replace('lineitem', 'sentence_lines')}")
+    numbers = grounding.checkable(grounding.extract_numbers(claims))
+    return numbers.select("line", "seq", "raw", "unit", "value")
+
+
 def grounded_sql() -> str:
     """SQL of every checkable number of the documents and whether evidence supports it."""
     return f"""(
@@ -1500,7 +1522,7 @@ WITH ev AS (SELECT doc_id, 'numbers' AS pool, CAST(n_chars AS DOUBLE) AS known F
   UNION ALL SELECT l_orderkey, 'percents', CAST(l_quantity AS DOUBLE) FROM lineitem),
 nu AS (SELECT *, abs(value) AS target, CASE WHEN unit IN ('K', 'M', 'B') THEN abs(value) * 0.05 ELSE
   pow(10.0, -decimals) / 2 + 1e-9 END AS tol FROM {numbers_sql("documents", "text", "doc_id, source")}
-  WHERE NOT (unit IS NULL AND decimals = 0 AND (abs(value) <= 12 OR value BETWEEN 1900 AND 2100)))
+  WHERE NOT threshold AND NOT (unit IS NULL AND decimals = 0 AND (abs(value) <= 12 OR value BETWEEN 1900 AND 2100)))
 SELECT doc_id, source AS location, seq, raw, value, EXISTS (SELECT 1 FROM ev WHERE ev.doc_id =
   nu.doc_id AND abs(nu.target - known) <= tol AND CASE WHEN unit IN ('%', 'pp', 'point', 'points') THEN
   pool = 'percents' WHEN unit IN ('×', 'x') THEN pool = 'ratios' ELSE pool <> 'ratios' END)

@@ -2,18 +2,20 @@
 
 ``claims(doc_id, location, text)`` are matched against ``evidence(doc_id, pool, value)``.
 Pools keep kinds apart: a figure printed as a percentage is only matched against percents, a
-multiple against ratios, anything else against numbers and percents. The tolerance match is a
-range join; it runs as an equi-join on value cells no narrower than the tolerance, so neither
-all pairs of a document are formed nor is any side broadcast.
+multiple against ratios, anything else against numbers and percents. A figure is backed if the
+nearest evidence below or above it is within the tolerance, so it meets no other evidence.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import literal
 from ..staging import stage
+from .nearest import nearest_known
 from .skew import salted_join
 
 # What counts as a number, and what is left out of the check. The hyphen, plus
@@ -42,8 +44,10 @@ _MARK = "\u0001"
 # Characters of scientific notation and their stand-ins from the private use area.
 _EXPONENT_CHARS = "0123456789.eE+-−^×"
 _HIDDEN = "".join(chr(0xE000 + i) for i in range(len(_EXPONENT_CHARS)))
-# A number and the text next to it alternate, so this many pieces hold 40 characters.
-_NEAR = 2 * CONTEXT
+# A number and the text next to it alternate, so this many pieces hold 40 characters; mostly a
+# few do.
+_NEAR = CONTEXT + 1
+_FEW = 3
 
 
 def _pattern(pattern: str) -> str:
@@ -75,7 +79,7 @@ def _restored(text: Column) -> Column:
 
 def extract_numbers(claims: DataFrame, text: str = "text", scientific: bool = True) -> DataFrame:
     """One row per number of a text: the other input columns plus seq (order in the text),
-    token, raw, unit, value, decimals, before and context.
+    token, raw, unit, value, decimals, threshold (it follows "p <") and context.
 
     Everything a number needs from its text is taken while the text is still one row, so the
     text itself is neither repeated per number nor shuffled.
@@ -85,21 +89,40 @@ def extract_numbers(claims: DataFrame, text: str = "text", scientific: bool = Tr
     kept = [F.col(c) for c in claims.columns if c != text]
 
     def near(i: Column) -> Column:
-        start = F.greatest(i + 1 - _NEAR, F.lit(1))
-        before = F.array_join(F.slice("pieces", start, i + 1 - start), "")
-        after = F.array_join(F.slice("pieces", i + 2, F.lit(_NEAR)), "")
+        """The text next to piece ``i``, of the ends of pieces: a few if they hold enough."""
+
+        def before(pieces: int) -> Column:
+            start = F.greatest(i + 1 - pieces, F.lit(1))
+            return F.array_join(F.slice("tails", start, i + 1 - start), "")
+
+        def after(pieces: int) -> Column:
+            return F.array_join(F.slice("heads", i + 2, F.lit(pieces)), "")
+
+        def enough(text: Callable[[int], Column]) -> Column:
+            few = text(_FEW)
+            return F.when(F.length(few) >= CONTEXT, few).otherwise(text(_NEAR))
+
         return F.struct(
             ((i - 1) / 2).cast("int").alias("seq"),
             F.element_at("pieces", i + 1).alias("token"),
-            F.right(before, F.lit(CONTEXT)).alias("before"),
-            F.left(after, F.lit(CONTEXT)).alias("after"),
+            F.element_at("pieces", i).rlike(_pattern(P_THRESHOLD)).alias("threshold"),
+            F.right(enough(before), F.lit(CONTEXT)).alias("before"),
+            F.left(enough(after), F.lit(CONTEXT)).alias("after"),
         )
 
     found = F.array_compact(F.transform("pieces", lambda p, i: F.when(i % 2 == 1, near(i))))
     rows = (
         claims.select(*kept, _pieces(source, NUMBER).alias("pieces"))
+        .select(
+            *kept,
+            "pieces",
+            F.transform("pieces", lambda p: F.right(p, F.lit(CONTEXT))).alias("tails"),
+            F.transform("pieces", lambda p: F.left(p, F.lit(CONTEXT))).alias("heads"),
+        )
         .select(*kept, found.alias("found"))
-        .select(*kept, F.inline("found"))
+        # The outer form: the plain one would be filtered first, which reads every text twice.
+        .select(*kept, F.inline_outer("found"))
+        .where("token IS NOT NULL")
     )
     context = F.concat("before", "token", "after")
     raw = F.regexp_extract("token", _pattern(NUMBER), 1)
@@ -109,7 +132,7 @@ def extract_numbers(claims: DataFrame, text: str = "text", scientific: bool = Tr
         F.trim(F.regexp_replace("token", r"\s+", " ")).alias("token"),
         raw.alias("raw"),
         F.nullif(F.regexp_extract("token", _pattern(NUMBER), 2), F.lit("")).alias("unit"),
-        "before",
+        "threshold",
         F.btrim(_restored(context), F.lit(" \n\r\t")).alias("context"),
     )
     cleaned = F.regexp_replace(F.regexp_replace("raw", ",", ""), "−", "-")
@@ -134,8 +157,9 @@ def checkable(numbers: DataFrame) -> DataFrame:
     bare = F.col("unit").isNull() & (F.col("decimals") == 0)
     small = F.abs("value") <= SMALL_INTEGER
     year = F.col("value").between(FIRST_YEAR, LAST_YEAR)
-    threshold = F.col("before").rlike(_pattern(P_THRESHOLD))
-    return numbers.where(F.col("value").isNotNull() & ~(bare & (small | year)) & ~threshold)
+    return numbers.where(
+        F.col("value").isNotNull() & ~(bare & (small | year)) & ~F.col("threshold")
+    )
 
 
 def _tolerance() -> Column:
@@ -144,45 +168,32 @@ def _tolerance() -> Column:
     return F.when(scaled, F.abs("value") * SCALED_TOLERANCE).otherwise(printed)
 
 
-def _cell(value: Column, level: Column) -> Column:
-    """Cell number of a value on a grid of width 10 ** level."""
-    return F.floor(value / F.pow(F.lit(10.0), level)).cast("bigint")
-
-
 def ground_claims(claims: DataFrame, evidence: DataFrame) -> DataFrame:
     """Every checkable number of the claims with ``supported``.
 
-    Distinct (document, value, precision) are matched once. Evidence is laid on the grid of
-    each precision its document uses; a claim looks into the cells its tolerance touches.
+    Distinct (document, value, precision, pool) are matched once, with the nearest evidence of
+    their document in every pool.
     """
-    numbers = checkable(extract_numbers(claims)).withColumns(
+    keyed = checkable(extract_numbers(claims)).withColumns(
         {"target": F.abs("value"), "tolerance": _tolerance(), "pool": pool_of(F.col("unit"))}
     )
-    width = F.greatest(F.col("tolerance") * 2, F.lit(1e-12))
-    keyed = numbers.withColumn("level", F.ceil(F.round(F.log10(width), 6)).cast("int"))
+    keyed = stage(keyed)
     match = ["doc_id", "pool", "target", "tolerance"]
-    wanted = keyed.select(*match, "level").distinct()
-    pools = F.when(F.col("pool") == NUMBERS, F.array(F.lit(NUMBERS), F.lit(PERCENTS))).otherwise(
-        F.array("pool")
-    )
-    low = _cell(F.col("target") - F.col("tolerance"), F.col("level"))
-    high = _cell(F.col("target") + F.col("tolerance"), F.col("level"))
-    probes = wanted.withColumn("evidence_pool", F.explode(pools)).withColumn(
-        "cell", F.explode(F.sequence(low, high))
-    )
-    facts = evidence.select(
-        "doc_id", F.col("pool").alias("evidence_pool"), F.col("value").alias("known")
-    ).distinct()
-    levels = wanted.select("doc_id", "level").distinct()
-    laid = salted_join(facts, levels, ["doc_id"], ["evidence_pool", "known"])
-    gridded = laid.withColumn("cell", _cell(F.col("known"), F.col("level")))
-    hits = (
-        probes.join(gridded, ["doc_id", "evidence_pool", "level", "cell"])
-        .where(F.abs(F.col("target") - F.col("known")) <= F.col("tolerance"))
-        .select(*match)
-        .distinct()
-        .withColumn("hit", F.lit(True))
+    facts = evidence.select("doc_id", F.col("pool").alias("kind"), F.col("value").alias("known"))
+    pools = (NUMBERS, PERCENTS, RATIOS)
+    near = nearest_known(
+        keyed.select(*match).distinct(), facts, ["doc_id"], "target", "known", "kind", pools
     )
+
+    def within(pool: str) -> Column:
+        gap = F.least(
+            F.col("target") - F.col(f"{pool}_below"), F.col(f"{pool}_above") - F.col("target")
+        )
+        return F.coalesce(gap <= F.col("tolerance"), F.lit(False))
+
+    backed = F.when(F.col("pool") == NUMBERS, within(NUMBERS) | within(PERCENTS))
+    backed = backed.when(F.col("pool") == PERCENTS, within(PERCENTS)).otherwise(within(RATIOS))
+    hits = near.where(backed).select(*match, F.lit(True).alias("hit"))
     out = salted_join(keyed, hits, match, ["location", "seq"], "left")
     kept = [c for c in claims.columns if c != "text"]
     return out.select(

@@ -1,6 +1,9 @@
+import random
+
 import pytest
 
 from tabsonde import Frame
+from tabsonde.operators import nearest
 from tabsonde.operators.findings import finding, finding_json
 from tabsonde.operators.grounding import (
     evidence_from_findings,
@@ -92,6 +95,78 @@ def test_scaled_tolerance_and_many_documents(spark):
     assert got == {1: True, 2: False, 3: True, 4: False}
 
 
+def test_threshold_far_before_its_number(spark):
+    text = "a test gave p <" + " " * 200 + "0.25, and sharp < 0.75 of n=" + "x " * 300 + "44.5"
+    df = spark.createDataFrame([(1, "t", text)], "doc_id long, location string, text string")
+    got = [(r["raw"], r["threshold"]) for r in extract_numbers(df).orderBy("seq").collect()]
+    assert got == [("0.25", True), ("0.75", False), ("44.5", False)]
+
+
+def test_context_of_close_numbers(spark):
+    text = " ".join(f"{k}.5%" for k in range(200)) + " end"
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    for r in extract_numbers(df).collect():
+        token = f"{r['seq']}.5%"
+        at = (" " + text).index(f" {token}")
+        near = text[max(0, at - 40) : at + len(token) + 40].strip()
+        assert r["token"] == token and r["context"] == near
+
+
+def nearest_by_looking(wanted, known, kinds):
+    out = []
+    for key, at in wanted:
+        row = [key, at]
+        for kind in kinds:
+            same = [v for k, p, v in known if k == key and p == kind and v == v]
+            row.append(max((v for v in same if v <= at), default=None))
+            row.append(min((v for v in same if v >= at), default=None))
+        out.append(tuple(row))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("large", [None, 50])
+def test_nearest_known(spark, large, monkeypatch):
+    """One key holds nine tenths of the rows; with a low bound it is cut into ranges."""
+    if large:
+        monkeypatch.setattr(nearest, "LARGE_KEY", large)
+    rng = random.Random(8)
+    kinds = ("a", "b", "c")
+    known = [
+        (0 if k % 10 else k % 7, rng.choice("aab"), rng.choice([rng.uniform(0, 50), rng.randint(0, 9) * 1.0]))
+        for k in range(4000)
+    ]
+    known += [(0, "a", float("nan")), (0, "c", 1e6), (9, "a", 2.0), (0, "b", -3e5)]
+    wanted = [(rng.choice([0, 0, 1, 2, 8]), rng.uniform(-5, 60)) for _ in range(300)]
+    wanted += [(0, 3.0), (0, 3.0), (0, 2e6), (0, -1e9)]
+    got = nearest.nearest_known(
+        spark.createDataFrame(wanted, "key int, at double").repartition(3),
+        spark.createDataFrame(known, "key int, kind string, v double").repartition(3),
+        ["key"], "at", "v", "kind", kinds,
+    )
+    rows = sorted(((*r,) for r in got.collect()), key=repr)
+    assert rows == nearest_by_looking(wanted, known, kinds)
+
+
+def test_one_document_with_most_evidence(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "LARGE_KEY", 100)
+    facts = spark.range(20_000).selectExpr(
+        "if(id % 10 = 0, id % 50, 7) AS doc_id",
+        "elt(1 + cast(id % 3 AS int), 'numbers', 'percents', 'ratios') AS pool",
+        "cast(id * 37 % 20000 AS double) / 8 AS value",
+    )
+    text = "of 812.3 and 99.999 were 44.1%, 12.125x, 1.2K and 7,777,777 more"
+    claims = spark.range(50).selectExpr("id AS doc_id", "'t' AS location", f"'{text}' AS text")
+    grounded = ground_claims(claims, facts)
+    known = {(r["doc_id"], r["pool"], r["value"]) for r in facts.collect()}
+    for r in grounded.collect():
+        pools = {"%": ("percents",), "x": ("ratios",)}.get(r["unit"], ("numbers", "percents"))
+        reach = 60.0 if r["unit"] == "K" else 10.0 ** -r["decimals"] / 2 + 1e-9
+        near = any(
+            d == r["doc_id"] and p in pools and abs(v - r["value"]) <= reach for d, p, v in known
+        )
+        assert r["supported"] == near
+
+
 def test_report_is_flattened(spark):
     report = '{"title": "A 5", "column": "x", "slides": [{"bullets": ["b1", "b2"]}], "n": 3}'
     df = spark.createDataFrame([(1, report)], "doc_id long, report string")

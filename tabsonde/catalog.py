@@ -435,6 +435,49 @@ def _(spark, folder):
     return rounded(profile.correlation_pairs(table(spark, folder, "lineitem"), MEASURES))
 
 
+# Sixty columns of order lines: ten numbers, as they are and in five other forms, some with gaps.
+_BASES = (
+    "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+    "l_discount", "l_tax", "l_quantity * l_tax", "l_extendedprice * l_discount",
+)
+_FORMS = (
+    "{}", "sqrt({})", "({}) * ({})", "CASE WHEN l_linenumber < 5 THEN {} END",
+    "CASE WHEN l_quantity > 20 THEN -({}) + l_tax END", "10000 + ({})",
+)
+WIDE_COLUMNS = {
+    f"c{i}": f"CAST({form.format(f'CAST({base} AS DOUBLE)', f'CAST({base} AS DOUBLE)')} AS DOUBLE)"
+    for i, (form, base) in enumerate((f, b) for f in _FORMS for b in _BASES)
+}
+_WIDE = ", ".join(f"{sql} AS {name}" for name, sql in WIDE_COLUMNS.items())
+
+
+def wide_lines(spark: SparkSession, folder: str) -> DataFrame:
+    columns = [f"{sql} AS {name}" for name, sql in WIDE_COLUMNS.items()]
+    return table(spark, folder, "lineitem").selectExpr("l_extendedprice AS y", *columns)
+
+
+def _each(selected: list[tuple[str, str]], source: str) -> str:
+    """SQL of one row (slot, value) per aggregate of one scan."""
+    slots = ", ".join(f"{sql} AS {name}" for name, sql in selected)
+    return f"SELECT slot, v FROM (SELECT {slots} FROM {source}) UNPIVOT INCLUDE NULLS (v FOR slot IN (COLUMNS(*)))"
+
+
+def _wide_pairs_sql() -> str:
+    names = list(WIDE_COLUMNS)
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    source = f"(SELECT {_WIDE} FROM lineitem)"
+    r_ = _each([(f"{a}_{b}", f"corr({a}, {b})") for a, b in pairs], source)
+    n = _each([(f"{a}_{b}", f"count({a} + {b})") for a, b in pairs], source)
+    return f"""SELECT split_part(slot, '_', 1) AS a, split_part(slot, '_', 2) AS b,
+{r("CASE WHEN isfinite(r.v) THEN r.v END")} AS r, n.v AS n FROM ({r_}) r JOIN ({n}) n USING (slot)"""
+
+
+@query("correlation_pairs_wide", _wide_pairs_sql())
+def _(spark, folder):
+    """All 1,770 pairs of sixty columns."""
+    return rounded(profile.correlation_pairs(wide_lines(spark, folder), list(WIDE_COLUMNS)))
+
+
 PRICE_COLUMNS = ["l_extendedprice", "net_price", "l_discount", "discount_points"]
 
 
@@ -1125,6 +1168,40 @@ def _(spark, folder):
     return rounded(drivers.formula_components(lineitem(spark, folder), "net_price", measures))
 
 
+def _wide_components_sql(names: list[str]) -> str:
+    forms = {f"{a}__same": a for a in names}
+    for i, a in enumerate(names):
+        for b in names[i + 1 :]:
+            forms |= {f"{a}_{b}_{o}": f"({a} {s} {b})"
+                      for o, s in (("minus", "-"), ("plus", "+"), ("times", "*"))}
+    source = f"(SELECT l_extendedprice AS y, {_WIDE} FROM lineitem)"
+    found = [(k, f"corr(y, {e})") for k, e in forms.items()]
+    counts = _each([(k, f"count(y + {e})") for k, e in forms.items()], source)
+    return f"""SELECT split_part(slot, '_', 1) AS a, nullif(split_part(slot, '_', 2), '') AS b,
+split_part(slot, '_', 3) AS operation, {r("CASE WHEN isfinite(r.v) THEN r.v END")} AS r, n.v AS n,
+coalesce(isfinite(r.v) AND abs(r.v) >= 0.995, false) AS component
+FROM ({_each(found, source)}) r JOIN ({counts}) n USING (slot)"""
+
+
+def _wide_components(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:
+    frame = Frame.of(wide_lines(spark, folder).select("y", *names))
+    return rounded(drivers.formula_components(frame, "y", names))
+
+
+TWELVE = list(WIDE_COLUMNS)[:12]
+
+
+@query("formula_components_12", _wide_components_sql(TWELVE))
+def _(spark, folder):
+    return _wide_components(spark, folder, TWELVE)
+
+
+@query("formula_components_60", _wide_components_sql(list(WIDE_COLUMNS)))
+def _(spark, folder):
+    """5,370 formulas of sixty columns."""
+    return _wide_components(spark, folder, list(WIDE_COLUMNS))
+
+
 @query(
     "driver_tests",
     " UNION ALL ".join(

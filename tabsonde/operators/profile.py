@@ -9,7 +9,6 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
-from itertools import combinations
 
 from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
@@ -20,6 +19,7 @@ from ..functions import dates, values
 from ..functions.values import col
 from ..staging import together
 from .hypotheses import _chunks, melt
+from .moments import correlations, numbered, pair_moments
 from .ranks import (
     bucket_count,
     bucket_name,
@@ -277,23 +277,16 @@ def duplicate_count(df: DataFrame) -> DataFrame:
 def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(a, b, r, n): Pearson correlation of every pair over its complete rows."""
     types = {f.name: f.dataType for f in df.schema.fields}
-    slots = {c: f"v{i}" for i, c in enumerate(columns)}
-    pairs = list(combinations(columns, 2))
-    if not pairs:
+    if len(columns) < 2:
         return df.sparkSession.createDataFrame([], PAIR_SCHEMA)
-    wide = df.selectExpr(*[f"{_masked(c, types[c])} AS {s}" for c, s in slots.items()])
-    rows = melt(wide, [{"pair": str(i), "x": slots[a], "y": slots[b]} for i, (a, b) in enumerate(pairs)])
-    table = rows.where("x IS NOT NULL AND y IS NOT NULL").groupBy("pair").agg(
-        F.expr("round(try_divide(covar_pop(x, y), stddev_pop(x) * stddev_pop(y)), 4) AS r"),
-        F.count("*").alias("n"),
+    slots = [f"v{i}" for i in range(len(columns))]
+    masked = [f"{_masked(c, types[c])} AS {s}" for c, s in zip(columns, slots, strict=True)]
+    found = correlations(pair_moments(df.selectExpr(*masked), slots))
+    names = numbered(columns)
+    r = F.when(F.col("n") >= MIN_CORRELATION_ROWS, F.round("r", 4))
+    return found.select(
+        names[F.col("i")].alias("a"), names[F.col("j")].alias("b"), r.alias("r"), "n"
     )
-    names = df.sparkSession.createDataFrame(
-        [(i, a, b) for i, (a, b) in enumerate(pairs)], "pair int, a string, b string"
-    )
-    found = F.broadcast(names).join(table, "pair", "left")
-    n = F.coalesce("n", F.lit(0).cast("bigint"))
-    r = F.when(n >= MIN_CORRELATION_ROWS, F.col("r"))
-    return found.select("a", "b", r.alias("r"), n.alias("n"))
 
 
 def top_correlations(pairs: DataFrame) -> DataFrame:

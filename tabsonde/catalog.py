@@ -232,6 +232,49 @@ def _(spark, folder):
     return parts[0].unionByName(parts[1])
 
 
+DISTINCT_TABLES = {
+    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate",
+               "o_orderpriority"],
+    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
+                 "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus",
+                 "l_shipdate"],
+    "documents": ["doc_id", "text", "lang", "source", "n_chars"],
+}
+
+
+def _distinct_sql(more: str) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{t}' AS source, '{c}' AS name, count(DISTINCT {c}) AS unique_count{more} FROM {t}"
+        for t, names in DISTINCT_TABLES.items()
+        for c in names
+    )
+
+
+def _distinct(spark: SparkSession, folder: str, approximate: bool) -> DataFrame:
+    out = None
+    for t, names in DISTINCT_TABLES.items():
+        df = table(spark, folder, t).select(*names)
+        found = profile.profile(df, correlate=False, duplicates=False, approximate=approximate)
+        rows = found.columns.select(F.lit(t).alias("source"), "name", "unique_count")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("distinct_counts", _distinct_sql(""))
+def _(spark, folder):
+    """Distinct values of every column, counted."""
+    return _distinct(spark, folder, False)
+
+
+@query("distinct_sketches", _distinct_sql(", true AS near"))
+def _(spark, folder):
+    """Whether estimates by sketch lie within four standard errors of the counts."""
+    guess = _distinct(spark, folder, True).withColumnRenamed("unique_count", "guess")
+    both = _distinct(spark, folder, False).join(guess, ["source", "name"])
+    near = F.abs(F.col("guess") - F.col("unique_count")) <= 4 * profile.SKETCH_ERROR * F.col("unique_count")
+    return both.select("source", "name", "unique_count", near.alias("near"))
+
+
 GAPPED = """(SELECT CASE WHEN l_linenumber < 3 THEN NULL ELSE l_quantity END AS quantity,
 CASE WHEN l_linenumber = 4 THEN NULL ELSE l_returnflag END AS flag,
 CASE WHEN l_linenumber > 1 THEN NULL ELSE l_tax END AS rare_tax, 1 AS constant FROM lineitem)"""
@@ -410,15 +453,22 @@ def _(spark, folder):
 
 @query(
     "duplicate_rows",
-    """SELECT * FROM (SELECT count(*) AS rows, (SELECT count(*) FROM (SELECT DISTINCT l_returnflag,
-l_linestatus, l_quantity, l_shipdate, l_tax FROM lineitem)) AS distinct_rows FROM lineitem) t,
-LATERAL (SELECT rows - distinct_rows AS duplicate_rows)""",
+    """SELECT * FROM (SELECT count(*) AS rows, (SELECT count(*) FROM (SELECT DISTINCT * FROM
+lineitem)) AS distinct_rows FROM lineitem) t, LATERAL (SELECT rows - distinct_rows AS duplicate_rows)""",
 )
 def _(spark, folder):
-    df = table(spark, folder, "lineitem")
-    return profile.duplicate_count(
-        df.select("l_returnflag", "l_linestatus", "l_quantity", "l_shipdate", "l_tax")
-    )
+    return profile.duplicate_count(table(spark, folder, "lineitem"))
+
+
+@query(
+    "duplicate_clicks",
+    """SELECT * FROM (SELECT count(*) AS rows, (SELECT count(*) FROM (SELECT DISTINCT user_id,
+event_type FROM events)) AS distinct_rows FROM events) t, LATERAL (SELECT rows - distinct_rows AS
+duplicate_rows)""",
+)
+def _(spark, folder):
+    """Rows that repeat once what identifies them is left out."""
+    return profile.duplicate_count(table(spark, folder, "events").select("user_id", "event_type"))
 
 
 def _pairs_sql(columns: list[str], source: str) -> str:

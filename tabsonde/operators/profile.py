@@ -21,6 +21,7 @@ from ..staging import together
 from .hypotheses import _chunks, melt
 from .moments import correlations, numbered, pair_moments
 from .ranks import (
+    SKETCH_GROUPS,
     bucket_count,
     bucket_name,
     cut_points,
@@ -44,6 +45,11 @@ QUARTILES = (0.25, 0.5, 0.75)
 ID_NAME = re.compile(r"(^|[_\s-])id$|^id[_\s-]|_key$", re.IGNORECASE)
 
 COLUMNS_PER_SCAN = 40
+#: Distinct values by sketch: registers as a power of two, the standard error of the estimate,
+#: and how near to the number of rows an estimate is counted exactly.
+SKETCH_BITS = 14
+SKETCH_ERROR = 1.04 / 2 ** (SKETCH_BITS / 2)
+NEAR_UNIQUE = 0.05
 
 COLUMN_SCHEMA = (
     "position int, name string, inferred_type string, dtype string, missing_count bigint, "
@@ -177,13 +183,18 @@ def quartiles_of(df: DataFrame, names: Sequence[str], rows: int) -> dict[str, li
     return {slots[r["slot"]].name: [r["q0"], r["q1"], r["q2"]] for r in table.collect()}
 
 
-def _value_rows(df: DataFrame, texts: Sequence[str]) -> list[DataFrame]:
+def _value_rows(
+    df: DataFrame, texts: Sequence[str], only: Sequence[str] | None = None
+) -> list[DataFrame]:
     """Melted (slot, value) per physical kind, so that values keep their identity.
 
-    Long texts only need a distinct count, so their digests are counted.
+    Long texts only need a distinct count, so their digests are counted. ``only`` names the
+    columns that are looked at, all if it is None.
     """
     groups: dict[str, list[str]] = {"bigint": [], "double": [], "string": [], "digest": []}
     for i, f in enumerate(df.schema.fields):
+        if only is not None and f.name not in only:
+            continue
         name, kind = values.quoted(f.name), _kind(f.dataType)
         if isinstance(f.dataType, values.INTEGER_TYPES):
             groups["bigint"].append(f"CAST({name} AS BIGINT) AS s{i}")
@@ -203,11 +214,48 @@ def _value_rows(df: DataFrame, texts: Sequence[str]) -> list[DataFrame]:
     return out
 
 
+def _sketched(field: T.StructField) -> str:
+    """A 64-bit hash of the value, for the sketch; values that are equal hash alike."""
+    name = values.quoted(field.name)
+    value = values.text(name, field.dataType)
+    if isinstance(field.dataType, values.FLOAT_TYPES):
+        value = f"({values.number(name, field.dataType)} + 0D)"
+    elif isinstance(field.dataType, values.INTEGER_TYPES):
+        value = f"CAST({name} AS BIGINT)"
+    return f"CASE WHEN {value} IS NOT NULL AND {name} IS NOT NULL THEN xxhash64({value}) END"
+
+
+def distinct_estimates(df: DataFrame) -> dict[str, int]:
+    """About how many distinct values each column has, by sketches that are merged in two levels.
+
+    One scan, and a sketch of 2 ** SKETCH_BITS registers per column and task: no value is
+    shuffled. The standard error is SKETCH_ERROR.
+    """
+    out: dict[str, int] = {}
+    group = F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)).alias("part")
+    for chunk in _chunks(df.schema.fields, COLUMNS_PER_SCAN):
+        slots = [f"s{i}" for i in range(len(chunk))]
+        hashed = [f"{_sketched(f)} AS {s}" for f, s in zip(chunk, slots, strict=True)]
+        sketches = df.selectExpr(*hashed).groupBy(group).agg(
+            *[F.hll_sketch_agg(s, SKETCH_BITS).alias(s) for s in slots]
+        )
+        row = sketches.agg(
+            *[F.hll_sketch_estimate(F.hll_union_agg(s)).alias(s) for s in slots]
+        ).first()
+        out.update({f.name: row[s] or 0 for f, s in zip(chunk, slots, strict=True)})
+    return out
+
+
+def near_unique(present: int, estimate: int) -> bool:
+    """Whether every value may be different: then only counting tells."""
+    return estimate >= (1 - NEAR_UNIQUE) * present
+
+
 def value_summaries(
-    df: DataFrame, texts: Sequence[str] = ()
+    df: DataFrame, texts: Sequence[str] = (), only: Sequence[str] | None = None
 ) -> tuple[dict[str, int], dict[str, list[tuple[str, int]]]]:
     """Exact distinct count per column and the most frequent values of text-like columns."""
-    tables = _value_rows(df, texts)
+    tables = _value_rows(df, texts, only)
     empty = F.lit(None).cast("string").alias("value")
     distinct = None
     for t in tables:
@@ -330,10 +378,13 @@ def profile(
     duplicates: bool = True,
     max_columns: int | None = None,
     max_correlated: int | None = None,
+    approximate: bool = False,
 ) -> Profile:
     """Profile a table. ``total_rows`` is the size of the full table when ``df`` is a sample.
 
     All columns are profiled, and all numeric ones correlated, unless limits are given.
+    ``approximate`` estimates distinct values by sketches; columns that may be unique, and texts
+    whose frequent values are listed, are still counted.
     """
     if not df.columns:
         raise InputError("EMPTY_DATASET", "The dataset has no rows or no columns.")
@@ -349,7 +400,13 @@ def profile(
             for f in df.schema.fields
             if _kind(f.dataType) == "string" and (looks[f.name]["length"] or 0) > TEXT_LENGTH
         ]
-        return looks, *value_summaries(df, texts)
+        if not approximate:
+            return looks, *value_summaries(df, texts)
+        guess = distinct_estimates(df)
+        listed = {f.name for f in df.schema.fields if _kind(f.dataType) in ("string", "boolean")}
+        unique = {c for c in guess if near_unique(looks[c]["present"], guess[c])}
+        counts, most = value_summaries(df, texts, sorted((unique | listed) - set(texts)))
+        return looks, guess | counts, most
 
     def spread():
         found = quartiles_of(df, numbers, n)

@@ -2,6 +2,7 @@ import pandas as pd
 import pytest
 
 from tabsonde.operators.profile import (
+    SKETCH_ERROR,
     duplicate_count,
     profile,
     profile_warnings,
@@ -100,3 +101,23 @@ def test_correlations(spark):
 def test_odd_names(spark):
     df = spark.createDataFrame([(1.0, "x"), (2.0, "y")], "`a.b c` double, `it's` string")
     assert rows_of(profile(df))["a.b c"]["mean"] == 1.5
+
+
+def test_approximate_distinct_values(spark):
+    """Sketches stay within their error; what may be unique is counted all the same."""
+    df = spark.range(60_000).selectExpr(
+        "id AS row_id", "id % 7 AS few", "CAST(id % 20011 AS DOUBLE) AS many",
+        "if(id < 59000, concat('n', id), 'n0') AS name", "concat('k', id % 12) AS kind",
+        "if(id % 2 = 0, 0D, -0D) AS zero", "CAST(NULL AS STRING) AS nothing",
+        "if(id % 3 = 0, NULL, id % 2 = 0) AS flag", "repeat(concat(id % 31, ' '), 40) AS prose",
+    )
+    exact = {r["name"]: r for r in profile(df, correlate=False).columns.collect()}
+    guess = {r["name"]: r for r in profile(df, correlate=False, approximate=True).columns.collect()}
+    for name, row in exact.items():
+        assert abs(guess[name]["unique_count"] - row["unique_count"]) <= (
+            4 * SKETCH_ERROR * row["unique_count"]
+        )
+        assert guess[name]["inferred_type"] == row["inferred_type"]
+        assert guess[name]["top_values"] == row["top_values"]
+    assert guess["row_id"]["unique_count"] == 60_000 and guess["name"]["unique_count"] == 59_000
+    assert guess["zero"]["unique_count"] == 1 and guess["nothing"]["unique_count"] == 0

@@ -140,6 +140,7 @@ class Fold:
     column: str
     keep: tuple[str, ...]
     other: bool
+    whole: bool = False  # no row is left out
 
     @property
     def groups(self) -> tuple[str, ...]:
@@ -195,7 +196,8 @@ def fold_plans(frame: Frame, columns: list[str]) -> dict[str, Fold]:
     for c in columns:
         own_other = sum(n for v, n in kept[c] if v == values.OTHER)
         folded = rows - sum(n for _, n in kept[c]) + own_other
-        plans[c] = Fold(c, tuple(v for v, _ in kept[c]), folded >= frame.min_group)
+        other, all_kept = folded >= frame.min_group, folded == own_other
+        plans[c] = Fold(c, tuple(v for v, _ in kept[c]), other, other or all_kept)
     return plans
 
 

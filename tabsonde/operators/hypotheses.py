@@ -8,7 +8,7 @@ Cramér's V, chi-square against a uniform split, and Benjamini-Hochberg across a
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Collection, Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -27,6 +27,7 @@ from .ranks import (
     maybe_broadcast,
     with_buckets,
     with_ranks,
+    with_shared_ranks,
 )
 
 # Tests melted from one scan; more are unioned as further scans.
@@ -76,18 +77,124 @@ def melt(base: DataFrame, entries: Sequence[Mapping[str, str]]) -> DataFrame:
 # ---------------------------------------------------------------- rank sums
 
 
-def rank_sums(rows: DataFrame, rows_bound: int) -> DataFrame:
-    """(test, bucket, value, g) rows to (test, g, n, rank_sum, total, tie_sum)."""
+@dataclass(frozen=True)
+class Ranked:
+    """A column that is ranked once for all its tests.
+
+    ``tests`` holds a test number and its place in ``groups``, the codes that are compared.
+    ``among`` tells whose rows are ranked: all (None), or those where a place in ``groups`` is
+    known; tests of one pattern of missing rows share their ranks.
+    """
+
+    column: str
+    tests: tuple[tuple[int, int], ...]
+    groups: tuple[str, ...]
+    among: tuple[int | None, ...]
+
+    def pattern(self, place: int) -> int:
+        return self.among.index(place if place in self.among else None)
+
+
+def ranked_columns(
+    tests: Sequence[tuple[int, str, str]], whole: Collection[str] = ()
+) -> list[Ranked]:
+    """(test, column, group code) by column; codes in ``whole`` have no missing rows."""
+    by_column: dict[str, list[tuple[int, str]]] = {}
+    for test, column, group in tests:
+        by_column.setdefault(column, []).append((test, group))
+    out = []
+    for column, own in by_column.items():
+        groups = tuple(dict.fromkeys(g for _, g in own))
+        among = dict.fromkeys(None if g in whole else k for k, g in enumerate(groups))
+        out.append(Ranked(column, tuple((t, groups.index(g)) for t, g in own), groups, tuple(among)))
+    return out
+
+
+def rank_sums(base: DataFrame, columns: Sequence[Ranked], rows_bound: int) -> DataFrame:
+    """(test, g, n, rank_sum, ties, most_ties, total): each column is sorted once, whatever the
+    number of its tests."""
+    entries = [
+        {
+            "slot": str(i),
+            "bucket": bucket_name(c.column),
+            "value": c.column,
+            "codes": f"array({', '.join(f'CAST({g} AS INT)' for g in c.groups)})",
+        }
+        for i, c in enumerate(columns)
+    ]
+    counts = (
+        melt(base, entries)
+        .where("value IS NOT NULL AND bucket IS NOT NULL AND exists(codes, c -> c IS NOT NULL)")
+        .groupBy("slot", "bucket", "value", "codes")
+        .agg(F.count("*").alias("n"))
+    )
+
+    def per_slot(what: Sequence[str]) -> str:
+        pairs = ", ".join(f"{i}, {w}" for i, w in enumerate(what))
+        return f"element_at(map({pairs}), slot)"
+
+    most = max(len(c.among) for c in columns)
+    weights = {}
+    for k in range(most):
+        # -1: the column has no such pattern, 0: all rows, else the place of what must be known.
+        place = per_slot(
+            ["-1" if k >= len(c.among) else str((-1 if c.among[k] is None else c.among[k]) + 1)
+             for c in columns]
+        )
+        weights[f"n_{k}"] = F.expr(
+            f"CASE {place} WHEN -1 THEN 0L WHEN 0 THEN n "
+            f"ELSE if(element_at(codes, greatest({place}, 1)) IS NULL, 0L, n) END"
+        )
+    ranked = with_shared_ranks(
+        counts.withColumns(weights), ["slot"], "value", "bucket", list(weights), ("slot", "codes"),
+        rows_bound,
+    )
+    tests = per_slot(
+        ["array(" + ", ".join(
+            f"named_struct('test', {t}, 'place', {p + 1}, 'pattern', {c.pattern(p) + 1})"
+            for t, p in c.tests
+        ) + ")" for c in columns]
+    )
+    pattern = F.col("of.pattern")
+    each = ranked.select(
+        "n",
+        "codes",
+        F.array(*[average_rank(k) for k in range(most)]).alias("ranks"),
+        F.array(*[F.col(f"ties_{k}").cast("double") for k in range(most)]).alias("tied"),
+        F.array(*[F.col(f"total_{k}") for k in range(most)]).alias("totals"),
+        F.explode(F.expr(tests)).alias("of"),
+    ).select(
+        "of.test",
+        F.element_at("codes", F.col("of.place")).alias("g"),
+        F.col("n").cast("double").alias("n"),
+        F.element_at("ranks", pattern).alias("rank"),
+        F.element_at("tied", pattern).alias("ties"),
+        F.element_at("totals", pattern).alias("total"),
+    )
+    return _summed(each.where("g IS NOT NULL"))
+
+
+def melted_rank_sums(rows: DataFrame, rows_bound: int) -> DataFrame:
+    """The same for rows (test, bucket, value, g) that are long already."""
     counts = (
         rows.where("value IS NOT NULL AND g IS NOT NULL AND bucket IS NOT NULL")
         .groupBy("test", "bucket", "value", "g")
         .agg(F.count("*").alias("n"))
     )
     ranked = with_ranks(counts, ["test"], "value", "bucket", "n", ("test", "g"), rows_bound)
-    n, ties = F.col("n").cast("double"), F.col("ties").cast("double")
-    return ranked.groupBy("test", "g").agg(
+    rank = average_rank()
+    each = ranked.select(
+        "test", "g", F.col("n").cast("double").alias("n"), rank.alias("rank"),
+        F.col("ties").cast("double").alias("ties"), "total",
+    )
+    return _summed(each)
+
+
+def _summed(each: DataFrame) -> DataFrame:
+    n, ties = F.col("n"), F.col("ties")
+    return each.groupBy("test", "g").agg(
         F.sum("n").alias("n"),
-        F.sum(n * average_rank()).alias("rank_sum"),
+        F.sum(n * F.col("rank")).alias("rank_sum"),
         F.sum(n * (ties * ties - 1)).alias("ties"),
         F.max("ties").alias("most_ties"),
         F.max("total").alias("total"),
@@ -155,19 +262,57 @@ def mann_whitney(sums: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- Spearman
 
 
-def spearman(rows: DataFrame, rows_bound: int) -> DataFrame:
-    """(test, xb, x, yb, y) rows to one rank correlation per test over complete pairs."""
+def spearman(
+    base: DataFrame, specs: Sequence[Spec], whole: Collection[str], rows_bound: int
+) -> DataFrame:
+    """One rank correlation per test over complete pairs.
+
+    Each outcome y is sorted once for all its tests; the ranks of the other side follow per test.
+    """
+    by_y: dict[str, list[Spec]] = {}
+    for s in specs:
+        by_y.setdefault(s.y, []).append(s)
+    sides = []
+    for y, own in by_y.items():
+        xs = list(dict.fromkeys(s.x for s in own))
+        among = list(dict.fromkeys(None if x in whole else x for x in xs))
+        names = [f"w{k}" for k in range(len(among))]
+        weights = {
+            name: F.lit(1).cast("bigint") if x is None else F.expr(f"CAST({x} IS NOT NULL AS BIGINT)")
+            for name, x in zip(names, among, strict=True)
+        }
+        columns = [c for x in xs for c in (x, bucket_name(x)) if x != y]
+        rows = base.where(f"{y} IS NOT NULL AND {bucket_name(y)} IS NOT NULL")
+        rows = rows.select(y, bucket_name(y), *columns).withColumns({"of": F.lit(0)} | weights)
+        ranked = with_shared_ranks(
+            rows, ["of"], y, bucket_name(y), names, [y, *columns], rows_bound
+        ).withColumns({f"r{k}": average_rank(k) for k in range(len(among))})
+        sides.append(
+            melt(
+                ranked,
+                [
+                    {
+                        "test": str(s.test),
+                        "xb": bucket_name(s.x),
+                        "x": s.x,
+                        "ry": f"r{among.index(s.x if s.x in among else None)}",
+                    }
+                    for s in own
+                ],
+            )
+        )
+    rows = sides[0]
+    for side in sides[1:]:
+        rows = rows.unionByName(side)
     pairs = (
-        rows.where("x IS NOT NULL AND y IS NOT NULL AND xb IS NOT NULL AND yb IS NOT NULL")
-        .groupBy("test", "xb", "x", "yb", "y")
+        rows.where("x IS NOT NULL AND xb IS NOT NULL")
+        .groupBy("test", "xb", "x", "ry")
         .agg(F.count("*").alias("n"))
     )
-    by_x = with_ranks(pairs, ["test"], "x", "xb", "n", ("test", "y"), rows_bound)
-    by_x = by_x.select("test", "yb", "x", "y", "n", average_rank().alias("rx"))
-    both = with_ranks(by_x, ["test"], "y", "yb", "n", ("test", "x"), rows_bound)
+    both = with_ranks(pairs, ["test"], "x", "xb", "n", ("test", "ry"), rows_bound)
     middle = (F.col("total") + 1) / 2
     n = F.col("n").cast("double")
-    dx, dy = F.col("rx") - middle, average_rank() - middle
+    dx, dy = average_rank() - middle, F.col("ry") - middle
     per = both.groupBy("test").agg(
         F.max("total").cast("double").alias("total"),
         F.sum(n * dx * dy).alias("xy"),
@@ -301,44 +446,18 @@ def chi2_uniform(counts: DataFrame, categories: int) -> DataFrame:
 # ---------------------------------------------------------------- many tests
 
 
-def _rank_rows(base: DataFrame, specs: Sequence[Spec], value_of, group_of) -> DataFrame:
-    return melt(
-        base,
-        [
-            {
-                "test": str(s.test),
-                "bucket": bucket_name(value_of(s)),
-                "value": value_of(s),
-                "g": group_of(s),
-            }
-            for s in specs
-        ],
-    )
-
-
-def _pair_rows(base: DataFrame, specs: Sequence[Spec]) -> DataFrame:
-    return melt(
-        base,
-        [
-            {
-                "test": str(s.test),
-                "xb": bucket_name(s.x),
-                "x": s.x,
-                "yb": bucket_name(s.y),
-                "y": s.y,
-            }
-            for s in specs
-        ],
-    )
-
-
 def _cell_rows(base: DataFrame, specs: Sequence[Spec]) -> DataFrame:
     return melt(base, [{"test": str(s.test), "a": s.x, "b": s.y} for s in specs])
 
 
-def run_specs(base: DataFrame, specs: Sequence[Spec], cuts: Mapping[str, Cuts]) -> DataFrame:
+def run_specs(
+    base: DataFrame, specs: Sequence[Spec], cuts: Mapping[str, Cuts], whole: Collection[str] = ()
+) -> DataFrame:
     """All given hypotheses over one prepared table: one row per test (RESULT_COLUMNS plus
-    cramers_v, min_rate and max_rate for the contingency tests)."""
+    cramers_v, min_rate and max_rate for the contingency tests).
+
+    Columns of the table in ``whole`` have no missing values.
+    """
     by_kind: dict[str, list[Spec]] = {}
     for s in specs:
         by_kind.setdefault(s.kind, []).append(s)
@@ -348,16 +467,19 @@ def run_specs(base: DataFrame, specs: Sequence[Spec], cuts: Mapping[str, Cuts])
 
     parts: list[DataFrame] = []
     empty = {c: F.lit(None).cast("double") for c in ("cramers_v", "min_rate", "max_rate")}
-    if chosen := by_kind.get("kruskal"):
-        rows = _rank_rows(base, chosen, lambda s: s.y, lambda s: s.x)
-        parts.append(kruskal(rank_sums(rows, bound(chosen, lambda s: s.y))).withColumns(empty))
-    if chosen := by_kind.get("mann_whitney"):
-        rows = _rank_rows(base, chosen, lambda s: s.x, lambda s: s.y)
-        sums = rank_sums(rows, bound(chosen, lambda s: s.x))
-        parts.append(mann_whitney(sums).withColumns(empty))
+    # Both tests read the ranks of a number column, so each column is ranked once for them.
+    grouped = [(s.test, s.y, s.x) for s in by_kind.get("kruskal", ())]
+    sided = [(s.test, s.x, s.y) for s in by_kind.get("mann_whitney", ())]
+    if grouped or sided:
+        columns = ranked_columns([*grouped, *sided], whole)
+        sums = rank_sums(base, columns, sum(cuts[c.column].buckets for c in columns))
+        for rows, test in ((grouped, kruskal), (sided, mann_whitney)):
+            if rows:
+                own = sums.where(F.col("test").isin([t for t, *_ in rows])) if grouped and sided else sums
+                parts.append(test(own).withColumns(empty))
     if chosen := by_kind.get("spearman"):
         limit = max(bound(chosen, lambda s: s.x), bound(chosen, lambda s: s.y))
-        parts.append(spearman(_pair_rows(base, chosen), limit).withColumns(empty))
+        parts.append(spearman(base, chosen, whole, limit).withColumns(empty))
     for kind, name, effect in (
         ("rate", effects.RATE_RATIO, "rate_ratio"),
         ("cramers_v", effects.CRAMERS_V, "cramers_v"),

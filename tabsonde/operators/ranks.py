@@ -134,16 +134,29 @@ def bucket_offsets(
     rows: DataFrame, keys: Sequence[str], bucket: str, n: str, descending: bool = False
 ) -> DataFrame:
     """Rows per (keys, bucket), rows in lower buckets and rows per keys."""
-    totals = rows.groupBy(*keys, bucket).agg(F.sum(n).alias("bucket_n"))
+    out = shared_offsets(rows, keys, bucket, [n], descending)
+    return out.withColumnsRenamed({"bucket_n_0": "bucket_n", "offset_0": "offset", "total_0": "total"})
+
+
+def shared_offsets(
+    rows: DataFrame, keys: Sequence[str], bucket: str, ns: Sequence[str], descending: bool = False
+) -> DataFrame:
+    """The same for several counts of the rows at once: bucket_n_k, offset_k and total_k."""
+    totals = rows.groupBy(*keys, bucket).agg(
+        *[F.sum(n).alias(f"bucket_n_{k}") for k, n in enumerate(ns)]
+    )
     position = F.abs(F.col(bucket))
     order = Window.partitionBy(*keys).orderBy(position.desc() if descending else position.asc())
-    return totals.select(
-        *keys,
-        bucket,
-        "bucket_n",
-        (F.sum("bucket_n").over(order) - F.col("bucket_n")).alias("offset"),
-        F.sum("bucket_n").over(Window.partitionBy(*keys)).alias("total"),
-    )
+    whole = Window.partitionBy(*keys)
+    out = []
+    for k in range(len(ns)):
+        own = F.col(f"bucket_n_{k}")
+        out += [
+            own,
+            (F.sum(own).over(order) - own).alias(f"offset_{k}"),
+            F.sum(own).over(whole).alias(f"total_{k}"),
+        ]
+    return totals.select(*keys, bucket, *out)
 
 
 def with_ranks(
@@ -160,28 +173,62 @@ def with_ranks(
 
     The average rank is ``before + (ties + 1) / 2``.
     """
-    offsets = bucket_offsets(rows, keys, bucket, n, descending)
+    out = with_shared_ranks(rows, keys, value, bucket, [n], salt_on, rows_bound, descending)
+    return out.withColumnsRenamed({f"{c}_0": c for c in ("before", "ties", "total")})
+
+
+def with_shared_ranks(
+    rows: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    bucket: str,
+    ns: Sequence[str],
+    salt_on: Sequence[str] = (),
+    rows_bound: int = 0,
+    descending: bool = False,
+) -> DataFrame:
+    """``before_k``, ``ties_k`` and ``total_k`` for several counts of the same rows.
+
+    The rows are sorted once; the k-th ranks are those among the rows that ``ns[k]`` counts.
+    """
+    offsets = shared_offsets(rows, keys, bucket, ns, descending)
     solo = F.col(bucket) < 0
-    salt = F.pmod(F.xxhash64(*salt_on), F.lit(SALTS)) if salt_on else F.lit(0)
+    salt = F.pmod(F.xxhash64(*salt_on), F.lit(SALTS)).cast("int") if salt_on else F.lit(0)
     salted = rows.withColumn("salt", F.when(solo, salt).otherwise(F.lit(0)))
     order = Window.partitionBy(*keys, bucket, "salt").orderBy(
         F.col(value).desc() if descending else F.col(value).asc()
     )
-    upto = F.sum(n).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    tied = F.sum(n).over(order.rangeBetween(Window.currentRow, Window.currentRow))
-    ranked = salted.withColumns({"upto": upto, "tied": tied})
-    joined = ranked.join(maybe_broadcast(offsets, rows_bound), [*keys, bucket])
-    return joined.withColumns(
+    upto = order.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    tied = order.rangeBetween(Window.currentRow, Window.currentRow)
+    ranked = salted.withColumns(
+        {f"upto_{k}": F.sum(n).over(upto) for k, n in enumerate(ns)}
+        | {f"tied_{k}": F.sum(n).over(tied) for k, n in enumerate(ns)}
+    )
+    if rows_bound <= BROADCAST_ROWS:
+        joined = ranked.join(F.broadcast(offsets), [*keys, bucket])
+    else:
+        # The salt of the rows is part of the key, so that they stay where the window put them.
+        salts = F.sequence(F.lit(0), F.lit(SALTS - 1 if salt_on else 0))
+        every = F.explode(F.when(solo, salts).otherwise(F.array(F.lit(0))))
+        joined = ranked.join(offsets.withColumn("salt", every), [*keys, bucket, "salt"])
+    out = joined.withColumns(
         {
-            "ties": F.when(solo, F.col("bucket_n")).otherwise(F.col("tied")),
-            "before": F.col("offset")
-            + F.when(solo, F.lit(0)).otherwise(F.col("upto") - F.col("tied")),
+            f"ties_{k}": F.when(solo, F.col(f"bucket_n_{k}")).otherwise(F.col(f"tied_{k}"))
+            for k in range(len(ns))
         }
-    ).drop("salt", "upto", "tied", "bucket_n", "offset")
+        | {
+            f"before_{k}": F.col(f"offset_{k}")
+            + F.when(solo, F.lit(0)).otherwise(F.col(f"upto_{k}") - F.col(f"tied_{k}"))
+            for k in range(len(ns))
+        }
+    )
+    used = ("upto", "tied", "bucket_n", "offset")
+    return out.drop("salt", *[f"{c}_{k}" for c in used for k in range(len(ns))])
 
 
-def average_rank() -> Column:
-    return F.col("before") + (F.col("ties") + 1) / 2
+def average_rank(k: int | None = None) -> Column:
+    end = "" if k is None else f"_{k}"
+    return F.col(f"before{end}") + (F.col(f"ties{end}") + 1) / 2
 
 
 def value_counts(

@@ -68,7 +68,8 @@ class TestBed:
         return Spec(test, "cramers_v", self.codes[b], self.codes[a])
 
     def run(self, specs: Sequence[Spec]) -> DataFrame:
-        return hypotheses.run_specs(self.base, specs, self.cuts)
+        whole = {c for d, c in self.codes.items() if self.folds[d].whole}
+        return hypotheses.run_specs(self.base, specs, self.cuts, whole)
 
 
 def single_test(frame: Frame, kind: str, y: str, x: str) -> DataFrame:

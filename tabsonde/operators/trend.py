@@ -12,7 +12,7 @@ from ..errors import AnalysisError
 from ..functions import dates, effects, pvalues, text
 from .findings import evidence, points
 from .frame import ROWS, Frame, Where
-from .hypotheses import chi2_uniform, kruskal, melt, rank_sums
+from .hypotheses import chi2_uniform, kruskal, melt, melted_rank_sums
 from .ranks import bucket_name, find_cuts, with_buckets
 from .segments import _by_key
 
@@ -240,7 +240,7 @@ def season_p(
                 for t in averaged
             ],
         )
-        tested = kruskal(rank_sums(rows, sum(c.buckets for c in cuts.values())))
+        tested = kruskal(melted_rank_sums(rows, sum(c.buckets for c in cuts.values())))
         p = pvalues.chi2_p(F.col("law_stat"), F.col("a"))
         parts.append(tested.select(F.col("test").alias("key"), p.alias("season_p")))
     out = parts[0]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tabsonde import Frame
 from tabsonde.functions import effects, pvalues
-from tabsonde.operators import ranks
+from tabsonde.operators import hypotheses, ranks
 from tabsonde.operators.hypotheses import benjamini_hochberg, chi2_uniform, melt
 from tabsonde.operators.testbed import single_test
 
@@ -216,3 +216,66 @@ def test_exact_small_side_of_a_large_table(spark, n):
     p = single_test(f, "number", "won", "x").first()["p_value"]
     assert p == pytest.approx(2 / math.comb(n + 3, 3), rel=1e-9)
     assert pvalues.exact_mann_whitney(0, 8, 10**12) == pytest.approx(2 / math.comb(10**12 + 8, 8))
+
+
+def _plain_ranks(values):
+    order = sorted(values)
+    return [
+        (sum(o < v for o in order) + 1 + sum(o <= v for o in order)) / 2 for v in values
+    ]
+
+
+@pytest.mark.parametrize("rows_bound", [None, 0])
+def test_five_tests_share_one_ranking(spark, rows_bound, monkeypatch):
+    """Kruskal-Wallis and Mann-Whitney of one column, some partners with gaps, one sort."""
+    if rows_bound is not None:
+        monkeypatch.setattr(ranks, "BROADCAST_ROWS", -1)
+    df = spark.range(3000).selectExpr(
+        "if(id % 11 = 0, NULL, CAST(pmod(hash(id), 40) AS DOUBLE)) AS v",
+        "CAST(1 + id % 3 AS SMALLINT) AS g0", "CAST(1 + id % 5 AS SMALLINT) AS g1",
+        "CAST(if(id % 7 = 0, NULL, 1 + id % 4) AS SMALLINT) AS g2",
+        "CAST(if(id % 13 = 0, NULL, id % 2) AS SMALLINT) AS b0",
+        "CAST(if(id < 6, id % 2, NULL) AS SMALLINT) AS b1",
+    )
+    cuts = ranks.find_cuts(df, ["v"], 3000)
+    base = ranks.with_buckets(df, cuts)
+    tests = [(0, "v", "g0"), (1, "v", "g1"), (2, "v", "g2"), (3, "v", "b0"), (4, "v", "b1")]
+    columns = hypotheses.ranked_columns(tests, {"g0", "g1"})
+    assert len(columns) == 1 and columns[0].among == (None, 2, 3, 4)
+    sums = hypotheses.rank_sums(base, columns, 20)
+    plan = sums._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window [") + plan.count("RunningWindowFunction") <= 3
+    got = {(r["test"], r["g"]): (r["n"], r["rank_sum"], r["ties"], r["total"]) for r in sums.collect()}
+    rows = df.collect()
+    for test, _, g in tests:
+        known = [(r["v"], r[g]) for r in rows if r["v"] is not None and r[g] is not None]
+        placed = list(zip(_plain_ranks([v for v, _ in known]), known, strict=True))
+        counts = {}
+        for v, _ in known:
+            counts[v] = counts.get(v, 0) + 1
+        for group in {k for _, k in known}:
+            own = [(r, v) for r, (v, k) in placed if k == group]
+            n, total, ties, size = got[test, group]
+            assert n == len(own) and size == len(known)
+            assert abs(total - sum(r for r, _ in own)) < 1e-6
+            assert ties == sum(counts[v] ** 2 - 1 for _, v in own)
+
+
+def test_spearman_ranks_each_outcome_once(spark):
+    df = spark.range(2000).selectExpr(
+        "CAST(pmod(hash(id), 50) AS DOUBLE) AS y", "CAST(pmod(hash(id), 50) + id % 9 AS DOUBLE) AS a",
+        "if(id % 5 = 0, NULL, CAST(id % 17 AS DOUBLE)) AS b", "CAST(-(id % 3) AS DOUBLE) AS c",
+    )
+    names = ["y", "a", "b", "c"]
+    cuts = ranks.find_cuts(df, names, 2000)
+    base = ranks.with_buckets(df, cuts)
+    specs = [hypotheses.Spec(k, "spearman", "y", x) for k, x in enumerate("abc")]
+    specs.append(hypotheses.Spec(3, "spearman", "a", "b"))
+    rows = df.collect()
+    for whole in ((), ("a", "c")):
+        got = {r["test"]: r for r in hypotheses.run_specs(base, specs, cuts, whole).collect()}
+        for s in specs:
+            both = [(r[s.x], r[s.y]) for r in rows if r[s.x] is not None and r[s.y] is not None]
+            rx, ry = (np.array(_plain_ranks([p[k] for p in both])) for k in (0, 1))
+            assert got[s.test]["n"] == len(both)
+            assert abs(got[s.test]["effect"] - np.corrcoef(rx, ry)[0, 1]) < 1e-9

@@ -554,6 +554,15 @@ def _(spark, folder):
     return shaping.sample_rows(df, 500, ["o_orderkey"])
 
 
+@query(
+    "sample_lines",
+    """SELECT * FROM lineitem ORDER BY md5('0|' || l_orderkey || '|' || l_linenumber), l_orderkey,
+l_linenumber LIMIT 20000""",
+)
+def _(spark, folder):
+    return shaping.sample_rows(table(spark, folder, "lineitem"), 20_000, ["l_orderkey", "l_linenumber"])
+
+
 @query(
     "tidy_table",
     """SELECT event_id, value FROM (SELECT CASE WHEN event_type = 'click' THEN NULL ELSE event_id

@@ -12,6 +12,12 @@ from ..functions import values
 from .frame import Frame, Where
 
 
+#: Hexadecimal digits of a digest, those that a round looks at, and what sorts behind them all.
+DIGEST_DIGITS, ROUND_DIGITS, DIGEST_END = 32, 4, "g"
+#: A border of so many rows is ordered as it is.
+BORDER_ROWS = 10_000
+
+
 def drop_blank_rows(df: DataFrame) -> DataFrame:
     """Rows with at least one value (NaN counts as missing)."""
     present = " OR ".join(
@@ -55,14 +61,44 @@ def tidy(df: DataFrame) -> DataFrame:
     return trim_names(kept.select(*filled))
 
 
+def _cut(digests: DataFrame, n: int) -> tuple[str, int]:
+    """Up to which prefix of ``digest`` rows are among the n smallest: (prefix, rows of it).
+
+    Rows before the prefix are, rows behind it are not, and of those that have it so many are.
+    A round counts rows by the next few digits; only the prefix at the border is looked into.
+    """
+    prefix, wanted = "", n
+    while len(prefix) < DIGEST_DIGITS:
+        upto = len(prefix) + ROUND_DIGITS
+        near = digests.where(F.col("digest").startswith(prefix)) if prefix else digests
+        counts = near.groupBy(F.left("digest", F.lit(upto)).alias("head")).count().collect()
+        for head, count in sorted(counts):
+            if count >= wanted:
+                break
+            wanted -= count
+        else:
+            return prefix + DIGEST_END, 0  # all rows are wanted
+        prefix = head
+        if count <= BORDER_ROWS:
+            break
+    return prefix, wanted
+
+
 def sample_rows(df: DataFrame, n: int, keys: Sequence[str], seed: int = 0) -> DataFrame:
-    """At most n rows, the same ones however the table is partitioned.
+    """At most n rows, the same ones however the table is partitioned, in the order of the keys.
 
-    Rows are ordered by a digest of seed and key; each task keeps only its own n smallest.
+    They have the smallest digests of seed and key. A histogram of the digests gives the limit,
+    the rest is a filter; only the few rows whose digests begin like the limit are ordered.
     """
     named = [F.coalesce(values.col(k).cast("string"), F.lit("")) for k in keys]
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *named))
-    chosen = df.orderBy(digest, *[values.col(k) for k in keys]).limit(n)
+    if n <= 0:
+        return df.limit(0)
+    prefix, rows = _cut(df.select(digest.alias("digest")), n)
+    chosen = df.where(digest < prefix)
+    if rows:
+        border = df.where(digest.startswith(prefix))
+        chosen = chosen.union(border.orderBy(digest, *[values.col(k) for k in keys]).limit(rows))
     return chosen.orderBy(*[values.col(k) for k in keys])
 
 

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from tabsonde import InputError
 from tabsonde.functions import dates, text
+from tabsonde.operators import shaping
 from tabsonde.operators.shaping import sample_rows, tidy
 from tabsonde.sources.tables import detect_encoding, read_table, write_result
 
@@ -127,3 +128,20 @@ def test_dates_and_weeks(spark):
     weeks = spark.sql("SELECT explode(array(date'2025-01-06', date'2025-01-07', date'2025-01-13')) d")
     labels = [str(r[0]) for r in weeks.select(dates.period_label_date(F.col("d"), "week")).collect()]
     assert labels == ["2025-01-06", "2025-01-13", "2025-01-13"]
+
+
+@pytest.mark.parametrize("border", [None, 50])
+def test_large_sample(spark, border, monkeypatch):
+    """The rows of the smallest digests, found by histograms; repeated keys count as rows."""
+    if border:
+        monkeypatch.setattr(shaping, "BORDER_ROWS", border)
+    df = spark.range(300_000).selectExpr("if(id < 1000, 5, id) AS k", "id AS v")
+    digest = F.md5(F.concat_ws("|", F.lit("3"), F.col("k").cast("string")))
+    for n in (1, 999, 200_000, 299_999, 300_000, 400_000):
+        got = shaping.sample_rows(df, n, ["k"], seed=3)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("TakeOrderedAndProject") <= 1
+        expected = df.orderBy(digest, "k").limit(n)
+        keys = [r[0] for r in got.select("k").collect()]
+        assert keys == sorted(r[0] for r in expected.select("k").collect())
+    assert shaping.sample_rows(df, 0, ["k"]).count() == 0

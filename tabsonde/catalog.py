@@ -1131,6 +1131,40 @@ def _(spark, folder):
     return rounded(part_p_values(spark, folder), 6)
 
 
+# Whole df from 1 to 7: the tail of t as a sum over angles, the one of odd chi-square over powers.
+_STUDENT = """(SELECT l_orderkey, l_linenumber, l_linenumber AS n, (l_quantity - 25) / 7 AS t FROM
+lineitem)"""
+
+
+def _student_sql() -> str:
+    even = "1 - s * (1 + CASE WHEN n > 2 THEN c2 / 2 ELSE 0 END + CASE WHEN n > 4 THEN 3 * c2 * c2 / 8 ELSE 0 END)"
+    odd = """1 - 2 / pi() * (asin(s) + CASE WHEN n > 1 THEN s * sqrt(c2) * (1 + CASE WHEN n > 3 THEN
+2 * c2 / 3 ELSE 0 END + CASE WHEN n > 5 THEN 8 * c2 * c2 / 15 ELSE 0 END) ELSE 0 END)"""
+    return f"""SELECT l_orderkey, l_linenumber, {r(f"CASE WHEN n % 2 = 0 THEN {even} ELSE {odd} END", 6)} AS p
+FROM (SELECT *, abs(t) / sqrt(n + t * t) AS s, n / (n + t * t) AS c2 FROM {_STUDENT})"""
+
+
+@query("p_values_student", _student_sql())
+def _(spark, folder):
+    """A p-value per order line, none of it in Python."""
+    df = table(spark, folder, "lineitem")
+    p = pvalues.student_p((F.col("l_quantity") - 25) / 7, F.col("l_linenumber"))
+    return rounded(df.select("l_orderkey", "l_linenumber", p.alias("p")), 6)
+
+
+@query(
+    "p_values_chi2_odd",
+    f"""SELECT l_partkey, {r("a + b + d", 6)} AS p FROM (SELECT l_partkey, {normal_p("sqrt(x)")} AS a,
+CASE WHEN n > 1 THEN sqrt(2 * x / pi()) * exp(-x / 2) ELSE 0 END AS b,
+CASE WHEN n > 3 THEN sqrt(2 * x / pi()) * exp(-x / 2) * x / 3 ELSE 0 END AS d
+FROM (SELECT l_partkey, sum(l_discount) * 10 AS x, 1 + 2 * (l_partkey % 3) AS n FROM lineitem GROUP BY 1))""",
+)
+def _(spark, folder):
+    per = table(spark, folder, "lineitem").groupBy("l_partkey").agg((F.sum("l_discount") * 10).alias("x"))
+    p = pvalues.chi2_p(F.col("x"), 1 + 2 * (F.col("l_partkey") % 3))
+    return rounded(per.select("l_partkey", p.alias("p")), 6)
+
+
 @query(
     "p_values_normal",
     f"""SELECT month, {r(normal_p("z"), 6)} AS p FROM (SELECT month, abs(m - a) / (s / sqrt(n)) AS z

@@ -1,7 +1,9 @@
-"""Survival functions for test statistics, applied to the (small) table of tests.
+"""Survival functions of test statistics, as Spark expressions.
 
-Spark has no chi-square, normal or Student-t distribution functions, so these run as
-Arrow-batched pandas UDFs over one row per *test*, never over data rows.
+Spark has no chi-square, normal or Student-t distribution functions. Here they are series and
+continued fractions, folded over a sequence inside the row, so that tables of any size get their
+p-values without leaving Spark. Only Mann-Whitney's exact law, for tests with a tiny side, counts
+with whole numbers of any size and runs as a pandas UDF over the table of tests.
 """
 
 from __future__ import annotations
@@ -19,83 +21,117 @@ from pyspark.sql import types as T
 # Executors need not have this package installed: its functions travel with the tasks.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# From here on the t tail is expanded in 1/df, where log-gamma differences lose digits; both
-# agree to about ten digits here.
+#: From here on the t tail is expanded in 1/df; before, both agree to about ten digits.
 EXPANSION_DF = 1e5
-# Largest small side for which Mann-Whitney's exact distribution is used, if there are no ties.
+#: Largest small side for which Mann-Whitney's exact distribution is used, if there are no ties.
 EXACT_SIDE = 8
+#: Below this the series of the error function is summed, above its continued fraction, with
+#: these numbers of terms: both are exact to the last digits there.
+SERIES_UNTIL = 2.0
+SERIES_TERMS, FRACTION_TERMS = 40, 80
+#: Steps of the incomplete beta function's continued fraction, and more by the root of df.
+BETA_STEPS, BETA_STEPS_PER_ROOT = 60, 3
+#: log(gamma(z + 1/2) / gamma(z)) is half of log z and these over odd powers of z,
+#: from RATIO_FROM on to the last digits.
+RATIO_TERMS = (-1 / 8, 1 / 192, -1 / 640, 17 / 14336, -31 / 18432)
+RATIO_FROM = 12
+
+
+def _double(value: Column | float) -> Column:
+    return (F.lit(float(value)) if isinstance(value, (int, float)) else value).cast("double")
+
+
+def _erfc_of_root(h: Column) -> Column:
+    """The complementary error function of the root of ``h``."""
+    x = F.sqrt(h)
+    series = F.aggregate(
+        F.sequence(F.lit(1), F.lit(SERIES_TERMS)),
+        F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total")),
+        lambda s, n: F.struct(
+            (s["term"] * 2 * h / (2 * n + 1)).alias("term"),
+            (s["total"] + s["term"] * 2 * h / (2 * n + 1)).alias("total"),
+        ),
+        lambda s: s["total"],
+    )
+    fraction = F.aggregate(
+        F.sequence(F.lit(FRACTION_TERMS), F.lit(1), F.lit(-1)), x, lambda below, n: x + n / 2 / below
+    )
+    return F.when(
+        h < SERIES_UNTIL, 1 - 2 / math.sqrt(math.pi) * x * F.exp(-h) * series
+    ).otherwise(F.exp(-h) / (math.sqrt(math.pi) * fraction))
+
+
+def chi2_p(x: Column, df: Column) -> Column:
+    """P(chi-square > x) for whole df, by the two-step recurrence in df, in logarithms."""
+    half, k = _double(x) / 2, df.cast("int")
+    odd = k % 2 == 1
+    first = F.when(odd, 1).otherwise(2)
+    start = F.when(odd, F.log(half) / 2 - math.log(math.sqrt(math.pi) / 2)).otherwise(F.log(half))
+    steps = F.when(k - 2 >= first, F.sequence(first, k - 2, F.lit(2))).otherwise(
+        F.array().cast("array<int>")
+    )
+    more = F.aggregate(
+        steps,
+        F.struct((start - half).alias("log"), F.lit(0.0).alias("total")),
+        lambda s, j: F.struct(
+            (s["log"] + F.log(half) - F.log(j / 2 + 1)).alias("log"),
+            (s["total"] + F.exp(s["log"])).alias("total"),
+        ),
+        lambda s: s["total"],
+    )
+    least = F.when(odd, _erfc_of_root(half)).otherwise(F.exp(-half))
+    tail = F.when(half <= 0, 1.0).otherwise(F.least(least + more, F.lit(1.0)))
+    return F.when(half.isNotNull() & ~F.isnan(half) & k.isNotNull(), tail)
+
+
+def normal_p(z: Column) -> Column:
+    """Two-sided normal tail."""
+    z = _double(z)
+    return F.when(z.isNotNull() & ~F.isnan(z), _erfc_of_root(z * z / 2))
 
 
-def chi2_tail(x: float, df: float) -> float:
-    """P(chi-square > x) for integer df, by the two-step recurrence in df."""
-    if x <= 0:
-        return 1.0
-    k, half = int(df), x / 2.0
-    log_half = math.log(half)
-    if k % 2:
-        total, start = math.erfc(math.sqrt(half)), 1
-    else:
-        total, start = math.exp(-half), 2
-    for j in range(start, k, 2):
-        total += math.exp(j / 2 * log_half - half - math.lgamma(j / 2 + 1))
-    return min(total, 1.0)
-
-
-def normal_two_sided(z: float) -> float:
-    return math.erfc(abs(z) / math.sqrt(2.0))
-
-
-def _beta_fraction(a: float, b: float, x: float) -> float:
-    """Continued fraction of the incomplete beta function (modified Lentz iteration)."""
-    tiny = 1e-300
-    c, d = 1.0, 1.0 - (a + b) * x / (a + 1.0)
-    d = 1.0 / (d if abs(d) > tiny else tiny)
-    value = d
-    for m in range(1, 10_000):
-        for top in (
-            m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
-            -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)),
-        ):
-            d = 1.0 + top * d
-            d = 1.0 / (d if abs(d) > tiny else tiny)
-            c = 1.0 + top / c
-            c = c if abs(c) > tiny else tiny
-            step = c * d
-            value *= step
-        if abs(step - 1.0) < 1e-15:
-            break
-    return value
-
-
-def expanded_student(t: float, df: float) -> float:
+def _beta_fraction(a: Column, b: Column, x: Column, steps: Column) -> Column:
+    """The incomplete beta function's continued fraction, from its last step to the first."""
+
+    def step(below: Column, m: Column) -> Column:
+        falling = (a + m - 1) * (a + b + m - 1) * x / ((a + 2 * m - 2) * (a + 2 * m - 1))
+        rising = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        return 1 - falling / (1 + rising / below)
+
+    numbers = F.transform(F.sequence(steps, F.lit(1), F.lit(-1)), lambda m: m.cast("double"))
+    return 1 / F.aggregate(numbers, F.lit(1.0), step)
+
+
+def _expanded_student(t: Column, df: Column) -> Column:
     """The normal tail at the point with the same probability, to second order in 1/df**2."""
     a = df - 0.5
-    y = a * math.log1p(t * t / df)
+    y = a * F.log1p(t * t / df)
     b = 48.0 * a * a
     third = (((-0.4 * y - 3.3) * y - 24.0) * y - 85.5) / (0.8 * y * y + 100.0 + b)
-    return normal_two_sided(math.sqrt(y) * (1.0 + (y + 3.0 + third) / b))
-
-
-def student_two_sided(t: float, df: float) -> float:
-    if math.isinf(t):
-        return 0.0
-    if df >= EXPANSION_DF:
-        return expanded_student(t, df)
-    a, b, x = df / 2.0, 0.5, df / (df + t * t)
-    front = (
-        math.lgamma(a + b)
-        - math.lgamma(a)
-        - math.lgamma(b)
-        + a * math.log(x)
-        + b * math.log1p(-x)
-        if 0.0 < x < 1.0
-        else 0.0
+    return normal_p(F.sqrt(y) * (1.0 + (y + 3.0 + third) / b))
+
+
+def student_p(t: Column, df: Column) -> Column:
+    """Two-sided tail of Student's t."""
+    t, df = _double(t), _double(df)
+    a, b, squares = df / 2, F.lit(0.5), df + t * t
+    x, rest = df / squares, t * t / squares
+    z = a + RATIO_FROM
+    ratio = F.log(z) / 2
+    for k, c in enumerate(RATIO_TERMS):
+        ratio = ratio + c / F.pow(z, F.lit(2.0 * k + 1))
+    for k in range(RATIO_FROM):
+        ratio = ratio - F.log1p(0.5 / (a + k))
+    front = F.exp(ratio - math.log(math.sqrt(math.pi)) + a * F.log(x) + F.log(rest) / 2)
+    steps = (BETA_STEPS + BETA_STEPS_PER_ROOT * F.sqrt(a)).cast("int")
+    far = x < (a + 1) / (a + b + 2)
+    tail = F.when(far, front * _beta_fraction(a, b, x, steps) / a).otherwise(
+        1 - front * _beta_fraction(b, a, rest, steps) / b
     )
-    if x >= 1.0:
-        return 1.0
-    if x < (a + 1.0) / (a + b + 2.0):
-        return min(math.exp(front) * _beta_fraction(a, b, x) / a, 1.0)
-    return max(1.0 - math.exp(front) * _beta_fraction(b, a, 1.0 - x) / b, 0.0)
+    p = F.when(F.abs(t) == float("inf"), 0.0).when(df >= EXPANSION_DF, _expanded_student(t, df))
+    p = p.when(rest <= 0, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), tail)))
+    known = t.isNotNull() & ~F.isnan(t) & df.isNotNull() & (df > 0)
+    return F.when(known, p)
 
 
 def _partitions_up_to(most: list[int], parts: int) -> list[int]:
@@ -141,60 +177,29 @@ def exact_mann_whitney(u: float, n1: int, n2: int) -> float:
     return min(2 * tail / math.comb(small + large, small), 1.0)
 
 
-def _mapped(function, *series: pd.Series) -> pd.Series:
-    rows = zip(*[s.astype(float) for s in series], strict=True)
+@F.pandas_udf(T.DoubleType())
+def _exact_udf(u: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
+    rows = zip(u, n1, n2, strict=True)
     return pd.Series(
-        [None if any(math.isnan(v) for v in row) else function(*row) for row in rows], dtype=float
+        [None if pd.isna(x) else exact_mann_whitney(x, int(a), int(b)) for x, a, b in rows], dtype=float
     )
 
 
-@F.pandas_udf(T.DoubleType())
-def _chi2_udf(x: pd.Series, df: pd.Series) -> pd.Series:
-    return _mapped(chi2_tail, x, df)
+def tail_p(law: Column, stat: Column, a: Column, b: Column, exact: bool = True) -> Column:
+    """p-values of a mixed table of tests: law is chi2, student, normal, exact_u or null.
 
+    Without ``exact`` the table has no row of the last law, and no Python is run.
+    """
+    stat, a, b = (_double(c) for c in (stat, a, b))
 
-@F.pandas_udf(T.DoubleType())
-def _normal_udf(z: pd.Series) -> pd.Series:
-    return _mapped(normal_two_sided, z)
-
-
-@F.pandas_udf(T.DoubleType())
-def _student_udf(t: pd.Series, df: pd.Series) -> pd.Series:
-    return _mapped(student_two_sided, t, df)
-
-
-@F.pandas_udf(T.DoubleType())
-def _tail_udf(law: pd.Series, stat: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
-    def one(name: str | None, x: float, p: float, q: float) -> float | None:
-        if name is None or math.isnan(x):
-            return None
-        if name == "chi2":
-            return chi2_tail(x, p)
-        if name == "student":
-            return student_two_sided(x, p)
-        if name == "exact_u":
-            return exact_mann_whitney(x, int(p), int(q))
-        return normal_two_sided(x)
-
-    rows = zip(law, stat.astype(float), a.astype(float), b.astype(float), strict=True)
-    return pd.Series([one(*row) for row in rows], dtype=float)
-
-
-def chi2_p(x: Column, df: Column) -> Column:
-    return _chi2_udf(x.cast("double"), df.cast("double"))
-
-
-def normal_p(z: Column) -> Column:
-    return _normal_udf(z.cast("double"))
-
-
-def student_p(t: Column, df: Column) -> Column:
-    return _student_udf(t.cast("double"), df.cast("double"))
-
+    def of(name: str, value: Column) -> Column:
+        return F.when(law == name, value)
 
-def tail_p(law: Column, stat: Column, a: Column, b: Column) -> Column:
-    """One UDF for a mixed tests table: law is chi2 | normal | student | exact_u (or null)."""
-    return _tail_udf(law, stat.cast("double"), a.cast("double"), b.cast("double"))
+    p = F.when(law == "chi2", chi2_p(of("chi2", stat), of("chi2", a)))
+    p = p.when(law == "student", student_p(stat, a)).when(law == "normal", normal_p(stat))
+    if exact:
+        p = p.when(law == "exact_u", _exact_udf(of("exact_u", stat), a, b))
+    return p
 
 
 def spearman_t(rho: Column, n: Column) -> Column:

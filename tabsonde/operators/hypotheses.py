@@ -490,7 +490,8 @@ def run_specs(
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    p = pvalues.tail_p(F.col("law"), F.col("law_stat"), F.col("a"), F.col("b"))
+    law = (F.col("law"), F.col("law_stat"), F.col("a"), F.col("b"))
+    p = pvalues.tail_p(*law, exact="mann_whitney" in by_kind)
     return out.withColumn("p_value", p).select(
         *RESULT_COLUMNS, "cramers_v", "min_rate", "max_rate"
     )

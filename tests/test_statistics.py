@@ -118,19 +118,54 @@ def test_missing_outcomes_are_left_out(spark):
     assert single_test(f, "number", "won", "x").first()["n"] == 90
 
 
-def test_tails():
-    for x, df in ((3.841458820694124, 1), (5.991464547107979, 2), (7.814727903251179, 3),
-                  (19.67513757268249, 11), (43.77297182574219, 30)):
-        assert pvalues.chi2_tail(x, df) == pytest.approx(0.05, rel=1e-9)
-    assert pvalues.normal_two_sided(1.959963984540054) == pytest.approx(0.05)
-    assert pvalues.student_two_sided(2.2281388519649385, 10) == pytest.approx(0.05)
-    assert pvalues.student_two_sided(1.9623390808264078, 1000) == pytest.approx(0.05)
-    assert 0 < pvalues.chi2_tail(1370.0, 1) < 1e-298
-    assert pvalues.student_two_sided(math.inf, 5) == 0.0
+def tails(spark, expression, rows):
+    """p-values of (statistic, df) rows, with a look at the plan: no Python."""
+    df = spark.createDataFrame([(k, float(x), float(n)) for k, (x, n) in enumerate(rows)], "k int, x double, n double")
+    out = df.select("k", expression(F.col("x"), F.col("n")).alias("p"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    return [r["p"] for r in sorted(out.collect())]
+
+
+def test_tails(spark):
+    chi2 = tails(spark, pvalues.chi2_p, [
+        (3.841458820694124, 1), (5.991464547107979, 2), (7.814727903251179, 3),
+        (19.67513757268249, 11), (43.77297182574219, 30), (1370.0, 1), (0.0, 4), (-1.0, 1),
+    ])
+    assert chi2[:5] == pytest.approx([0.05] * 5, rel=1e-9)
+    assert 0 < chi2[5] < 1e-298 and chi2[6:] == [1.0, 1.0]
+    x = [k / 7 for k in range(1, 250)]
+    odd = tails(spark, pvalues.chi2_p, [(v, 5) for v in x])
+    plain = [
+        math.erfc(math.sqrt(v / 2)) + math.sqrt(2 * v / math.pi) * math.exp(-v / 2) * (1 + v / 3) for v in x
+    ]
+    assert odd == pytest.approx(plain, rel=1e-11)
+    normal = tails(spark, lambda z, _: pvalues.normal_p(z), [(v, 0) for v in (*x, -1.959963984540054)])
+    assert normal == pytest.approx([*(math.erfc(v / math.sqrt(2)) for v in x), 0.05], rel=1e-11)
+    student = tails(spark, pvalues.student_p, [
+        (2.2281388519649385, 10), (1.9623390808264078, 1000), (math.inf, 5), (0.0, 3), (-1.0, 1),
+        (1e6, 2),
+    ])
+    assert student == pytest.approx([0.05, 0.05, 0.0, 1.0, 0.5, 1 - 1 / math.sqrt(1 + 2e-12)], rel=1e-4)
+    for v, p in zip(x, tails(spark, pvalues.student_p, [(v, 4) for v in x]), strict=True):
+        s = v / math.sqrt(v * v + 4)
+        assert p == pytest.approx(1 - s * (1 + (1 - s * s) / 2), rel=1e-7, abs=1e-13)
     assert pvalues.exact_mann_whitney(0, 3, 3) == pytest.approx(0.1)
     assert pvalues.exact_mann_whitney(2, 4, 5) == pytest.approx(8 / 126)
 
 
+def test_missing_tails(spark):
+    df = spark.range(1).select(
+        pvalues.chi2_p(F.lit(None), F.lit(1)), pvalues.chi2_p(F.lit(math.nan), F.lit(1)),
+        pvalues.chi2_p(F.lit(1.0), F.lit(None)), pvalues.normal_p(F.lit(None)),
+        pvalues.student_p(F.lit(None), F.lit(3)), pvalues.student_p(F.lit(1.0), F.lit(None)),
+        pvalues.tail_p(F.lit(None).cast("string"), F.lit(1.0), F.lit(1.0), F.lit(1.0)),
+        pvalues.tail_p(F.lit("exact_u"), F.lit(0.0), F.lit(3.0), F.lit(3.0)),
+    )
+    *missing, exact = df.first()
+    assert missing == [None] * 7 and exact == pytest.approx(0.1)
+
+
 def test_exact_small_side(spark):
     f = frame(spark, {"won": [True] * 3 + [False] * 3, "x": [1.0, 2, 3, 4, 5, 6]}, ["won"])
     assert single_test(f, "number", "won", "x").first()["p_value"] == pytest.approx(0.1)
@@ -177,13 +212,15 @@ def test_effect_scale(spark):
     assert [r[2] for r in out] == pytest.approx([0.4, 1.0, 0.5])
 
 
-def test_student_tail_has_no_jump():
-    for t in (0.3, 2.0, 9.0, 30.0):
-        below, above = (pvalues.student_two_sided(t, df) for df in (99_999.0, 100_001.0))
+def test_student_tail_has_no_jump(spark):
+    ts = (0.3, 2.0, 9.0, 30.0)
+    below, above = (tails(spark, pvalues.student_p, [(t, n) for t in ts]) for n in (99_999, 100_001))
+    for t, one, other in zip(ts, below, above, strict=True):
         # The tail itself changes by about t**4 / (4 * df**2) per degree of freedom.
-        assert above == pytest.approx(below, rel=1e-9 + t**4 / 1e10)
-    assert pvalues.student_two_sided(30.0, 10_000_001.0) == pytest.approx(1.001e-197, rel=1e-3)
-    assert pvalues.student_two_sided(2.0, 1e15) == pytest.approx(pvalues.normal_two_sided(2.0))
+        assert other == pytest.approx(one, rel=1e-9 + t**4 / 1e10)
+    far, normal = tails(spark, pvalues.student_p, [(30.0, 10_000_001), (2.0, 1e15)])
+    assert far == pytest.approx(1.001e-197, rel=1e-3)
+    assert normal == pytest.approx(math.erfc(math.sqrt(2)))
 
 
 def counted_mann_whitney(u, n1, n2):

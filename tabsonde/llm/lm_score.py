@@ -39,6 +39,9 @@ HELD_STRINGS = 1_300_000
 HELD_WORDS = 150_000
 #: Bytes and distinct words that a task works on at a time.
 PORTION_BYTES = 1 << 20
+#: Strings that are counted at a time, and bytes that are looked up at a time.
+WAITING_STRINGS = 1 << 22
+LOOK_UP_BYTES = 1 << 17
 FLUSH_WORDS = 200_000
 PORTION_KEYS = 1 << 17
 #: Rows of a batch of packed strings.
@@ -69,26 +72,29 @@ def portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(low, high - low)
 
 
-def strings_of(texts: list[list[bytes]], depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(text number, string) for the bytes of the texts, PORTION_BYTES at a time.
+def strings_of(
+    texts: list[list[bytes]], depth: int, block: int = PORTION_BYTES
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text number, string) for the bytes of the texts, ``block`` at a time.
 
     A string is the byte (lowest) under its context, the nearest byte highest. Before a text
     stand ends.
     """
     pad = END * depth
     written = [b" ".join(words) + END for words in texts]
-    data = np.frombuffer(b"".join(pad + t for t in written), np.uint8)
+    data = b"".join([*(pad + t for t in written), bytes(8)])
     sizes = np.array([len(t) + depth for t in written], np.int64)
     owner = np.repeat(np.arange(len(written)), sizes)
-    real = np.ones(len(data), bool)
+    real = np.ones(len(owner), bool)
     starts = np.cumsum(sizes) - sizes
     real[(starts[:, None] + np.arange(depth)[None, :]).ravel()] = False
-    for low in range(depth, len(data), PORTION_BYTES):
-        high = min(low + PORTION_BYTES, len(data))
-        made = np.zeros(high - low, np.uint64)
-        for back in [*range(1, depth + 1), 0]:
-            made <<= np.uint64(8)
-            made |= data[low - back : high - back]
+    context, above = np.uint64((1 << (8 * depth)) - 1), np.uint64(8 * depth)
+    for low in range(depth, len(owner), block):
+        high = min(low + block, len(owner))
+        # Eight bytes from every place on, the context's farthest byte lowest.
+        seen = np.ndarray((high - low,), "<u8", data, low - depth, (1,))
+        made = (seen & context) << np.uint64(8)
+        made |= (seen >> above) & np.uint64(255)
         kept = real[low:high]
         yield owner[low:high][kept], made[kept]
 
@@ -169,17 +175,29 @@ def string_counts(texts: DataFrame, depth: int, parts: int) -> DataFrame:
             )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = []
+        found, waiting = [], ([], [])
+
+        def settle() -> None:
+            """Count the strings that wait; what is counted is added up when it has doubled."""
+            learnt, unseen = (np.concatenate(w) if w else np.empty(0, np.uint64) for w in waiting)
+            unseen = np.unique(unseen)
+            found.append(np.unique(learnt, return_counts=True))
+            found.append((unseen, np.zeros(len(unseen), np.int64)))
+            for w in waiting:
+                w.clear()
+            if sum(len(k) for k, _ in found[1:]) > len(found[0][0]):
+                found[:] = [_summed(found)]
+
         for batch in portions(batches):
             split = [words_of(t.as_py()) for t in batch["text"]]
             trains = np.array([not is_held_out(d) for d in batch["doc_id"].to_pylist()], bool)
             for owner, made in strings_of(split, depth):
                 learns = trains[owner]
-                found.append(np.unique(made[learns], return_counts=True))
-                unseen = np.unique(made[~learns])
-                found.append((unseen, np.zeros(len(unseen), np.int64)))
-            if len(found) > 6:
-                found = [_summed(found)]
+                waiting[0].append(made[learns])
+                waiting[1].append(made[~learns])
+                if sum(map(len, chain(*waiting))) >= WAITING_STRINGS:
+                    settle()
+        settle()
         if found:
             strings, n = _summed(found)
             del found
@@ -415,19 +433,20 @@ class Held:
         bits = max(4, int(np.ceil(np.log2(max(len(keys), 1) * 1.6))))
         self.shift = np.uint64(64 - bits)
         self.mask = (1 << bits) - 1
-        self.keys = np.full(1 << bits, -1, np.int64)
-        self.values = np.zeros(1 << bits, np.float32)
+        # A key and its value stand side by side, so that a look-up reads one place.
+        self.pairs = np.full((1 << bits, 2), -1, np.int64)
         for low in range(0, len(keys), PORTION_KEYS):
             self._put(keys[low : low + PORTION_KEYS], values[low : low + PORTION_KEYS])
 
     def _put(self, keys: np.ndarray, values: np.ndarray) -> None:
-        todo = np.arange(len(keys))
+        here, todo = self.pairs[:, 0], np.arange(len(keys))
+        values = values.astype(float).view(np.int64)
         place = self._first(keys)
         for _ in range(self.TRIES):
-            free = todo[self.keys[place[todo]] == -1]
+            free = todo[here[place[todo]] == -1]
             at, first = np.unique(place[free], return_index=True)
-            self.keys[at], self.values[at] = keys[free[first]], values[free[first]]
-            todo = todo[self.keys[place[todo]] != keys[todo]]
+            self.pairs[at, 0], self.pairs[at, 1] = keys[free[first]], values[free[first]]
+            todo = todo[here[place[todo]] != keys[todo]]
             place[todo] = (place[todo] + 1) & self.mask
 
     def _first(self, keys: np.ndarray) -> np.ndarray:
@@ -437,19 +456,23 @@ class Held:
     def look_up(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Values (0 where a key is not held) and which keys are not held."""
         place = self._first(keys)
-        found = self.keys[place]
-        out = np.where(found == keys, self.values[place], 0.0)
-        todo = np.flatnonzero((found != keys) & (found != -1))
-        missing = found == -1
+        seen = np.take(self.pairs, place, axis=0)
+        hit = seen[:, 0] == keys
+        out = np.where(hit, seen[:, 1].view(float), 0.0)
+        missing = np.zeros(len(keys), bool)
+        todo = np.flatnonzero(~hit)
+        seen = seen[todo]
         for _ in range(self.TRIES):
+            free = seen[:, 0] == -1
+            missing[todo[free]] = True
+            todo = todo[~free]
             if not len(todo):
                 break
             place[todo] = (place[todo] + 1) & self.mask
-            found = self.keys[place[todo]]
-            hit = found == keys[todo]
-            out[todo[hit]] = self.values[place[todo[hit]]]
-            missing[todo[found == -1]] = True
-            todo = todo[~hit & (found != -1)]
+            seen = self.pairs[place[todo]]
+            hit = seen[:, 0] == keys[todo]
+            out[todo[hit]] = seen[hit, 1].view(float)
+            todo, seen = todo[~hit], seen[~hit]
         missing[todo] = True
         return out, missing
 
@@ -477,7 +500,7 @@ def language_scores(
     log_total = log10(train_tokens + vocabulary + 1)
 
     held = frequent(logs, HELD_STRINGS)
-    held = held.select("string", F.col("log10p").cast("float").alias("log10p")).toArrow()
+    held = held.select("string", "log10p").toArrow()
     held_strings = held["string"].to_numpy(), held["log10p"].to_numpy()
     held = frequent(words, HELD_WORDS).toArrow()
     held_words, held_counts = held["word"].combine_chunks(), held["n"].to_numpy()
@@ -494,13 +517,14 @@ def language_scores(
             rare_words = []
             for k, text in enumerate(split):
                 found = list(map(known.get, chain(text, [END])))
-                rare = [w for w, v in zip(chain(text, [END]), found, strict=True) if v is None]
-                n_known[k] = len(found) - len(rare)
-                base[k] = sum(v for v in found if v is not None)
-                rare_words.append(rare)
+                lacking = found.count(None)
+                n_known[k] = len(found) - lacking
+                base[k] = sum(filter(None, found))
+                both = zip(chain(text, [END]), found, strict=True) if lacking else ()
+                rare_words.append([w for w, v in both if v is None])
             sizes, total = np.zeros(n, np.int64), np.zeros(n)
             rare_strings, owners = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for owner, made in strings_of(split, depth):
+            for owner, made in strings_of(split, depth, LOOK_UP_BYTES):
                 keys = made.view(np.int64)
                 values, missing = table.look_up(keys)
                 sizes += np.bincount(owner, minlength=n)

@@ -500,8 +500,10 @@ def language_scores(
     log_total = log10(train_tokens + vocabulary + 1)
 
     held = frequent(logs, HELD_STRINGS)
-    held = held.select("string", "log10p").toArrow()
-    held_strings = held["string"].to_numpy(), held["log10p"].to_numpy()
+    held = held.select("string", "log10p", "n").toArrow()
+    # The most frequent first: these get their places in the table, others go further.
+    order = np.argsort(-held["n"].to_numpy(), kind="stable")
+    held_strings = held["string"].to_numpy()[order], held["log10p"].to_numpy()[order]
     held = frequent(words, HELD_WORDS).toArrow()
     held_words, held_counts = held["word"].combine_chunks(), held["n"].to_numpy()
 

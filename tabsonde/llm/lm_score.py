@@ -40,7 +40,7 @@ HELD_WORDS = 150_000
 #: Bytes and distinct words that a task works on at a time.
 PORTION_BYTES = 1 << 20
 #: Strings that are counted at a time, and bytes that are looked up at a time.
-WAITING_STRINGS = 1 << 22
+WAITING_STRINGS = 1 << 21
 LOOK_UP_BYTES = 1 << 17
 FLUSH_WORDS = 200_000
 PORTION_KEYS = 1 << 17

@@ -1409,6 +1409,53 @@ def _(spark, folder):
     return found.findings
 
 
+SPLIT_PAIRS = [
+    ("l_linestatus", "l_returnflag"), ("l_linestatus", "open_status"), ("l_returnflag", "open_status"),
+    ("l_linenumber", "l_linestatus"),
+]
+
+
+@query(
+    "same_splits",
+    " UNION ALL ".join(
+        f"""SELECT '{a}' AS a, '{b}' AS b, n, {r("v", 6)} AS cramers_v, v >= 0.9 AS same FROM (SELECT n,
+sqrt(chi2 / (n * (least(nr, nc) - 1))) AS v FROM {chi2_sql(LINEITEM, a, b)})"""
+        for a, b in SPLIT_PAIRS
+    ),
+)
+def _(spark, folder):
+    return rounded(battery.split_likeness(lineitem(spark, folder), SPLIT_PAIRS), 6)
+
+
+@query(
+    "request_errors",
+    """SELECT CAST(request AS INTEGER) AS request, analysis, message FROM (VALUES
+(1, 'metric_by_bins', 'Unknown driver column ''nothing''. Use a name from the profile.'),
+(2, 'pivot', 'Unknown analysis ''pivot''.'),
+(3, 'compare_segments', '''o_orderpriority'' has no numbers to work with.'),
+(4, 'trend', 'Invalid arguments for trend: metric missing'),
+(5, 'crosstab', 'Pick two different columns.')) AS t(request, analysis, message)
+UNION ALL SELECT 0, 'compare_segments', 'No rows where o_orderpriority = ''6-none''. Values include: '
+|| string_agg(v, ', ' ORDER BY n DESC, v) || '.' FROM (SELECT o_orderpriority AS v, count(*) AS n FROM
+orders JOIN customer ON o_custkey = c_custkey GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 8)""",
+)
+def _(spark, folder):
+    """What becomes of requests that cannot be answered, while the others are."""
+    segments_ = {"metric": "o_totalprice", "dimension": "c_mktsegment"}
+    nobody = {"column": "o_orderpriority", "value": "6-none"}
+    asked = [
+        ("compare_segments", segments_ | {"where": nobody}),
+        ("metric_by_bins", {"metric": "o_totalprice", "driver": "nothing"}),
+        ("pivot", {}),
+        ("compare_segments", {"metric": "o_orderpriority", "dimension": "c_mktsegment"}),
+        ("trend", {"freq": "month"}),
+        ("crosstab", {"dimension_a": "c_mktsegment", "dimension_b": "c_mktsegment"}),
+        ("compare_segments", segments_),
+    ]
+    given = roles.Roles(dimensions=("o_orderpriority", "c_mktsegment"), measures=("c_acctbal",))
+    return requests.run_requests(customer_orders(spark, folder), given, asked).errors
+
+
 ROLE_COLUMNS = {
     "order_key": ("o_orderkey", "numeric"),
     "customer_id": ("'C' || o_custkey", "categorical"),

@@ -81,6 +81,11 @@ class Frame:
         reader = values.yes_no if self.is_binary(name) else values.number
         return reader(values.quoted(name), self.dtype(name))
 
+    def need_numbers(self, name: str) -> None:
+        """Fails for a column without a single number; stops at the first one it finds."""
+        if self.df.where(self.measure(name).isNotNull()).limit(1).isEmpty():
+            raise AnalysisError(f"{name!r} has no numbers to work with.")
+
     def raw_label(self, name: str) -> Column:
         return F.expr(self.raw_label_sql(name))
 

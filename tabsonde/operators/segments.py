@@ -253,6 +253,7 @@ def _request(
     if metric == dimension:
         raise AnalysisError("The metric and the dimension must be different columns.")
     sub = frame.subset(where)
+    sub.need_numbers(metric)
     folds = fold_plans(sub, [dimension])
     if len(folds[dimension].groups) < 2:
         raise AnalysisError(

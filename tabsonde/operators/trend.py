@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..errors import AnalysisError
 from ..functions import dates, effects, pvalues, text
+from ..staging import stage
 from .findings import evidence, points
 from .frame import ROWS, Frame, Where
 from .hypotheses import chi2_uniform, kruskal, melt, melted_rank_sums
@@ -411,4 +412,7 @@ def trend(
 ) -> DataFrame:
     """One evidence row: how a metric moves over time."""
     sub, request, plans = _request(frame, metric, freq, where)
-    return trend_evidence(sub, [request], plans)
+    found = stage(trend_evidence(sub, [request], plans))
+    if found.isEmpty():
+        raise AnalysisError(f"Too few whole periods of {metric!r}; a finer frequency has more.")
+    return found

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.errors import AnalysisException
 
 from ..errors import InputError
@@ -231,17 +232,25 @@ def read_table(
     return tidy(df)
 
 
+def strict(value: Column, dtype: T.DataType) -> Column:
+    """The value with NaN and infinities missing, at any depth."""
+    if isinstance(dtype, values.FLOAT_TYPES):
+        return F.when(F.abs(value) < float("inf"), value)
+    if isinstance(dtype, T.ArrayType):
+        return F.transform(value, lambda v: strict(v, dtype.elementType))
+    if isinstance(dtype, T.MapType):
+        return F.transform_values(value, lambda _, v: strict(v, dtype.valueType))
+    if isinstance(dtype, T.StructType):
+        fields = [strict(value[f.name], f.dataType).alias(f.name) for f in dtype.fields]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    return value
+
+
 def write_result(df: DataFrame, path: str, kind: str = "parquet", mode: str = "error") -> None:
     """Write a result table as Parquet or strict JSON lines (no NaN or infinities)."""
     if kind == "json":
-        df = df.withColumns(
-            {
-                f.name: F.expr(
-                    f"CASE WHEN abs(`{f.name}`) < double('Infinity') THEN `{f.name}` END"
-                )
-                for f in df.schema.fields
-                if f.dataType.simpleString() in ("double", "float")
-            }
+        df = df.select(
+            *[strict(values.col(f.name), f.dataType).alias(f.name) for f in df.schema.fields]
         )
     df.write.mode(mode).format(kind).save(path)
 

@@ -150,3 +150,20 @@ def test_missing_is_a_group_and_wide_dimensions_keep_twelve(spark):
     counts = lump_levels(Frame.of(df), "g").groupBy("level").count().collect()
     counts = {r["level"]: r["count"] for r in counts}
     assert counts["(missing)"] == 500 and counts["Other"] == 900 and len(counts) == 13
+
+
+def test_errors_instead_of_nothing(spark):
+    """No numbers, too few bands, too few periods: said, not left to an empty result."""
+    df = spark.range(400).selectExpr(
+        "CAST(id AS DOUBLE) AS y", "if(id < 395, 0D, 1D + id) AS x", "concat('t', id) AS words",
+        "id % 2 = 0 AS side", "date_add(DATE'2024-01-01', CAST(id % 50 AS INT)) AS day",
+    )
+    frame = Frame.of(df, ["side"], time="day")
+    for asked in (
+        lambda: compare_segments(frame, "words", "side"),
+        lambda: metric_by_bins(frame, "words", "x"),
+        lambda: metric_by_bins(frame, "y", "x"),
+        lambda: trend(frame, "y", "quarter"),
+    ):
+        with pytest.raises(AnalysisError):
+            asked()

@@ -145,3 +145,18 @@ def test_large_sample(spark, border, monkeypatch):
         keys = [r[0] for r in got.select("k").collect()]
         assert keys == sorted(r[0] for r in expected.select("k").collect())
     assert shaping.sample_rows(df, 0, ["k"]).count() == 0
+
+
+def test_strict_json_at_any_depth(spark, tmp_path):
+    nan, inf = float("nan"), float("inf")
+    df = spark.createDataFrame(
+        [(1, inf, [1.0, nan], {"a": -inf, "b": 2.0}, {"v": nan, "w": [{"x": inf}]}, None)],
+        "k int, d double, a array<double>, m map<string,double>, "
+        "s struct<v:double,w:array<struct<x:float>>>, n struct<v:double>",
+    )
+    write_result(df, f"{tmp_path}/out", "json")
+    text = "".join(r["value"] for r in spark.read.text(f"{tmp_path}/out").collect())
+    assert "Infinity" not in text and "NaN" not in text
+    back = spark.read.schema(df.schema).json(f"{tmp_path}/out").first()
+    assert back["d"] is None and back["a"] == [1.0, None] and back["m"] == {"a": None, "b": 2.0}
+    assert back["s"]["v"] is None and back["s"]["w"][0]["x"] is None and back["n"] is None

@@ -1483,21 +1483,94 @@ CAST(CASE WHEN name = 'returned' THEN 3.0 WHEN name = 'total_revenue' THEN 2.0 E
 target_score FROM c"""
 
 
+ROLE_INPUTS = {
+    "order_key": "o_orderkey",
+    "customer_id": "concat('C', o_custkey)",
+    "status": "o_orderstatus",
+    "order_date": "o_orderdate",
+    "priority": "o_orderpriority",
+    "total_revenue": "o_totalprice",
+    "returned": "CAST(o_orderstatus = 'F' AS INT)",
+}
+
+
 @query("infer_roles", _roles_sql())
 def _(spark, folder):
-    df = table(spark, folder, "orders").selectExpr(
-        "o_orderkey AS order_key",
-        "concat('C', o_custkey) AS customer_id",
-        "o_orderstatus AS status",
-        "o_orderdate AS order_date",
-        "o_orderpriority AS priority",
-        "o_totalprice AS total_revenue",
-        "CAST(o_orderstatus = 'F' AS INT) AS returned",
-    )
+    columns = [f"{sql} AS {name}" for name, sql in ROLE_INPUTS.items()]
+    df = table(spark, folder, "orders").selectExpr(*columns)
     p = profile.profile(df, correlate=False, duplicates=False)
     return roles.role_table(p.columns, p.n_rows).drop("inferred_type", "target_order")
 
 
+@query(
+    "role_picks",
+    f"""WITH t AS ({_roles_sql()}) SELECT pick, CAST(rank AS INTEGER) AS rank, name FROM (
+SELECT 'entity' AS pick, 1 AS rank, arg_min(name, position) AS name FROM t WHERE is_entity
+UNION ALL SELECT 'value measure', 1, arg_min(name, value_rank * 100 + position) FROM t WHERE value_rank >= 0
+UNION ALL SELECT 'target', row_number() OVER (ORDER BY target_score DESC, position), name FROM t
+WHERE target_score IS NOT NULL) WHERE rank <= 2 AND name IS NOT NULL""",
+)
+def _(spark, folder):
+    """The entity, the value measure and the targets that a profile suggests."""
+    columns = [f"{sql} AS {name}" for name, sql in ROLE_INPUTS.items()]
+    p = profile.profile(
+        table(spark, folder, "orders").selectExpr(*columns), correlate=False, duplicates=False
+    )
+    found = roles.infer_roles(p)
+    rows = [("entity", 1, found.entity), ("value measure", 1, found.value_measure)]
+    rows += [("target", k + 1, t) for k, t in enumerate(found.targets)]
+    picked = spark.createDataFrame([r for r in rows if r[2]], "pick string, rank int, name string")
+    ranked = roles.pick_targets(roles.role_table(p.columns, p.n_rows))
+    same = ranked.select(F.lit("target").alias("pick"), "rank", "name")
+    return picked.where("pick <> 'target'").unionByName(same)
+
+
+# Statements with p-values and effects made of counts of lines: many mirror each other.
+_STATEMENTS = """(SELECT CAST(row_number() OVER (ORDER BY l_linenumber, l_returnflag, l_linestatus) AS INT)
+AS seq, CASE l_linenumber % 3 WHEN 0 THEN 'segment' WHEN 1 THEN 'bins' ELSE 'trend' END AS kind,
+CASE WHEN l_linenumber < 4 THEN l_returnflag ELSE l_linestatus END AS target,
+CASE WHEN l_linenumber < 4 THEN l_linestatus ELSE l_returnflag END AS dimension,
+CASE WHEN l_linenumber <> 7 THEN CAST(n % 97 AS DOUBLE) / 2000000 END AS p_value,
+CAST(n % 64 AS DOUBLE) / 128 AS effect, CAST(0.5 + l_linenumber % 4 * 0.25 AS DOUBLE) AS weight
+FROM (SELECT l_linenumber, l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY 1, 2, 3))"""
+
+
+@query(
+    "battery_selection",
+    f"""WITH c AS (SELECT * FROM {_STATEMENTS}),
+e AS (SELECT seq, p_value AS p FROM c WHERE p_value IS NOT NULL UNION ALL SELECT NULL, p FROM {PART_P}),
+w AS (SELECT seq, p, p * count(*) OVER () / count(*) OVER (ORDER BY p RANGE BETWEEN UNBOUNDED PRECEDING
+AND CURRENT ROW) AS raw FROM e),
+q AS (SELECT seq, least(1.0, min(raw) OVER (ORDER BY p DESC RANGE BETWEEN UNBOUNDED PRECEDING AND
+CURRENT ROW)) AS q FROM w),
+j AS (SELECT c.*, q.q, least(target, dimension) || '|' || greatest(target, dimension) AS pair
+FROM c JOIN q USING (seq) WHERE q.q < 0.05 AND effect >= 0.1),
+o AS (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY pair, kind ORDER BY seq) = 1),
+s AS (SELECT *, min(CASE WHEN kind = 'segment' THEN seq END) OVER (PARTITION BY pair) AS seg FROM o),
+k AS (SELECT *, round(least(least(round(effect, 4) / 0.35, 1.5), CASE WHEN weight < 1 THEN 1.0 ELSE 1.5 END) * weight, 4)
+AS score FROM s WHERE kind <> 'bins' OR seg IS NULL OR seg > seq)
+SELECT CAST(row_number() OVER (ORDER BY score DESC, seq) AS INTEGER) AS rank, seq, kind, target, dimension,
+{r("q", 8)} AS q, {r("score")} AS score FROM k QUALIFY rank <= 15""",
+)
+def _(spark, folder):
+    """False discoveries over statements and screening, mirrored statements, scores and ranks."""
+    table(spark, folder, "lineitem").createOrReplaceTempView("statement_lines")
+    made = spark.sql(f"SELECT * FROM {_STATEMENTS.replace('lineitem', 'statement_lines')}")
+    rated = findings.graded(
+        made.withColumns(
+            {
+                "effect_name": F.lit(effects.CRAMERS_V),
+                "practical_ratio": F.lit(None).cast("double"),
+            }
+        )
+    )
+    screened = part_p_values(spark, folder).select("p")
+    ranked = battery.select_findings(rated, screened).select(
+        "rank", "seq", "kind", "target", "dimension", F.round("q", 8).alias("q"), "score"
+    )
+    return ranked
+
+
 # ---------------------------------------------------------------- feeds and text
 
 

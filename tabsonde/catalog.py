@@ -1813,7 +1813,7 @@ WITH ev AS (SELECT doc_id, 'numbers' AS pool, CAST(n_chars AS DOUBLE) AS known F
 nu AS (SELECT *, abs(value) AS target, CASE WHEN unit IN ('K', 'M', 'B') THEN abs(value) * 0.05 ELSE
   pow(10.0, -decimals) / 2 + 1e-9 END AS tol FROM {numbers_sql("documents", "text", "doc_id, source")}
   WHERE NOT threshold AND NOT (unit IS NULL AND decimals = 0 AND (abs(value) <= 12 OR value BETWEEN 1900 AND 2100)))
-SELECT doc_id, source AS location, seq, raw, value, EXISTS (SELECT 1 FROM ev WHERE ev.doc_id =
+SELECT doc_id, source AS location, seq, raw, unit, value, decimals, EXISTS (SELECT 1 FROM ev WHERE ev.doc_id =
   nu.doc_id AND abs(nu.target - known) <= tol AND CASE WHEN unit IN ('%', 'pp', 'point', 'points') THEN
   pool = 'percents' WHEN unit IN ('×', 'x') THEN pool = 'ratios' ELSE pool <> 'ratios' END)
   AS supported FROM nu)"""
@@ -1833,6 +1833,16 @@ def _(spark, folder):
     return grounding.grounding_report(_grounded(spark, folder))
 
 
+@query(
+    "unverified_figures",
+    f"SELECT doc_id, location, seq, unit, value, decimals FROM {grounded_sql()} WHERE NOT supported",
+)
+def _(spark, folder):
+    """The figures that nothing backs, as they were read."""
+    found = _grounded(spark, folder).where(~F.col("supported"))
+    return found.select("doc_id", "location", "seq", "unit", "value", "decimals")
+
+
 @query("unverified_numbers")
 def _(spark, folder):
     return grounding.unverified_numbers(_grounded(spark, folder))

@@ -884,6 +884,31 @@ def _(spark, folder):
     )
 
 
+def _trend_p_sql(freq: str) -> str:
+    """The tail of t by Simpson's rule over the density from zero to t."""
+    density = "exp(lgamma((m - 1) / 2.0) - lgamma((m - 2) / 2.0)) / sqrt((m - 2) * pi())"
+    step = f"{density} * pow(1 + pow(t * i / 2000.0, 2) / (m - 2), -(m - 1) / 2.0)"
+    return f"""SELECT '{freq}' AS freq, m AS periods, {r("rho", 6)} AS rho, {r(f'''1 - 2 * (SELECT
+sum(CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * {step}) * t / 6000
+FROM generate_series(0, 2000) AS g(i))''', 6)} AS p_value FROM (SELECT m, rho,
+abs(rho) * sqrt((m - 2) / (1 - rho * rho)) AS t FROM (SELECT max(m) AS m, corr(i, rk) AS rho FROM (SELECT
+row_number() OVER (ORDER BY period) AS i, count(*) OVER () AS m, rank() OVER (ORDER BY value) +
+(count(*) OVER (PARTITION BY value) - 1) / 2.0 AS rk FROM
+({_series_sql("orders", "o_orderdate", "1", freq, "count")}))))"""
+
+
+@query("trend_p_values", " UNION ALL ".join(_trend_p_sql(f) for f in ("week", "month", "quarter")))
+def _(spark, folder):
+    """Whether the number of orders moves with time, by week, month and quarter."""
+    frame = orders(spark, folder)
+    freqs = ("week", "month", "quarter")
+    requested = [trend.Trend(k, ROWS, f) for k, f in enumerate(freqs)]
+    plans = trend.plan_trends(frame, requested)
+    tests = trend.series_tests(trend.period_values(frame, requested, plans))
+    freq = F.element_at(F.array(*[F.lit(f) for f in freqs]), F.col("key") + 1)
+    return rounded(tests.select(freq.alias("freq"), "periods", "rho", F.col("trend_p").alias("p_value")), 6)
+
+
 @query(
     "seasonality",
     f"""WITH s AS ({_series_sql("orders", "o_orderdate", "o_totalprice", "month", "sum")}), m AS

@@ -909,6 +909,28 @@ def _(spark, folder):
     return rounded(tests.select(freq.alias("freq"), "periods", "rho", F.col("trend_p").alias("p_value")), 6)
 
 
+def _eleven(x: str) -> str:
+    """The tail of chi-square with eleven degrees of freedom."""
+    powers = " + ".join(f"pow({x}, {k}) / {d}" for k, d in enumerate((1, 3, 15, 105, 945)))
+    return f"{normal_p(f'sqrt({x})')} + sqrt(2 * {x} / pi()) * exp(-{x} / 2) * ({powers})"
+
+
+@query(
+    "season_p_values",
+    f"""SELECT 'rows' AS metric, {r(_eleven("x"), 6)} AS p_value FROM (SELECT 12.0 * sum(n * n) / sum(n) -
+sum(n) AS x FROM (SELECT CAST(count(*) AS DOUBLE) AS n FROM orders GROUP BY month(o_orderdate)))
+UNION ALL SELECT 'c_acctbal', {r(_eleven("h"), 6)} FROM
+{kruskal_sql("(SELECT c_acctbal, month(o_orderdate) AS g FROM orders JOIN customer ON o_custkey = c_custkey)", "c_acctbal")}""",
+)
+def _(spark, folder):
+    """Whether the months differ: in their number of orders, and in the customers' balances."""
+    frame = customer_orders(spark, folder)
+    requested = [trend.Trend(0, ROWS, "month"), trend.Trend(1, "c_acctbal", "month")]
+    found = trend.season_p(frame, requested, trend.plan_trends(frame, requested))
+    metric = F.when(F.col("key") == 0, "rows").otherwise("c_acctbal")
+    return rounded(found.select(metric.alias("metric"), F.col("season_p").alias("p_value")), 6)
+
+
 @query(
     "seasonality",
     f"""WITH s AS ({_series_sql("orders", "o_orderdate", "o_totalprice", "month", "sum")}), m AS

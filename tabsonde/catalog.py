@@ -931,6 +931,37 @@ def _(spark, folder):
     return rounded(found.select(metric.alias("metric"), F.col("season_p").alias("p_value")), 6)
 
 
+_SPANS = {"all": "true", "five": "year(o_orderdate) < 2000", "one": "year(o_orderdate) = 1996",
+          "spring": "year(o_orderdate) = 1997 AND month(o_orderdate) BETWEEN 3 AND 5"}
+
+
+@query(
+    "trend_plans",
+    " UNION ALL ".join(
+        f"""SELECT '{name}' AS span, '{metric}' AS metric, CASE WHEN days > {dates.QUARTER_SPAN_DAYS} THEN
+'quarter' WHEN days > {dates.MONTH_SPAN_DAYS} THEN 'month' ELSE 'week' END AS freq, '{agg}' AS agg, n, years
+FROM (SELECT date_diff('second', min(o_orderdate), max(o_orderdate)) // 86400 AS days, count(*) AS n,
+CAST(year(max(o_orderdate)) - year(min(o_orderdate)) + 1 AS INTEGER) AS years FROM orders JOIN customer
+ON o_custkey = c_custkey WHERE {where} AND {metric if metric != "rows" else "o_orderkey"} IS NOT NULL)"""
+        for name, where in _SPANS.items()
+        for metric, agg in (("rows", "count"), ("o_totalprice", "PRICE"), ("c_acctbal", "mean"))
+    ).replace("PRICE", "sum" if trend.is_additive("o_totalprice") else "mean"),
+)
+def _(spark, folder):
+    """Which periods and which aggregate a trend takes, by the days it spans and its metric."""
+    frame, rows = customer_orders(spark, folder), []
+    metrics = {"rows": ROWS, "o_totalprice": "o_totalprice", "c_acctbal": "c_acctbal"}
+    for name, where in _SPANS.items():
+        part = Frame.of(frame.df.where(where), time="o_orderdate")
+        requested = [trend.Trend(k, m) for k, m in enumerate(metrics.values())]
+        plans = trend.plan_trends(part, requested)
+        rows += [(name, m, p.freq, p.agg, p.rows, p.years)
+                 for k, m in enumerate(metrics) for p in (plans[k],)]
+    return spark.createDataFrame(
+        rows, "span string, metric string, freq string, agg string, n bigint, years int"
+    )
+
+
 @query(
     "seasonality",
     f"""WITH s AS ({_series_sql("orders", "o_orderdate", "o_totalprice", "month", "sum")}), m AS

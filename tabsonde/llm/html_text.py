@@ -7,7 +7,9 @@ the text is read. Menus, forms, notices and the like are known by their tags and
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import numpy as np
@@ -47,43 +49,82 @@ ENDED_BY = {
     "option": {"option"},
 }
 #: Words in class, id or role that name what is not the article.
-NAMES = frozenset(
-    "ad adbox ads adsense adslot adunit advert advertisement advertising adverts alert banner "
-    "breadcrumb breadcrumbs comment comments commentlist consent cookie cookiebar cookies "
-    "disclaimer disqus footer gdpr login masthead menu modal nav navbar navigation newsletter "
-    "notice notices pager pagination popup promo promoted promotion related reply replies "
-    "respond search share sharing sidebar signup skip social sponsor sponsored subscribe "
-    "subscription tags toolbar widget widgets complementary contentinfo".split()
+COMMENTS = frozenset("comment comments commentlist disqus replies reply respond".split())
+ADVERTS = frozenset(
+    "ad adbox ads adsense adslot adunit advert advertisement advertising adverts "
+    "sponsor sponsored".split()
 )
-#: What a name or a form never removes.
+NAMES = (
+    COMMENTS
+    | ADVERTS
+    | frozenset(
+        "alert banner breadcrumb breadcrumbs consent cookie cookiebar cookies disclaimer footer "
+        "gdpr login masthead menu modal nav navbar navigation newsletter notice notices pager "
+        "pagination popup promo promoted promotion related search share sharing sidebar signup "
+        "skip social subscribe subscription tags toolbar widget widgets complementary "
+        "contentinfo".split()
+    )
+)
+#: Names of a page's header.
+HEADERS = frozenset(["header", "site header", "global header", "top header", "page top"])
+#: First and last words of names that tell how a page is laid out or set up.
+FLAGS = frozenset(
+    "has have with without no not is are show shows hide hides allow allows enable enables "
+    "content main".split()
+)
+STATES = frozenset(
+    "open opened closed enabled disabled on off yes no allowed active layout page template "
+    "theme".split()
+)
+#: What a name or a form never removes, but for an article named as a comment.
 KEPT = frozenset("html body main article".split())
+#: What a form that is wrapped around a page holds.
+LANDMARKS = frozenset("article main nav header footer h1".split())
 #: Elements of an article that may be template; its paragraphs and headings never are.
 CONTAINERS = frozenset("div section aside ul ol dl table header figure details".split())
 
+CAMEL = re.compile(r"([a-z])([A-Z])")
 
-def _is_name(token: str) -> bool:
-    """Whether a whole class, id or role is made of NAMES: 'cookie-notice', not 'has-sidebar'."""
+#: What a name says: a reader's comment, an advert, something else that is not the article, a header.
+COMMENT, ADVERT, OTHER, HEADER = 1, 2, 4, 8
+
+
+@lru_cache(65_536)
+def _said_by(token: str) -> int:
+    """What a whole class, id or role says.
+
+    Its first or last word names the element: 'comment-list', 'post-comments', 'adSlot', but
+    neither 'has-sidebar' nor 'comments-open', which name a state.
+    """
+    token = CAMEL.sub(r"\1 \2", token).lower()
     words = "".join(c if c.isalpha() else " " for c in token).split()
-    return bool(words) and all(w in NAMES for w in words)
+    if not words:
+        return 0
+    said = HEADER if " ".join(words) in HEADERS else 0
+    if len(words) > 1 and (words[0] in FLAGS or words[-1] in STATES):
+        return said
+    for word in (words[0], words[-1]):
+        if word in NAMES:
+            said |= COMMENT if word in COMMENTS else ADVERT if word in ADVERTS else OTHER
+    return said
 
 
 class Element:
     """An element with its children (elements and texts) and, when it is closed, its hash."""
 
-    __slots__ = ("tag", "named", "children", "hash", "marks", "size", "holds")
+    __slots__ = ("tag", "said", "children", "hash", "marks", "size", "holds", "main", "wraps")
 
     def __init__(self, tag: str, attributes: list[tuple[str, str | None]]):
         self.tag, self.children, self.hash = tag, [], 0
-        self.size, self.holds = 0, False
-        self.marks = ""
-        names = ""
+        self.size, self.holds, self.main, self.wraps = 0, False, False, False
+        self.marks, self.said = "", 0
         for key, value in attributes:
             if key in ("class", "id", "role"):
-                names += " " + (value or "").lower()
                 self.marks += f" {key}={value}"
+                for token in (value or "").split():
+                    self.said |= _said_by(token)
             elif key == "hidden" or (key == "aria-hidden" and value == "true"):
-                names += " ad"
-        self.named = any(map(_is_name, names.split()))
+                self.said |= OTHER
 
     def close(self) -> None:
         import xxhash
@@ -95,8 +136,12 @@ class Element:
                 self.size += len(parts[-1])
                 continue
             parts.append(str(child.hash))
-            if child.tag not in UNREAD and child.tag not in AROUND:
-                self.size += child.size
+            self.wraps |= child.wraps or child.tag in LANDMARKS
+            if child.tag in UNREAD or child.tag in AROUND:
+                continue
+            self.size += child.size
+            self.main |= child.main or child.tag == "main"
+            if not child.said & COMMENT or child.main or child.tag == "main":
                 self.holds |= child.holds or child.tag in ("article", "main")
         self.hash = xxhash.xxh64_intdigest("\x00".join(parts).encode("utf-8", "surrogatepass"))
         self.hash -= (self.hash >> 63) << 64
@@ -104,19 +149,32 @@ class Element:
     def is_aside(self, page_size: int) -> bool:
         """Whether its tag or name says that it is no article text.
 
-        A name or a form says nothing of an element that holds most of the page's text.
+        Comments and adverts go whatever their size, and so do forms that are not wrapped around
+        a page. Other names say nothing of what holds all text of the page: it is beside nothing.
         """
         if self.tag in UNREAD or self.tag in AROUND:
             return True
-        by_name = (self.named or self.tag == "form") and self.tag not in KEPT
-        return by_name and 2 * self.size <= page_size
+        if self.tag in KEPT:
+            return self.tag == "article" and bool(self.said & COMMENT)
+        if self.said & (COMMENT | ADVERT):
+            return True
+        if self.tag == "form":
+            return not self.wraps and self.size < page_size
+        return bool(self.said & OTHER) and self.size < page_size
 
     def is_around(self, in_article: bool, page_size: int) -> bool:
-        """Whether the element is known not to be article text."""
-        if self.tag == "header" and not in_article:
+        """Whether the element is known not to be article text.
+
+        Outside an article, what holds one stays; articles inside comments are comments.
+        """
+        if in_article or self.tag in UNREAD or self.tag in AROUND:
+            return self.is_aside(page_size)
+        if self.tag == "header":
             return True
-        holds = self.holds and not in_article and self.tag not in UNREAD and self.tag not in AROUND
-        return self.is_aside(page_size) and not holds
+        if self.said & COMMENT and self.tag not in KEPT:
+            return not self.main
+        header = self.said & HEADER and self.tag not in KEPT
+        return bool(header or self.is_aside(page_size)) and not self.holds
 
 
 class Tree(HTMLParser):
@@ -170,17 +228,23 @@ class Tree(HTMLParser):
 
 
 def _articles(root: Element) -> list[Element]:
-    """Where the main text is: the outermost articles, else main, else the whole page."""
+    """Where the main text is: the outermost articles, else main, else the whole page.
+
+    An article that is named as something else ('related') counts only where there is no other.
+    """
     for tag in ("article", "main"):
         found, stack = [], [root]
         while stack:
             e = stack.pop()
+            if e is not root and e.is_aside(root.size):
+                continue
             if e.tag == tag:
                 found.append(e)
-            elif e is root or not e.is_aside(root.size):
+            else:
                 stack += [c for c in reversed(e.children) if not isinstance(c, str)]
         if found:
-            return found
+            plain = [e for e in found if not e.said & (ADVERT | OTHER)]
+            return plain or found
     return [root]
 
 

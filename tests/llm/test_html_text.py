@@ -115,7 +115,9 @@ def test_odd_rows(spark):
         ("<article class='related'><p>a</p></article>", "a"),
         ("<main class='widget'><p>a</p></main><p>no</p>", "a"),
         ("<form><nav>menu</nav><article><p>a</p></article></form>", "a"),
-        ("<form><div><p>a long text</p></div></form><p>end</p>", "a long text\nend"),
+        ("<form><div><p>a long text</p></div></form><p>end</p>", "end"),
+        ("<form><div><p>a long text</p></div></form>", "a long text"),
+        ("<form><h1>T</h1><div><p>a long text</p></div></form><p>end</p>", "T\na long text\nend"),
         ("<div class='widget'><article><p>a</p></article></div><p>more text here</p>", "a\nmore text here"),
         ("<div class='sidebar'>side</div><p>a long text</p>", "a long text"),
         ("<form>name</form><p>a long text</p>", "a long text"),
@@ -123,3 +125,52 @@ def test_odd_rows(spark):
 )
 def test_names_and_forms_around_the_text(html, expected):
     assert text(html) == expected
+
+
+LONG = "<p>" + "many words of readers " * 20 + "</p>"
+
+
+@pytest.mark.parametrize(
+    "around",
+    [
+        f"<div id='comments'>{LONG}</div>",
+        f"<section class='comments-section'>{LONG}</section>",
+        f"<div class='comment-list'><article>{LONG}</article></div>",
+        f"<div class='post-comments'>{LONG}</div>",
+        f"<ol class='commentList'><li>{LONG}</ol>",
+        f"<article class='comment even depth-1'>{LONG}</article>",
+        f"<div id='disqus_thread'>{LONG}</div>",
+        f"<div class='ad-slot ad-300x250'>{LONG}</div>",
+        f"<div class='sticky-ad'>{LONG}</div>",
+        f"<div class='related-posts'>{LONG}</div>",
+        f"<form class='contact'>{LONG}<input></form>",
+        f"<div class='cookie-banner'>{LONG}</div>",
+    ],
+)
+def test_comments_adverts_and_forms_of_any_size(around):
+    for html in (
+        f"<article><p>a</p><p>b</p></article>{around}",
+        f"<article><p>a</p>{around}<p>b</p></article>",
+        f"<div><p>a</p></div>{around}<p>b</p>",
+        f"{around}<main><p>a</p><p>b</p></main>",
+    ):
+        assert text(html) == "a\nb"
+
+
+@pytest.mark.parametrize(
+    ("html", "expected"),
+    [
+        ("<div class='comments-open has-ads'><p>a</p></div><p>b</p>", "a\nb"),
+        ("<div class='sidebar-layout'><p>a</p></div><p>b</p>", "a\nb"),
+        ("<div class='content-sidebar'><p>a</p></div><p>b</p>", "a\nb"),
+        ("<div class='comments-page-wrap'><main><p>a</p></main></div>", "a"),
+        ("<div class='ad-wrapper'><article><p>a</p></article></div>", "a"),
+        ("<div id='header'>top</div><div><p>a</p></div>", "a"),
+        ("<article><div class='header'><h1>T</h1></div><p>a</p></article>", "T\na"),
+        ("<article>a</article><article class='related'>b</article>", "a"),
+        ("<div id='comments'><article>c</article></div><p>a</p>", "a"),
+        ("<div class='commentary'><p>a</p></div><p class='addition'>b</p>", "a\nb"),
+    ],
+)
+def test_names_by_first_and_last_word(html, expected):
+    assert text(html) == expected

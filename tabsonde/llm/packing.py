@@ -1,11 +1,12 @@
 """Best-fit packing of tokenised documents into sequences of one length.
 
 Documents are tokenised where they lie. Lengths are whole numbers up to the sequence length, so
-all documents are described by one count per length, a table of bounded size. Bin completion
-works on those counts: around the largest length left, undominated fillings are enumerated by
-branch and bound, the best-fit filling being the first incumbent, and the filling found is used
-as often as the counts allow. Spark then deals the pieces to the places of this short plan by
-their rank inside their length.
+all documents are described by one count per length, a table of bounded size. A best-fit plan of
+those counts is the incumbent: around the largest length left, the filling of least waste is used
+as often as the counts allow. Where the plan is above the lower bound, bin completion takes its
+most wasteful sequences together: around the largest length it branches over the undominated
+fillings, and cuts what cannot beat the incumbent by a bound on the waste of all that is left.
+Spark then deals the pieces to the places of this short plan by their rank inside their length.
 """
 
 from __future__ import annotations
@@ -25,6 +26,10 @@ from .common import small_batches, stage, text_of
 SEQUENCE_TOKENS = 2048
 #: Steps that the search of one filling may take before its incumbent is used.
 SEARCH_STEPS = 4000
+#: Steps that bin completion may take for one set of sequences, and for all sets of a plan.
+SET_STEPS, PLAN_STEPS = 100_000, 1_000_000
+#: Sequences that bin completion takes together, at most.
+SET_SEQUENCES = 128
 #: Pieces that one window partition ranks, about.
 RANKED_TOGETHER = 200_000
 
@@ -118,8 +123,7 @@ def best_filling(
     ``sizes`` are the lengths that are left, descending. The first descent takes the largest
     that fits again and again: best fit, the incumbent. Branches with fewer of the current
     length follow, smaller lengths in its place. A branch whose lengths together cannot leave
-    less waste than the incumbent is cut; with it go the dominated fillings, those in which a
-    larger length could stand for a smaller one.
+    less waste than the incumbent is cut.
     """
     below = np.zeros(len(sizes) + 1, np.int64)
     for k in range(len(sizes) - 1, -1, -1):
@@ -143,7 +147,7 @@ def best_filling(
     return best
 
 
-def plan_patterns(counts: dict[int, int], tokens: int = SEQUENCE_TOKENS) -> list[Pattern]:
+def best_fit_patterns(counts: dict[int, int], tokens: int = SEQUENCE_TOKENS) -> list[Pattern]:
     """Patterns that place ``counts[length]`` pieces of every length, largest lengths first.
 
     Each pattern at least halves what is left of one length, so patterns number at most
@@ -167,6 +171,187 @@ def plan_patterns(counts: dict[int, int], tokens: int = SEQUENCE_TOKENS) -> list
     return patterns
 
 
+def least_sequences(left: np.ndarray, tokens: int) -> int:
+    """A lower bound on the sequences that hold ``left[length]`` pieces of every length.
+
+    For every limit k: lengths above tokens - k stand alone, those above half a sequence need one
+    each, and what their room cannot take of the lengths from k to a half needs more.
+    """
+    size = np.arange(tokens + 1)
+    number = np.concatenate([np.cumsum(left[::-1])[::-1], [0]])
+    total = np.concatenate([np.cumsum((left * size)[::-1])[::-1], [0]])
+    half = tokens // 2 + 1
+    k = np.arange(half)
+    alone = tokens - k + 1
+    room = (number[half] - number[alone]) * tokens - (total[half] - total[alone])
+    over = np.maximum(total[k] - total[half] - room, 0)
+    return int((number[half] + -(-over // tokens)).max())
+
+
+def is_dominated(filling: list[tuple[int, int]], waste: int, free: int) -> bool:
+    """Whether a piece outside the filling could stand for some of its pieces.
+
+    ``free`` has a bit for every length with a piece outside. A piece dominates if it is longer
+    than one or more pieces by at most ``waste``, or as long as two or more. (No pieces at all
+    count as well: then something still fits.)
+    """
+    sums, of_two = 1, 0
+    for size, n in filling:
+        for _ in range(n):
+            of_two |= of_two << size | (sums & ~1) << size
+            sums |= sums << size
+    reach, width = sums, 1
+    while width < waste:
+        step = min(width, waste - width)
+        reach |= reach << step
+        width += step
+    return bool(of_two & free or waste and reach << 1 & free)
+
+
+def undominated_fillings(
+    room: int, left: np.ndarray, slack: int, steps: int = SEARCH_STEPS
+) -> tuple[list[list[tuple[int, int]]], int]:
+    """The undominated fillings of ``room`` that waste at most ``slack``, least waste first, and
+    the steps taken. After ``steps`` of them, those found."""
+    sizes = [int(s) for s in np.flatnonzero(left[: room + 1])[::-1]]
+    below = [0] * (len(sizes) + 1)
+    for k in range(len(sizes) - 1, -1, -1):
+        below[k] = below[k + 1] + sizes[k] * int(left[sizes[k]])
+    every = sum(1 << size for size in sizes)
+    found, taken_steps = [], 0
+    stack: list[tuple[int, int, tuple]] = [(room, 0, ())]
+    while stack and taken_steps < steps:
+        taken_steps += 1
+        rest, at, taken = stack.pop()
+        while at < len(sizes) and sizes[at] > rest:
+            at += 1
+        if rest - min(rest, below[at]) > slack:
+            continue
+        if at == len(sizes):
+            free = every
+            for size, n in taken:
+                if n == left[size]:
+                    free &= ~(1 << size)
+            if not is_dominated(taken, rest, free):
+                found.append((rest, len(found), list(taken)))
+            continue
+        size = sizes[at]
+        for n in range(min(rest // size, int(left[size])) + 1):
+            stack.append((rest - n * size, at + 1, (*taken, (size, n)) if n else taken))
+    return [filling for _, _, filling in sorted(found)], taken_steps
+
+
+def complete_bins(
+    counts: dict[int, int], tokens: int, fewer_than: int, steps: int = SET_STEPS
+) -> tuple[list[list[tuple[int, int]]] | None, int]:
+    """Fillings that hold all pieces in fewer than ``fewer_than`` sequences, and the steps taken.
+
+    The least number if the steps suffice; None if there are none (or none was found in time).
+    """
+    left = np.zeros(tokens + 1, np.int64)
+    for size, n in counts.items():
+        left[size] = n
+    best: list[list[tuple[int, int]]] | None = None
+    least, limit, used = least_sequences(left, tokens), fewer_than, 0
+    seen: dict[bytes, int] = {}
+    path: list[list[tuple[int, int]]] = []
+
+    def descend() -> None:
+        nonlocal best, limit, used
+        sizes = np.flatnonzero(left)
+        if not len(sizes):
+            best, limit = [list(f) for f in path], len(path)
+            return
+        if len(path) + least_sequences(left, tokens) >= limit:
+            return
+        key = left.tobytes() if tokens < 64 else np.stack([sizes, left[sizes]]).tobytes()
+        if seen.get(key, limit) <= len(path):
+            return
+        seen[key] = len(path)
+        size = int(sizes[-1])
+        left[size] -= 1
+        slack = (limit - 1 - len(path)) * tokens - int(left[sizes] @ sizes) - size
+        fillings, taken = undominated_fillings(tokens - size, left, slack)
+        used += taken
+        for filling in fillings:
+            if limit <= least or used >= steps:
+                break
+            for s, n in filling:
+                left[s] -= n
+            path.append([(size, 1), *filling])
+            descend()
+            path.pop()
+            for s, n in filling:
+                left[s] += n
+        left[size] += 1
+
+    descend()
+    return best, used
+
+
+def as_pattern(filling: list[tuple[int, int]], times: int) -> Pattern:
+    """A filling, in which a length may stand twice, as a pattern."""
+    counts: dict[int, int] = {}
+    for size, n in filling:
+        counts[size] = counts.get(size, 0) + n
+    return Pattern(sorted(counts.items(), reverse=True), times)
+
+
+def plan_patterns(counts: dict[int, int], tokens: int = SEQUENCE_TOKENS) -> list[Pattern]:
+    """Patterns that place ``counts[length]`` pieces of every length in few sequences.
+
+    The best-fit plan, if it needs no more than the lower bound. Else bin completion takes ever
+    more of its patterns, the most wasteful first, at most SET_SEQUENCES sequences together: as
+    many of each as is its share of them, or one, two, four of each. A set that needs fewer sequences is replaced as often as the plan
+    holds it. A plan of at most SET_SEQUENCES is searched whole: it is the least, if the steps
+    suffice. Every replacement takes up a whole pattern or saves half the sequences it could, and
+    the steps end, so the patterns stay few.
+    """
+    left = np.zeros(tokens + 1, np.int64)
+    for length, n in counts.items():
+        left[length] = n
+    patterns, least = best_fit_patterns(counts, tokens), least_sequences(left, tokens)
+    steps = PLAN_STEPS
+
+    def improved() -> bool:
+        nonlocal patterns, steps
+        patterns.sort(key=lambda p: sum(s * n for s, n in p.counts))
+        tried = set()
+        for most in (0, 1, 2, 4, SET_SEQUENCES):
+            width = 1
+            while steps > 0:
+                taken = [(p, min(p.times, most)) for p in patterns[:width]]
+                if not most:
+                    share = -(-sum(p.times for p in patterns[:width]) // SET_SEQUENCES)
+                    taken = [(p, p.times // share) for p in patterns[:width] if p.times >= share]
+                number = sum(n for _, n in taken)
+                if number > SET_SEQUENCES:
+                    break
+                if (width, number) not in tried:
+                    tried.add((width, number))
+                    pieces: dict[int, int] = {}
+                    for p, n in taken:
+                        for s, m in p.counts:
+                            pieces[s] = pieces.get(s, 0) + m * n
+                    found, used = complete_bins(pieces, tokens, number, min(SET_STEPS, steps))
+                    steps -= used
+                    if found:
+                        times = min(p.times // n for p, n in taken)
+                        for p, n in taken:
+                            p.times -= n * times
+                        patterns = [p for p in patterns if p.times]
+                        patterns += [as_pattern(f, times) for f in found]
+                        return True
+                if width >= len(patterns):
+                    break
+                width = min(2 * width, len(patterns))
+        return False
+
+    while steps > 0 and sum(p.times for p in patterns) > least and improved():
+        pass
+    return patterns
+
+
 def places(patterns: list[Pattern]) -> list[tuple[int, int, int, int, int, int]]:
     """For runs of ranks inside a length, where they go:
     (length, first rank, ranks, pieces per sequence, first sequence, offset of the first)."""

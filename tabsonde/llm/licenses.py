@@ -176,30 +176,22 @@ def most_words(template: str, threshold: float) -> int:
     return size_bounds(len(words_of(template)), threshold)[1]
 
 
-def _pairs(words: Column) -> Column:
+def _bigrams(words: Column) -> Column:
     n = F.size(words)
     pairs = F.zip_with(
         F.slice(words, 1, F.greatest(n - 1, F.lit(0))),
         F.slice(words, 2, F.greatest(n - 1, F.lit(0))),
         lambda a, b: F.concat(a, F.lit(" "), b),
     )
-    return F.when(n > 1, pairs).otherwise(words)
-
-
-def _bigrams(words: Column) -> Column:
-    return F.array_distinct(_pairs(words))
+    return F.array_distinct(F.when(n > 1, pairs).otherwise(words))
 
 
 def _shared(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b))
 
 
-def _runs(threshold: float) -> Column:
-    """The runs of ``lines`` (words) that reach the threshold: dice, rank, name, start, end.
-
-    For every template and first line the best run. Only templates of which ``shared``, the
-    template bigrams of the whole text, holds enough are looked at.
-    """
+def _near(threshold: float) -> Column:
+    """The templates of which ``shared``, the template bigrams of the whole text, holds enough."""
     known = F.array(
         *[
             F.struct(
@@ -212,11 +204,18 @@ def _runs(threshold: float) -> Column:
             for rank, (name, text) in enumerate(templates())
         ]
     )
-    near = F.filter(
+    return F.filter(
         known,
         lambda t: (F.size("shared") >= t["need"]) & (_shared(F.col("shared"), t["pairs"]) >= t["need"]),
     )
 
+
+def _runs(threshold: float) -> Column:
+    """The runs of ``lines`` (words) that reach the threshold: dice, rank, name, start, end.
+
+    For every template in ``near`` and every first line the best run.
+    """
+
     def scored(t: Column, a: Column, z: Column) -> Column:
         words = F.flatten(F.slice("lines", a, z - a + 1))
         unit = F.when(F.size(words) <= t["words"], _bigrams(words))
@@ -261,7 +260,7 @@ def _runs(threshold: float) -> Column:
         )
 
     found = F.filter(
-        F.flatten(F.transform(near, of_template)),
+        F.flatten(F.transform("near", of_template)),
         lambda r: r.isNotNull() & (r["dice"] >= threshold),
     )
     return F.coalesce(found, F.expr("array()").cast(
@@ -298,26 +297,19 @@ def scan_licenses(
     lines = F.transform(F.split("kept", r"\n"), lambda u: F.trim(u))
     rows = docs.select(F.col(id_col).alias("doc_id"), kept.alias("kept")).select(
         "doc_id",
-        flat.alias("flat"),
         F.filter(lines, lambda u: u != "").alias("lines"),
         F.array_distinct(F.concat(F.array(flat), paragraphs, lines)).alias("units"),
     )
     # A unit of n words has n - 1 spaces and at most n - 1 different bigrams.
     split = F.transform("units", lambda u: F.split(u, " "))
     long_enough = F.filter(split, lambda w: (F.size(w) > least) | (F.lit(least == 1)))
+    rows = rows.select("doc_id", "lines", F.transform(long_enough, _bigrams).alias("units"))
+    # What a unit shares with any template bounds what it shares with one. The whole text is the
+    # first unit; where it is too short, so are all.
     rows = rows.select(
         "doc_id",
-        F.array_distinct(
-            F.filter(_pairs(F.split("flat", " ")), lambda b: b.isin(known))
-        ).alias("shared"),
-        F.transform("lines", lambda u: F.split(u, " ")).alias("lines"),
-        F.transform(long_enough, _bigrams).alias("units"),
-    )
-    # What a unit shares with any template bounds what it shares with one.
-    rows = rows.select(
-        "doc_id",
-        "shared",
         "lines",
+        F.filter(F.get("units", F.lit(0)), lambda b: b.isin(known)).alias("shared"),
         F.transform(
             F.filter("units", lambda b: F.size(b).between(least, most)),
             lambda b: F.struct(
@@ -327,9 +319,18 @@ def scan_licenses(
     )
     rows = rows.select(
         "doc_id",
-        F.when(F.size("shared") >= least, _runs(threshold)).alias("runs"),
+        "lines",
+        F.when(F.size("shared") >= least, _near(threshold)).alias("near"),
         F.filter("units", lambda u: F.size(u["shared"]) >= least).alias("units"),
     )
+    # Only texts near a template have their lines cut into words.
+    near_lines = F.transform("lines", lambda u: F.split(u, " "))
+    rows = rows.select(
+        "doc_id", "units", "near", F.when(F.size("near") > 0, near_lines).alias("lines")
+    )
+    rows = rows.select(
+        "doc_id", "units", F.when(F.size("near") > 0, _runs(threshold)).alias("runs")
+    )
 
     def best(unit: Column) -> Column:
         found = []

@@ -6,39 +6,50 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+# ``format_number`` rounds a double by its exact value, a half to even, as printf does;
+# ``format_string`` rounds the shortest digits that name it, so that 0.15, which is less than it
+# says, becomes 0.2.
+
+
 def three_digits(value: Column) -> Column:
     """A number rounded to three significant digits (the built-in round needs a fixed scale)."""
-    return F.when(value.isNotNull(), F.format_string("%.2e", value.cast("double")).cast("double"))
+    value = value.cast("double")
+    shown = F.call_function("format_number", value, F.lit("0.00E0"))
+    return F.when(F.abs(value) < float("inf"), shown.cast("double")).otherwise(value)
+
+
+def _fixed(value: Column, pattern: str) -> Column:
+    return F.call_function("format_number", value.cast("double"), F.lit(pattern))
 
 
 def number_sql(v: str) -> str:
     """SQL text of a compact number: B / M / K from 10,000, at most two decimals, three digits
     below one."""
-    digits = f"CAST(format_string('%.2e', {v}) AS DOUBLE)"
+    digits = f"CAST(format_number({v}, '0.00E0') AS DOUBLE)"
     trimmed = r"regexp_replace({}, '[.]?0+$', '')"
     plain = trimmed.format(f"CAST(CAST({digits} AS DECIMAL(12, 7)) AS STRING)")
-    tiny = f"regexp_replace(format_string('%.2e', {v}), '[.]?0*e', 'e')"
+    tiny = f"regexp_replace(format_string('%.2e', {digits}), '[.]?0*e', 'e')"
     return (
         f"CASE WHEN {v} IS NULL THEN NULL "
-        f"WHEN abs({v}) >= 1e9 THEN format_string('%.1fB', {v} / 1e9D) "
-        f"WHEN abs({v}) >= 1e6 THEN format_string('%.1fM', {v} / 1e6D) "
-        f"WHEN abs({v}) >= 1e4 THEN format_string('%.1fK', {v} / 1e3D) "
+        f"WHEN abs({v}) >= 1e9 THEN concat(format_number({v} / 1e9D, '0.0'), 'B') "
+        f"WHEN abs({v}) >= 1e6 THEN concat(format_number({v} / 1e6D, '0.0'), 'M') "
+        f"WHEN abs({v}) >= 1e4 THEN concat(format_number({v} / 1e3D, '0.0'), 'K') "
         f"WHEN {v} = floor({v}) THEN format_string('%,d', CAST({v} AS BIGINT)) "
         f"WHEN abs({v}) >= 100 THEN format_string('%,.0f', {v}) "
-        f"WHEN abs({v}) >= 1 THEN {trimmed.format(f"format_string('%,.2f', {v})")} "
+        f"WHEN abs({v}) >= 1 THEN {trimmed.format(f"format_number({v}, '0.00')")} "
         f"WHEN abs({digits}) >= 1e-4 THEN {plain} ELSE {tiny} END"
     )
 
 
 def percent_sql(v: str) -> str:
-    return f"replace(format_string('%.1f%%', {v}), '.0%', '%')"
+    return f"replace(concat(format_number({v}, '0.0'), '%'), '.0%', '%')"
 
 
 def value_sql(v: str, kind: str) -> str:
     """SQL text of a value shown as kind (a column of percent | correlation | number)."""
     return (
         f"CASE WHEN {kind} = 'percent' THEN {percent_sql(v)} "
-        f"WHEN {kind} = 'correlation' THEN format_string('%.2f', {v}) ELSE {number_sql(v)} END"
+        f"WHEN {kind} = 'correlation' THEN format_number({v}, '0.00') ELSE {number_sql(v)} END"
     )
 
 
@@ -48,13 +59,13 @@ def with_text(df: DataFrame, shown: dict[str, str], kind: str) -> DataFrame:
 
 
 def format_percent(value: Column) -> Column:
-    return F.replace(F.format_string("%.1f%%", value.cast("double")), F.lit(".0%"), F.lit("%"))
+    return F.replace(F.concat(_fixed(value, "0.0"), F.lit("%")), F.lit(".0%"), F.lit("%"))
 
 
 def ratio_text(ratio: Column) -> Column:
-    return F.format_string("%.1f×", ratio.cast("double"))
+    return F.concat(_fixed(ratio, "0.0"), F.lit("×"))
 
 
 def pct_change(new: Column, old: Column) -> Column:
     change = (F.try_divide(new.cast("double"), old.cast("double")) - 1) * 100
-    return F.when(old == 0, F.lit("n/a")).otherwise(F.format_string("%+.0f%%", change))
+    return F.when(old == 0, F.lit("n/a")).otherwise(F.concat(_fixed(change, "+0;-0"), F.lit("%")))

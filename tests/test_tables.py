@@ -160,3 +160,17 @@ def test_strict_json_at_any_depth(spark, tmp_path):
     back = spark.read.schema(df.schema).json(f"{tmp_path}/out").first()
     assert back["d"] is None and back["a"] == [1.0, None] and back["m"] == {"a": None, "b": 2.0}
     assert back["s"]["v"] is None and back["s"]["w"][0]["x"] is None and back["n"] is None
+
+
+def test_text_is_rounded_by_exact_values(spark):
+    """0.15 is less than it says, 0.125 is a half, and 1.005 names a double below it."""
+    values = {1.005: "1", 0.125: "0.125", 12350.0: "12.3K", 0.001235: "0.00123", 2.675: "2.67",
+              1250000.0: "1.2M", 3.125: "3.12", -2.675: "-2.67"}
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = {r["v"]: r["t"] for r in df.selectExpr("v", f"{text.number_sql('v')} AS t").collect()}
+    assert got == values
+    ties = spark.createDataFrame([(0.15, 0.001235)], "a double, b double").select(
+        text.format_percent(F.col("a")), text.ratio_text(F.col("a")),
+        text.pct_change(F.lit(9.0), F.lit(8.0)), text.three_digits(F.col("b")),
+    )
+    assert tuple(ties.first()) == ("0.1%", "0.1×", "+12%", 0.00123)

@@ -98,7 +98,13 @@ def sample_rows(df: DataFrame, n: int, keys: Sequence[str], seed: int = 0) -> Da
     chosen = df.where(digest < prefix)
     if rows:
         border = df.where(digest.startswith(prefix))
-        chosen = chosen.union(border.orderBy(digest, *[values.col(k) for k in keys]).limit(rows))
+        # Rows of one key go by their other columns, so that partitions have no say in it.
+        others = [
+            f.name for f in df.schema.fields
+            if f.name not in keys and not isinstance(f.dataType, values.COMPLEX_TYPES)
+        ]
+        order = [values.col(k) for k in (*keys, *others)]
+        chosen = chosen.union(border.orderBy(digest, *order).limit(rows))
     return chosen.orderBy(*[values.col(k) for k in keys])
 
 

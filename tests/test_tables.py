@@ -174,3 +174,10 @@ def test_text_is_rounded_by_exact_values(spark):
         text.pct_change(F.lit(9.0), F.lit(8.0)), text.three_digits(F.col("b")),
     )
     assert tuple(ties.first()) == ("0.1%", "0.1×", "+12%", 0.00123)
+
+
+def test_samples_of_repeated_keys_do_not_depend_on_partitions(spark):
+    df = spark.range(4000).selectExpr("id % 3 AS k", "hash(id) AS v")
+    first = sorted(map(tuple, shaping.sample_rows(df.repartition(3, "v"), 700, ["k"]).collect()))
+    again = sorted(map(tuple, shaping.sample_rows(df.repartition(17), 700, ["k"]).collect()))
+    assert len(first) == 700 and first == again

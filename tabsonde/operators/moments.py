@@ -13,15 +13,22 @@ formula whose terms nearly cancel is marked, for its caller to look at the rows
 
 from __future__ import annotations
 
+import math
+import operator
+import sys
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Executors need not have this package installed: its functions travel with the tasks.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Sums over the rows where both columns (and the target) are known; x and z are the columns.
 PAIR_SUMS = ("n", "x", "z", "xx", "zz", "xz")
 #: Further sums with a target y: of the target itself, and what products x * z need.
@@ -32,6 +39,9 @@ ROUNDING = 1e-12
 CANCELLED = 1e-6
 #: Rows that the starting points are taken from.
 FIRST_ROWS = 64
+#: What joins two columns, and how many formulas are worked out on a batch at once.
+OPERATIONS = {"minus": operator.sub, "plus": operator.add, "times": operator.mul}
+FORMULAS_AT_ONCE = 128
 
 
 @dataclass(frozen=True)
@@ -47,15 +57,19 @@ class Moments:
 def _starts(wide: DataFrame) -> list[float]:
     """The middle one of a column's first values, zero where none is seen."""
     rows = wide.limit(FIRST_ROWS).collect()
-    seen = (sorted(r[k] for r in rows if r[k] is not None) for k in range(len(wide.columns)))
+    seen = (
+        sorted(r[k] for r in rows if r[k] is not None and math.isfinite(r[k]))
+        for k in range(len(wide.columns))
+    )
     return [values[len(values) // 2] if values else 0.0 for values in seen]
 
 
 def pair_moments(wide: DataFrame, columns: Sequence[str], targets: Sequence[str] = ()) -> Moments:
     """Moments of all pairs of the double ``columns`` of ``wide``, with each of ``targets``.
 
-    With targets, only rows where the target is known count, and its sums are added. A task
-    holds a few matrices with a cell per pair, whatever the number of rows.
+    Infinite and NaN values are missing. With targets, only rows where the target is known count,
+    and its sums are added. A task holds a few matrices with a cell per pair, whatever the number
+    of rows.
     """
     columns, targets = tuple(columns), tuple(targets)
     used = list(dict.fromkeys([*columns, *targets]))
@@ -77,9 +91,9 @@ def pair_moments(wide: DataFrame, columns: Sequence[str], targets: Sequence[str]
                 z, y = x, None
                 if t >= 0:
                     y = found[targets[t]] - starts[targets[t]]
-                    known = ~np.isnan(y)
+                    known = np.isfinite(y)
                     z, y = x[known], y[known][:, None]
-                mask = ~np.isnan(z)
+                mask = np.isfinite(z)
                 z, mask = np.where(mask, z, 0.0), mask.astype(float)
                 square, single = z * z, z.T @ mask
                 parts = [
@@ -177,6 +191,97 @@ def formula_correlations(moments: Moments) -> DataFrame:
     )
 
 
+@dataclass(frozen=True)
+class Formula:
+    """A target and two columns that an operation joins."""
+
+    target: str
+    a: str
+    b: str
+    operation: str
+
+
+def row_correlations(wide: DataFrame, formulas: Sequence[Formula]) -> DataFrame:
+    """(formula, r, n): targets against formulas worked out row by row, all from one scan.
+
+    Formulas go by their place. A task returns one row per formula: sums about the means of its own
+    rows, taken from the first value it sees, so that values that hardly differ lose no digits. No
+    row of the table is repeated per formula.
+    """
+    used = list(dict.fromkeys(c for f in formulas for c in (f.target, f.a, f.b)))
+    names = ("n", "y0", "c0", "y", "c", "yy", "cc", "yc")
+    chunks = [
+        (start, formulas[start : start + FORMULAS_AT_ONCE])
+        for start in range(0, len(formulas), FORMULAS_AT_ONCE)
+    ]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((len(names), len(formulas)))
+        sums[1:3] = np.nan
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            found = {c: batch[c].to_numpy(zero_copy_only=False) for c in used}
+            finite = {c: np.isfinite(v) for c, v in found.items()}
+            for start, chunk in chunks:
+                known = np.column_stack([finite[f.target] & finite[f.a] & finite[f.b] for f in chunk])
+                y = np.column_stack([found[f.target] for f in chunk])
+                with np.errstate(all="ignore"):
+                    c = np.column_stack(
+                        [OPERATIONS[f.operation](found[f.a], found[f.b]) for f in chunk]
+                    )
+                    _add(sums[:, start : start + len(chunk)], known, y, c)
+        sums[1:3] = np.nan_to_num(sums[1:3])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(len(formulas), dtype=np.int32)), *map(pa.array, sums)],
+            ["formula", *names],
+        )
+
+    schema = "formula int, " + ", ".join(f"{n} double" for n in names)
+    parts = wide.select(*used).mapInArrow(read, schema).where("n > 0")
+    # One row per formula and task: their means are moved to a common start, then compared.
+    whole = Window.partitionBy("formula")
+    for c in ("y", "c"):
+        parts = parts.withColumn(c, F.col(f"{c}0") - F.min(f"{c}0").over(whole) + F.col(c))
+        mean = F.sum(F.col("n") * F.col(c)).over(whole) / F.sum("n").over(whole)
+        parts = parts.withColumn(c, F.col(c) - mean)
+    n, y, c = F.col("n"), F.col("y"), F.col("c")
+    summed = parts.groupBy("formula").agg(
+        F.sum(F.col("yy") + n * y * y).alias("yy"),
+        F.sum(F.col("cc") + n * c * c).alias("cc"),
+        F.sum(F.col("yc") + n * y * c).alias("yc"),
+        F.sum("n").cast("long").alias("n"),
+    )
+    r = F.try_divide(F.col("yc"), F.sqrt("yy") * F.sqrt("cc"))
+    every = wide.sparkSession.range(len(formulas)).select(F.col("id").cast("int").alias("formula"))
+    return F.broadcast(every).join(summed, "formula", "left").select(
+        "formula", r.alias("r"), F.coalesce("n", F.lit(0).cast("long")).alias("n")
+    )
+
+
+def _add(sums: np.ndarray, known: np.ndarray, y: np.ndarray, c: np.ndarray) -> None:
+    """Add rows to sums about means (one column per formula), in place."""
+    n, y0, c0, *_ = sums
+    for start, values in ((y0, y), (c0, c)):
+        first = values[known.argmax(axis=0), np.arange(values.shape[1])]
+        new = np.isnan(start) & known.any(axis=0)
+        start[new] = first[new]
+    y, c = np.where(known, y - y0, 0.0), np.where(known, c - c0, 0.0)
+    more = known.sum(axis=0).astype(float)
+    safe = np.maximum(more, 1.0)
+    mean_y, mean_c = y.sum(axis=0) / safe, c.sum(axis=0) / safe
+    y, c = np.where(known, y - mean_y, 0.0), np.where(known, c - mean_c, 0.0)
+    gap_y, gap_c = np.where(more, mean_y - sums[3], 0.0), np.where(more, mean_c - sums[4], 0.0)
+    total = np.maximum(n + more, 1.0)
+    weight = n * more / total
+    sums[5] += (y * y).sum(axis=0) + weight * gap_y * gap_y
+    sums[6] += (c * c).sum(axis=0) + weight * gap_c * gap_c
+    sums[7] += (y * c).sum(axis=0) + weight * gap_y * gap_c
+    sums[3] += gap_y * more / total
+    sums[4] += gap_c * more / total
+    sums[0] += more
+
+
 def numbered(names: Sequence[str | float]) -> Column:
     """A map from the numbers of columns to their ``names``."""
     return F.create_map(*chain.from_iterable((F.lit(k), F.lit(n)) for k, n in enumerate(names)))

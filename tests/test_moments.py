@@ -101,3 +101,24 @@ def test_empty_and_missing(spark):
     assert [(r.r, r.n) for r in correlation_pairs(df, names).collect()] == [(None, 0)] * 3
     assert correlation_pairs(df, names[:1]).count() == 0
     assert not any(r.component for r in formula_components(Frame.of(df), "c0", names).collect())
+
+
+def test_rows_are_not_repeated_per_formula(spark):
+    """Formulas whose terms nearly cancel are worked out in batches, to the last digits."""
+    from tabsonde.operators.moments import Formula, row_correlations
+
+    rng = np.random.default_rng(5)
+    a, e, y = rng.normal(1e6, 1e3, 4000), rng.normal(0, 1e-3, 4000), rng.normal(0, 1, 4000)
+    b, y = a + e, y + 500 * e
+    a[:50], y[50:90] = np.nan, np.inf
+    df = spark.createDataFrame(
+        [tuple(map(float, r)) for r in zip(y, a, b, strict=True)], "y double, a double, b double"
+    ).repartition(7)
+    asked = [Formula("y", "a", "b", o) for o in ("minus", "plus", "times")] * 50
+    out = row_correlations(df, asked)
+    assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r["formula"]: (r["r"], r["n"]) for r in out.collect()}
+    known = np.isfinite(a) & np.isfinite(y)
+    for k, c in enumerate((a - b, a + b, a * b)):
+        assert got[k] == got[k + 147]
+        assert got[k][1] == 3910 and abs(got[k][0] - np.corrcoef(c[known], y[known])[0, 1]) < 1e-9

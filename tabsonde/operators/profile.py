@@ -328,8 +328,15 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     if len(columns) < 2:
         return df.sparkSession.createDataFrame([], PAIR_SCHEMA)
     slots = [f"v{i}" for i in range(len(columns))]
-    masked = [f"{_masked(c, types[c])} AS {s}" for c, s in zip(columns, slots, strict=True)]
-    found = correlations(pair_moments(df.selectExpr(*masked), slots))
+    # Plain casts: moments leave out NaN and infinities, and forms that name a column twice would
+    # work out twice what stands behind it.
+    read = [
+        f"CAST({values.quoted(c)} AS DOUBLE) AS {s}"
+        if isinstance(types[c], (T.BooleanType, *values.NUMERIC_TYPES))
+        else f"{values.number(values.quoted(c), types[c])} AS {s}"
+        for c, s in zip(columns, slots, strict=True)
+    ]
+    found = correlations(pair_moments(df.selectExpr(*read), slots))
     names = numbered(columns)
     r = F.when(F.col("n") >= MIN_CORRELATION_ROWS, F.round("r", 4))
     return found.select(

@@ -29,8 +29,11 @@ EXACT_SIDE = 8
 #: these numbers of terms: both are exact to the last digits there.
 SERIES_UNTIL = 2.0
 SERIES_TERMS, FRACTION_TERMS = 40, 80
-#: Steps of the incomplete beta function's continued fraction, and more by the root of df.
+#: Steps of the incomplete beta function's continued fraction at most, and more by the root of df.
 BETA_STEPS, BETA_STEPS_PER_ROOT = 60, 3
+#: A step gains ((1 + s) / (1 - s)) ** 2 in accuracy, s the root of 1 - x: so many over half the
+#: logarithm of that, the root of df and a few first ones are exact to the last digits.
+BETA_DIGITS, BETA_FIRST_STEPS = 20.2, 3
 #: log(gamma(z + 1/2) / gamma(z)) is half of log z and these over odd powers of z,
 #: from RATIO_FROM on to the last digits.
 RATIO_TERMS = (-1 / 8, 1 / 192, -1 / 640, 17 / 14336, -31 / 18432)
@@ -91,15 +94,24 @@ def normal_p(z: Column) -> Column:
 
 
 def _beta_fraction(a: Column, b: Column, x: Column, steps: Column) -> Column:
-    """The incomplete beta function's continued fraction, from its last step to the first."""
+    """The incomplete beta function's continued fraction, from its last step to the first.
 
-    def step(below: Column, m: Column) -> Column:
-        falling = (a + m - 1) * (a + b + m - 1) * x / ((a + 2 * m - 2) * (a + 2 * m - 1))
-        rising = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-        return 1 - falling / (1 + rising / below)
+    Its inputs are worked out once and named: in the step itself they would be at every step.
+    """
+
+    def of(given: Column) -> Column:
+        a, b, x = given["a"], given["b"], given["x"]
+
+        def step(below: Column, m: Column) -> Column:
+            rising = m * (b - m) * x / ((a + 2 * m) * below)
+            falling = (a + m - 1) * (a + b + m - 1) * x / (a + 2 * m - 2)
+            return 1 - falling / (a + 2 * m - 1 + rising)
 
-    numbers = F.transform(F.sequence(steps, F.lit(1), F.lit(-1)), lambda m: m.cast("double"))
-    return 1 / F.aggregate(numbers, F.lit(1.0), step)
+        return 1 / F.aggregate(given["steps"], F.lit(1.0), step)
+
+    numbers = F.sequence(steps, F.lit(1), F.lit(-1)).cast("array<double>")
+    named = F.struct(a.alias("a"), b.alias("b"), x.alias("x"), numbers.alias("steps"))
+    return F.transform(F.array(named), of)[0]
 
 
 def _expanded_student(t: Column, df: Column) -> Column:
@@ -123,11 +135,14 @@ def student_p(t: Column, df: Column) -> Column:
     for k in range(RATIO_FROM):
         ratio = ratio - F.log1p(0.5 / (a + k))
     front = F.exp(ratio - math.log(math.sqrt(math.pi)) + a * F.log(x) + F.log(rest) / 2)
-    steps = (BETA_STEPS + BETA_STEPS_PER_ROOT * F.sqrt(a)).cast("int")
     far = x < (a + 1) / (a + b + 2)
-    tail = F.when(far, front * _beta_fraction(a, b, x, steps) / a).otherwise(
-        1 - front * _beta_fraction(b, a, rest, steps) / b
-    )
+    near, other = F.when(far, x).otherwise(rest), F.when(far, rest).otherwise(x)
+    gain = 2 * F.log1p(F.sqrt(other)) - F.log(near)
+    needed = BETA_FIRST_STEPS + F.sqrt(a) + BETA_DIGITS / gain
+    steps = F.least(BETA_STEPS + BETA_STEPS_PER_ROOT * F.sqrt(a), needed).cast("int")
+    first = F.when(far, a).otherwise(b)
+    share = front * _beta_fraction(first, F.when(far, b).otherwise(a), near, steps) / first
+    tail = F.when(far, share).otherwise(1 - share)
     p = F.when(F.abs(t) == float("inf"), 0.0).when(df >= EXPANSION_DF, _expanded_student(t, df))
     p = p.when(rest <= 0, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), tail)))
     known = t.isNotNull() & ~F.isnan(t) & df.isNotNull() & (df > 0)

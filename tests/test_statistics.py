@@ -316,3 +316,21 @@ def test_spearman_ranks_each_outcome_once(spark):
             rx, ry = (np.array(_plain_ranks([p[k] for p in both])) for k in (0, 1))
             assert got[s.test]["n"] == len(both)
             assert abs(got[s.test]["effect"] - np.corrcoef(rx, ry)[0, 1]) < 1e-9
+
+
+def test_fraction_works_out_its_inputs_once(spark):
+    """The steps of the fraction look at named inputs, not at the columns behind them."""
+    df = spark.createDataFrame([(7.0, 0.3), (500.0, 0.01)], "dof double, far double")
+    out = df.select(
+        pvalues._beta_fraction(F.col("dof") / 2, F.lit(0.5), 1 - F.col("far"), F.lit(60)).alias("f")
+    )
+    bodies = out._jdf.queryExecution().analyzed().toString().split("lambdafunction(")[1:]
+    assert bodies
+    for body in bodies:
+        depth = 1
+        for end, sign in enumerate(body):
+            depth += (sign == "(") - (sign == ")")
+            if not depth:
+                break
+        assert "dof#" not in body[:end] and "far#" not in body[:end]
+    assert all(r["f"] > 0 for r in out.collect())

@@ -21,11 +21,11 @@ from .skew import salted_join
 # What counts as a number, and what is left out of the check. The hyphen, plus
 # and minus signs may precede a number; a number glued to a word or a decimal is not one.
 NUMBER = (
-    r"(?<![\w.])([-+−]?\d{1,3}(?:,\d{3})+|[-+−]?\d+(?:\.\d+)?)"
+    r"(?=[-+−\d])(?<![\w.])([-+−]?\d{1,3}(?:,\d{3})+|[-+−]?\d+(?:\.\d+)?)"
     r"\s*(%|×|x\b|[KMB]\b|pp\b|points?\b)?(?!\w)"
 )
 SCIENTIFIC = r"\d+(?:\.\d+)?\s*(?:[eE]|×\s*10\^?)[-+−]?\d+"
-P_THRESHOLD = r"\bp\s*(?:<|≤|<=)\s*$"
+P_THRESHOLD = r"p(?<=\bp)\s*(?:<|≤|<=)\s*$"
 PERCENT_NAME = r"(?i)(?:^|_)(?:pct|percent|percentage|rate)(?:_|$)"
 SMALL_INTEGER = 12
 FIRST_YEAR, LAST_YEAR = 1900, 2100
@@ -39,6 +39,8 @@ NUMBERS, PERCENTS, RATIOS = "numbers", "percents", "ratios"
 _UNICODE = "(?U)"
 # Matches are found one after the other, so their positions follow from the text between them.
 _MARK = "\u0001"
+# Between a match and its groups; no number holds it.
+_PART = "\u0002"
 
 
 # Characters of scientific notation and their stand-ins from the private use area.
@@ -54,15 +56,19 @@ def _pattern(pattern: str) -> str:
     return _UNICODE + pattern
 
 
-def _pieces(text: Column, pattern: str) -> Column:
-    """Text cut at the matches of a pattern: text and matches alternate, matches at odd places."""
-    marked = F.regexp_replace(text, _pattern(f"({pattern})"), f"{_MARK}$1{_MARK}")
+def _pieces(text: Column, pattern: str, groups: int = 0) -> Column:
+    """Text cut at the matches of a pattern: text and matches alternate, matches at odd places.
+
+    Groups of the pattern follow their match, so that none is searched again.
+    """
+    shown = _PART.join(f"${g + 1}" for g in range(groups + 1))
+    marked = F.regexp_replace(text, _pattern(f"({pattern})"), f"{_MARK}{shown}{_MARK}")
     return F.split(marked, _MARK, -1)
 
 
 def hide_scientific(text: Column) -> Column:
     """Put stand-ins for scientific notation, so no exponent is read as a number of its own."""
-    return F.array_join(
+    hidden = F.array_join(
         F.transform(
             _pieces(text, SCIENTIFIC),
             lambda part, i: F.when(
@@ -71,20 +77,23 @@ def hide_scientific(text: Column) -> Column:
         ),
         "",
     )
+    return F.when(text.rlike(_pattern(SCIENTIFIC)), hidden).otherwise(text)
 
 
 def _restored(text: Column) -> Column:
     return F.translate(text, _HIDDEN, _EXPONENT_CHARS)
 
 
-def extract_numbers(claims: DataFrame, text: str = "text", scientific: bool = True) -> DataFrame:
+def extract_numbers(
+    claims: DataFrame, text: str = "text", scientific: bool = True, context: bool = True
+) -> DataFrame:
     """One row per number of a text: the other input columns plus seq (order in the text),
-    token, raw, unit, value, decimals, threshold (it follows "p <") and context.
+    token, raw, unit, value, decimals, threshold (it follows "p <") and, if asked, context.
 
     Everything a number needs from its text is taken while the text is still one row, so the
     text itself is neither repeated per number nor shuffled.
     """
-    clean = F.regexp_replace(F.col(text), _MARK, " ")
+    clean = F.replace(F.col(text), F.lit(_MARK), F.lit(" "))
     source = hide_scientific(clean) if scientific else clean
     kept = [F.col(c) for c in claims.columns if c != text]
 
@@ -102,40 +111,50 @@ def extract_numbers(claims: DataFrame, text: str = "text", scientific: bool = Tr
             few = text(_FEW)
             return F.when(F.length(few) >= CONTEXT, few).otherwise(text(_NEAR))
 
+        around = (
+            F.right(enough(before), F.lit(CONTEXT)).alias("before"),
+            F.left(enough(after), F.lit(CONTEXT)).alias("after"),
+        )
+        piece = F.element_at("pieces", i + 1)
         return F.struct(
             ((i - 1) / 2).cast("int").alias("seq"),
-            F.element_at("pieces", i + 1).alias("token"),
+            F.substring_index(piece, _PART, 1).alias("token"),
+            F.substring_index(F.substring_index(piece, _PART, 2), _PART, -1).alias("raw"),
+            F.nullif(F.substring_index(piece, _PART, -1), F.lit("")).alias("unit"),
             F.element_at("pieces", i).rlike(_pattern(P_THRESHOLD)).alias("threshold"),
-            F.right(enough(before), F.lit(CONTEXT)).alias("before"),
-            F.left(enough(after), F.lit(CONTEXT)).alias("after"),
+            *(around if context else ()),
         )
 
-    found = F.array_compact(F.transform("pieces", lambda p, i: F.when(i % 2 == 1, near(i))))
-    rows = (
-        claims.select(*kept, _pieces(source, NUMBER).alias("pieces"))
-        .select(
-            *kept,
+    def ends(cut: Callable[[Column, Column], Column]) -> Column:
+        """One end of every piece; of matches without their groups."""
+        return F.transform(
             "pieces",
-            F.transform("pieces", lambda p: F.right(p, F.lit(CONTEXT))).alias("tails"),
-            F.transform("pieces", lambda p: F.left(p, F.lit(CONTEXT))).alias("heads"),
+            lambda p, i: cut(
+                F.when(i % 2 == 1, F.substring_index(p, _PART, 1)).otherwise(p), F.lit(CONTEXT)
+            ),
         )
+
+    found = F.array_compact(F.transform("pieces", lambda p, i: F.when(i % 2 == 1, near(i))))
+    sides = (ends(F.right).alias("tails"), ends(F.left).alias("heads"))
+    rows = (
+        claims.select(*kept, _pieces(source, NUMBER, groups=2).alias("pieces"))
+        .select(*kept, "pieces", *(sides if context else ()))
         .select(*kept, found.alias("found"))
         # The outer form: the plain one would be filtered first, which reads every text twice.
         .select(*kept, F.inline_outer("found"))
         .where("token IS NOT NULL")
     )
-    context = F.concat("before", "token", "after")
-    raw = F.regexp_extract("token", _pattern(NUMBER), 1)
+    near_text = _restored(F.concat("before", "token", "after"))
     parsed = rows.select(
         *kept,
         "seq",
         F.trim(F.regexp_replace("token", r"\s+", " ")).alias("token"),
-        raw.alias("raw"),
-        F.nullif(F.regexp_extract("token", _pattern(NUMBER), 2), F.lit("")).alias("unit"),
+        "raw",
+        "unit",
         "threshold",
-        F.btrim(_restored(context), F.lit(" \n\r\t")).alias("context"),
+        *([F.btrim(near_text, F.lit(" \n\r\t")).alias("context")] if context else ()),
     )
-    cleaned = F.regexp_replace(F.regexp_replace("raw", ",", ""), "−", "-")
+    cleaned = F.replace(F.replace("raw", F.lit(",")), F.lit("−"), F.lit("-"))
     scale = F.when(F.col("unit") == "K", SCALES["K"]).when(F.col("unit") == "M", SCALES["M"])
     scale = scale.when(F.col("unit") == "B", SCALES["B"]).otherwise(1.0)
     decimals = F.when(cleaned.contains("."), F.length(F.substring_index(cleaned, ".", -1)))

@@ -112,6 +112,21 @@ def test_context_of_close_numbers(spark):
         assert r["token"] == token and r["context"] == near
 
 
+def test_numbers_without_context_search_each_text_once(spark):
+    text = "p < 0.05,\u0001 −1,234 K\u0002 of 7%\u0002, 3×, 12.50 and 4e-5"
+    df = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
+    bare = extract_numbers(df, context=False)
+    assert bare.columns == [c for c in extract_numbers(df).columns if c != "context"]
+    assert bare.collect() == extract_numbers(df).drop("context").collect()
+    got = [(r["raw"], r["unit"], r["value"]) for r in bare.orderBy("seq").collect()]
+    assert got == [
+        ("0.05", None, 0.05), ("−1,234", "K", -1234000.0), ("7", "%", 7.0), ("3", "×", 3.0),
+        ("12.50", None, 12.5),
+    ]
+    plan = bare.select("raw", "unit", "value")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract" not in plan
+
+
 def nearest_by_looking(wanted, known, kinds):
     out = []
     for key, at in wanted:

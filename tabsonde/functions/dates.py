@@ -8,19 +8,25 @@ from pyspark.sql import types as T
 
 from .values import TIME_TYPES
 
-# Accepted date spellings besides ISO 8601.
-DATE_FORMATS = (
-    "yyyy/M/d",
-    "M/d/yyyy",
-    "d/M/yyyy",
-    "M/d/yyyy H:mm",
-    "M/d/yyyy H:mm:ss",
-    "d.M.yyyy",
-    "d-MMM-yyyy",
-    "d MMM yyyy",
-    "MMM d, yyyy",
-    "yyyyMMdd",
-)
+# Accepted date spellings besides ISO 8601, by the shape that all such texts have.
+# Trying a format costs far more than a look at the shape, and most texts are no dates.
+_DAY = r"[+-]?\d+"
+_SLASHES = f"{_DAY}/{_DAY}/{_DAY}"
+_CLOCK = f" {_DAY}:{_DAY}"
+DATE_FORMATS = {
+    "yyyy/M/d": _SLASHES,
+    "M/d/yyyy": _SLASHES,
+    "d/M/yyyy": _SLASHES,
+    "M/d/yyyy H:mm": f"{_SLASHES}{_CLOCK}",
+    "M/d/yyyy H:mm:ss": f"{_SLASHES}{_CLOCK}:{_DAY}",
+    "d.M.yyyy": rf"{_DAY}\.{_DAY}\.{_DAY}",
+    "d-MMM-yyyy": rf"{_DAY}-\D{{1,9}}-{_DAY}",
+    "d MMM yyyy": rf"{_DAY} \D{{1,9}} {_DAY}",
+    "MMM d, yyyy": rf"\D{{1,9}} {_DAY}, {_DAY}",
+    "yyyyMMdd": _DAY,
+}
+#: No text in these spellings is longer: a number of them has at most 19 digits.
+LONGEST_DATE = 128
 ISO_START = r"^\s*\d{4}-\d{1,2}(-\d{1,2})?([T ].*)?\s*$"
 # Month names and the period length limits in days.
 MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
@@ -32,8 +38,12 @@ def parse_date(column: Column) -> Column:
     """Timestamp of a text value, missing where no accepted format fits."""
     value = F.trim(column)
     iso = F.when(value.rlike(ISO_START), F.try_to_timestamp(value))
-    others = [F.try_to_timestamp(value, F.lit(f)) for f in DATE_FORMATS]
-    return F.when(value.rlike(r"\d"), F.coalesce(iso, *others))
+    others = [
+        F.when(value.rlike(f"^{shape}$"), F.try_to_timestamp(value, F.lit(f)))
+        for f, shape in DATE_FORMATS.items()
+    ]
+    spelled = F.when(F.length(value) <= LONGEST_DATE, F.coalesce(*others))
+    return F.when(value.rlike(r"\d"), F.coalesce(iso, spelled))
 
 
 def as_time(column: Column, dtype: T.DataType) -> Column:

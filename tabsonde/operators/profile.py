@@ -113,7 +113,9 @@ TEXT_LOOK = {
     "present": "count(raw)",
     "length": "avg(length(raw))",
     "digits": "avg(CAST(raw RLIKE '[0-9]' AS DOUBLE))",
-    "yes_no": f"min(lower(trim(raw)) IN ({values.literals(values.YES_NO_WORDS)}))",
+    # Long texts are no words, so they are not put into lower case.
+    "yes_no": f"min(length(trim(raw)) <= {max(map(len, values.YES_NO_WORDS))} AND "
+    f"lower(trim(raw)) IN ({values.literals(values.YES_NO_WORDS)}))",
     "dates": "count(t) / nullif(count(raw), 0)",
     "min_date": _iso("min(t)"),
     "max_date": _iso("max(t)"),

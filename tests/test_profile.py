@@ -79,6 +79,12 @@ def test_types(spark):
     }
 
 
+def test_yes_no_words_with_spaces(spark):
+    rows = [(" " * 60 + "FALSE" + " " * 60, "truely"), ("y", "yes"), (None, None)]
+    p = rows_of(profile(spark.createDataFrame(rows, "a string, b string"), correlate=False))
+    assert (p["a"]["inferred_type"], p["b"]["inferred_type"]) == ("boolean", "categorical")
+
+
 def test_duplicates_treat_missing_as_equal(spark):
     rows = [(None, "x"), (None, "x"), (1, None), (1, None), ("x", None), (None, "x")]
     df = spark.createDataFrame([(str(a) if a else None, b) for a, b in rows], "a string, b string")

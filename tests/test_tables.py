@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,6 +132,20 @@ def test_dates_and_weeks(spark):
     assert labels == ["2025-01-06", "2025-01-13", "2025-01-13"]
 
 
+def test_date_formats_are_tried_on_texts_of_their_shape_only(spark):
+    """Each spelling has its format's shape; what cannot be a date is not tried at all."""
+    when = spark.sql("SELECT timestamp'2025-03-04 05:06:07' AS t")
+    shown = when.select(*[F.date_format("t", f).alias(f"f{i}") for i, f in enumerate(dates.DATE_FORMATS)])
+    for word, shape in zip(shown.first(), dates.DATE_FORMATS.values(), strict=True):
+        assert re.fullmatch(shape, word)
+    for word in ("C123", "1-URGENT", "Customer#000000001", "12:30", "a sentence of 9 words, 5 here"):
+        assert not any(re.fullmatch(shape, word) for shape in dates.DATE_FORMATS.values())
+    words = ["+2025/+3/4", "4-mar-2025", "4 MAR 2025", " mar 4, 2025 ", "20250304", "00003/4/2025", "4-Sept-2025"]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    got = [str(r[0])[:10] for r in df.select(dates.parse_date(F.col("w"))).collect()]
+    assert got == ["None"] + ["2025-03-04"] * 5 + ["None"]
+
+
 @pytest.mark.parametrize("border", [None, 50])
 def test_large_sample(spark, border, monkeypatch):
     """The rows of the smallest digests, found by histograms; repeated keys count as rows."""

@@ -268,6 +268,7 @@ def spearman(
     """One rank correlation per test over complete pairs.
 
     Each outcome y is sorted once for all its tests; the ranks of the other side follow per test.
+    Equal pairs of an outcome with one test are counted first, so that they are sorted as one row.
     """
     by_y: dict[str, list[Spec]] = {}
     for s in specs:
@@ -278,12 +279,17 @@ def spearman(
         among = list(dict.fromkeys(None if x in whole else x for x in xs))
         names = [f"w{k}" for k in range(len(among))]
         weights = {
-            name: F.lit(1).cast("bigint") if x is None else F.expr(f"CAST({x} IS NOT NULL AS BIGINT)")
+            name: F.col("n") if x is None else F.expr(f"if({x} IS NOT NULL, n, 0L)")
             for name, x in zip(names, among, strict=True)
         }
         columns = [c for x in xs for c in (x, bucket_name(x)) if x != y]
         rows = base.where(f"{y} IS NOT NULL AND {bucket_name(y)} IS NOT NULL")
-        rows = rows.select(y, bucket_name(y), *columns).withColumns({"of": F.lit(0)} | weights)
+        rows = rows.select(y, bucket_name(y), *columns)
+        if len(xs) == 1:
+            rows = rows.groupBy(*rows.columns).agg(F.count("*").alias("n"))
+        else:
+            rows = rows.withColumn("n", F.lit(1).cast("bigint"))
+        rows = rows.withColumns({"of": F.lit(0)} | weights)
         ranked = with_shared_ranks(
             rows, ["of"], y, bucket_name(y), names, [y, *columns], rows_bound
         ).withColumns({f"r{k}": average_rank(k) for k in range(len(among))})
@@ -296,6 +302,7 @@ def spearman(
                         "xb": bucket_name(s.x),
                         "x": s.x,
                         "ry": f"r{among.index(s.x if s.x in among else None)}",
+                        "n": "n",
                     }
                     for s in own
                 ],
@@ -307,7 +314,7 @@ def spearman(
     pairs = (
         rows.where("x IS NOT NULL AND xb IS NOT NULL")
         .groupBy("test", "xb", "x", "ry")
-        .agg(F.count("*").alias("n"))
+        .agg(F.sum("n").alias("n"))
     )
     both = with_ranks(pairs, ["test"], "x", "xb", "n", ("test", "ry"), rows_bound)
     middle = (F.col("total") + 1) / 2

@@ -28,6 +28,8 @@ MIN_SKETCH, MAX_SKETCH = 2_048, 65_535
 SALTS = 256
 # Small side of a join that may be broadcast: rows are known from bucket and test counts.
 BROADCAST_ROWS = 200_000
+# Sorted rows get a partition per bucket where there are more buckets than this.
+FEW_BUCKETS = 2 * MIN_BUCKETS
 
 
 @dataclass(frozen=True)
@@ -195,6 +197,9 @@ def with_shared_ranks(
     solo = F.col(bucket) < 0
     salt = F.pmod(F.xxhash64(*salt_on), F.lit(SALTS)).cast("int") if salt_on else F.lit(0)
     salted = rows.withColumn("salt", F.when(solo, salt).otherwise(F.lit(0)))
+    if FEW_BUCKETS < rows_bound <= BROADCAST_ROWS:
+        # What a task sorts is then a bucket or a few, however many rows there are.
+        salted = salted.repartition(rows_bound, *keys, bucket, "salt")
     order = Window.partitionBy(*keys, bucket, "salt").orderBy(
         F.col(value).desc() if descending else F.col(value).asc()
     )

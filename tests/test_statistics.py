@@ -318,6 +318,26 @@ def test_spearman_ranks_each_outcome_once(spark):
             assert abs(got[s.test]["effect"] - np.corrcoef(rx, ry)[0, 1]) < 1e-9
 
 
+def test_spearman_sorts_equal_pairs_as_one_row(spark, monkeypatch):
+    """Repeated pairs are counted before they are sorted, and buckets get partitions of their own."""
+    monkeypatch.setattr(ranks, "FEW_BUCKETS", 0)
+    df = spark.range(4000).selectExpr(
+        "if(id % 11 = 0, NULL, CAST(pmod(hash(id % 400), 90) AS DOUBLE)) AS y",
+        "if(id % 7 = 0, NULL, CAST(pmod(hash(id % 400), 23) + id % 2 AS DOUBLE)) AS x",
+    )
+    cuts = ranks.find_cuts(df, ["y", "x"], 4000)
+    base = ranks.with_buckets(df, cuts)
+    spec = hypotheses.Spec(0, "spearman", "y", "x")
+    both = [(r["x"], r["y"]) for r in df.where("x IS NOT NULL AND y IS NOT NULL").collect()]
+    rx, ry = (np.array(_plain_ranks([p[k] for p in both])) for k in (0, 1))
+    out = hypotheses.run_specs(base, [spec], cuts)
+    got = out.first()
+    assert got["n"] == len(both) and abs(got["effect"] - np.corrcoef(rx, ry)[0, 1]) < 1e-9
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    # Below the sort by the outcome there is a count of its pairs.
+    assert "Aggregate [y" in plan[plan.rindex("Window ["):]
+
+
 def test_fraction_works_out_its_inputs_once(spark):
     """The steps of the fraction look at named inputs, not at the columns behind them."""
     df = spark.createDataFrame([(7.0, 0.3), (500.0, 0.01)], "dof double, far double")

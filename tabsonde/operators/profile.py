@@ -281,6 +281,33 @@ def value_summaries(
     return counts, tops
 
 
+def looks_and_counts(
+    df: DataFrame, approximate: bool = False
+) -> tuple[dict[str, Row], dict[str, int], dict[str, list[tuple[str, int]]]]:
+    """First looks, distinct counts and frequent values of all columns."""
+    looks = first_looks(df)
+    texts = [
+        f.name
+        for f in df.schema.fields
+        if _kind(f.dataType) == "string" and (looks[f.name]["length"] or 0) > TEXT_LENGTH
+    ]
+    if not approximate:
+        return looks, *value_summaries(df, texts)
+    guess = distinct_estimates(df)
+    listed = {f.name for f in df.schema.fields if _kind(f.dataType) in ("string", "boolean")}
+    unique = {c for c in guess if near_unique(looks[c]["present"], guess[c])}
+    counts, most = value_summaries(df, texts, sorted((unique | listed) - set(texts)))
+    return looks, guess | counts, most
+
+
+def distinct_values(df: DataFrame, approximate: bool = False) -> DataFrame:
+    """(name, unique_count) of all columns, as in a profile but without the rest of it."""
+    df = df.select(*[col(c) for c in df.columns])
+    _, found, _ = looks_and_counts(df, approximate)
+    rows = [(c, found.get(c, 0)) for c in df.columns]
+    return df.sparkSession.createDataFrame(rows, "name string, unique_count bigint")
+
+
 def infer_type(field: T.StructField, look: Row, distinct: int) -> str:
     """Semantic type: boolean, datetime, id, numeric, categorical, text (or complex)."""
     kind, present = _kind(field.dataType), look["present"]
@@ -402,21 +429,6 @@ def profile(
     n = df.count() if n_rows is None else n_rows
     numbers = [f.name for f in df.schema.fields if _kind(f.dataType) == "numeric"]
 
-    def look_and_count():
-        looks = first_looks(df)
-        texts = [
-            f.name
-            for f in df.schema.fields
-            if _kind(f.dataType) == "string" and (looks[f.name]["length"] or 0) > TEXT_LENGTH
-        ]
-        if not approximate:
-            return looks, *value_summaries(df, texts)
-        guess = distinct_estimates(df)
-        listed = {f.name for f in df.schema.fields if _kind(f.dataType) in ("string", "boolean")}
-        unique = {c for c in guess if near_unique(looks[c]["present"], guess[c])}
-        counts, most = value_summaries(df, texts, sorted((unique | listed) - set(texts)))
-        return looks, guess | counts, most
-
     def spread():
         found = quartiles_of(df, numbers, n)
         usable = {c: q for c, q in found.items() if q and q[0] is not None}
@@ -427,7 +439,7 @@ def profile(
 
     # Independent passes are submitted together, so that one fills the cores another leaves.
     (looks, distinct, tops), (quartiles, outliers), repeats = together(
-        look_and_count, spread, repeats_of
+        lambda: looks_and_counts(df, approximate), spread, repeats_of
     )
     kinds = {
         f.name: infer_type(f, looks[f.name], distinct.get(f.name, 0)) for f in df.schema.fields

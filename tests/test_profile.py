@@ -3,6 +3,7 @@ import pytest
 
 from tabsonde.operators.profile import (
     SKETCH_ERROR,
+    distinct_values,
     duplicate_count,
     profile,
     profile_warnings,
@@ -109,6 +110,18 @@ def test_odd_names(spark):
     assert rows_of(profile(df))["a.b c"]["mean"] == 1.5
 
 
+@pytest.mark.parametrize("approximate", [False, True])
+def test_distinct_values_are_those_of_a_profile(spark, approximate):
+    df = spark.range(500).selectExpr(
+        "id AS k", "if(id % 9 = 0, NULL, id % 7) AS `a.b`", "if(id % 2 = 0, 0D, -0D) AS zero",
+        "CAST(NULL AS STRING) AS nothing", "repeat(concat(id % 31, ' '), 40) AS prose",
+    )
+    got = {r["name"]: r["unique_count"] for r in distinct_values(df, approximate).collect()}
+    assert got == {"k": 500, "a.b": 7, "zero": 1, "nothing": 0, "prose": 31}
+    full = profile(df, correlate=False, approximate=approximate)
+    assert got == {n: r["unique_count"] for n, r in rows_of(full).items()}
+
+
 def test_approximate_distinct_values(spark):
     """Sketches stay within their error; what may be unique is counted all the same."""
     df = spark.range(60_000).selectExpr(

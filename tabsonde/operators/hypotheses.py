@@ -25,6 +25,7 @@ from .ranks import (
     cut_points,
     cuts_from,
     maybe_broadcast,
+    repeating,
     with_buckets,
     with_ranks,
     with_shared_ranks,
@@ -263,12 +264,18 @@ def mann_whitney(sums: DataFrame) -> DataFrame:
 
 
 def spearman(
-    base: DataFrame, specs: Sequence[Spec], whole: Collection[str], rows_bound: int
+    base: DataFrame,
+    specs: Sequence[Spec],
+    cuts: Mapping[str, Cuts],
+    whole: Collection[str],
+    rows_bound: int,
 ) -> DataFrame:
     """One rank correlation per test over complete pairs.
 
-    Each outcome y is sorted once for all its tests; the ranks of the other side follow per test.
-    Equal pairs of an outcome with one test are counted first, so that they are sorted as one row.
+    Each outcome y is sorted once for all its tests. Of the rows with one value of x only their
+    number and sums are needed, so these are what the ranks of the other side are joined to. Equal
+    pairs of an outcome with one test are counted first, so that they are sorted as one row; so
+    are equal rows of all its tests where the columns have few values.
     """
     by_y: dict[str, list[Spec]] = {}
     for s in specs:
@@ -285,14 +292,21 @@ def spearman(
         columns = [c for x in xs for c in (x, bucket_name(x)) if x != y]
         rows = base.where(f"{y} IS NOT NULL AND {bucket_name(y)} IS NOT NULL")
         rows = rows.select(y, bucket_name(y), *columns)
-        if len(xs) == 1:
+        if len(xs) == 1 or repeating([cuts[c] for c in (y, *xs)]):
             rows = rows.groupBy(*rows.columns).agg(F.count("*").alias("n"))
         else:
             rows = rows.withColumn("n", F.lit(1).cast("bigint"))
         rows = rows.withColumns({"of": F.lit(0)} | weights)
         ranked = with_shared_ranks(
             rows, ["of"], y, bucket_name(y), names, [y, *columns], rows_bound
-        ).withColumns({f"r{k}": average_rank(k) for k in range(len(among))})
+        )
+        # Ranks from their middle, so that the sums stay as small as they can be.
+        ranked = ranked.withColumns(
+            {
+                f"d{k}": average_rank(k) - (F.col(f"total_{k}") + 1) / 2
+                for k in range(len(among))
+            }
+        )
         sides.append(
             melt(
                 ranked,
@@ -301,7 +315,7 @@ def spearman(
                         "test": str(s.test),
                         "xb": bucket_name(s.x),
                         "x": s.x,
-                        "ry": f"r{among.index(s.x if s.x in among else None)}",
+                        "dy": f"d{among.index(s.x if s.x in among else None)}",
                         "n": "n",
                     }
                     for s in own
@@ -311,20 +325,24 @@ def spearman(
     rows = sides[0]
     for side in sides[1:]:
         rows = rows.unionByName(side)
-    pairs = (
+    size, dy = F.col("n").cast("double"), F.col("dy")
+    levels = (
         rows.where("x IS NOT NULL AND xb IS NOT NULL")
-        .groupBy("test", "xb", "x", "ry")
-        .agg(F.sum("n").alias("n"))
+        .groupBy("test", "xb", "x")
+        .agg(
+            F.sum("n").alias("n"),
+            F.sum(size * dy).alias("y"),
+            F.sum(size * dy * dy).alias("yy"),
+        )
     )
-    both = with_ranks(pairs, ["test"], "x", "xb", "n", ("test", "ry"), rows_bound)
-    middle = (F.col("total") + 1) / 2
-    n = F.col("n").cast("double")
-    dx, dy = average_rank() - middle, F.col("ry") - middle
+    # Read twice, for the rows of a bucket and for their ranks.
+    both = with_ranks(stage(levels), ["test"], "x", "xb", "n", (), rows_bound)
+    dx = average_rank() - (F.col("total") + 1) / 2
     per = both.groupBy("test").agg(
         F.max("total").cast("double").alias("total"),
-        F.sum(n * dx * dy).alias("xy"),
-        F.sum(n * dx * dx).alias("xx"),
-        F.sum(n * dy * dy).alias("yy"),
+        F.sum(F.col("y") * dx).alias("xy"),
+        F.sum(size * dx * dx).alias("xx"),
+        F.sum("yy").alias("yy"),
     )
     size = F.col("total")
     valid = (size >= MIN_SPEARMAN_ROWS) & (F.col("xx") > 0) & (F.col("yy") > 0)
@@ -486,7 +504,7 @@ def run_specs(
                 parts.append(test(own).withColumns(empty))
     if chosen := by_kind.get("spearman"):
         limit = max(bound(chosen, lambda s: s.x), bound(chosen, lambda s: s.y))
-        parts.append(spearman(base, chosen, whole, limit).withColumns(empty))
+        parts.append(spearman(base, chosen, cuts, whole, limit).withColumns(empty))
     for kind, name, effect in (
         ("rate", effects.RATE_RATIO, "rate_ratio"),
         ("cramers_v", effects.CRAMERS_V, "cramers_v"),

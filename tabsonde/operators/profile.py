@@ -415,12 +415,14 @@ def profile(
     max_columns: int | None = None,
     max_correlated: int | None = None,
     approximate: bool = False,
+    spreads: bool = True,
 ) -> Profile:
     """Profile a table. ``total_rows`` is the size of the full table when ``df`` is a sample.
 
     All columns are profiled, and all numeric ones correlated, unless limits are given.
     ``approximate`` estimates distinct values by sketches; columns that may be unique, and texts
-    whose frequent values are listed, are still counted.
+    whose frequent values are listed, are still counted. Without ``spreads`` quartiles and outliers
+    are left out.
     """
     if not df.columns:
         raise InputError("EMPTY_DATASET", "The dataset has no rows or no columns.")
@@ -430,6 +432,8 @@ def profile(
     numbers = [f.name for f in df.schema.fields if _kind(f.dataType) == "numeric"]
 
     def spread():
+        if not spreads:
+            return {}, {}
         found = quartiles_of(df, numbers, n)
         usable = {c: q for c, q in found.items() if q and q[0] is not None}
         return usable, _outliers(df, usable) if usable else {}

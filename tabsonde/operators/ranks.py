@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -30,14 +30,22 @@ SALTS = 256
 BROADCAST_ROWS = 200_000
 # Sorted rows get a partition per bucket where there are more buckets than this.
 FEW_BUCKETS = 2 * MIN_BUCKETS
+# How many quantiles are looked at to tell a column of few values, and how many different rows of
+# such columns are worth counting before they are sorted.
+LEVEL_PROBES = 1_000
+FEW_LEVELS, FEW_ROWS = 400, 200_000
 
 
 @dataclass(frozen=True)
 class Cuts:
-    """Bucket edges of one numeric column and the buckets that hold a single value."""
+    """Bucket edges of one numeric column and the buckets that hold a single value.
+
+    ``levels`` tells about how many values the column has, None if they are many or not known.
+    """
 
     edges: tuple[float, ...]
     solo: tuple[int, ...]
+    levels: int | None = None
 
     @property
     def buckets(self) -> int:
@@ -57,10 +65,24 @@ def cuts_from(points: Iterable[float] | None) -> Cuts:
     return Cuts(edges, solo)
 
 
+def repeating(columns: Iterable[Cuts]) -> bool:
+    """Whether rows of these columns are few different ones, as far as the sketches tell."""
+    levels = [c.levels for c in columns]
+    return None not in levels and math.prod(levels) <= FEW_ROWS
+
+
 def cut_points(
     df: DataFrame, columns: Mapping[str, Column], buckets: int
 ) -> dict[str, list[float] | None]:
-    """Approximate quantiles of several columns, used as bucket edges; None without values.
+    """Approximate quantiles of several columns, used as bucket edges; None without values."""
+    at = [[i / buckets for i in range(1, buckets)]]
+    return {name: found[0] for name, found in _quantiles(df, columns, buckets, at).items()}
+
+
+def _quantiles(
+    df: DataFrame, columns: Mapping[str, Column], buckets: int, probs: Sequence[Sequence[float]]
+) -> dict[str, list[list[float] | None]]:
+    """Approximate quantiles of several columns, one list for each of ``probs``.
 
     Sketches are merged in two levels, so no task merges more than a share of the map tasks'
     sketches. How good the edges are only decides how even the buckets are.
@@ -75,18 +97,18 @@ def cut_points(
     merged = sketches.agg(
         *[F.call_function("kll_merge_agg_double", F.col(p)).alias(p) for p in names.values()]
     )
-    probs = ", ".join(f"{i / buckets!r}D" for i in range(1, buckets))
-    at = F.expr(f"array({probs})")
+    at = [F.expr(f"array({', '.join(f'{p!r}D' for p in ps)})") for ps in probs]
     found = merged.select(
         *[
             F.when(
                 F.call_function("kll_sketch_get_n_double", F.col(p)) > 0,
-                F.call_function("kll_sketch_get_quantile_double", F.col(p), at),
-            ).alias(p)
+                F.call_function("kll_sketch_get_quantile_double", F.col(p), ps),
+            ).alias(f"{p}_{k}")
             for p in names.values()
+            for k, ps in enumerate(at)
         ]
     ).first()
-    return {name: found[p] for name, p in names.items()}
+    return {name: [found[f"{p}_{k}"] for k in range(len(at))] for name, p in names.items()}
 
 
 def find_cuts(df: DataFrame, columns: Sequence[str], n_rows: int) -> dict[str, Cuts]:
@@ -94,8 +116,16 @@ def find_cuts(df: DataFrame, columns: Sequence[str], n_rows: int) -> dict[str, C
     columns = list(columns)
     if not columns:
         return {}
-    points = cut_points(df, {c: values.col(c) for c in columns}, bucket_count(n_rows))
-    return {c: cuts_from(points[c]) for c in columns}
+    buckets = bucket_count(n_rows)
+    edges = [i / buckets for i in range(1, buckets)]
+    probes = [i / LEVEL_PROBES for i in range(LEVEL_PROBES + 1)]
+    found = _quantiles(df, {c: values.col(c) for c in columns}, buckets, [edges, probes])
+    out = {}
+    for c in columns:
+        points, seen = found[c]
+        levels = len(set(seen or ()))
+        out[c] = replace(cuts_from(points), levels=levels if levels <= FEW_LEVELS else None)
+    return out
 
 
 def bucket_name(column: str) -> str:

@@ -11,7 +11,7 @@ from tabsonde import Frame
 from tabsonde.functions import effects, pvalues
 from tabsonde.operators import hypotheses, ranks
 from tabsonde.operators.hypotheses import benjamini_hochberg, chi2_uniform, melt
-from tabsonde.operators.testbed import single_test
+from tabsonde.operators.testbed import TestBed, single_test
 
 
 def frame(spark, columns, binaries=()):
@@ -354,3 +354,44 @@ def test_fraction_works_out_its_inputs_once(spark):
                 break
         assert "dof#" not in body[:end] and "far#" not in body[:end]
     assert all(r["f"] > 0 for r in out.collect())
+
+
+def spearman_inputs(spark, monkeypatch, df, y, xs):
+    """Results by x, how many rows are ranked on either side, and the table as pandas."""
+    seen = {}
+    for name in ("with_shared_ranks", "with_ranks"):
+        def watched(rows, *args, own=getattr(hypotheses, name), name=name):
+            seen[name] = rows.count()
+            return own(rows, *args)
+
+        monkeypatch.setattr(hypotheses, name, watched)
+    bed = TestBed.build(Frame.of(spark.createDataFrame(df)), [y, *xs], [])
+    found = bed.run([bed.number_spec(k, y, x) for k, x in enumerate(xs)]).collect()
+    return {xs[r["test"]]: r for r in found}, seen
+
+
+@pytest.mark.parametrize("y", ["continuous", "few"])
+def test_spearman_counts_before_it_sorts(spark, monkeypatch, y):
+    rng = np.random.default_rng(11)
+    n = 3000
+    a = rng.integers(0, 9, n).astype(float)
+    df = pd.DataFrame({"a": a, "b": a + rng.integers(0, 4, n), "few": rng.integers(1, 40, n) + a})
+    df["continuous"] = df.few + rng.normal(0, 30, n)
+    df.loc[rng.random(n) < 0.2, "b"] = np.nan
+    found, seen = spearman_inputs(spark, monkeypatch, df, y, ["a", "b"])
+    for x in ("a", "b"):
+        both = df[[x, y]].dropna()
+        assert found[x]["n"] == len(both)
+        assert found[x]["effect"] == pytest.approx(both[x].rank().corr(both[y].rank()), rel=1e-9)
+    # The other side has one row per value, whatever the ranks of y.
+    assert seen["with_ranks"] == df.a.nunique() + df.b.nunique()
+    different = len(df[["a", "b", "few"]].drop_duplicates())
+    assert seen["with_shared_ranks"] == (different if y == "few" else n)
+
+
+def test_few_valued_columns_are_told_from_others(spark):
+    df = spark.range(20_000).selectExpr("id % 7 + 0D AS a", "id % 90 + 0D AS b", "id + 0D AS c")
+    cuts = ranks.find_cuts(df, ["a", "b", "c"], 20_000)
+    assert (cuts["a"].levels, cuts["b"].levels, cuts["c"].levels) == (7, 90, None)
+    assert ranks.repeating([cuts["a"], cuts["b"]])
+    assert not ranks.repeating([cuts["a"], cuts["c"]]) and not ranks.repeating([cuts["b"]] * 3)
